@@ -68,6 +68,7 @@ class OrderLayout:
     types: list[T.DataType]
     key_exprs: list[Column]
     counts: list[int] = field(default_factory=list)
+    flagged: list[int] = field(default_factory=list)
 
     @property
     def num_buckets(self) -> int:
@@ -107,7 +108,7 @@ def _lit_array(values: list[int], dtype: str = "bigint") -> Column:
 
 
 def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
-                sample_per_bucket: int = 50, seed: int = 7) -> OrderLayout:
+                sample_per_bucket: int = 50, seed: int = 7, flag: Column | None = None) -> OrderLayout:
     """Sample the keys, fix bucket bounds, then count rows per bucket.
 
     Two small jobs: a sorted sample of about ``num_buckets * sample_per_bucket`` key tuples,
@@ -140,11 +141,18 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
             if bounds and bounds[0] == rows[0]:
                 bounds = bounds[1:]
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
-    counted = (df.select(layout.bucket_col().alias(BUCKET)).groupBy(BUCKET).count().collect())
+    flag_col = F.lit(False) if flag is None else flag
+    counted = (df.select(layout.bucket_col().alias(BUCKET), flag_col.alias("_kl_flag"))
+               .groupBy(BUCKET)
+               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_kl_flag")).alias("f"))
+               .collect())
     counts = [0] * layout.num_buckets
+    flagged = [0] * layout.num_buckets
     for r in counted:
         counts[r[0]] = r[1]
+        flagged[r[0]] = r[2]
     layout.counts = counts
+    layout.flagged = flagged
     return layout
 
 
