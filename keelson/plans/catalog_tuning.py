@@ -1,3 +1,179 @@
-"""Registered checks."""
+"""Checks for models, pipelines, tuning and the recipe (M1-M4, L1, L2, L4-L8). Results depend
+on trained models, so most are rows-only; the splits (L7) have SQL oracles."""
 
-from keelson.plans.registry import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.feature import (IndexToString, StringIndexer, UnivariateFeatureSelector, VectorAssembler,
+                                VectorIndexer)
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import functions as F
+
+from keelson.operators.metrics import LogLossEvaluator
+from keelson.plans.recipe import Recipe
+from keelson.plans.registry import query
+from keelson.plans.stages import VectorElement
+from keelson.plans.tuning import (SCRIPT_SEED, ParallelCrossValidator, fit_many, hash_split, modulus_split,
+                                  serial_cross_validator, with_folds)
+from keelson.sources.tables import table
+
+NUMERIC = ["n_chars", "n_words", "lang_idx", "source_idx"]
+
+
+def _docs(spark, sf):
+    """Labeled and unlabeled documents with a few whole-text features."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        F.size(F.split(F.col("text"), r"\s+")).cast("double").alias("n_words"))
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id"), docs.join(labels, "doc_id", "left_anti")
+
+
+def _assembled(df):
+    stages = [StringIndexer(inputCol="lang", outputCol="lang_idx", handleInvalid="keep"),
+              StringIndexer(inputCol="source", outputCol="source_idx", handleInvalid="keep"),
+              VectorAssembler(inputCols=NUMERIC, outputCol="features")]
+    return Pipeline(stages=stages).fit(df).transform(df)
+
+
+def _classifier_stages(labeled, num_trees=5):
+    """The credit script's seven-stage chain on document features."""
+    label_indexer = StringIndexer(inputCol="quality", outputCol="indexedLabel", handleInvalid="keep").fit(labeled)
+    rf = RandomForestClassifier(seed=SCRIPT_SEED, numTrees=num_trees, featuresCol="selectedFeatures",
+                                labelCol="indexedLabel", predictionCol="prediction")
+    stages = [
+        StringIndexer(inputCol="lang", outputCol="lang_idx", handleInvalid="keep"),
+        StringIndexer(inputCol="source", outputCol="source_idx", handleInvalid="keep"),
+        VectorAssembler(inputCols=NUMERIC, outputCol="features"),
+        VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4, handleInvalid="keep"),
+        label_indexer,
+        UnivariateFeatureSelector(featuresCol="indexedFeatures", labelCol="indexedLabel",
+                                  outputCol="selectedFeatures", selectionMode="numTopFeatures")
+        .setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(3),
+        rf,
+        IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=label_indexer.labels),
+        VectorElement(inputCol="probability", outputCol="prob", index=1),
+    ]
+    return stages, rf
+
+
+@query("m1_random_forest_classifier")
+def m1_random_forest_classifier(spark, sf):
+    labeled, _ = _docs(spark, sf)
+    data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
+    model = RandomForestClassifier(seed=SCRIPT_SEED, numTrees=5).fit(data)
+    return model.transform(data).select("doc_id", "prediction")
+
+
+@query("m2_random_forest_regressor")
+def m2_random_forest_regressor(spark, sf):
+    labeled, _ = _docs(spark, sf)
+    data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
+    model = RandomForestRegressor(seed=SCRIPT_SEED, numTrees=5, maxBins=100).fit(data)
+    return model.transform(data).select("doc_id", "prediction")
+
+
+@query("m3_decision_tree_regressor")
+def m3_decision_tree_regressor(spark, sf):
+    labeled, _ = _docs(spark, sf)
+    data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
+    model = DecisionTreeRegressor(maxDepth=4).fit(data)
+    return model.transform(data).select("doc_id", "prediction")
+
+
+@query("m4_logistic_regression")
+def m4_logistic_regression(spark, sf):
+    """Reg 0, elastic net 0, 100 iterations, tol 1e-6, intercept; 0.8/0.2 split, RMSE kept."""
+    labeled, _ = _docs(spark, sf)
+    data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
+    train, test = hash_split(data, [0.8, 0.2], keys="doc_id", seed=SCRIPT_SEED)
+    lr = LogisticRegression(regParam=0.0, elasticNetParam=0.0, maxIter=100, tol=1e-6, fitIntercept=True)
+    pred = lr.fit(train).transform(test)
+    rmse = RegressionEvaluator(metricName="rmse").evaluate(pred)
+    return pred.select("doc_id", "prediction", F.abs(F.col("prediction") - F.col("label")).alias("abs_err"),
+                       F.lit(rmse).alias("rmse")).orderBy("abs_err", "doc_id")
+
+
+@query("l1_pipeline_fit_transform")
+def l1_pipeline_fit_transform(spark, sf):
+    labeled, _ = _docs(spark, sf)
+    stages, _ = _classifier_stages(labeled)
+    out = Pipeline(stages=stages).fit(labeled).transform(labeled)
+    return out.select("doc_id", "predictedLabel", "prob")
+
+
+def _grid(rf):
+    return ParamGridBuilder().addGrid(rf.maxDepth, [3, 5]).build()
+
+
+@query("l2_fit_many")
+def l2_fit_many(spark, sf):
+    """One pipeline fitted for two parameter sets at once; log loss of each on a held-out part."""
+    labeled, _ = _docs(spark, sf)
+    stages, rf = _classifier_stages(labeled)
+    train, test = hash_split(labeled, [0.7, 0.3], keys="doc_id")
+    grid = _grid(rf)
+    models = fit_many(Pipeline(stages=stages), train, grid, parallelism=2)
+    ev = LogLossEvaluator(labelCol="indexedLabel", probabilityCol="prob")
+    rows = [(i, float(ev.evaluate(m.transform(test)))) for i, m in enumerate(models)]
+    return spark.createDataFrame(rows, "param_index int, log_loss double")
+
+
+@query("l4_parallel_cv")
+def l4_parallel_cv(spark, sf):
+    """Three folds x two parameter sets, concurrent; mean log loss per set, best marked."""
+    labeled, _ = _docs(spark, sf)
+    stages, rf = _classifier_stages(labeled)
+    cv = ParallelCrossValidator(Pipeline(stages=stages), LogLossEvaluator(labelCol="indexedLabel",
+                                                                          probabilityCol="prob"),
+                                _grid(rf), num_folds=3, parallelism=4, fold_keys=["doc_id"])
+    model = cv.fit(labeled)
+    rows = [(i, float(m), i == model.bestIndex) for i, m in enumerate(model.avgMetrics)]
+    return spark.createDataFrame(rows, "param_index int, avg_log_loss double, is_best boolean")
+
+
+@query("l5_serial_cv")
+def l5_serial_cv(spark, sf):
+    """Spark's serial CrossValidator over the same hash folds."""
+    labeled, _ = _docs(spark, sf)
+    stages, rf = _classifier_stages(labeled)
+    folded = with_folds(labeled, 3, keys=["doc_id"], name="fold")
+    cv = serial_cross_validator(Pipeline(stages=stages), LogLossEvaluator(labelCol="indexedLabel",
+                                                                          probabilityCol="prob"),
+                                _grid(rf), num_folds=3, fold_col="fold")
+    model = cv.fit(folded)
+    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(model.avgMetrics)],
+                                 "param_index int, avg_log_loss double")
+
+
+@query("l6_recipe")
+def l6_recipe(spark, sf):
+    """Recipe: cross-validate, refit, score the unlabeled documents and conform them."""
+    labeled, unlabeled = _docs(spark, sf)
+    stages, rf = _classifier_stages(labeled)
+    r = Recipe(labeled=labeled, unlabeled=unlabeled, label_col="quality", prediction_col="predictedLabel",
+               evaluator=LogLossEvaluator(labelCol="indexedLabel", probabilityCol="prob"),
+               name="docs_rfc", param_maps=_grid(rf), stages=stages, num_folds=3, fold_keys=["doc_id"])
+    return r.unlabeled_predictions
+
+
+@query("l7_modulus_split", """
+SELECT doc_id, lang FROM documents WHERE (doc_id * 37 + 11) % 10 < 8
+""")
+def l7_modulus_split(spark, sf):
+    """The 0.8 part of a reproducible 0.8/0.2 split on the integer key."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    train, _ = modulus_split(docs, "doc_id", [8, 2])
+    return train
+
+
+@query("l7_hash_split")
+def l7_hash_split(spark, sf):
+    """0.7/0.3 split by a seeded hash of the key; both parts returned with their side."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    a, b = hash_split(docs, [0.7, 0.3], keys="doc_id")
+    return a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1)))

@@ -7,12 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark import keyword_only
+from pyspark.ml import Pipeline, Transformer
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.base import Params as PipelineStage  # stages share the Params base
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.functions.scalar import vector_element
+
 # The tokenizer pattern (whitespace or '|') and the hashed width of the text recipe.
 TOKEN_PATTERN = r"[\s\|]+"
 HASHED_WIDTH = 256
@@ -52,3 +57,20 @@ def token_counts(df: DataFrame, col: str) -> DataFrame:
     tok = tokenizer(col, "_tokens").transform(df.select(col))
     return (tok.select(F.explode("_tokens").alias("token"))
             .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+
+
+class VectorElement(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """X2/P10 as a stage: element ``index`` of a vector column (e.g. the positive-class
+    probability), JVM-side; the reference registered a Scala UDF for SQL instead."""
+
+    index = Param(Params._dummy(), "index", "element to read", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "probability", outputCol: str = "prob", index: int = 1):
+        super().__init__()
+        self._setDefault(index=1)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getOutputCol(),
+                                  vector_element(self.getInputCol(), self.getOrDefault(self.index)))
