@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     # importing the catalog modules registers their queries
     from keelson.plans import catalog_features, catalog_metrics, catalog_order, catalog_project  # noqa: F401
-    from keelson.plans import catalog_tuning  # noqa: F401
+    from keelson.plans import catalog_sources, catalog_tuning  # noqa: F401
 
 
 def all_queries() -> dict[str, QueryFn]:
