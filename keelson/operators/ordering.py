@@ -107,11 +107,83 @@ def _lit_array(values: list[int], dtype: str = "bigint") -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{dtype}>")
 
 
+def _order_key(row: tuple) -> tuple:
+    """Python sort key equal to Spark's ascending order: nulls first, NaN above all numbers."""
+    out = []
+    for v in row:
+        if v is None:
+            out.append((0, 0, 0))
+        elif isinstance(v, float) and v != v:
+            out.append((1, 1, 0))
+        else:
+            out.append((1, 0, v))
+    return tuple(out)
+
+
+def _weighted_sample(kdf: DataFrame, target: int, seed: int) -> list[tuple[tuple, float]]:
+    """One pass: every input partition keeps a uniform bottom-k sample of its key tuples and
+    reports how many rows it saw; each kept row weighs ``rows seen / rows kept``. The result is
+    bounded by about three times ``target`` rows whatever the data size (the sketch Spark's own
+    range partitioner uses)."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    parts = max(1, kdf.rdd.getNumPartitions())
+    k = max(1, -(-3 * target // parts))
+    fields = list(kdf.schema.fields)
+    out_schema = T.StructType(fields + [T.StructField("_kl_w", T.DoubleType(), False)])
+
+    def sketch(batches):
+        ctx = TaskContext.get()
+        rng = np.random.default_rng([seed, ctx.partitionId() if ctx else 0])
+        kept, kept_u, seen = None, None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            seen += batch.num_rows
+            u = rng.random(batch.num_rows)
+            tbl = pa.Table.from_batches([batch])
+            if kept is not None:
+                tbl = pa.concat_tables([kept, tbl])
+                u = np.concatenate([kept_u, u])
+            if tbl.num_rows > k:
+                idx = np.argpartition(u, k - 1)[:k]
+                tbl, u = tbl.take(pa.array(idx)), u[idx]
+            kept, kept_u = tbl, u
+        if kept is None or kept.num_rows == 0:
+            return
+        w = pa.array(np.full(kept.num_rows, seen / kept.num_rows))
+        yield from kept.append_column("_kl_w", w).to_batches()
+
+    rows = kdf.mapInArrow(sketch, out_schema).collect()
+    return [(tuple(r[:-1]), float(r[-1])) for r in rows]
+
+
+def _weighted_bounds(sample: list[tuple[tuple, float]], n: int) -> list[tuple]:
+    """Up to ``n-1`` distinct bound tuples splitting the weighted sample into equal shares."""
+    if not sample:
+        return []
+    sample = sorted(sample, key=lambda r: _order_key(r[0]))
+    total = sum(w for _, w in sample)
+    step = total / n
+    bounds: list[tuple] = []
+    acc, target = 0.0, step
+    for key, w in sample:
+        acc += w
+        if acc >= target and len(bounds) < n - 1:
+            if not bounds or _order_key(bounds[-1]) < _order_key(key):
+                bounds.append(key)
+            while target <= acc:
+                target += step
+    return bounds
+
+
 def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
                 sample_per_bucket: int = 50, seed: int = 7, flag: Column | None = None) -> OrderLayout:
     """Sample the keys, fix bucket bounds, then count rows per bucket.
 
-    Two small jobs: a sorted sample of about ``num_buckets * sample_per_bucket`` key tuples,
+    Two small jobs: a weighted sample of about ``num_buckets * sample_per_bucket`` key tuples,
     and one count per bucket. Both results are bounded by the bucket count, not the data.
     """
     keys = _cols(keys)
@@ -126,20 +198,8 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
     bounds: list[tuple] = []
     if n > 1:
         kdf = typed.select(*[c.alias(f"k{i}") for i, c in enumerate(comp)])
-        total = kdf.count()
-        if total > 0:
-            target = n * sample_per_bucket
-            frac = min(1.0, 1.2 * target / total)
-            sample = kdf.sample(False, frac, seed) if frac < 1.0 else kdf
-            rows = [tuple(r) for r in sample.orderBy(*kdf.columns).collect()]
-            m = len(rows)
-            for i in range(1, n):
-                b = rows[min(m - 1, (i * m) // n)]
-                if not bounds or bounds[-1] != b:
-                    bounds.append(b)
-            # the smallest sampled key as a bound only makes bucket 0 hold keys below it
-            if bounds and bounds[0] == rows[0]:
-                bounds = bounds[1:]
+        sample = _weighted_sample(kdf, n * sample_per_bucket, seed)
+        bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
     flag_col = F.lit(False) if flag is None else flag
     counted = (df.select(layout.bucket_col().alias(BUCKET), flag_col.alias("_kl_flag"))
