@@ -19,6 +19,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import keyword_only
+from pyspark.ml import Transformer
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -374,3 +378,22 @@ def check_gap_fill_schema(schema: T.StructType, input_col: str, output_col: str)
     if not isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType)):
         raise ValueError(f"invalid input type {dtype.simpleString()}; valid types are smallint, int, bigint")
     return T.StructType(schema.fields + [T.StructField(output_col, T.LongType(), True)])
+
+
+class GapFiller(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """W3 as an ML stage: ``inputCol`` (short, int or long), a new ``outputCol`` (long) and
+    ``maxGap``. The schema rules (W3a) are checked before any job runs."""
+
+    maxGap = Param(Params._dummy(), "maxGap", "maximum gap to fill", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None, maxGap: int = 300):
+        super().__init__()
+        self._setDefault(maxGap=300)
+        self._set(**self._input_kwargs)
+
+    def transformSchema(self, schema: T.StructType) -> T.StructType:
+        return check_gap_fill_schema(schema, self.getInputCol(), self.getOutputCol())
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return gap_fill(dataset, self.getInputCol(), self.getOutputCol(), self.getOrDefault(self.maxGap))

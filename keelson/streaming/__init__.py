@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming reader or writer, watermark, time window or keyed state, so
+nothing is built here. The order-dependent operators (as-of join, sliding windows, gap fill)
+are batch operators over whole tables.
+"""
