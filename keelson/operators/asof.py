@@ -84,7 +84,7 @@ def asof_join(actions: DataFrame, states: DataFrame, action_ts, state_ts, by=Non
     is_state = F.col("_kind") == F.lit(s_kind)
 
     layout = plan_layout(u, groups + order, num_buckets=num_buckets, flag=is_state)
-    b = u.withColumn(BUCKET, layout.bucket_col())
+    b = layout.add_bucket(u)
 
     running = (Window.partitionBy(BUCKET, *groups).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

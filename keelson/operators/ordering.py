@@ -17,10 +17,15 @@ tie-break columns); a hot key then spreads over many buckets. ``sliding``, ``wit
 
 from __future__ import annotations
 
+import base64
+import decimal
+import json
+import math
 from dataclasses import dataclass, field
 
 from pyspark import keyword_only
 from pyspark.ml import Transformer
+from pyspark.ml.feature import Bucketizer
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
@@ -35,6 +40,8 @@ GLOBAL_RN = "_kl_rn"
 
 # Broadcast of a per-bucket side table is allowed while it is provably this small (rows).
 MAX_BROADCAST_ROWS = 2_000_000
+# Key tuples sampled to place bucket bounds (the driver sorts about twice this many).
+MAX_SAMPLE = 500_000
 
 
 def _cols(cols) -> list[Column]:
@@ -90,25 +97,116 @@ class OrderLayout:
     def ends(self) -> list[int]:
         return [o + c for o, c in zip(self.offsets, self.counts)]
 
-    def bucket_col(self) -> Column:
+    def add_bucket(self, df: DataFrame, name: str = BUCKET) -> DataFrame:
+        """Add the bucket id: the number of bounds <= the row's key tuple.
+
+        A JVM binary search (``Bucketizer``) over a monotone numeric image of the first key does
+        almost all the work; only rows whose image equals the image of some bound (a hot first
+        key, or a collision) run a short binary search over that bound group's full tuples. The
+        bounds and per-group tables are single literals, so the plan stays small for any number
+        of buckets.
+        """
+        if not self.bounds:
+            return df.withColumn(name, F.lit(0))
+        images = [_image_value(b[0], self.types[0]) for b in self.bounds]
+        groups: list[tuple[float, int, int]] = []  # (image, start, length)
+        for i, v in enumerate(images):
+            if groups and groups[-1][0] == v:
+                groups[-1] = (v, groups[-1][1], groups[-1][2] + 1)
+            else:
+                groups.append((v, i, 1))
+        u = [g[0] for g in groups]
+        le_cum = [0]
+        for g in groups:
+            le_cum.append(le_cum[-1] + g[2])
         key = _key_struct(self.key_exprs)
-        bound_cols = [
-            F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, self.types))])
-            for b in self.bounds
-        ]
-
-        # bucket = number of bounds <= key, as a balanced CASE tree (log2(buckets) compares)
-        def build(lo: int, hi: int) -> Column:
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(key < bound_cols[mid], build(lo, mid)).otherwise(build(mid + 1, hi))
-
-        return build(0, len(bound_cols)).cast("int")
+        key_type = T.StructType([T.StructField(f"k{i}", t, True) for i, t in enumerate(self.types)])
+        bounds_arr = _json_array([{f"k{i}": _jsonable(v) for i, v in enumerate(b)} for b in self.bounds],
+                                 key_type)
+        u_arr = _json_array(u, T.DoubleType())
+        le_arr = _lit_array(le_cum, "int")
+        start_arr = _lit_array([g[1] for g in groups], "int")
+        len_arr = _lit_array([g[2] for g in groups], "int")
+        max_len = max(g[2] for g in groups)
+        img_col, j_col = "_kl_img", "_kl_j"
+        splits = [float("-inf")] + u + [float("inf")]
+        staged = df.withColumn(img_col, _image(self.key_exprs[0], self.types[0]))
+        staged = Bucketizer(splits=splits, inputCol=img_col, outputCol=j_col).transform(staged)
+        j = F.col(j_col).cast("int")
+        g = j - 1
+        hit = (j >= 1) & (F.col(img_col) == F.get(u_arr, g))
+        start, length = F.get(start_arr, g), F.get(len_arr, g)
+        if max_len == 1:
+            refine = (key >= F.get(bounds_arr, start)).cast("int")
+        else:
+            steps = max(1, math.ceil(math.log2(max_len + 1)))
+
+            def step(acc, _):
+                mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+                return F.when(acc["lo"] >= acc["hi"], acc).otherwise(
+                    F.when(key < F.get(bounds_arr, mid), F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+                    .otherwise(F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))))
+
+            search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)),
+                                 F.struct(start.alias("lo"), (start + length).alias("hi")), step)
+            refine = F.when(length == 1, (key >= F.get(bounds_arr, start)).cast("int")) \
+                .otherwise(search["lo"] - start)
+        bucket = F.when(hit, F.get(le_arr, g) + refine).otherwise(F.get(le_arr, j))
+        return staged.withColumn(name, bucket.cast("int")).drop(img_col, j_col)
+
+
+# Images of first keys are clamped to finite doubles; +-inf, NaN and null collide at the ends
+# and are told apart by the full-tuple refinement.
+_IMG_MAX = 1.7e308
+
+
+def _image(col: Column, dtype: T.DataType) -> Column:
+    """Monotone non-decreasing double image of a (comparable) key column, null first."""
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        raw = col.cast("binary") if isinstance(dtype, T.StringType) else col
+        hexed = F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0")
+        d = F.conv(hexed, 16, 10).cast("double")
+    else:
+        d = col.cast("double")
+    return (F.when(d.isNull(), F.lit(-_IMG_MAX))
+            .when(F.isnan(d) | (d >= _IMG_MAX), F.lit(_IMG_MAX))
+            .when(d <= -_IMG_MAX, F.lit(-_IMG_MAX))
+            .otherwise(d))
+
+
+def _image_value(v, dtype: T.DataType) -> float:
+    """The same image computed on the driver for a bound value."""
+    if v is None:
+        return -_IMG_MAX
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        raw = v.encode("utf-8") if isinstance(v, str) else bytes(v)
+        d = float(int.from_bytes(raw[:6].ljust(6, b"\0"), "big"))
+    else:
+        d = float(v)
+    if d != d or d >= _IMG_MAX:
+        return _IMG_MAX
+    if d <= -_IMG_MAX:
+        return -_IMG_MAX
+    return d
+
+
+def _jsonable(v):
+    if isinstance(v, (bytes, bytearray)):
+        return base64.b64encode(bytes(v)).decode("ascii")
+    if isinstance(v, decimal.Decimal):
+        return str(v)
+    return v
+
+
+def _json_array(values: list, element: T.DataType) -> Column:
+    """A constant array as one folded literal (``from_json`` over a string literal), instead of
+    one expression per element."""
+    return F.from_json(F.lit(json.dumps(values)), T.ArrayType(element), {"allowNonNumericNumbers": "true"})
 
 
 def _lit_array(values: list[int], dtype: str = "bigint") -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{dtype}>")
+    t = {"bigint": T.LongType(), "int": T.IntegerType()}[dtype]
+    return _json_array([int(v) for v in values], t)
 
 
 def _order_key(row: tuple) -> tuple:
@@ -127,14 +225,14 @@ def _order_key(row: tuple) -> tuple:
 def _weighted_sample(kdf: DataFrame, target: int, seed: int) -> list[tuple[tuple, float]]:
     """One pass: every input partition keeps a uniform bottom-k sample of its key tuples and
     reports how many rows it saw; each kept row weighs ``rows seen / rows kept``. The result is
-    bounded by about three times ``target`` rows whatever the data size (the sketch Spark's own
+    bounded by about twice ``target`` rows whatever the data size (the sketch Spark's own
     range partitioner uses)."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
 
     parts = max(1, kdf.rdd.getNumPartitions())
-    k = max(1, -(-3 * target // parts))
+    k = max(1, -(-2 * target // parts))
     fields = list(kdf.schema.fields)
     out_schema = T.StructType(fields + [T.StructField("_kl_w", T.DoubleType(), False)])
 
@@ -202,11 +300,12 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
     bounds: list[tuple] = []
     if n > 1:
         kdf = typed.select(*[c.alias(f"k{i}") for i, c in enumerate(comp)])
-        sample = _weighted_sample(kdf, n * sample_per_bucket, seed)
+        # bounded like Spark's own range partitioner: at most MAX_SAMPLE key tuples in total
+        sample = _weighted_sample(kdf, min(n * sample_per_bucket, MAX_SAMPLE), seed)
         bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
     flag_col = F.lit(False) if flag is None else flag
-    counted = (df.select(layout.bucket_col().alias(BUCKET), flag_col.alias("_kl_flag"))
+    counted = (layout.add_bucket(df.withColumn("_kl_flag", flag_col)).select(BUCKET, "_kl_flag")
                .groupBy(BUCKET)
                .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_kl_flag")).alias("f"))
                .collect())
@@ -227,7 +326,7 @@ def rank_rows(df: DataFrame, keys, layout: OrderLayout | None = None,
     layout = layout or plan_layout(df, keys, num_buckets)
     w = Window.partitionBy(BUCKET).orderBy(*keys)
     ranked = (
-        df.withColumn(BUCKET, layout.bucket_col())
+        layout.add_bucket(df)
         .withColumn(LOCAL_RN, F.row_number().over(w).cast("bigint"))
         .withColumn(GLOBAL_RN, F.get(_lit_array(layout.offsets), F.col(BUCKET)) + F.col(LOCAL_RN))
     )
