@@ -91,6 +91,23 @@ def epoch_ms_to_timestamp(ms) -> Column:
     return F.timestamp_millis(_c(ms).cast("bigint"))
 
 
+def ntz_epoch_micros(c) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a ``timestamp_ntz`` read as UTC wall-clock time.
+
+    Built from the date and the clock fields, which do not depend on the session time zone
+    (casting to ``timestamp`` would go through the session zone and its daylight saving).
+    """
+    col = _c(c)
+    days = F.unix_date(col.cast("date")).cast("bigint")
+    clock = (F.hour(col) * 3600 + F.minute(col) * 60).cast("bigint")
+    micros = (F.date_part(F.lit("SECOND"), col) * F.lit(1_000_000)).cast("bigint")
+    return days * F.lit(86_400_000_000) + clock * F.lit(1_000_000) + micros
+
+
+def _floor_div(c: Column, w: int) -> Column:
+    return ((c - F.pmod(c, F.lit(w))) / F.lit(w)).cast("bigint")
+
+
 def epoch_ms(c, dtype: T.DataType | None = None) -> Column:
     """P20: timestamp (with or without time zone) or epoch-ms number to epoch milliseconds.
 
@@ -100,7 +117,7 @@ def epoch_ms(c, dtype: T.DataType | None = None) -> Column:
     if dtype is None or isinstance(dtype, T.TimestampNTZType):
         if dtype is None:
             raise ValueError("pass the column's data type (df.schema[name].dataType)")
-        return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+        return _floor_div(ntz_epoch_micros(col), 1000)
     if isinstance(dtype, T.TimestampType):
         return F.unix_millis(col)
     if isinstance(dtype, T.DateType):

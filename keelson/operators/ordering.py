@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.scalar import ntz_epoch_micros
 from keelson.session import shuffle_partitions
 
 BUCKET = "_kl_bucket"
@@ -55,7 +56,7 @@ def _cols(cols) -> list[Column]:
 def _comparable(col: Column, dtype: T.DataType) -> Column:
     """An order-preserving, literal-friendly image of a key column (used for bucketing only)."""
     if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), col)
+        return ntz_epoch_micros(col)
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(col)
     if isinstance(dtype, T.DateType):

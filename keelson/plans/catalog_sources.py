@@ -6,6 +6,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keelson.functions.scalar import epoch_ms
 
 from keelson.plans.registry import query
 from keelson.session import ensure_checkpoint_dir
@@ -17,8 +20,7 @@ def render_dumps(events, path: str) -> str:
     """Write one dump file per user: clicks as the action list, views as damage entries
     (amount = value in hundredths). Lines are ordered inside each user's file."""
     ev = events.select("event_id", "user_id", "event_type", "value",
-                       F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                                        F.col("ts")).alias("ms"))
+                       epoch_ms(F.col("ts"), T.TimestampNTZType()).alias("ms"))
     users = ev.select("user_id").distinct()
     u = F.col("user_id").cast("string")
 

@@ -13,7 +13,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, Ty
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.base import Params as PipelineStage  # stages share the Params base
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.scalar import vector_element
@@ -51,11 +51,19 @@ def tokenize_and_hash(df: DataFrame, cols: Sequence[str], num_features: int = HA
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
+def tokens(col) -> Column:
+    """F7 as a built-in expression (codegen, no UDF): lowercase and split on ``[\\s|]+``. Empty
+    strings (a leading delimiter) remain; drop them after exploding."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.split(F.lower(c), TOKEN_PATTERN)
+
+
 def token_counts(df: DataFrame, col: str) -> DataFrame:
-    """Token frequencies over whole texts. The count is partially aggregated on every task before
-    the shuffle, so very frequent tokens do not gather raw rows in one place."""
-    tok = tokenizer(col, "_tokens").transform(df.select(col))
-    return (tok.select(F.explode("_tokens").alias("token"))
+    """Token frequencies over whole texts, equal to the tokenizer stage's tokens. The count is
+    partially aggregated on every task before the shuffle, so very frequent tokens do not gather
+    raw rows in one place."""
+    return (df.select(F.explode(tokens(col)).alias("token"))
+            .where(F.length("token") > 0)
             .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
 
