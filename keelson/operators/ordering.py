@@ -120,7 +120,8 @@ class OrderLayout:
         le_cum = [0]
         for g in groups:
             le_cum.append(le_cum[-1] + g[2])
-        key = _key_struct(self.key_exprs)
+        # the key tuple is computed once as a column; every branch below refers to it
+        key = F.col("_kl_key")
         key_type = T.StructType([T.StructField(f"k{i}", t, True) for i, t in enumerate(self.types)])
         bounds_arr = _json_array([{f"k{i}": _jsonable(v) for i, v in enumerate(b)} for b in self.bounds],
                                  key_type)
@@ -131,7 +132,8 @@ class OrderLayout:
         max_len = max(g[2] for g in groups)
         img_col, j_col = "_kl_img", "_kl_j"
         splits = [float("-inf")] + u + [float("inf")]
-        staged = df.withColumn(img_col, _image(self.key_exprs[0], self.types[0]))
+        staged = df.withColumn("_kl_key", _key_struct(self.key_exprs))
+        staged = staged.withColumn(img_col, _image(key["k0"], self.types[0]))
         staged = Bucketizer(splits=splits, inputCol=img_col, outputCol=j_col).transform(staged)
         j = F.col(j_col).cast("int")
         g = j - 1
@@ -153,7 +155,9 @@ class OrderLayout:
             refine = F.when(length == 1, (key >= F.get(bounds_arr, start)).cast("int")) \
                 .otherwise(search["lo"] - start)
         bucket = F.when(hit, F.get(le_arr, g) + refine).otherwise(F.get(le_arr, j))
-        return staged.withColumn(name, bucket.cast("int")).drop(img_col, j_col)
+        # never null; typing it non-nullable keeps Catalyst from inferring isnotnull filters on
+        # joins by bucket and pushing the whole bucket expression into scans
+        return staged.withColumn(name, F.coalesce(bucket.cast("int"), F.lit(0))).drop(img_col, j_col, "_kl_key")
 
 
 # Images of first keys are clamped to finite doubles; +-inf, NaN and null collide at the ends
@@ -379,6 +383,27 @@ def _halo(ranked: DataFrame, layout: OrderLayout, n: int, payload: Column) -> Da
     return follow
 
 
+def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], payload: Column) -> DataFrame:
+    """For every bucket, the first row of the next non-empty bucket (the halo of ``n = 2``).
+
+    ``min_by`` per bucket aggregates partially before the shuffle and only sorts by the integer
+    bucket id, where a window would sort every row by the full key.
+    """
+    prev, last = [], -1
+    for c, cnt in enumerate(layout.counts):
+        prev.append(last)
+        if cnt > 0:
+            last = c
+    first = bucketed.groupBy(BUCKET).agg(F.min_by(payload, _key_struct(keys)).alias("_kl_first"))
+    # a bucket with no earlier non-empty bucket maps to -1 and simply never joins (a filter here
+    # would be pushed below the aggregate and inline the whole bucket expression into the scan)
+    follow = first.select(F.coalesce(F.get(_lit_array(prev, "int"), F.col(BUCKET)), F.lit(-1)).alias(BUCKET),
+                          F.col("_kl_first").alias("_kl_follow"))
+    if layout.num_buckets <= MAX_BROADCAST_ROWS:
+        follow = F.broadcast(follow)  # at most one row per bucket
+    return follow
+
+
 def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window",
             keep_columns: bool = False, num_buckets: int | None = None) -> DataFrame:
     """For every row, the array of it and the next ``n-1`` rows in order (whole-row structs).
@@ -442,9 +467,9 @@ def with_next(df: DataFrame, order, next_cols=None, name: str = "next", partitio
     payload = F.struct(*[F.col(c) for c in carry])
     w = Window.partitionBy(BUCKET).orderBy(*keys)
     main = ranked.withColumn("_kl_lead", F.lead(payload).over(w))
-    follow = _halo(ranked, layout, 2, payload)
+    follow = _first_rows(layout.add_bucket(df), layout, keys, payload)
     main = main.join(follow, BUCKET, "left")
-    nxt = F.coalesce(F.col("_kl_lead"), F.get(F.col("_kl_follow"), 0))
+    nxt = F.coalesce(F.col("_kl_lead"), F.col("_kl_follow"))
     if part_names:
         nxt = F.when(_all_eq([nxt[p].eqNullSafe(F.col(p)) for p in part_names]), nxt)
     return main.select(*[F.col(c) for c in src_cols], nxt.alias(name))
