@@ -62,3 +62,20 @@ def test_hot_key_split_over_buckets_matches_single_bucket(spark):
 
     assert run(1) == run(13)
     assert len(run(13)) > 1900
+
+
+def test_invariant_under_partitioning(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    clicks = ev.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    views = ev.where("event_type = 'view'").select("event_id", "user_id", "ts")
+
+    def run(c, v, n):
+        out = asof_join(c, v, "ts", "ts", by="user_id", bucket_ms=86_400_000, action_tiebreak="event_id",
+                        state_tiebreak="event_id", num_buckets=n, how="left")
+        return sorted((r[0], r[1]) for r in out.select("actionEvent.event_id", "gameState.event_id").collect())
+
+    base = run(clicks, views, 2)
+    assert run(clicks.repartition(1), views.repartition(7), 200) == base
+    assert run(clicks.repartition(7), views.repartition(1), 1) == base
+    plan = asof_join(clicks, views, "ts", "ts", by="user_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "EvalPython" not in plan

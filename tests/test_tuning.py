@@ -87,3 +87,18 @@ def test_name_parts():
     assert stamp_text(dt.datetime(2016, 10, 16, 0, 5)) == "2016-Oct16-1205AM"
     assert metric_text(0.123456789) == "0.12346"
     assert result_name("x", 1.5, dt.datetime(2016, 1, 1, 12, 0)) == "x_1.50000_2016-Jan1-1200PM"
+
+
+def test_recipe_template_partial(spark):
+    import functools
+
+    df = _data(spark)
+    pipe, lr = _pipe()
+    template = functools.partial(Recipe, labeled=df, unlabeled=df.drop("label"), label_col="label",
+                                 prediction_col="prediction", evaluator=BinaryClassificationEvaluator(),
+                                 num_folds=2, fold_keys=["id"])
+    r = template(name="t", param_maps=ParamGridBuilder().addGrid(lr.maxIter, [5]).build(), stages=pipe.getStages())
+    assert r.unlabeled_predictions.count() == 300
+    assert r.transformed_data.count() == 300
+    assert 0.0 <= r.cv_metric <= 1.0
+    r.release()
