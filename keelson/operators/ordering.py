@@ -81,6 +81,7 @@ class OrderLayout:
     key_exprs: list[Column]
     counts: list[int] = field(default_factory=list)
     flagged: list[int] = field(default_factory=list)
+    flag_counts: dict = field(default_factory=dict)
 
     @property
     def num_buckets(self) -> int:
@@ -287,7 +288,8 @@ def _weighted_bounds(sample: list[tuple[tuple, float]], n: int) -> list[tuple]:
 
 
 def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
-                sample_per_bucket: int = 50, seed: int = 7, flag: Column | None = None) -> OrderLayout:
+                sample_per_bucket: int = 50, seed: int = 7, flag: Column | None = None,
+                flags: dict | None = None) -> OrderLayout:
     """Sample the keys, fix bucket bounds, then count rows per bucket.
 
     Two small jobs: a weighted sample of about ``num_buckets * sample_per_bucket`` key tuples,
@@ -310,15 +312,24 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
         bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
     flag_col = F.lit(False) if flag is None else flag
-    counted = (layout.add_bucket(df.withColumn("_kl_flag", flag_col)).select(BUCKET, "_kl_flag")
+    named = dict(flags or {})
+    staged = df.withColumn("_kl_flag", flag_col)
+    for i, (_, col) in enumerate(named.items()):
+        staged = staged.withColumn(f"_kl_flag{i}", col)
+    counted = (layout.add_bucket(staged)
                .groupBy(BUCKET)
-               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_kl_flag")).alias("f"))
+               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_kl_flag")).alias("f"),
+                    *[F.count_if(F.col(f"_kl_flag{i}")).alias(f"f{i}") for i in range(len(named))])
                .collect())
     counts = [0] * layout.num_buckets
     flagged = [0] * layout.num_buckets
+    per_flag = {name: [0] * layout.num_buckets for name in named}
     for r in counted:
         counts[r[0]] = r[1]
         flagged[r[0]] = r[2]
+        for i, name in enumerate(named):
+            per_flag[name][r[0]] = r[3 + i]
+    layout.flag_counts = per_flag
     layout.counts = counts
     layout.flagged = flagged
     return layout
@@ -383,6 +394,53 @@ def _halo(ranked: DataFrame, layout: OrderLayout, n: int, payload: Column) -> Da
     return follow
 
 
+def _sources(counts: list[int]) -> list[int]:
+    """For every bucket, the nearest earlier bucket with a non-zero count (-1 if none)."""
+    out, last = [], -1
+    for c, cnt in enumerate(counts):
+        out.append(last)
+        if cnt > 0:
+            last = c
+    return out
+
+
+def fill_forward(df: DataFrame, cols, order, partition_by=None, suffix: str = "_ff",
+                 num_buckets: int | None = None) -> DataFrame:
+    """For each column, add ``<col><suffix>``: its last non-null value at or before the row in
+    ``order`` within ``partition_by`` (``last(ignorenulls)`` over a running frame), without a
+    single-partition window. Inside a bucket a running window does it; the last value of earlier
+    buckets comes from a table of at most one row per bucket."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    part_names = _names(partition_by, df)
+    parts = _cols(part_names)
+    order = _cols(order)
+    keys = parts + order
+    layout = plan_layout(df, keys, num_buckets, flags={c: F.col(c).isNotNull() for c in cols})
+    b = layout.add_bucket(df)
+    w = (Window.partitionBy(BUCKET, *parts).orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = b.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_kl_in{i}") for i, c in enumerate(cols)])
+    order_struct = _key_struct(keys)
+    carry = b.groupBy(F.col(BUCKET).alias("_kl_cb")).agg(*[
+        F.max_by(F.when(F.col(c).isNotNull(),
+                        F.struct(*[F.col(p).alias(f"p{j}") for j, p in enumerate(part_names)], F.col(c).alias("v"))),
+                 F.when(F.col(c).isNotNull(), order_struct)).alias(f"_kl_last{i}")
+        for i, c in enumerate(cols)])
+    if layout.num_buckets <= MAX_BROADCAST_ROWS:
+        carry = F.broadcast(carry)  # at most one row per bucket
+    for i, c in enumerate(cols):
+        src = _lit_array(_sources(layout.flag_counts[c]), "int")
+        side = carry.select(F.col("_kl_cb").alias(f"_kl_cb{i}"), F.col(f"_kl_last{i}").alias(f"_kl_carry{i}"))
+        out = out.join(side, F.coalesce(F.get(src, F.col(BUCKET)), F.lit(-1)) == F.col(f"_kl_cb{i}"), "left")
+        carried = F.col(f"_kl_carry{i}")
+        same = F.lit(True)
+        for j, p in enumerate(part_names):
+            same = same & carried[f"p{j}"].eqNullSafe(F.col(p))
+        out = out.withColumn(f"{c}{suffix}", F.coalesce(F.col(f"_kl_in{i}"), F.when(same, carried["v"])))
+        out = out.drop(f"_kl_cb{i}", f"_kl_carry{i}", f"_kl_in{i}")
+    return out.drop(BUCKET)
+
+
 def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], payload: Column) -> DataFrame:
     """For every bucket, the first row of the next non-empty bucket (the halo of ``n = 2``).
 

@@ -19,18 +19,20 @@ Grammar (one entry per line, tabs as indentation)::
 ``(timestamp, null, damage{spellId, amount})``. A damage time repeated within one spell is one
 table key in the dump's language, so the last line wins. Only the table named ``root`` is read.
 
-Plan: every file is read whole (``wholetext``), split into numbered lines and classified with
-regular expressions; the section and spell a line belongs to are the last headers before it
-(``last(ignorenulls)`` over the file's lines). Files are parsed in parallel, one task per file, so
-a single very large file is one task: split big dumps into several files.
+Plan: files are read line by line with the splittable text reader and every line is classified
+with regular expressions; the table, section and spell a line belongs to are the last headers
+before it in the file, carried forward over range buckets of ``(file, split, row)`` (see
+``ordering.fill_forward``), so neither a file nor a section is ever gathered in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.operators.ordering import fill_forward
+
 # The dump's global table name and its two sections.
 DEFAULT_ROOT = "WTFTestAddonData"
 ACTION_SECTION = "actionEvents"
@@ -61,19 +63,30 @@ def _whole(text: Column) -> Column:
     return F.when(as_long.isNotNull(), as_long).when(d.isNotNull() & (d == F.floor(d)), d.try_cast("bigint"))
 
 
-def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT) -> DataFrame:
-    """Every line of every file with its file, number, kind, and the section and spell it sits in."""
+def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT,
+                     num_buckets: int | None = None) -> DataFrame:
+    """Every line of every file with its position, kind, and the section and spell it sits in.
+
+    Lines are read with the splittable text reader, so a large file is spread over many tasks.
+    A line's position in its file is ``(split start, row id)``: the row id grows along the rows
+    of a split. The table, section and spell headers in force at each line are the last ones
+    before it in that order (``fill_forward``), computed without gathering a file in one task.
+    """
     if not path:
         raise ValueError("Path is required")
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col("value").alias("line"))
 
     def ext(pattern: str, group: int = 1) -> Column:
         return F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, group))
 
+    pos = F.struct("block", "row")
     kinds = lines.select(
-        "file", "line_no", "line",
+        "file", "block", "row", "line",
         ext(_ROOT_OPEN).alias("root_open"),
         ext(_SECTION_OPEN).alias("section_open"),
         ext(_KEY_OPEN).alias("key_open"),
@@ -81,31 +94,29 @@ def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT) -> Dat
         ext(_LIST_ITEM).alias("item"),
         F.col("line").rlike(_CLOSE).alias("is_close"),
         F.col("line").rlike(_BLANK).alias("is_blank"),
-    )
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # depth after the line: opens minus closes so far
-    delta = (F.when(F.col("root_open").isNotNull() | F.col("section_open").isNotNull()
-                    | F.col("key_open").isNotNull(), 1).when(F.col("is_close"), -1).otherwise(0))
-    ctx = kinds.select(
+    ).select(
         "*",
-        F.sum(delta).over(w).alias("depth"),
-        F.last("root_open", ignorenulls=True).over(w).alias("root"),
-        F.last(F.when(F.col("section_open").isNotNull(), F.struct("line_no", "section_open")), ignorenulls=True)
-        .over(w).alias("_sec"),
-        F.last(F.when(F.col("key_open").isNotNull(), F.struct("line_no", "key_open")), ignorenulls=True)
-        .over(w).alias("_key"),
+        # a new table resets the section, a new section resets the spell
+        F.when(F.col("root_open").isNotNull(), F.struct(pos.alias("pos"), F.col("root_open").alias("v")))
+        .alias("_root"),
+        F.when(F.col("section_open").isNotNull() | F.col("root_open").isNotNull(),
+               F.struct(pos.alias("pos"), F.col("section_open").alias("v"))).alias("_sec"),
+        F.when(F.col("key_open").isNotNull() | F.col("section_open").isNotNull() | F.col("root_open").isNotNull(),
+               F.struct(pos.alias("pos"), F.col("key_open").alias("v"))).alias("_key"),
     )
+    ctx = fill_forward(kinds, ["_root", "_sec", "_key"], ["block", "row"], partition_by="file",
+                       num_buckets=num_buckets)
     return ctx.select(
-        "file", "line_no", "line", "root_open", "section_open", "key_open", "kv_key", "kv_value", "item",
-        "is_close", "is_blank", "depth", "root",
-        F.col("_sec.section_open").alias("section"),
-        # a spell header only counts inside the current section
-        F.when(F.col("_key.line_no") > F.col("_sec.line_no"), F.col("_key.key_open")).alias("spell"),
+        "file", "block", "row", "line", "root_open", "section_open", "key_open", "kv_key", "kv_value", "item",
+        "is_close", "is_blank",
+        F.col("_root_ff.v").alias("root"),
+        F.col("_sec_ff.v").alias("section"),
+        F.col("_key_ff.v").alias("spell"),
     ).where(F.col("root") == F.lit(root))
 
 
 def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors: str = "raise",
-                    unknown_sections: str = "ignore") -> DataFrame:
+                    unknown_sections: str = "ignore", num_buckets: int | None = None) -> DataFrame:
     """Scan dump files into ``EVENT_DUMP_SCHEMA`` rows (order unspecified).
 
     ``errors``: ``"raise"`` fails on a line outside the grammar or a number that is not whole
@@ -116,10 +127,10 @@ def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors:
         raise ValueError("errors must be 'raise', 'drop' or 'column'")
     if unknown_sections not in ("ignore", "raise"):
         raise ValueError("unknown_sections must be 'ignore' or 'raise'")
-    ctx = event_dump_lines(spark, path, root)
+    ctx = event_dump_lines(spark, path, root, num_buckets)
     sec = F.col("section")
-    in_action = (sec == ACTION_SECTION) & (F.col("depth") == 3)
-    in_damage = (sec == DAMAGE_SECTION) & (F.col("depth") == 3)
+    in_action = sec == ACTION_SECTION
+    in_damage = sec == DAMAGE_SECTION
     spell = _whole(F.col("spell"))
     is_header = (F.col("root_open").isNotNull() | F.col("section_open").isNotNull()
                  | F.col("key_open").isNotNull() | F.col("is_close") | F.col("is_blank"))
@@ -136,7 +147,7 @@ def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors:
     # only well-formed rows are emitted, where these are never null: coalesce with a literal
     # types them as non-null, as the fixed schema says
     rows = ctx.select(
-        "file", "line_no", "line", bad.alias("_bad"),
+        "file", "block", "row", "line", bad.alias("_bad"),
         F.when(good_action, F.lit("a")).when(good_damage, F.lit("d")).alias("_kind"),
         F.coalesce(spell, F.lit(0).cast("bigint")).alias("_spell"),
         F.coalesce(action_ms, dmg_ms).alias("_ms"),
@@ -144,8 +155,7 @@ def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors:
     )
     if errors == "raise":
         rows = rows.withColumn("_kind", F.when(
-            F.col("_bad"), F.raise_error(F.concat(F.lit("event dump: cannot read line "),
-                                                  (F.col("line_no") + 1).cast("string"), F.lit(" of "),
+            F.col("_bad"), F.raise_error(F.concat(F.lit("event dump: cannot read a line of "),
                                                   F.col("file"), F.lit(": "), F.col("line")))
             .cast("string")).otherwise(F.col("_kind")))
 
@@ -156,7 +166,8 @@ def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors:
     # one table key per (file, spell, time): the last line wins
     damage = (rows.where(F.col("_kind") == "d")
               .groupBy("file", "_spell", "_ms")
-              .agg(F.coalesce(F.max_by("_amount", "line_no"), F.lit(0).cast("bigint")).alias("_amount"))
+              .agg(F.coalesce(F.max_by("_amount", F.struct("block", "row")), F.lit(0).cast("bigint"))
+                   .alias("_amount"))
               .select(F.timestamp_millis("_ms").alias("timestamp"),
                       F.lit(None).cast(EVENT_DUMP_SCHEMA["action"].dataType).alias("action"),
                       F.struct(F.col("_spell").alias("spellId"), F.col("_amount").alias("amount")).alias("damage")))

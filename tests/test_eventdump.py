@@ -107,3 +107,22 @@ def test_reference_fixture_counts(spark):
     c = df.agg(F.count("action").alias("a"), F.count("damage").alias("d"),
                F.min(F.unix_millis("timestamp")).alias("lo"), F.max(F.unix_millis("timestamp")).alias("hi")).first()
     assert (c.a, c.d, c.lo, c.hi) == (999, 2730, 1476615543972, 1476616771901)
+
+
+@pytest.mark.skipif(not os.path.exists(REF), reason="fixture not present")
+def test_one_file_over_many_splits(spark):
+    def rows(df):
+        return sorted((tuple(r) for r in df.select(F.unix_millis("timestamp"), "action.spellId", "damage.spellId",
+                                                   "damage.amount").collect()), key=repr)
+
+    base = rows(read_event_dump(spark, REF, num_buckets=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = read_event_dump(spark, REF, num_buckets=9)
+        assert df.rdd.getNumPartitions() >= 1
+        assert spark.read.text(REF).rdd.getNumPartitions() >= 10
+        assert rows(df) == base
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(base) == 3729

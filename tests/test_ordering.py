@@ -104,3 +104,18 @@ def test_no_single_partition_window(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_fill_forward_brute_force(spark):
+    from keelson.operators.ordering import fill_forward
+
+    rows = [(i, 0 if i % 4 else i % 3, i * 7 % 1000, (i if i % 5 == 0 else None)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, p int, t int, v int")
+    out = {r.id: r.v_ff for r in fill_forward(df, ["v"], ["t", "id"], partition_by="p", num_buckets=7).collect()}
+    last = {}
+    want = {}
+    for i, p, t, v in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        if v is not None:
+            last[p] = v
+        want[i] = last.get(p)
+    assert out == want
