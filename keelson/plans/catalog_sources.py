@@ -1,5 +1,5 @@
 """Checks for the event-dump scan (S1): dumps rendered by Spark from ``events`` into the shared
-checkpoint folder, one file per user, then scanned back."""
+checkpoint folder, then scanned back."""
 
 from __future__ import annotations
 
@@ -16,42 +16,54 @@ from keelson.sources.eventdump import ACTION_SECTION, DAMAGE_SECTION, DEFAULT_RO
 from keelson.sources.tables import table
 
 
-def render_dumps(events, path: str) -> str:
-    """Write one dump file per user: clicks as the action list, views as damage entries
-    (amount = value in hundredths). Lines are ordered inside each user's file."""
+def render_dumps(events, path: str, user_groups: int = 16, hour_groups: int = 4) -> str:
+    """Write dump files from events: clicks as action lists, views as damage entries (amount =
+    value in hundredths), one spell table per user. A file holds the users of one hash group and
+    the hours of one hour group, so a busy user is spread over several files and tasks, while all
+    rows of one (user, ms) key stay in one file."""
     ev = events.select("event_id", "user_id", "event_type", "value",
                        epoch_ms(F.col("ts"), T.TimestampNTZType()).alias("ms"))
-    users = ev.select("user_id").distinct()
+    ev = ev.withColumns({
+        "fu": F.pmod(F.xxhash64("user_id"), F.lit(user_groups)),
+        "fh": F.pmod(F.floor(F.col("ms") / 3_600_000).cast("bigint"), F.lit(hour_groups)),
+    })
+    spells = ev.select("fu", "fh", "user_id").distinct()
+    files = spells.select("fu", "fh").distinct()
     u = F.col("user_id").cast("string")
+    zero = F.lit(0).cast("bigint")
 
-    def fixed(sec: int, part: int, text):
-        return users.select("user_id", F.lit(sec).alias("sec"), F.lit(part).alias("part"),
-                            F.lit(0).cast("bigint").alias("ms"), F.lit(0).cast("bigint").alias("eid"),
-                            (F.lit(text) if isinstance(text, str) else text).alias("value"))
+    def per_file(sec: int, major: int, text: str):
+        return files.select("fu", "fh", F.lit(sec).alias("sec"), F.lit(major).alias("major"),
+                            zero.alias("user"), F.lit(0).alias("part"), zero.alias("ms"), zero.alias("eid"),
+                            F.lit(text).alias("value"))
 
-    clicks = ev.where(F.col("event_type") == "click").select(
-        "user_id", F.lit(1).alias("sec"), F.lit(2).alias("part"), "ms", F.col("event_id").alias("eid"),
-        F.format_string("\t\t\t%d, -- [%d]", F.col("ms"), F.col("event_id")).alias("value"))
-    views = ev.where(F.col("event_type") == "view").select(
-        "user_id", F.lit(2).alias("sec"), F.lit(2).alias("part"), "ms", F.col("event_id").alias("eid"),
-        F.format_string("\t\t\t[%d] = %d,", F.col("ms"),
-                        F.round(F.col("value") * 100).cast("bigint")).alias("value"))
-    lines = (fixed(0, 0, f"{DEFAULT_ROOT} = {{")
-             .unionByName(fixed(1, 0, f'\t["{ACTION_SECTION}"] = {{'))
-             .unionByName(fixed(1, 1, F.concat(F.lit("\t\t["), u, F.lit("] = {"))))
-             .unionByName(clicks)
-             .unionByName(fixed(1, 3, "\t\t},"))
-             .unionByName(fixed(1, 4, "\t},"))
-             .unionByName(fixed(2, 0, f'\t["{DAMAGE_SECTION}"] = {{'))
-             .unionByName(fixed(2, 1, F.concat(F.lit("\t\t["), u, F.lit("] = {"))))
-             .unionByName(views)
-             .unionByName(fixed(2, 3, "\t\t},"))
-             .unionByName(fixed(2, 4, "\t},"))
-             .unionByName(fixed(3, 0, "}")))
-    (lines.repartition("user_id")
-     .sortWithinPartitions("user_id", "sec", "part", "ms", "eid")
-     .select("user_id", "value")
-     .write.mode("overwrite").partitionBy("user_id").text(path))
+    def per_spell(sec: int, part: int, text):
+        return spells.select("fu", "fh", F.lit(sec).alias("sec"), F.lit(1).alias("major"),
+                             F.col("user_id").alias("user"), F.lit(part).alias("part"), zero.alias("ms"),
+                             zero.alias("eid"), text.alias("value"))
+
+    def entries(kind: str, sec: int, text):
+        return ev.where(F.col("event_type") == kind).select(
+            "fu", "fh", F.lit(sec).alias("sec"), F.lit(1).alias("major"), F.col("user_id").alias("user"),
+            F.lit(1).alias("part"), "ms", F.col("event_id").alias("eid"), text.alias("value"))
+
+    lines = (per_file(0, 0, f"{DEFAULT_ROOT} = {{")
+             .unionByName(per_file(1, 0, f'\t["{ACTION_SECTION}"] = {{'))
+             .unionByName(per_spell(1, 0, F.concat(F.lit("\t\t["), u, F.lit("] = {"))))
+             .unionByName(entries("click", 1, F.format_string("\t\t\t%d, -- [%d]", F.col("ms"), F.col("event_id"))))
+             .unionByName(per_spell(1, 2, F.lit("\t\t},")))
+             .unionByName(per_file(1, 2, "\t},"))
+             .unionByName(per_file(2, 0, f'\t["{DAMAGE_SECTION}"] = {{'))
+             .unionByName(per_spell(2, 0, F.concat(F.lit("\t\t["), u, F.lit("] = {"))))
+             .unionByName(entries("view", 2, F.format_string("\t\t\t[%d] = %d,", F.col("ms"),
+                                                             F.round(F.col("value") * 100).cast("bigint"))))
+             .unionByName(per_spell(2, 2, F.lit("\t\t},")))
+             .unionByName(per_file(2, 2, "\t},"))
+             .unionByName(per_file(3, 0, "}")))
+    (lines.repartition("fu", "fh")
+     .sortWithinPartitions("fu", "fh", "sec", "major", "user", "part", "ms", "eid")
+     .select("fu", "fh", "value")
+     .write.mode("overwrite").partitionBy("fu", "fh").text(path))
     return path
 
 
@@ -63,10 +75,10 @@ SELECT 'damage', user_id, epoch_us(ts) // 1000, arg_max(CAST(round(value * 100)
 FROM events WHERE event_type = 'view' GROUP BY user_id, epoch_us(ts) // 1000
 """)
 def s1_event_dump_scan(spark, sf):
-    """Render every user's clicks and views as a dump file, then scan all files back."""
+    """Render every user's clicks and views as dump files, then scan all files back."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = render_dumps(table(spark, sf, "events"), f"{base}/keelson-dumps-{uuid.uuid4().hex}")
-    df = read_event_dump(spark, f"{path}/*/*.txt")
+    df = read_event_dump(spark, f"{path}/*/*/*.txt")
     return df.select(
         F.when(F.col("action").isNotNull(), F.lit("action")).otherwise(F.lit("damage")).alias("kind"),
         F.coalesce(F.col("action.spellId"), F.col("damage.spellId")).alias("spell_id"),
