@@ -177,3 +177,43 @@ def l7_hash_split(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
     a, b = hash_split(docs, [0.7, 0.3], keys="doc_id")
     return a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1)))
+
+
+@query("flow_event_state_model")
+def flow_event_state_model(spark, sf):
+    """The event-state training flow end to end: actions joined to their latest earlier state
+    (J1), packed (P13), state features learned (F10) and featurized (F9), assembled through
+    dotted names (F4), label and feature indexing (F1, F5), a 10-tree forest on a 0.7 split
+    (M1, L7), labels mapped back (F2) and accuracy on the rest (A4)."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from keelson.operators.asof import asof_join
+    from keelson.operators.featurize import FeaturizerEstimator
+    from keelson.operators.project import pack_pair
+
+    ev = table(spark, sf, "events")
+    actions = ev.where(F.col("event_type") == "click").select(
+        "event_id", "user_id", "ts", F.ceil(F.col("value") / 100).cast("bigint").alias("spellId"))
+    states = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value", "props")
+    pairs = asof_join(actions, states, "ts", "ts", by="user_id", bucket_ms=86_400_000,
+                      action_tiebreak="event_id", state_tiebreak="event_id")
+    data = pack_pair(pairs, "actionEvent", "gameState", key="spellId").withColumn(
+        "stateFeatures", F.array(
+            F.struct(F.lit("view_value").alias("name"), F.col("gameState.value").alias("value")),
+            F.struct(F.lit("props_k").alias("name"),
+                     F.get_json_object("gameState.props", "$.k").try_cast("double").alias("value"))))
+    featurizer = FeaturizerEstimator(inputCol="stateFeatures", outputCol="gameStateFeatures").fit(data)
+    assembler = VectorAssembler(inputCols=featurizer.field_names(), outputCol="features", handleInvalid="keep")
+    label_indexer = StringIndexer(inputCol="spellId", outputCol="indexedLabel").fit(data)
+    feature_indexer = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4,
+                                    handleInvalid="keep")
+    rf = RandomForestClassifier(labelCol="indexedLabel", featuresCol="indexedFeatures", numTrees=10,
+                                seed=SCRIPT_SEED)
+    converter = IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=label_indexer.labels)
+    train, test = hash_split(data, [0.7, 0.3], keys=F.col("actionEvent.event_id"))
+    model = Pipeline(stages=[featurizer, assembler, label_indexer, feature_indexer, rf, converter]).fit(train)
+    pred = model.transform(test)
+    acc = MulticlassClassificationEvaluator(labelCol="indexedLabel", predictionCol="prediction",
+                                            metricName="accuracy").evaluate(pred)
+    return pred.select(F.col("actionEvent.event_id").alias("event_id"), "spellId", "predictedLabel",
+                       F.lit(1 - acc).alias("test_error"))

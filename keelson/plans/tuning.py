@@ -29,7 +29,7 @@ SCRIPT_SEED = 12345
 def _key_cols(df: DataFrame, keys) -> list[Column]:
     if keys is None:
         keys = df.columns
-    if isinstance(keys, str):
+    if isinstance(keys, (str, Column)):
         keys = [keys]
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
