@@ -33,10 +33,13 @@ def _docs(spark, sf):
     return docs.join(labels, "doc_id"), docs.join(labels, "doc_id", "left_anti")
 
 
+def _text_indexer():
+    """Both string columns indexed by one stage (one pass over the data to fit)."""
+    return StringIndexer(inputCols=["lang", "source"], outputCols=["lang_idx", "source_idx"], handleInvalid="keep")
+
+
 def _assembled(df):
-    stages = [StringIndexer(inputCol="lang", outputCol="lang_idx", handleInvalid="keep"),
-              StringIndexer(inputCol="source", outputCol="source_idx", handleInvalid="keep"),
-              VectorAssembler(inputCols=NUMERIC, outputCol="features")]
+    stages = [_text_indexer(), VectorAssembler(inputCols=NUMERIC, outputCol="features")]
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
@@ -46,8 +49,7 @@ def _classifier_stages(labeled, num_trees=5):
     rf = RandomForestClassifier(seed=SCRIPT_SEED, numTrees=num_trees, featuresCol="selectedFeatures",
                                 labelCol="indexedLabel", predictionCol="prediction")
     stages = [
-        StringIndexer(inputCol="lang", outputCol="lang_idx", handleInvalid="keep"),
-        StringIndexer(inputCol="source", outputCol="source_idx", handleInvalid="keep"),
+        _text_indexer(),
         VectorAssembler(inputCols=NUMERIC, outputCol="features"),
         VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=4, handleInvalid="keep"),
         label_indexer,
@@ -130,7 +132,7 @@ def l4_parallel_cv(spark, sf):
     stages, rf = _classifier_stages(labeled)
     cv = ParallelCrossValidator(Pipeline(stages=stages), LogLossEvaluator(labelCol="indexedLabel",
                                                                           probabilityCol="prob"),
-                                _grid(rf), num_folds=3, parallelism=4, fold_keys=["doc_id"])
+                                _grid(rf), num_folds=3, parallelism=6, fold_keys=["doc_id"])
     model = cv.fit(labeled)
     rows = [(i, float(m), i == model.bestIndex) for i, m in enumerate(model.avgMetrics)]
     return spark.createDataFrame(rows, "param_index int, avg_log_loss double, is_best boolean")
