@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.scalar import epoch_ms, ms_bucket
-from keelson.operators.ordering import BUCKET, MAX_BROADCAST_ROWS, _lit_array, plan_layout
+from keelson.operators.ordering import BUCKET, _lit_array, plan_layout
+from keelson.session import small_side
 
 
 def _ms_of(df: DataFrame, ts) -> Column:
@@ -100,8 +101,7 @@ def asof_join(actions: DataFrame, states: DataFrame, action_ts, state_ts, by=Non
              .groupBy(F.col(BUCKET).alias("_cb"))
              .agg(F.max_by(F.struct(*[g.alias(f"c{i}") for i, g in enumerate(groups)], F.col("_s").alias("s")),
                            F.struct(*groups, *order)).alias("_carry")))
-    if layout.num_buckets <= MAX_BROADCAST_ROWS:
-        carry = F.broadcast(carry)  # at most one row per bucket
+    carry = small_side(carry, layout.num_buckets)  # at most one row per bucket; broadcast if small
     joined = within.join(carry, F.get(_lit_array(src, "int"), F.col(BUCKET)) == F.col("_cb"), "left")
     same_group = F.lit(True)
     for i, g in enumerate(groups):

@@ -33,14 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.scalar import ntz_epoch_micros
-from keelson.session import shuffle_partitions
+from keelson.session import shuffle_partitions, small_side
 
 BUCKET = "_kl_bucket"
 LOCAL_RN = "_kl_lrn"
 GLOBAL_RN = "_kl_rn"
 
-# Broadcast of a per-bucket side table is allowed while it is provably this small (rows).
-MAX_BROADCAST_ROWS = 2_000_000
 # Key tuples sampled to place bucket bounds (the driver sorts about twice this many).
 MAX_SAMPLE = 500_000
 
@@ -388,10 +386,8 @@ def _halo(ranked: DataFrame, layout: OrderLayout, n: int, payload: Column) -> Da
         lambda x, y: F.when(x["rn"] < y["rn"], -1).when(x["rn"] > y["rn"], 1).otherwise(0),
     )
     follow = halo.groupBy(BUCKET).agg(F.transform(by_rn, lambda x: x["row"]).alias("_kl_follow"))
-    if layout.num_buckets * k <= MAX_BROADCAST_ROWS:
-        # bounded by buckets x (n-1) rows, whatever the data size
-        follow = F.broadcast(follow)
-    return follow
+    # at most buckets x (n-1) rows: written once, broadcast if its real size allows
+    return small_side(follow, layout.num_buckets * k)
 
 
 def _sources(counts: list[int]) -> list[int]:
@@ -426,8 +422,7 @@ def fill_forward(df: DataFrame, cols, order, partition_by=None, suffix: str = "_
                         F.struct(*[F.col(p).alias(f"p{j}") for j, p in enumerate(part_names)], F.col(c).alias("v"))),
                  F.when(F.col(c).isNotNull(), order_struct)).alias(f"_kl_last{i}")
         for i, c in enumerate(cols)])
-    if layout.num_buckets <= MAX_BROADCAST_ROWS:
-        carry = F.broadcast(carry)  # at most one row per bucket
+    carry = small_side(carry, layout.num_buckets)  # at most one row per bucket
     for i, c in enumerate(cols):
         src = _lit_array(_sources(layout.flag_counts[c]), "int")
         side = carry.select(F.col("_kl_cb").alias(f"_kl_cb{i}"), F.col(f"_kl_last{i}").alias(f"_kl_carry{i}"))
@@ -457,9 +452,7 @@ def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], pa
     # would be pushed below the aggregate and inline the whole bucket expression into the scan)
     follow = first.select(F.coalesce(F.get(_lit_array(prev, "int"), F.col(BUCKET)), F.lit(-1)).alias(BUCKET),
                           F.col("_kl_first").alias("_kl_follow"))
-    if layout.num_buckets <= MAX_BROADCAST_ROWS:
-        follow = F.broadcast(follow)  # at most one row per bucket
-    return follow
+    return small_side(follow, layout.num_buckets)  # at most one row per bucket
 
 
 def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window",

@@ -80,8 +80,9 @@ class Recipe:
         return result_name(self.name, self.training_metric, now)
 
     def write_csv(self, prefix: str | None = None, select_exprs: Sequence[str] | None = None,
-                  single_file: bool = True, now: _dt.datetime | None = None) -> str:
-        """``<prefix>/<name>_<metric>_<date>``, header CSV."""
+                  single_file: bool = False, now: _dt.datetime | None = None) -> str:
+        """``<prefix>/<name>_<metric>_<date>``, header CSV; one file per task unless
+        ``single_file`` (the reference always wrote one file through one task)."""
         name = self.file_name(now)
         path = f"{prefix.rstrip('/')}/{name}" if prefix else name
         return write_csv(self.unlabeled_predictions, path, select_exprs, single_file=single_file)

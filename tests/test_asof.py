@@ -79,3 +79,15 @@ def test_invariant_under_partitioning(spark):
     assert run(clicks.repartition(7), views.repartition(1), 1) == base
     plan = asof_join(clicks, views, "ts", "ts", by="user_id")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "EvalPython" not in plan
+
+
+def test_side_tables_without_broadcast(spark):
+    # with automatic broadcast off, the per-bucket side tables are joined by shuffle instead
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = _run(spark, [(1, BASE + 700), (2, BASE + 5_500)], [(11, BASE + 699), (12, BASE + 5_000)],
+                   bucket_ms=None, num_buckets=4)
+        assert got == {1: 11, 2: 12}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
