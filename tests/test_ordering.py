@@ -119,3 +119,18 @@ def test_fill_forward_brute_force(spark):
             last[p] = v
         want[i] = last.get(p)
     assert out == want
+
+
+def test_empty_inputs(spark):
+    from keelson.operators.asof import asof_join
+    from keelson.operators.ordering import fill_forward
+
+    df = spark.createDataFrame([], "k bigint, t int, v int")
+    assert with_row_index(df, ["k", "t"]).count() == 0
+    assert with_next(df, ["k", "t"]).count() == 0
+    assert gap_fill(df, "k", "off", 5, tiebreak="t").count() == 0
+    assert fill_forward(df, ["v"], ["t"], partition_by="k").count() == 0
+    a = spark.createDataFrame([], "id int, ms bigint")
+    s = spark.createDataFrame([(1, 5)], "id int, ms bigint")
+    assert asof_join(a, s, "ms", "ms").count() == 0
+    assert asof_join(s, a, "ms", "ms", how="left").count() == 1
