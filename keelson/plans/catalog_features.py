@@ -80,10 +80,10 @@ def f2_index_to_string(spark, sf):
 
 @query("f3_one_hot", _TYPE_RANK_SQL + """
 SELECT e.event_id,
-       CASE WHEN r.idx = 0 THEN 1.0 ELSE 0.0 END AS oh0,
-       CASE WHEN r.idx = 1 THEN 1.0 ELSE 0.0 END AS oh1,
-       CASE WHEN r.idx = 2 THEN 1.0 ELSE 0.0 END AS oh2,
-       CASE WHEN r.idx = 3 THEN 1.0 ELSE 0.0 END AS oh3,
+       CAST(CASE WHEN r.idx = 0 THEN 1 ELSE 0 END AS DOUBLE) AS oh0,
+       CAST(CASE WHEN r.idx = 1 THEN 1 ELSE 0 END AS DOUBLE) AS oh1,
+       CAST(CASE WHEN r.idx = 2 THEN 1 ELSE 0 END AS DOUBLE) AS oh2,
+       CAST(CASE WHEN r.idx = 3 THEN 1 ELSE 0 END AS DOUBLE) AS oh3,
        CAST(4 AS INTEGER) AS width
 FROM events e JOIN r USING (event_type)
 """)
@@ -98,7 +98,7 @@ def f3_one_hot(spark, sf):
 
 @query("f4_vector_assembler", """
 SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS x0, c_acctbal AS x1,
-       CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS x2
+       CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS DOUBLE) AS x2
 FROM customer
 """)
 def f4_vector_assembler(spark, sf):
@@ -138,14 +138,14 @@ def f5_vector_indexer(spark, sf):
 
 
 @query("f6_chi_square", """
-WITH t AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem GROUP BY ALL),
-ra AS (SELECT a, sum(o) AS na FROM t GROUP BY a),
-rb AS (SELECT b, sum(o) AS nb FROM t GROUP BY b),
-n AS (SELECT sum(o) AS n FROM t),
-e AS (SELECT ra.a, rb.b, ra.na * rb.nb / n.n AS e FROM ra, rb, n)
-SELECT round(sum((COALESCE(t.o, 0) - e.e) * (COALESCE(t.o, 0) - e.e) / e.e), 6) AS statistic,
-       CAST((SELECT count(*) FROM ra) - 1 AS INTEGER) * CAST((SELECT count(*) FROM rb) - 1 AS INTEGER) AS dof
-FROM e LEFT JOIN t ON e.a = t.a AND e.b = t.b
+WITH t AS (SELECT l_returnflag AS a, l_linestatus AS b, CAST(count(*) AS DOUBLE) AS o FROM lineitem GROUP BY ALL),
+s AS (SELECT o, sum(o) OVER () AS n,
+             sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b) / sum(o) OVER () AS e
+      FROM t)
+SELECT round(sum((o - e) * (o - e) / e) + max(n) - sum(e), 6) AS statistic,
+       CAST(((SELECT count(DISTINCT l_returnflag) FROM lineitem) - 1)
+            * ((SELECT count(DISTINCT l_linestatus) FROM lineitem) - 1) AS INTEGER) AS dof
+FROM s
 """)
 def f6_chi_square(spark, sf):
     """Pearson chi-square of return flag against line status (the selector's statistic)."""

@@ -128,7 +128,7 @@ def p7_constant_column(spark, sf):
 
 
 @query("p8_run_metadata", """
-SELECT doc_id, 0.25 AS log_loss, CAST(1700000000000 AS BIGINT) AS tstamp, 0.0 AS label FROM labels
+SELECT doc_id, CAST(0.25 AS DOUBLE) AS log_loss, CAST(1700000000000 AS BIGINT) AS tstamp, CAST(0.0 AS DOUBLE) AS label FROM labels
 """)
 def p8_run_metadata(spark, sf):
     labels = table(spark, sf, "labels").select("doc_id")

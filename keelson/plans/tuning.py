@@ -86,8 +86,8 @@ def fit_many(estimator: Estimator, df: DataFrame, param_maps: Sequence[dict],
              parallelism: int = 4) -> list:
     """L2: fit one estimator for many parameter sets at once (bounded driver threads)."""
     with _pool(parallelism) as pool:
-        futures = [pool.submit(inheritable_thread_target(lambda pm=pm: estimator.fit(df, pm)))
-                   for pm in param_maps]
+        wrap = inheritable_thread_target(df.sparkSession)
+        futures = [pool.submit(wrap(lambda pm=pm: estimator.fit(df, pm))) for pm in param_maps]
         return [f.result() for f in futures]
 
 
@@ -144,6 +144,7 @@ class ParallelCrossValidator:
             if empty:
                 raise ValueError(f"folds {empty} are empty; use fewer folds or more rows")
             est = self.estimator
+            wrap = inheritable_thread_target(df.sparkSession)
             cut = _first_touched_stage(est, self.param_maps) if isinstance(est, Pipeline) else 0
 
             def run_fold(i: int) -> list[float]:
@@ -164,12 +165,11 @@ class ParallelCrossValidator:
                     return float(self.evaluator.evaluate(model.transform(valid)))
 
                 with _pool(self.parallelism) as pool:
-                    futs = [pool.submit(inheritable_thread_target(lambda j=j: run_param(j)))
-                            for j in range(len(self.param_maps))]
+                    futs = [pool.submit(wrap(lambda j=j: run_param(j))) for j in range(len(self.param_maps))]
                     return [f.result() for f in futs]
 
             with _pool(min(self.parallelism, k)) as pool:
-                futs = [pool.submit(inheritable_thread_target(lambda i=i: run_fold(i))) for i in range(k)]
+                futs = [pool.submit(wrap(lambda i=i: run_fold(i))) for i in range(k)]
                 return [f.result() for f in futs]
         finally:
             folded.unpersist()
