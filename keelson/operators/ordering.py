@@ -41,6 +41,10 @@ GLOBAL_RN = "_kl_rn"
 
 # Key tuples sampled to place bucket bounds (the driver sorts about twice this many).
 MAX_SAMPLE = 500_000
+# Unless the caller fixes the bucket count, buckets hold about this many rows (session conf
+# ``keelson.rowsPerBucket`` overrides), and never fewer buckets than shuffle partitions.
+ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET_CONF = "keelson.rowsPerBucket"
 
 
 def _cols(cols) -> list[Column]:
@@ -303,11 +307,16 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
     key_exprs = [_comparable(k, f.dataType) for k, f in zip(keys, typed.schema.fields)]
 
     bounds: list[tuple] = []
-    if n > 1:
+    if n > 1 or num_buckets is None:
         kdf = typed.select(*[c.alias(f"k{i}") for i, c in enumerate(comp)])
         # bounded like Spark's own range partitioner: at most MAX_SAMPLE key tuples in total
         sample = _weighted_sample(kdf, min(n * sample_per_bucket, MAX_SAMPLE), seed)
-        bounds = _weighted_bounds(sample, n)
+        if num_buckets is None:
+            rows = sum(w for _, w in sample)
+            per_bucket = int(spark.conf.get(ROWS_PER_BUCKET_CONF, str(ROWS_PER_BUCKET)))
+            n = max(n, -(-int(rows) // max(1, per_bucket)))
+        if n > 1:
+            bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
     flag_col = F.lit(False) if flag is None else flag
     named = dict(flags or {})
