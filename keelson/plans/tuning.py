@@ -136,50 +136,60 @@ class ParallelCrossValidator:
 
     def fold_metrics(self, df: DataFrame) -> list[list[float]]:
         """metrics[fold][param_set]"""
-        k = self.num_folds
-        folded = with_folds(df, k, self.fold_keys, self.seed, "_kl_fold").persist(StorageLevel.MEMORY_AND_DISK)
+        folded = with_folds(df, self.num_folds, self.fold_keys, self.seed, "_kl_fold") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            sizes = {r[0]: r[1] for r in folded.groupBy("_kl_fold").count().collect()}
-            empty = [i for i in range(k) if not sizes.get(i)]
-            if empty:
-                raise ValueError(f"folds {empty} are empty; use fewer folds or more rows")
-            est = self.estimator
-            wrap = inheritable_thread_target(df.sparkSession)
-            cut = _first_touched_stage(est, self.param_maps) if isinstance(est, Pipeline) else 0
-
-            def run_fold(i: int) -> list[float]:
-                train = folded.where(F.col("_kl_fold") != i).drop("_kl_fold")
-                valid = folded.where(F.col("_kl_fold") == i).drop("_kl_fold")
-                prefix = None
-                if isinstance(est, Pipeline) and cut > 0:
-                    prefix = Pipeline(stages=est.getStages()[:cut]).fit(train)
-                    train_in = prefix.transform(train)
-                    suffix = Pipeline(stages=est.getStages()[cut:])
-                else:
-                    train_in, suffix = train, est
-
-                def run_param(j: int) -> float:
-                    model = suffix.fit(train_in, self.param_maps[j])
-                    if prefix is not None:
-                        model = PipelineModel(stages=prefix.stages + model.stages)
-                    return float(self.evaluator.evaluate(model.transform(valid)))
-
-                with _pool(self.parallelism) as pool:
-                    futs = [pool.submit(wrap(lambda j=j: run_param(j))) for j in range(len(self.param_maps))]
-                    return [f.result() for f in futs]
-
-            with _pool(min(self.parallelism, k)) as pool:
-                futs = [pool.submit(wrap(lambda i=i: run_fold(i))) for i in range(k)]
-                return [f.result() for f in futs]
+            return self._fold_metrics(folded)
         finally:
             folded.unpersist()
 
+    def _fold_metrics(self, folded: DataFrame) -> list[list[float]]:
+        k = self.num_folds
+        sizes = {r[0]: r[1] for r in folded.groupBy("_kl_fold").count().collect()}
+        empty = [i for i in range(k) if not sizes.get(i)]
+        if empty:
+            raise ValueError(f"folds {empty} are empty; use fewer folds or more rows")
+        est = self.estimator
+        wrap = inheritable_thread_target(folded.sparkSession)
+        cut = _first_touched_stage(est, self.param_maps) if isinstance(est, Pipeline) else 0
+
+        def run_fold(i: int) -> list[float]:
+            train = folded.where(F.col("_kl_fold") != i).drop("_kl_fold")
+            valid = folded.where(F.col("_kl_fold") == i).drop("_kl_fold")
+            prefix = None
+            if isinstance(est, Pipeline) and cut > 0:
+                prefix = Pipeline(stages=est.getStages()[:cut]).fit(train)
+                train_in = prefix.transform(train)
+                suffix = Pipeline(stages=est.getStages()[cut:])
+            else:
+                train_in, suffix = train, est
+
+            def run_param(j: int) -> float:
+                model = suffix.fit(train_in, self.param_maps[j])
+                if prefix is not None:
+                    model = PipelineModel(stages=prefix.stages + model.stages)
+                return float(self.evaluator.evaluate(model.transform(valid)))
+
+            with _pool(self.parallelism) as pool:
+                futs = [pool.submit(wrap(lambda j=j: run_param(j))) for j in range(len(self.param_maps))]
+                return [f.result() for f in futs]
+
+        with _pool(min(self.parallelism, k)) as pool:
+            futs = [pool.submit(wrap(lambda i=i: run_fold(i))) for i in range(k)]
+            return [f.result() for f in futs]
+
     def fit(self, df: DataFrame) -> CrossValidatorModel:
-        per_fold = self.fold_metrics(df)
-        n = len(self.param_maps)
-        avg = [sum(per_fold[i][j] for i in range(self.num_folds)) / self.num_folds for j in range(n)]
-        best = choose_best(avg, self.evaluator.isLargerBetter())
-        best_model = self.estimator.fit(df, self.param_maps[best])
+        # one cached copy serves every fold and the final refit on all rows
+        folded = with_folds(df, self.num_folds, self.fold_keys, self.seed, "_kl_fold") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            per_fold = self._fold_metrics(folded)
+            n = len(self.param_maps)
+            avg = [sum(per_fold[i][j] for i in range(self.num_folds)) / self.num_folds for j in range(n)]
+            best = choose_best(avg, self.evaluator.isLargerBetter())
+            best_model = self.estimator.fit(folded.drop("_kl_fold"), self.param_maps[best])
+        finally:
+            folded.unpersist()
         model = CrossValidatorModel(best_model, avgMetrics=avg)
         model.bestIndex = best
         return model
