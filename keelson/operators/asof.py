@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.scalar import epoch_ms, ms_bucket
-from keelson.operators.ordering import BUCKET, _lit_array, plan_layout
+from keelson.operators.ordering import BUCKET, _lit_array, _sources, plan_layout
 from keelson.session import small_side
 
 
@@ -84,7 +84,7 @@ def asof_join(actions: DataFrame, states: DataFrame, action_ts, state_ts, by=Non
     order = [F.col("_ts"), F.col("_kind"), F.col("_tie")]
     is_state = F.col("_kind") == F.lit(s_kind)
 
-    layout = plan_layout(u, groups + order, num_buckets=num_buckets, flag=is_state)
+    layout = plan_layout(u, groups + order, num_buckets=num_buckets, count=False)
     b = layout.add_bucket(u)
 
     running = (Window.partitionBy(BUCKET, *groups).orderBy(*order)
@@ -92,16 +92,15 @@ def asof_join(actions: DataFrame, states: DataFrame, action_ts, state_ts, by=Non
     within = b.withColumn("_in", F.last("_s", ignorenulls=True).over(running)).where(~is_state)
 
     # carry-in: the last state of the nearest earlier bucket that has any state
-    src, last = [], -1
-    for i, f in enumerate(layout.flagged):
-        src.append(last)
-        if f > 0:
-            last = i
     carry = (b.where(is_state)
              .groupBy(F.col(BUCKET).alias("_cb"))
              .agg(F.max_by(F.struct(*[g.alias(f"c{i}") for i, g in enumerate(groups)], F.col("_s").alias("s")),
                            F.struct(*groups, *order)).alias("_carry")))
     carry = small_side(carry, layout.num_buckets)  # at most one row per bucket; broadcast if small
+    has_state = [0] * layout.num_buckets
+    for r in carry.select("_cb").collect():  # bucket ids only, read back from the small table
+        has_state[r[0]] = 1
+    src = _sources(has_state)
     joined = within.join(carry, F.get(_lit_array(src, "int"), F.col(BUCKET)) == F.col("_cb"), "left")
     same_group = F.lit(True)
     for i, g in enumerate(groups):

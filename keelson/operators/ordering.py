@@ -291,8 +291,8 @@ def _weighted_bounds(sample: list[tuple[tuple, float]], n: int) -> list[tuple]:
 
 def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
                 sample_per_bucket: int = 50, seed: int = 7, flag: Column | None = None,
-                flags: dict | None = None) -> OrderLayout:
-    """Sample the keys, fix bucket bounds, then count rows per bucket.
+                flags: dict | None = None, count: bool = True) -> OrderLayout:
+    """Sample the keys, fix bucket bounds, then (unless ``count=False``) count rows per bucket.
 
     Two small jobs: a weighted sample of about ``num_buckets * sample_per_bucket`` key tuples,
     and one count per bucket. Both results are bounded by the bucket count, not the data.
@@ -318,6 +318,8 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
         if n > 1:
             bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
+    if not count:
+        return layout
     flag_col = F.lit(False) if flag is None else flag
     named = dict(flags or {})
     staged = df.withColumn("_kl_flag", flag_col)
@@ -420,7 +422,7 @@ def fill_forward(df: DataFrame, cols, order, partition_by=None, suffix: str = "_
     parts = _cols(part_names)
     order = _cols(order)
     keys = parts + order
-    layout = plan_layout(df, keys, num_buckets, flags={c: F.col(c).isNotNull() for c in cols})
+    layout = plan_layout(df, keys, num_buckets, count=False)
     b = layout.add_bucket(df)
     w = (Window.partitionBy(BUCKET, *parts).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -432,8 +434,14 @@ def fill_forward(df: DataFrame, cols, order, partition_by=None, suffix: str = "_
                  F.when(F.col(c).isNotNull(), order_struct)).alias(f"_kl_last{i}")
         for i, c in enumerate(cols)])
     carry = small_side(carry, layout.num_buckets)  # at most one row per bucket
+    # which buckets hold a value of each column: read back from the small table just written
+    present = carry.select("_kl_cb", *[F.col(f"_kl_last{i}").isNotNull() for i in range(len(cols))]).collect()
     for i, c in enumerate(cols):
-        src = _lit_array(_sources(layout.flag_counts[c]), "int")
+        has = [0] * layout.num_buckets
+        for r in present:
+            if r[1 + i]:
+                has[r[0]] = 1
+        src = _lit_array(_sources(has), "int")
         side = carry.select(F.col("_kl_cb").alias(f"_kl_cb{i}"), F.col(f"_kl_last{i}").alias(f"_kl_carry{i}"))
         out = out.join(side, F.coalesce(F.get(src, F.col(BUCKET)), F.lit(-1)) == F.col(f"_kl_cb{i}"), "left")
         carried = F.col(f"_kl_carry{i}")
