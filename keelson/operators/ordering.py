@@ -457,19 +457,18 @@ def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], pa
     """For every bucket, the first row of the next non-empty bucket (the halo of ``n = 2``).
 
     ``min_by`` per bucket aggregates partially before the shuffle and only sorts by the integer
-    bucket id, where a window would sort every row by the full key.
+    bucket id, where a window would sort every row by the full key. The per-bucket first rows are
+    materialized once; the buckets present in that small table are the non-empty ones.
     """
-    prev, last = [], -1
-    for c, cnt in enumerate(layout.counts):
-        prev.append(last)
-        if cnt > 0:
-            last = c
-    first = bucketed.groupBy(BUCKET).agg(F.min_by(payload, _key_struct(keys)).alias("_kl_first"))
-    # a bucket with no earlier non-empty bucket maps to -1 and simply never joins (a filter here
-    # would be pushed below the aggregate and inline the whole bucket expression into the scan)
-    follow = first.select(F.coalesce(F.get(_lit_array(prev, "int"), F.col(BUCKET)), F.lit(-1)).alias(BUCKET),
-                          F.col("_kl_first").alias("_kl_follow"))
-    return small_side(follow, layout.num_buckets)  # at most one row per bucket
+    first = small_side(bucketed.groupBy(F.col(BUCKET).alias("_kl_fb"))
+                       .agg(F.min_by(payload, _key_struct(keys)).alias("_kl_first")), layout.num_buckets)
+    present = [0] * layout.num_buckets
+    for r in first.select("_kl_fb").collect():
+        present[r[0]] = 1
+    prev = _sources(present)
+    # a bucket with no earlier non-empty bucket maps to -1 and simply never joins
+    return first.select(F.coalesce(F.get(_lit_array(prev, "int"), F.col("_kl_fb")), F.lit(-1)).alias(BUCKET),
+                        F.col("_kl_first").alias("_kl_follow"))
 
 
 def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window",
@@ -531,11 +530,12 @@ def with_next(df: DataFrame, order, next_cols=None, name: str = "next", partitio
     src_cols = list(df.columns)
     carry = list(next_cols) if next_cols else list(src_cols)
     carry += [p for p in part_names if p not in carry]
-    ranked, layout = rank_rows(df, keys, num_buckets=num_buckets)
+    layout = plan_layout(df, keys, num_buckets, count=False)  # no global row numbers needed
+    bucketed = layout.add_bucket(df)
     payload = F.struct(*[F.col(c) for c in carry])
     w = Window.partitionBy(BUCKET).orderBy(*keys)
-    main = ranked.withColumn("_kl_lead", F.lead(payload).over(w))
-    follow = _first_rows(layout.add_bucket(df), layout, keys, payload)
+    main = bucketed.withColumn("_kl_lead", F.lead(payload).over(w))
+    follow = _first_rows(bucketed, layout, keys, payload)
     main = main.join(follow, BUCKET, "left")
     nxt = F.coalesce(F.col("_kl_lead"), F.col("_kl_follow"))
     if part_names:
