@@ -10,6 +10,9 @@ order is cut into balanced range buckets instead:
 4. rows that a window needs from the *next* buckets (a "halo" of at most ``n-1`` rows per
    bucket) are gathered into a table of at most ``buckets x (n-1)`` rows and joined back.
 
+Only the row index needs the counting pass; the other operators learn what they need about
+buckets from their small side tables.
+
 Equal keys cannot be split across buckets, so callers should give a total order (add
 tie-break columns); a hot key then spreads over many buckets. ``sliding``, ``with_row_index``,
 ``with_next`` and ``gap_fill`` share this layout; the skew-safe as-of join uses it too.
@@ -365,42 +368,6 @@ def with_row_index(df: DataFrame, order, name: str = "row_index", num_buckets: i
     return ranked.withColumn(name, F.col(GLOBAL_RN)).drop(BUCKET, LOCAL_RN, GLOBAL_RN)
 
 
-def _halo(ranked: DataFrame, layout: OrderLayout, n: int, payload: Column) -> DataFrame:
-    """For every bucket, the first ``n-1`` rows that follow it in the global order.
-
-    Only rows that are among the first ``n-1`` of their own bucket can be needed by an earlier
-    bucket; each is sent to every earlier non-empty bucket whose end lies within ``n-1`` rows.
-    The result has at most ``buckets x (n-1)`` rows.
-    """
-    ends, offsets, counts = layout.ends, layout.offsets, layout.counts
-    k = n - 1
-    # lowest bucket whose end can lie within k rows before the start of bucket c
-    lo = []
-    j = 0
-    for c in range(layout.num_buckets):
-        while j < c and ends[j] < offsets[c] + 1 - k:
-            j += 1
-        lo.append(j)
-    ends_a, counts_a, lo_a = _lit_array(ends), _lit_array(counts), _lit_array(lo, "int")
-    c = F.col(BUCKET)
-    rn = F.col(GLOBAL_RN)
-    lo_c = F.get(lo_a, c)
-    targets = F.when(
-        lo_c <= c - 1,
-        F.filter(F.sequence(lo_c, c - 1),
-                 lambda b: (F.get(ends_a, b) >= rn - k) & (F.get(counts_a, b) > 0)),
-    ).otherwise(F.array().cast("array<int>"))
-    halo = (ranked.where(F.col(LOCAL_RN) <= k)
-            .select(F.explode(targets).alias(BUCKET), rn.alias("rn"), payload.alias("row")))
-    by_rn = F.array_sort(
-        F.collect_list(F.struct("rn", "row")),
-        lambda x, y: F.when(x["rn"] < y["rn"], -1).when(x["rn"] > y["rn"], 1).otherwise(0),
-    )
-    follow = halo.groupBy(BUCKET).agg(F.transform(by_rn, lambda x: x["row"]).alias("_kl_follow"))
-    # at most buckets x (n-1) rows: written once, broadcast if its real size allows
-    return small_side(follow, layout.num_buckets * k)
-
-
 def _sources(counts: list[int]) -> list[int]:
     """For every bucket, the nearest earlier bucket with a non-zero count (-1 if none)."""
     out, last = [], -1
@@ -471,6 +438,49 @@ def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], pa
                         F.col("_kl_first").alias("_kl_follow"))
 
 
+def _heads_follow(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], n: int,
+                  row: Column) -> DataFrame:
+    """For every bucket, the first ``n-1`` rows after it in the global order.
+
+    Each bucket's first ``n-1`` rows (its head) are materialized once, at most
+    ``buckets x (n-1)`` rows. Concatenating heads in bucket order gives the rows that follow any
+    bucket: a bucket with fewer rows than that contributes all of them. Head sizes, read back
+    from the small table, say which earlier buckets each head row reaches.
+    """
+    k = n - 1
+    w = Window.partitionBy(BUCKET).orderBy(*keys)
+    heads = small_side(
+        bucketed.withColumn(LOCAL_RN, F.row_number().over(w)).where(F.col(LOCAL_RN) <= k)
+        .select(F.col(BUCKET).alias("_kl_hb"), F.col(LOCAL_RN).alias("_kl_hr"), row.alias("row")),
+        layout.num_buckets * k)
+    sizes = [0] * layout.num_buckets
+    for r in heads.groupBy("_kl_hb").count().collect():
+        sizes[r[0]] = r[1]
+    prefix = [0]
+    for c in sizes:
+        prefix.append(prefix[-1] + c)
+    # lowest target bucket a head row of bucket c can reach: rows strictly between must be < k
+    lo, j = [], 0
+    for c in range(layout.num_buckets):
+        while j < c and prefix[c] - prefix[j + 1] >= k:
+            j += 1
+        lo.append(j)
+    p_arr, lo_arr = _lit_array(prefix), _lit_array(lo, "int")
+    c, r = F.col("_kl_hb"), F.col("_kl_hr")
+    lo_c = F.get(lo_arr, c)
+    targets = F.when(
+        lo_c <= c - 1,
+        F.filter(F.sequence(lo_c, c - 1),
+                 lambda b: F.get(p_arr, c) - F.get(p_arr, b + 1) + r <= F.lit(k)),
+    ).otherwise(F.array().cast("array<int>"))
+    spread = heads.select(F.explode(targets).alias(BUCKET), F.struct(c.alias("c"), r.alias("r")).alias("o"), "row")
+    by_order = F.array_sort(
+        F.collect_list(F.struct("o", "row")),
+        lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0),
+    )
+    return spread.groupBy(BUCKET).agg(F.transform(by_order, lambda x: x["row"]).alias("_kl_follow"))
+
+
 def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window",
             keep_columns: bool = False, num_buckets: int | None = None) -> DataFrame:
     """For every row, the array of it and the next ``n-1`` rows in order (whole-row structs).
@@ -486,13 +496,14 @@ def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window
     if not keys:
         raise ValueError("sliding needs at least one order column")
     src_cols = list(df.columns)
-    ranked, layout = rank_rows(df, keys, num_buckets=num_buckets)
+    layout = plan_layout(df, keys, num_buckets, count=False)  # no global row numbers needed
+    bucketed = layout.add_bucket(df)
     row = F.struct(*[F.col(c) for c in src_cols])
     w = Window.partitionBy(BUCKET).orderBy(*keys)
-    main = ranked.withColumn("_kl_win", F.collect_list(row).over(w.rowsBetween(0, n - 1)))
+    main = bucketed.withColumn("_kl_win", F.collect_list(row).over(w.rowsBetween(0, n - 1)))
     win = F.col("_kl_win")
     if n > 1:
-        follow = _halo(ranked, layout, n, row)
+        follow = _heads_follow(bucketed, layout, keys, n, row)
         main = main.join(follow, BUCKET, "left")
         win = F.slice(F.concat(win, F.coalesce(F.col("_kl_follow"), F.slice(win, 1, 0))), 1, n)
     if parts:
