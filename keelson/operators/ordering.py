@@ -478,7 +478,9 @@ def _heads_follow(bucketed: DataFrame, layout: OrderLayout, keys: list[Column],
         F.collect_list(F.struct("o", "row")),
         lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0),
     )
-    return spread.groupBy(BUCKET).agg(F.transform(by_order, lambda x: x["row"]).alias("_kl_follow"))
+    # assembled in its own small job, so the main plan keeps a single shuffle of the data
+    return small_side(spread.groupBy(BUCKET).agg(F.transform(by_order, lambda x: x["row"]).alias("_kl_follow")),
+                      layout.num_buckets)
 
 
 def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window",
