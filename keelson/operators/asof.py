@@ -52,10 +52,8 @@ def asof_join(actions: DataFrame, states: DataFrame, action_ts, state_ts, by=Non
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    # no ``by`` and no bucket is allowed: one global running order, still spread over buckets
     by = [by] if isinstance(by, str) else list(by or [])
-    if bucket_ms is None and not by:
-        # no grouping at all is allowed: one global running order, still spread over buckets
-        pass
     a_kind, s_kind = (1, 0) if allow_exact else (0, 1)
 
     a_row = F.struct(*[F.col(c) for c in actions.columns])

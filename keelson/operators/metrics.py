@@ -10,7 +10,7 @@ import math
 
 from pyspark import keyword_only
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.param.shared import HasLabelCol, HasProbabilityCol
+from pyspark.ml.param.shared import HasLabelCol, HasProbabilityCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,8 +101,6 @@ class LogLossEvaluator(Evaluator, HasLabelCol, HasProbabilityCol, DefaultParamsR
 class ShareCorrectEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, DefaultParamsWritable):
     """A2 as an ML evaluator (larger is better)."""
 
-    from pyspark.ml.param.shared import Param, Params, TypeConverters  # noqa: E402
-
     predictionCol = Param(Params._dummy(), "predictionCol", "prediction column",
                           typeConverter=TypeConverters.toString)
 

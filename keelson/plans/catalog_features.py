@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import (HashingTF, IndexToString, OneHotEncoder, RegexTokenizer, StringIndexer,
+from pyspark.ml.feature import (IndexToString, OneHotEncoder, StringIndexer,
                                 VectorAssembler, VectorIndexer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import ChiSquareTest
