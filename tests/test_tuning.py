@@ -102,3 +102,24 @@ def test_recipe_template_partial(spark):
     assert r.transformed_data.count() == 300
     assert 0.0 <= r.cv_metric <= 1.0
     r.release()
+
+
+def test_cv_mean_equals_independent_fold_metrics(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import LinearRegression
+
+    rows = [(i, float(i % 17), float((i * 5) % 11), float(i % 17) * 2.0 + float((i * 5) % 11)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, x1 double, x2 double, label double")
+    lr = LinearRegression(maxIter=10)
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x1", "x2"], outputCol="features"), lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 5.0]).build()
+    ev = RegressionEvaluator(metricName="rmse")
+    model = ParallelCrossValidator(pipe, ev, grid, num_folds=3, fold_keys=["id"], parallelism=3).fit(df)
+    folded = with_folds(df, 3, keys=["id"], name="f")
+    for j, pm in enumerate(grid):
+        per_fold = []
+        for i in range(3):
+            m = pipe.fit(folded.where(F.col("f") != i).drop("f"), pm)
+            per_fold.append(ev.evaluate(m.transform(folded.where(F.col("f") == i).drop("f"))))
+        assert model.avgMetrics[j] == pytest.approx(sum(per_fold) / 3, rel=1e-9)
+    assert model.bestIndex == 0  # no regularisation fits this exact linear label better
