@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 INT_MAX = 2147483647
 INT_MIN = -2147483648
 
+# Fixed value: the text token the credit data uses for a missing number.
+NA_TOKEN = "NA"
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -47,7 +50,7 @@ def age_group(c) -> Column:
     return bin_case(c, AGE_GROUP_RULES, default=0, dtype="double")
 
 
-def parse_int(c, na_token: str = "NA", strict: bool = False) -> Column:
+def parse_int(c, na_token: str = NA_TOKEN, strict: bool = False) -> Column:
     """``NA`` -> 0, else the text parsed as a double and truncated toward zero.
 
     Out-of-range values saturate at the int bounds and NaN gives 0, as the JVM's ``toInt`` does.

@@ -586,6 +586,10 @@ def check_gap_fill_schema(schema: T.StructType, input_col: str, output_col: str)
     return T.StructType(schema.fields + [T.StructField(output_col, T.LongType(), True)])
 
 
+# Fixed value: the default maximum gap of the reference's event flow.
+DEFAULT_MAX_GAP = 300
+
+
 class GapFiller(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """W3 as an ML stage: ``inputCol`` (short, int or long), a new ``outputCol`` (long) and
     ``maxGap``. The schema rules (W3a) are checked before any job runs."""
@@ -593,9 +597,10 @@ class GapFiller(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, D
     maxGap = Param(Params._dummy(), "maxGap", "maximum gap to fill", typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None, maxGap: int = 300):
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None,
+                 maxGap: int = DEFAULT_MAX_GAP):
         super().__init__()
-        self._setDefault(maxGap=300)
+        self._setDefault(maxGap=DEFAULT_MAX_GAP)
         self._set(**self._input_kwargs)
 
     def transformSchema(self, schema: T.StructType) -> T.StructType:

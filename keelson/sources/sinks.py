@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from keelson.operators.project import db_compatible
 
 
+# Result file names are <name>_<metric>_<date>, the metric printed in single
+# precision as "%9.5f" and trimmed, the date in the pattern "y-MMMd-hmma" (e.g. 2024-Jan5-307PM).
+
+
 def metric_text(value: float) -> str:
     """The metric as the reference printed it into file names: single precision, ``%9.5f``, trimmed."""
     return f"{np.float32(value):9.5f}".strip()

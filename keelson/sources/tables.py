@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Fixed value: the null token of the CSV inputs.
+CSV_NULL = "NA"
+
+
 def csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-        infer: bool = False, null_value: str = "NA", sep: str = ",", header: bool = True) -> DataFrame:
+        infer: bool = False, null_value: str = CSV_NULL, sep: str = ",", header: bool = True) -> DataFrame:
     """Header CSV with ``NA`` as null. Pass a schema for reproducible types; inference
     (an extra pass over the data) only when asked for."""
     reader = spark.read.option("header", header).option("sep", sep).option("nullValue", null_value)
