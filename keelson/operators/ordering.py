@@ -178,7 +178,8 @@ def _image(col: Column, dtype: T.DataType) -> Column:
         hexed = F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0")
         d = F.conv(hexed, 16, 10).cast("double")
     else:
-        d = col.cast("double")
+        # + 0.0 turns -0.0 into 0.0: Spark orders them equal, a binary search over doubles does not
+        d = col.cast("double") + F.lit(0.0)
     return (F.when(d.isNull(), F.lit(-_IMG_MAX))
             .when(F.isnan(d) | (d >= _IMG_MAX), F.lit(_IMG_MAX))
             .when(d <= -_IMG_MAX, F.lit(-_IMG_MAX))
@@ -193,7 +194,7 @@ def _image_value(v, dtype: T.DataType) -> float:
         raw = v.encode("utf-8") if isinstance(v, str) else bytes(v)
         d = float(int.from_bytes(raw[:6].ljust(6, b"\0"), "big"))
     else:
-        d = float(v)
+        d = float(v) + 0.0
     if d != d or d >= _IMG_MAX:
         return _IMG_MAX
     if d <= -_IMG_MAX:

@@ -134,3 +134,25 @@ def test_empty_inputs(spark):
     s = spark.createDataFrame([(1, 5)], "id int, ms bigint")
     assert asof_join(a, s, "ms", "ms").count() == 0
     assert asof_join(s, a, "ms", "ms", how="left").count() == 1
+
+
+def test_key_types_match_spark_order(spark):
+    import random
+    from decimal import Decimal
+
+    from pyspark.sql import types as T
+
+    rnd = random.Random(5)
+    words = ["ä", "a", "z", "\U0001F600x", "Ωmega", "", "abc", "abd", "ab"] + [f"w{i}" for i in range(50)]
+    rows = [(i, Decimal(rnd.randint(-10**6, 10**6)) / Decimal(1000),
+             bytes([rnd.randint(0, 255) for _ in range(rnd.randint(0, 4))]), rnd.choice(words),
+             rnd.choice([None, -0.0, 0.0, 1.5, float("nan"), float("inf"), -float("inf")]))
+            for i in range(400)]
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("d", T.DecimalType(12, 3)),
+                           T.StructField("b", T.BinaryType()), T.StructField("s", T.StringType()),
+                           T.StructField("f", T.DoubleType())])
+    df = spark.createDataFrame(rows, schema)
+    for keys in (["d", "id"], ["b", "id"], ["s", "id"], ["f", "id"]):
+        got = {r.id: r.row_index for r in with_row_index(df, keys, num_buckets=7).collect()}
+        want = [r.id for r in df.orderBy(*keys).collect()]
+        assert [got[i] for i in want] == list(range(1, len(want) + 1)), keys
