@@ -48,6 +48,9 @@ MAX_SAMPLE = 500_000
 # ``keelson.rowsPerBucket`` overrides), and never fewer buckets than shuffle partitions.
 ROWS_PER_BUCKET = 2_000_000
 ROWS_PER_BUCKET_CONF = "keelson.rowsPerBucket"
+# The automatic bucket count stops here (bounds are literals in the plan); at 100 TB that is
+# still about 10 million rows per bucket, which the sort and window operators spill.
+MAX_AUTO_BUCKETS = 100_000
 
 
 def _cols(cols) -> list[Column]:
@@ -318,7 +321,7 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
         if num_buckets is None:
             rows = sum(w for _, w in sample)
             per_bucket = int(spark.conf.get(ROWS_PER_BUCKET_CONF, str(ROWS_PER_BUCKET)))
-            n = max(n, -(-int(rows) // max(1, per_bucket)))
+            n = max(n, min(MAX_AUTO_BUCKETS, -(-int(rows) // max(1, per_bucket))))
         if n > 1:
             bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
