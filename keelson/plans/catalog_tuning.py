@@ -100,8 +100,8 @@ def m4_logistic_regression(spark, sf):
                        F.lit(rmse).alias("rmse")).orderBy("abs_err", "doc_id")
 
 
-@query("l1_pipeline_fit_transform")
-def l1_pipeline_fit_transform(spark, sf):
+@query("l1_stages_fit_transform")
+def l1_stages_fit_transform(spark, sf):
     labeled, _ = _docs(spark, sf)
     stages, _ = _classifier_stages(labeled)
     out = Pipeline(stages=stages).fit(labeled).transform(labeled)
