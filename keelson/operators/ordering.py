@@ -508,7 +508,12 @@ def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window
     w = Window.partitionBy(BUCKET).orderBy(*keys)
     main = bucketed.withColumn("_kl_win", F.collect_list(row).over(w.rowsBetween(0, n - 1)))
     win = F.col("_kl_win")
-    if n > 1:
+    if n == 2:
+        # one following row: the per-bucket first rows suffice (no head window)
+        main = main.join(_first_rows(bucketed, layout, keys, row), BUCKET, "left")
+        nxt = F.when(F.col("_kl_follow").isNotNull(), F.array(F.col("_kl_follow"))).otherwise(F.slice(win, 1, 0))
+        win = F.slice(F.concat(win, nxt), 1, n)
+    elif n > 2:
         follow = _heads_follow(bucketed, layout, keys, n, row)
         main = main.join(follow, BUCKET, "left")
         win = F.slice(F.concat(win, F.coalesce(F.col("_kl_follow"), F.slice(win, 1, 0))), 1, n)

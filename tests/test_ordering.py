@@ -156,3 +156,11 @@ def test_key_types_match_spark_order(spark):
         got = {r.id: r.row_index for r in with_row_index(df, keys, num_buckets=7).collect()}
         want = [r.id for r in df.orderBy(*keys).collect()]
         assert [got[i] for i in want] == list(range(1, len(want) + 1)), keys
+
+
+def test_sliding_two_brute_force_many_buckets(spark):
+    rows = [(i, (i * 31) % 57) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, k int")
+    got = _ids(sliding(df, 2, ["k", "a"], num_buckets=23))
+    order = [a for a, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert got == sorted(tuple(order[i:i + 2]) for i in range(len(order)))
