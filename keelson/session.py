@@ -71,12 +71,14 @@ def small_side(df: DataFrame, rows_bound: int) -> DataFrame:
     It is written once as Parquet into the shared checkpoint folder and read back: lineage is
     cut (nothing is recomputed by the main job or after an executor loss) and the planner sees
     its real size, so it is broadcast only if that size is under the session's broadcast
-    threshold, and joined by shuffle otherwise. Files: about one per 50,000 bounded rows.
+    threshold, and joined by shuffle otherwise. Files: about one per 50,000 bounded rows; the
+    ``repartition`` shuffles only the small result, where ``coalesce`` would also squeeze the
+    stage that computes it (a final aggregation over every task's partial rows) into few tasks.
     """
     import uuid
 
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/keelson-side-{uuid.uuid4().hex}"
     parts = max(1, -(-int(rows_bound) // 50_000))
-    df.coalesce(parts).write.mode("overwrite").parquet(path)
+    df.repartition(parts).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -34,8 +34,9 @@ def write_csv(df: DataFrame, path: str, select_exprs: Sequence[str] | None = Non
               single_file: bool = False, mode: str = "errorifexists") -> str:
     """CSV with a header, after optional SQL select expressions (``None`` = all columns).
 
-    ``single_file=True`` funnels every row through one task (``coalesce(1)``); keep it for small
-    results. Vector columns are written as arrays turned to text.
+    ``single_file=True`` sends every row to one writing task (``repartition(1)``: the work before
+    it stays parallel, which ``coalesce(1)`` would not keep); use it for small results only.
+    Vector columns are written as arrays turned to text.
     """
     out = db_compatible(df.selectExpr(*select_exprs) if select_exprs else df)
     from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def write_csv(df: DataFrame, path: str, select_exprs: Sequence[str] | None = Non
                        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name)
                        for f in out.schema.fields])
     if single_file:
-        out = out.coalesce(1)
+        out = out.repartition(1)
     out.write.mode(mode).option("header", header).csv(path)
     return path
 
