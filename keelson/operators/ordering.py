@@ -427,10 +427,28 @@ def fill_forward(df: DataFrame, cols, order, partition_by=None, suffix: str = "_
 def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], payload: Column) -> DataFrame:
     """For every bucket, the first row of the next non-empty bucket (the halo of ``n = 2``).
 
-    ``min_by`` per bucket aggregates partially before the shuffle and only sorts by the integer
-    bucket id, where a window would sort every row by the full key. The per-bucket first rows are
-    materialized once; the buckets present in that small table are the non-empty ones.
+    Each bound is a sampled key tuple and the smallest key of its bucket, so the first row of
+    bucket ``c`` is the row whose key equals bound ``c-1``: a map-side join against the bound
+    table (no sort, no shuffle of the data). If some bound is not found again (an input that is
+    not deterministic), the first rows come from ``min_by`` per bucket instead.
     """
+    if layout.bounds:
+        spark = bucketed.sparkSession
+        key_type = T.StructType([T.StructField(f"k{i}", t, True) for i, t in enumerate(layout.types)])
+        text = json.dumps([{f"k{i}": _jsonable(v) for i, v in enumerate(b)} for b in layout.bounds])
+        bound_rows = spark.range(1).select(
+            F.posexplode(F.from_json(F.lit(text), T.ArrayType(key_type), {"allowNonNumericNumbers": "true"}))
+            .alias("_kl_i", "_kl_b")).select((F.col("_kl_i") + 1).cast("int").alias("_kl_fb"), "_kl_b")
+        if len(text) <= 64 * 1024 * 1024:
+            bound_rows = F.broadcast(bound_rows)  # size known on the driver: the bounds' text
+        probe = bucketed.select(_key_struct(layout.key_exprs).alias("_kl_key"), payload.alias("_kl_first"))
+        found = probe.join(bound_rows, F.col("_kl_key").eqNullSafe(F.col("_kl_b")))
+        # ties on the full key are interchangeable; keep one row per bucket, chosen by content
+        first = small_side(found.groupBy("_kl_fb").agg(
+            F.min_by("_kl_first", F.xxhash64("_kl_first")).alias("_kl_first")), layout.num_buckets)
+        if first.count() == len(layout.bounds):
+            # every bucket after the first holds its bound's row, so it is non-empty
+            return first.select((F.col("_kl_fb") - 1).alias(BUCKET), F.col("_kl_first").alias("_kl_follow"))
     first = small_side(bucketed.groupBy(F.col(BUCKET).alias("_kl_fb"))
                        .agg(F.min_by(payload, _key_struct(keys)).alias("_kl_first")), layout.num_buckets)
     present = [0] * layout.num_buckets

@@ -164,3 +164,15 @@ def test_sliding_two_brute_force_many_buckets(spark):
     got = _ids(sliding(df, 2, ["k", "a"], num_buckets=23))
     order = [a for a, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
     assert got == sorted(tuple(order[i:i + 2]) for i in range(len(order)))
+
+
+def test_first_rows_fallback_when_bounds_are_absent(spark):
+    from pyspark.sql import types as T
+
+    from keelson.operators import ordering as O
+
+    df = spark.createDataFrame([(2 * i,) for i in range(50)], "k bigint")
+    layout = O.OrderLayout(bounds=[(11,), (23,)], types=[T.LongType()], key_exprs=[F.col("k")])
+    follow = O._first_rows(layout.add_bucket(df), layout, [F.col("k")], F.struct("k"))
+    got = {r[O.BUCKET]: r["_kl_follow"]["k"] for r in follow.collect() if r[O.BUCKET] >= 0}
+    assert got == {0: 12, 1: 24}
