@@ -246,7 +246,10 @@ def _weighted_sample(kdf: DataFrame, target: int, seed: int) -> list[tuple[tuple
     import pyarrow as pa
     from pyspark import TaskContext
 
-    parts = max(1, kdf.rdd.getNumPartitions())
+    try:
+        parts = max(1, kdf.rdd.getNumPartitions())
+    except Exception:  # sessions without RDD access (Spark Connect): assume the shuffle width
+        parts = shuffle_partitions(kdf.sparkSession)
     k = max(1, -(-2 * target // parts))
     fields = list(kdf.schema.fields)
     out_schema = T.StructType(fields + [T.StructField("_kl_w", T.DoubleType(), False)])

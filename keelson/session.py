@@ -44,14 +44,26 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     Only when the setting is absent (local tests) is a folder of our own set; on a cluster
     the setting points at shared storage and is used as is.
     """
-    current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    def context_dir():
+        try:
+            return spark.sparkContext.getCheckpointDir()
+        except Exception:  # no SparkContext access (Spark Connect)
+            return None
+
+    def set_context_dir(path: str) -> None:
+        try:
+            spark.sparkContext.setCheckpointDir(path)
+        except Exception:
+            pass
+
+    current = spark.conf.get(CHECKPOINT_CONF, None) or context_dir()
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if not context_dir():
+            set_context_dir(current)
         return current
     path = fallback or tempfile.mkdtemp(prefix="keelson-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, path)
-    spark.sparkContext.setCheckpointDir(path)
+    set_context_dir(path)
     return path
 
 
