@@ -107,6 +107,27 @@ class OrderLayout:
     def ends(self) -> list[int]:
         return [o + c for o, c in zip(self.offsets, self.counts)]
 
+    def _image_plan(self) -> tuple[int, tuple, bytes]:
+        """The key position ``m`` the numeric image is taken from (the first one where bounds
+        differ), the bounds' common values before it, and for a string key the bytes all bounds
+        share at its start (skipped by the image)."""
+        width = len(self.types)
+        m = 0
+        while m < width - 1 and len({_order_key((b[m],)) for b in self.bounds}) == 1:
+            m += 1
+        const = tuple(self.bounds[0][:m])
+        prefix = b""
+        if isinstance(self.types[m], (T.StringType, T.BinaryType)):
+            raws = [_raw_bytes(b[m]) for b in self.bounds if b[m] is not None]
+            if raws:
+                prefix = raws[0]
+                for r in raws[1:]:
+                    j = 0
+                    while j < min(len(prefix), len(r)) and prefix[j] == r[j]:
+                        j += 1
+                    prefix = prefix[:j]
+        return m, const, prefix
+
     def add_bucket(self, df: DataFrame, name: str = BUCKET) -> DataFrame:
         """Add the bucket id: the number of bounds <= the row's key tuple.
 
@@ -118,7 +139,8 @@ class OrderLayout:
         """
         if not self.bounds:
             return df.withColumn(name, F.lit(0))
-        images = [_image_value(b[0], self.types[0]) for b in self.bounds]
+        m, const, prefix = self._image_plan()
+        images = [_image_value(b[m], self.types[m], prefix) for b in self.bounds]
         groups: list[tuple[float, int, int]] = []  # (image, start, length)
         for i, v in enumerate(images):
             if groups and groups[-1][0] == v:
@@ -142,7 +164,16 @@ class OrderLayout:
         img_col, j_col = "_kl_img", "_kl_j"
         splits = [float("-inf")] + u + [float("inf")]
         staged = df.withColumn("_kl_key", _key_struct(self.key_exprs))
-        staged = staged.withColumn(img_col, _image(key["k0"], self.types[0]))
+        image = _image(key[f"k{m}"], self.types[m], prefix)
+        if m > 0:
+            # rows whose leading keys differ from the bounds' common leading keys sort wholly
+            # below or above every bound
+            lead = F.struct(*[key[f"k{i}"].alias(f"k{i}") for i in range(m)])
+            lead_type = T.StructType([T.StructField(f"k{i}", self.types[i], True) for i in range(m)])
+            c = F.from_json(F.lit(json.dumps({f"k{i}": _jsonable(v) for i, v in enumerate(const)})), lead_type,
+                            {"allowNonNumericNumbers": "true"})
+            image = F.when(lead.eqNullSafe(c), image).when(lead < c, F.lit(-_IMG_MAX)).otherwise(F.lit(_IMG_MAX))
+        staged = staged.withColumn(img_col, image)
         staged = Bucketizer(splits=splits, inputCol=img_col, outputCol=j_col).transform(staged)
         j = F.col(j_col).cast("int")
         g = j - 1
@@ -174,12 +205,27 @@ class OrderLayout:
 _IMG_MAX = 1.7e308
 
 
-def _image(col: Column, dtype: T.DataType) -> Column:
+def _raw_bytes(v) -> bytes:
+    return v.encode("utf-8") if isinstance(v, str) else bytes(v)
+
+
+# Images of strings that do not start with the bounds' common prefix sort wholly below or above.
+_IMG_BELOW, _IMG_ABOVE = -1.0, 2.0 ** 49
+
+
+def _image(col: Column, dtype: T.DataType, prefix: bytes = b"") -> Column:
     """Monotone non-decreasing double image of a (comparable) key column, null first."""
     if isinstance(dtype, (T.StringType, T.BinaryType)):
         raw = col.cast("binary") if isinstance(dtype, T.StringType) else col
-        hexed = F.rpad(F.hex(F.substring(raw, 1, 6)), 12, "0")
-        d = F.conv(hexed, 16, 10).cast("double")
+        n = len(prefix)
+        tail = F.conv(F.rpad(F.hex(F.substring(raw, n + 1, 6)), 12, "0"), 16, 10).cast("double")
+        if n:
+            p = F.unhex(F.lit(prefix.hex()))
+            d = (F.when(F.substring(raw, 1, n) == p, tail)
+                 .when(raw < p, F.lit(_IMG_BELOW)).otherwise(F.lit(_IMG_ABOVE)))
+            d = F.when(raw.isNull(), F.lit(None).cast("double")).otherwise(d)
+        else:
+            d = tail
     else:
         # + 0.0 turns -0.0 into 0.0: Spark orders them equal, a binary search over doubles does not
         d = col.cast("double") + F.lit(0.0)
@@ -189,13 +235,19 @@ def _image(col: Column, dtype: T.DataType) -> Column:
             .otherwise(d))
 
 
-def _image_value(v, dtype: T.DataType) -> float:
+def _image_value(v, dtype: T.DataType, prefix: bytes = b"") -> float:
     """The same image computed on the driver for a bound value."""
     if v is None:
         return -_IMG_MAX
     if isinstance(dtype, (T.StringType, T.BinaryType)):
-        raw = v.encode("utf-8") if isinstance(v, str) else bytes(v)
-        d = float(int.from_bytes(raw[:6].ljust(6, b"\0"), "big"))
+        raw = _raw_bytes(v)
+        n = len(prefix)
+        if raw[:n] == prefix:
+            d = float(int.from_bytes(raw[n:n + 6].ljust(6, b"\0"), "big"))
+        elif raw < prefix:
+            d = _IMG_BELOW
+        else:
+            d = _IMG_ABOVE
     else:
         d = float(v) + 0.0
     if d != d or d >= _IMG_MAX:

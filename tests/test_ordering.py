@@ -176,3 +176,21 @@ def test_first_rows_fallback_when_bounds_are_absent(spark):
     follow = O._first_rows(layout.add_bucket(df), layout, [F.col("k")], F.struct("k"))
     got = {r[O.BUCKET]: r["_kl_follow"]["k"] for r in follow.collect() if r[O.BUCKET] >= 0}
     assert got == {0: 12, 1: 24}
+
+
+def test_constant_leading_key_and_common_string_prefix(spark):
+    import random
+
+    from keelson.operators import ordering as O
+
+    rnd = random.Random(11)
+    names = [f"hdfs://cluster/data/part-{i:05d}" for i in range(60)] + ["a", "zzz", "hdfs://c", None]
+    rows = [(i, "same", rnd.choice(names), rnd.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, p string, s string, t int")
+    keys = ["p", "s", "t", "id"]
+    layout = O.plan_layout(df, keys, num_buckets=9)
+    m, const, prefix = layout._image_plan()
+    assert m == 1 and const == ("same",) and prefix.startswith(b"hdfs://c")
+    got = {r.id: r.row_index for r in with_row_index(df, keys, num_buckets=9).collect()}
+    want = [r.id for r in df.orderBy(*keys).collect()]
+    assert [got[i] for i in want] == list(range(1, len(want) + 1))
