@@ -128,6 +128,34 @@ class OrderLayout:
                     prefix = prefix[:j]
         return m, const, prefix
 
+    def _hot_group(self, groups, m):
+        """The largest group of at least 4 bounds that share one exact value at key ``m`` and
+        have distinct images at key ``m+1``: (group index, value as JSON, images, prefix)."""
+        if m + 1 >= len(self.types):
+            return None
+        best = None
+        for gi, (_, start, length) in enumerate(groups):
+            if length < 4 or (best is not None and length <= groups[best[0]][2]):
+                continue
+            members = self.bounds[start:start + length]
+            if len({_order_key((b[m],)) for b in members}) != 1:
+                continue
+            prefix2 = b""
+            if isinstance(self.types[m + 1], (T.StringType, T.BinaryType)):
+                raws = [_raw_bytes(b[m + 1]) for b in members if b[m + 1] is not None]
+                if raws:
+                    prefix2 = raws[0]
+                    for r in raws[1:]:
+                        k = 0
+                        while k < min(len(prefix2), len(r)) and prefix2[k] == r[k]:
+                            k += 1
+                        prefix2 = prefix2[:k]
+            images2 = [_image_value(b[m + 1], self.types[m + 1], prefix2) for b in members]
+            if any(a >= b for a, b in zip(images2, images2[1:])):
+                continue  # equal images at the next key: leave it to the general search
+            best = (gi, json.dumps({"v": _jsonable(members[0][m])}), images2, prefix2)
+        return best
+
     def add_bucket(self, df: DataFrame, name: str = BUCKET) -> DataFrame:
         """Add the bucket id: the number of bounds <= the row's key tuple.
 
@@ -165,6 +193,7 @@ class OrderLayout:
         splits = [float("-inf")] + u + [float("inf")]
         staged = df.withColumn("_kl_key", _key_struct(self.key_exprs))
         image = _image(key[f"k{m}"], self.types[m], prefix)
+        lead_ok = F.lit(True)
         if m > 0:
             # rows whose leading keys differ from the bounds' common leading keys sort wholly
             # below or above every bound
@@ -172,7 +201,8 @@ class OrderLayout:
             lead_type = T.StructType([T.StructField(f"k{i}", self.types[i], True) for i in range(m)])
             c = F.from_json(F.lit(json.dumps({f"k{i}": _jsonable(v) for i, v in enumerate(const)})), lead_type,
                             {"allowNonNumericNumbers": "true"})
-            image = F.when(lead.eqNullSafe(c), image).when(lead < c, F.lit(-_IMG_MAX)).otherwise(F.lit(_IMG_MAX))
+            lead_ok = lead.eqNullSafe(c)
+            image = F.when(lead_ok, image).when(lead < c, F.lit(-_IMG_MAX)).otherwise(F.lit(_IMG_MAX))
         staged = staged.withColumn(img_col, image)
         staged = Bucketizer(splits=splits, inputCol=img_col, outputCol=j_col).transform(staged)
         j = F.col(j_col).cast("int")
@@ -195,9 +225,31 @@ class OrderLayout:
             refine = F.when(length == 1, (key >= F.get(bounds_arr, start)).cast("int")) \
                 .otherwise(search["lo"] - start)
         bucket = F.when(hit, F.get(le_arr, g) + refine).otherwise(F.get(le_arr, j))
+        hot = self._hot_group(groups, m)
+        if hot is not None:
+            # the largest hot group (bounds sharing one exact key value) gets a JVM binary search
+            # over the next key position instead of the interpreted one
+            gi, v_json, images2, prefix2 = hot
+            v_start, v_len = groups[gi][1], groups[gi][2]
+            img2_col, j2_col = "_kl_img2", "_kl_j2"
+            staged = staged.withColumn(img2_col, _image(key[f"k{m + 1}"], self.types[m + 1], prefix2))
+            staged = Bucketizer(splits=[float("-inf")] + images2 + [float("inf")], inputCol=img2_col,
+                                outputCol=j2_col).transform(staged)
+            vcol = F.from_json(F.lit(v_json), T.StructType([T.StructField("v", self.types[m], True)]),
+                               {"allowNonNumericNumbers": "true"})["v"]
+            j2 = F.col(j2_col).cast("int")
+            i2 = F.lit(v_start) + j2 - 1  # the bound whose next-key image is the largest <= the row's
+            exact2 = (j2 >= 1) & (F.col(img2_col) == F.get(_json_array(images2, T.DoubleType()), j2 - 1))
+            in_hot = hit & lead_ok & (g == F.lit(gi)) & key[f"k{m}"].eqNullSafe(vcol)
+            count2 = F.when(exact2, j2 - 1 + (key >= F.get(bounds_arr, i2)).cast("int")).otherwise(j2)
+            bucket = F.when(in_hot, F.lit(le_cum[gi]) + count2).otherwise(bucket)
+            drop_extra = [img2_col, j2_col]
+        else:
+            drop_extra = []
         # never null; typing it non-nullable keeps Catalyst from inferring isnotnull filters on
         # joins by bucket and pushing the whole bucket expression into scans
-        return staged.withColumn(name, F.coalesce(bucket.cast("int"), F.lit(0))).drop(img_col, j_col, "_kl_key")
+        return (staged.withColumn(name, F.coalesce(bucket.cast("int"), F.lit(0)))
+                .drop(img_col, j_col, "_kl_key", *drop_extra))
 
 
 # Images of first keys are clamped to finite doubles; +-inf, NaN and null collide at the ends

@@ -194,3 +194,28 @@ def test_constant_leading_key_and_common_string_prefix(spark):
     got = {r.id: r.row_index for r in with_row_index(df, keys, num_buckets=9).collect()}
     want = [r.id for r in df.orderBy(*keys).collect()]
     assert [got[i] for i in want] == list(range(1, len(want) + 1))
+
+
+@pytest.mark.parametrize("lead", [False, True])
+def test_hot_key_second_level_search(spark, lead):
+    from keelson.operators import ordering as O
+
+    # a third of the rows share p = 0; with a constant leading column the image moves to p
+    rows = [(i, 0 if i % 3 == 0 else i % 7 + 1, (i * 13) % 1000) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, p int, t int")
+    if lead:
+        df = df.withColumn("c", F.lit("x"))
+    keys = (["c"] if lead else []) + ["p", "t", "id"]
+    layout = O.plan_layout(df, keys, num_buckets=12)
+    m, _, _ = layout._image_plan()
+    images = [O._image_value(b[m], layout.types[m]) for b in layout.bounds]
+    groups = []
+    for i, v in enumerate(images):
+        if groups and groups[-1][0] == v:
+            groups[-1] = (v, groups[-1][1], groups[-1][2] + 1)
+        else:
+            groups.append((v, i, 1))
+    assert layout._hot_group(groups, m) is not None
+    got = {r.id: r.row_index for r in with_row_index(df, keys, layout=layout).collect()}
+    want = [r.id for r in df.orderBy(*keys).collect()]
+    assert [got[i] for i in want] == list(range(1, len(want) + 1))
