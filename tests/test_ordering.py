@@ -219,3 +219,24 @@ def test_hot_key_second_level_search(spark, lead):
     got = {r.id: r.row_index for r in with_row_index(df, keys, layout=layout).collect()}
     want = [r.id for r in df.orderBy(*keys).collect()]
     assert [got[i] for i in want] == list(range(1, len(want) + 1))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_randomized_against_spark_order(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    hot = rnd.randint(0, 3)
+    vals = [None, -0.0, 0.0, float("nan"), 1.0, 2.5, -3.0]
+    rows = []
+    for i in range(300):
+        p = hot if rnd.random() < 0.4 else rnd.choice([None, 0, 1, 2, 3, 4, 5])
+        rows.append((i, p, rnd.choice(vals), rnd.choice(["", "a", "ab", "b", None, "zz" * rnd.randint(0, 3)])))
+    df = spark.createDataFrame(rows, "id int, p int, d double, s string")
+    keys = rnd.choice([["p", "d", "id"], ["s", "p", "id"], ["d", "s", "id"]])
+    n = rnd.choice([1, 3, 7, 16])
+    want = [r.id for r in df.orderBy(*keys).collect()]
+    got = {r.id: r.row_index for r in with_row_index(df, keys, num_buckets=n).collect()}
+    assert [got[i] for i in want] == list(range(1, len(want) + 1))
+    nxt = {r.id: (r.next.id if r.next else None) for r in with_next(df, keys, num_buckets=n).collect()}
+    assert [nxt[i] for i in want] == want[1:] + [None]
