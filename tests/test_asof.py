@@ -1,5 +1,6 @@
 """The cases of fixture 6, plus options and invariance."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators.asof import asof_join
@@ -91,3 +92,35 @@ def test_side_tables_without_broadcast(spark):
         assert got == {1: 11, 2: 12}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_randomized_against_brute_force(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    users = [None, 1, 2, 3]
+    actions = [(i, rnd.choice(users) if rnd.random() < 0.5 else 2, rnd.randint(0, 60)) for i in range(150)]
+    states = [(1000 + i, rnd.choice(users) if rnd.random() < 0.5 else 2, rnd.randint(0, 60)) for i in range(150)]
+    bucket = rnd.choice([None, 10])
+    exact = rnd.choice([False, True])
+    a = spark.createDataFrame(actions, "aid int, u int, ms bigint")
+    s = spark.createDataFrame(states, "sid int, u int, ms bigint")
+    out = asof_join(a, s, "ms", "ms", by="u", bucket_ms=bucket, allow_exact=exact, how="left",
+                    action_tiebreak="aid", state_tiebreak="sid", num_buckets=rnd.choice([1, 4, 9]))
+    got = {r["actionEvent"]["aid"]: (r["gameState"]["sid"] if r["gameState"] else None) for r in out.collect()}
+
+    def same(x, y):
+        return x == y  # None matches None, as a null-safe grouping key does
+
+    want = {}
+    for aid, u, ms in actions:
+        best = None
+        for sid, su, sms in states:
+            if not same(u, su) or (bucket and sms // bucket != ms // bucket):
+                continue
+            if sms < ms or (exact and sms == ms):
+                if best is None or (sms, sid) > best:
+                    best = (sms, sid)
+        want[aid] = best[1] if best else None
+    assert got == want
