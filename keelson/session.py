@@ -92,5 +92,8 @@ def small_side(df: DataFrame, rows_bound: int) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/keelson-side-{uuid.uuid4().hex}"
     parts = max(1, -(-int(rows_bound) // 50_000))
-    df.repartition(parts).write.mode("overwrite").parquet(path)
+    try:
+        df.repartition(parts).write.mode("overwrite").parquet(path)
+    except Exception:  # e.g. a void (all-null, untyped) column Parquet cannot store
+        return cut_lineage(df.repartition(parts), eager=True)
     return df.sparkSession.read.parquet(path)

@@ -240,3 +240,9 @@ def test_randomized_against_spark_order(spark, seed):
     assert [got[i] for i in want] == list(range(1, len(want) + 1))
     nxt = {r.id: (r.next.id if r.next else None) for r in with_next(df, keys, num_buckets=n).collect()}
     assert [nxt[i] for i in want] == want[1:] + [None]
+
+
+def test_untyped_null_column_in_payload(spark):
+    df = spark.createDataFrame([(i,) for i in range(30)], "k int").withColumn("z", F.lit(None))
+    got = [r.next.k if r.next else None for r in with_next(df, ["k"], num_buckets=4).orderBy("k").collect()]
+    assert got == list(range(1, 30)) + [None]
