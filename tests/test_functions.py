@@ -26,3 +26,12 @@ def test_indicator_and_ms_bucket(spark):
     rows = df.select(indicator("sex", 1).alias("m"), indicator("sex", 2).alias("f"),
                      ms_bucket("ms").alias("b")).collect()
     assert [(r.m, r.f, r.b) for r in rows] == [(1, 0, 1), (0, 1, -1), (0, 0, 0)]
+
+
+def test_parse_int_strict_raises(spark):
+    import pytest
+
+    df = spark.createDataFrame([("12",), ("oops",)], "s string")
+    with pytest.raises(Exception):
+        df.select(parse_int("s", strict=True)).collect()
+    assert [r[0] for r in df.select(parse_int("s")).collect()] == [12, None]

@@ -44,3 +44,13 @@ def test_gap_filler_stage(spark, tmp_path):
     assert PipelineModel.load(str(tmp_path / "gf")).transform(df).count() == 4
     with pytest.raises(ValueError):
         GapFiller(inputCol="k", outputCol="k").transform(df)
+
+
+def test_csv_sink_vectors_and_select(spark, tmp_path):
+    from keelson.sources.sinks import write_csv
+
+    df = from_rows(spark, [(1, [0.5, 0.25]), (2, [1.0, 2.0])], "id int, v array<double>") \
+        .select("id", array_to_vector("v").alias("v"))
+    path = write_csv(df, str(tmp_path / "out"), select_exprs=["id", "v", "id * 2 as twice"], single_file=True)
+    back = spark.read.csv(path, header=True).orderBy("id").collect()
+    assert [r.twice for r in back] == ["2", "4"] and back[0].v == "[0.5,0.25]"
