@@ -506,7 +506,11 @@ def fill_forward(df: DataFrame, cols, order, partition_by=None, suffix: str = "_
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = b.select("*", *[F.last(c, ignorenulls=True).over(w).alias(f"_kl_in{i}") for i, c in enumerate(cols)])
     order_struct = _key_struct(keys)
-    carry = b.groupBy(F.col(BUCKET).alias("_kl_cb")).agg(*[
+    any_value = F.lit(False)
+    for c in cols:
+        any_value = any_value | F.col(c).isNotNull()
+    # only rows holding a value can be carried (for the dump scan: header lines only)
+    carry = b.where(any_value).groupBy(F.col(BUCKET).alias("_kl_cb")).agg(*[
         F.max_by(F.when(F.col(c).isNotNull(),
                         F.struct(*[F.col(p).alias(f"p{j}") for j, p in enumerate(part_names)], F.col(c).alias("v"))),
                  F.when(F.col(c).isNotNull(), order_struct)).alias(f"_kl_last{i}")
