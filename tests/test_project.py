@@ -50,3 +50,14 @@ def test_featurizer_first_match_and_absent(spark):
     rows = [(r.fs.hp, r.fs.mana) for r in model.transform(df).collect()]
     assert rows == [(1.0, 2.0), (None, 3.0)]
     assert Featurizer(inputCol="features", outputCol="o", features=["zz"]).transform(df).first().o.zz is None
+
+
+def test_feature_name_cap(spark):
+    from keelson.operators.featurize import collect_names, distinct_feature_names
+
+    df = spark.createDataFrame([([(f"f{i}", 1.0) for i in range(20)],)],
+                               "features array<struct<name:string, value:double>>")
+    names = distinct_feature_names(df, "features")
+    assert len(collect_names(names, limit=20)) == 20
+    with pytest.raises(ValueError):
+        collect_names(names, limit=19)
