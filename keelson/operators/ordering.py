@@ -432,8 +432,14 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
         if n > 1:
             bounds = _weighted_bounds(sample, n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
-    if not count:
-        return layout
+    if count:
+        count_buckets(df, layout, flag, flags)
+    return layout
+
+
+def count_buckets(df: DataFrame, layout: OrderLayout, flag: Column | None = None,
+                  flags: dict | None = None) -> OrderLayout:
+    """One pass: rows per bucket (and rows matching each flag), one small number per bucket."""
     flag_col = F.lit(False) if flag is None else flag
     named = dict(flags or {})
     staged = df.withColumn("_kl_flag", flag_col)
@@ -463,6 +469,8 @@ def rank_rows(df: DataFrame, keys, layout: OrderLayout | None = None,
     """Add the bucket id, the row number inside the bucket and the global 1-based row number."""
     keys = _cols(keys)
     layout = layout or plan_layout(df, keys, num_buckets)
+    if len(layout.counts) != layout.num_buckets:
+        count_buckets(df, layout)  # a layout planned without counts: offsets need them
     w = Window.partitionBy(BUCKET).orderBy(*keys)
     ranked = (
         layout.add_bucket(df)

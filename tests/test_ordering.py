@@ -246,3 +246,12 @@ def test_untyped_null_column_in_payload(spark):
     df = spark.createDataFrame([(i,) for i in range(30)], "k int").withColumn("z", F.lit(None))
     got = [r.next.k if r.next else None for r in with_next(df, ["k"], num_buckets=4).orderBy("k").collect()]
     assert got == list(range(1, 30)) + [None]
+
+
+def test_row_index_with_uncounted_layout(spark):
+    from keelson.operators.ordering import plan_layout
+
+    df = spark.createDataFrame([(i,) for i in range(40)], "k int")
+    layout = plan_layout(df, ["k"], num_buckets=5, count=False)
+    got = sorted((r.k, r.row_index) for r in with_row_index(df, ["k"], layout=layout).collect())
+    assert got == [(i, i + 1) for i in range(40)]
