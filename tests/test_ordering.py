@@ -255,3 +255,22 @@ def test_row_index_with_uncounted_layout(spark):
     layout = plan_layout(df, ["k"], num_buckets=5, count=False)
     got = sorted((r.k, r.row_index) for r in with_row_index(df, ["k"], layout=layout).collect())
     assert got == [(i, i + 1) for i in range(40)]
+
+
+@pytest.mark.parametrize("seed,n", [(1, 2), (2, 3), (3, 5)])
+def test_randomized_partitioned_sliding(spark, seed, n):
+    import random
+
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice([None, 1, 2, 2, 2, 3]), rnd.choice([None, 0, 1, 2, 3, 4])) for i in range(250)]
+    df = spark.createDataFrame(rows, "id int, p int, t int")
+    out = sliding(df, n, ["t", "id"], partition_by=["p"], keep_columns=True, num_buckets=rnd.choice([3, 8]))
+    got = {r.id: [x.id for x in r.window] for r in out.collect()}
+
+    def k(v):
+        return (v is not None, v if v is not None else 0)
+
+    ordered = sorted(rows, key=lambda r: (k(r[1]), k(r[2]), r[0]))
+    for i, (rid, p, _) in enumerate(ordered):
+        same = [r[0] for r in ordered[i:] if r[1] == p][:n]
+        assert got[rid] == same
