@@ -19,7 +19,7 @@ NTZ = T.TimestampNTZType()
 def _clicks_views(spark, sf):
     ev = table(spark, sf, "events")
     clicks = ev.where(F.col("event_type") == "click").select("event_id", "user_id", "ts")
-    views = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts", "value")
+    views = ev.where(F.col("event_type") == "view").select("event_id", "user_id", "ts")
     return clicks, views
 
 
