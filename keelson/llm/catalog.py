@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelson.llm import simhash
+from keelson.llm import curriculum, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +30,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (packing.pack(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("length"),
+                    F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"))
+
+
+@query("op6_curriculum_mix", curriculum.plan_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (curriculum.plan(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "size", "source_size", "target", "taken", "position"))
