@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import curriculum, packing, simhash
+from keelson.llm import curriculum, packing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (curriculum.plan(_table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken", "position"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (
+  SELECT doc_id, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM d),
+x AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM p WHERE i + 49 <= n),
+y AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM x) WHERE low < doc_id),
+z AS (
+  SELECT doc_id, w, i, max(y.i) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS last
+  FROM p LEFT JOIN y USING (doc_id, i)),
+k AS (
+  SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS kept, count(*) AS n
+  FROM z WHERE last IS NULL OR i > last + 49 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+
+@query("op10_substring_dedup", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (substring.remove_repeats(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
