@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import curriculum, packing, simhash, substring
+from keelson.llm import curriculum, embeddings, packing, quality, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,16 @@ FROM d LEFT JOIN k USING (doc_id)"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substring.remove_repeats(_table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return (quality.score(docs, machine)
+            .select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"))
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
