@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,8 +38,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._keelson_path = path
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Let the driver's cleaner remove shuffle files that only led to staged tables."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         self._delete(df._keelson_path)
 
