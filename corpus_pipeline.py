@@ -1,4 +1,65 @@
-STAGES = []
+"""The corpus pipeline: five stages from raw documents to packed training sequences.
+
+``STAGES`` lists (name, function); each function takes ``(spark, docs, sf_dir)`` and returns a
+DataFrame, which is written as Parquet and read again as the next stage's ``docs``. All but the last
+return the columns of ``documents``. Each stage is one call of its operator in ``keelson.llm``, whose
+docstring states what nulls, ties, repeated rows, empty and very long texts, empty tables and further
+columns give.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keelson.llm import curriculum, lines, packing, quality, simhash
+from keelson.llm.common import Scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that another place keeps go; ``n_chars`` follows the text."""
+    out = lines.dedup_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays."""
+    return simhash.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training stream in curriculum order: documents repeat or go as the source targets ask."""
+    out = curriculum.mix(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: A factorization machine, MinHash and a tokenizer are not SQL: tests compare with a plain version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each staged in the shared folder."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.stage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
