@@ -5,12 +5,11 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keelson.session import ensure_checkpoint_dir
 
@@ -74,14 +73,10 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
                     F.xxhash64(t, F.col(doc_id), F.lit(1)).alias("b"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """``mapInArrow`` of a function of one batch."""
-
-    def run(batches):
-        for batch in batches:
-            yield from fn(batch)
-
-    return df.mapInArrow(run, schema)
+def whole_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(row, a, b)``: each row as one struct, so that no column clashes with a helper's, and its key."""
+    key = row_key(doc_id, text)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key["a"].alias("a"), key["b"].alias("b"))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -24,9 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from keelson.llm.common import Scratch, row_key, shuffle_partitions, slices, texts_of
+from keelson.llm.common import Scratch, row_key, shuffle_partitions, slices, texts_of, whole_rows
 from keelson.llm.components import UnionFind, connected_components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 6, 0.8
@@ -260,32 +259,30 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rem
     named = scratch.stage(per_line.join(kept, "component").select("line", F.col("kept.a").alias("ka"), F.col("kept.b").alias("kb"),
                                                                   F.col("kept.at").alias("kat")))
     gone = scratch.stage(places.join(named, "line").where("not (a = ka and b = kb and at = kat)")
-                         .groupBy(F.col("a").alias("__a"), F.col("b").alias("__b")).agg(F.collect_set("at").alias("__gone")))
-    names = docs.columns
-    keyed = docs.withColumns({"__a": key["a"], "__b": key["b"]}).repartition(n, "__a", "__b")
-    again = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(0))) > 1
-    keyed = keyed.withColumn("__again", again).join(gone, ["__a", "__b"], "left")
-    counted = [T.StructField(removed, T.LongType())] if removed else []
-    schema = T.StructType([*docs.schema.fields, *counted])
+                         .groupBy("a", "b").agg(F.collect_set("at").alias("gone")))
+    again = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.lit(0))) > 1
+    rows = (whole_rows(docs, doc_id, text).repartition(n, "a", "b").withColumn("again", again)
+            .join(gone, ["a", "b"], "left").select("row", "again", "gone"))
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(removed, T.LongType())] if removed else [])])
+    at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 256):
+                arrays = pa.array(part.column("row")).flatten()
                 found, counts = [], []
-                columns = (part.column(c).to_pylist() for c in ("__again", "__gone"))
-                for value, copy, listed in zip(part.column(text).to_pylist(), *columns):
+                for value, copy, listed in zip(arrays[at].to_pylist(), part.column("again").to_pylist(), part.column("gone").to_pylist()):
                     if value is None or not (copy or listed):
                         found.append(value)
                         counts.append(0)
                         continue
-                    drop = set(listed or ())
-                    lines = lines_of(value)
-                    keep = [x for i, x in enumerate(lines) if not (i in drop or copy and x.strip(_BLANKS))]
+                    drop, old = set(listed or ()), lines_of(value)
+                    keep = [x for i, x in enumerate(old) if not (i in drop or copy and x.strip(_BLANKS))]
                     found.append("\n".join(keep))
-                    counts.append(len(lines) - len(keep))
-                arrays = [pa.array(found, part.schema.field(c).type) if c == text else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(counts, pa.int64())] if removed else [])],
-                                                 names=[f.name for f in schema])
+                    counts.append(len(old) - len(keep))
+                arrays[at] = pa.array(found, arrays[at].type)
+                if removed:
+                    arrays.append(pa.array(counts, pa.int64()))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    chosen = [F.col(f"`{c}`") for c in names]
-    return keyed.select(*chosen, "__again", "__gone").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import Scratch, row_key, texts_of
+from keelson.llm.common import Scratch, row_key, texts_of, whole_rows
 from keelson.llm.components import connected_components
 
 SEED = 42
@@ -169,7 +169,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "a", "b")
     first = rows.groupBy("fp").agg(F.min(order).alias("first"))
     least = (_components(rows, scratch, posting_rows).join(first, "fp").groupBy("component")
-             .agg(F.min("first").alias("first")).select(F.col("first.a").alias("__a"), F.col("first.b").alias("__b")))
-    keyed = docs.withColumns({"__a": key["a"], "__b": key["b"]})
-    return (keyed.join(scratch.stage(least), ["__a", "__b"], "left_semi")
-            .dropDuplicates(["__a", "__b"]).drop("__a", "__b"))
+             .agg(F.min("first").alias("first")).select("first.a", "first.b"))
+    kept = whole_rows(docs, doc_id, text).join(scratch.stage(least), ["a", "b"], "left_semi").dropDuplicates(["a", "b"])
+    return kept.select("row.*")
