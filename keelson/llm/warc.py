@@ -141,8 +141,9 @@ def _duck_text(column: str) -> tuple[str, str]:
     quote = NUMBER.replace("'", "''")
     number = "regexp_replace(n, '[&#;]', '', 'g')"
     code = f"CASE WHEN lower({number}[1]) = 'x' THEN CAST(concat('0x', {number}[2:]) AS BIGINT) ELSE CAST({number} AS BIGINT) END"
+    valid = f"CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END AS INTEGER)"
     refs = f"list_filter(list_distinct(regexp_extract_all({out}, '{quote}')), lambda n: lower(n) NOT IN ('&#38;', '&#x26;'))"
-    out = f"list_reduce(list_prepend({out}, {refs}), lambda t, n: replace(t, n, chr(CAST({code} AS INTEGER))))"
+    out = f"list_reduce(list_prepend({out}, {refs}), lambda t, n: replace(t, n, chr({valid})))"
     out = f"regexp_replace({out}, '&(?:amp|#38|#[xX]26);', '&', 'g')"
     return out, f"trim(regexp_replace(regexp_replace({out}, '[ \\t\\f\\x0B]+', ' ', 'g'), ' ?[\\n\\r][ \\n\\r]*', chr(10), 'g'), concat(' ', chr(10)))"
 
