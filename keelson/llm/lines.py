@@ -9,8 +9,9 @@ own one shingle).
    bands of 6 rows a pair at similarity 0.8 meets in a band with probability 0.992.
 2. Lines that meet another in a band are collisions, the rest leave at once. Bands whose members
    are the same set are kept once.
-3. Only colliding lines fetch their text. Within a bucket pairs are verified by exact Jaccard
-   similarity, skipping those that the bucket's union-find already joins; a bucket of more than
+3. Only colliding lines fetch their text. Pairs of a bucket are verified by exact Jaccard
+   similarity, skipping those that a union-find already joins. Buckets with the same least line are
+   verified together, and a pair that meets in several of them once. A bucket of more than
    ``BLOCK_LINES`` is cut into blocks, and each pair of blocks is a group of its own.
 4. Components come from the distributed union-find of :mod:`keelson.llm.components`. One place of
    each component keeps its line, the first by document id; the others lose theirs.
@@ -33,6 +34,7 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 6, 0.8
 BLOCK_LINES = 512
 _BLANKS, _SEED, _CELLS = " \t\n\v\f\r", 42, 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15)
+_B32 = np.uint32(0x9E3779B1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -42,6 +44,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _mix32(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def lines_of(text: str) -> list[str]:
     return text.split("\n")
 
@@ -60,39 +70,36 @@ def band_keys(lines: list[str], length: int = SHINGLE, bands: int = BANDS, rows:
     """One row of band hashes per (non-empty) line; the band's number is part of the hash."""
     rng = np.random.default_rng(_SEED)
     factors = (rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-    order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
+    sizes = np.array([len(x) for x in lines])
+    starts = np.cumsum(sizes) - sizes
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    hashes = np.zeros(len(codes), np.uint32)  # of the run that starts at each character
+    runs = codes[:max(0, len(codes) - length + 1)].copy()
+    for k in range(1, length):
+        runs *= _B32
+        runs += codes[k:k + len(runs)]
+    hashes[:len(runs)] = _mix32(runs)
+    for i in np.flatnonzero(sizes < length):  # a short line is one shingle
+        whole = int(sizes[i])
+        for c in codes[starts[i]:starts[i] + sizes[i]].tolist():
+            whole = (whole * int(_B32) + c) & 0xFFFFFFFF
+        hashes[starts[i]] = _mix32(np.array([whole], np.uint32))[0]
+    heights = np.maximum(1, sizes - length + 1)
+    order = np.argsort(heights, kind="stable")
+    sorted_heights = heights[order]
     out = np.empty((len(lines), bands), np.int64)
     mark = _mix(np.arange(1, bands + 1, dtype=np.uint64))
     at = 0
-    while at < len(order):
-        # a block of lines of about one length, one column per line
-        height = max(1, len(lines[order[at]]) - length + 1)
-        limit = height + height // 8 + 4
-        end = at + 1
-        while end < len(order) and end - at < max(1, _CELLS // limit) and len(lines[order[end]]) - length + 1 <= limit:
-            end += 1
+    while at < len(order):  # a block of lines of about one length, one column per line
+        limit = int(sorted_heights[at]) * 9 // 8 + 4
+        end = min(int(np.searchsorted(sorted_heights, limit, side="right")), at + max(1, _CELLS // limit))
         chosen = order[at:end]
-        height = max(1, len(lines[chosen[-1]]) - length + 1)
-        cells = np.empty((height, len(chosen)), np.uint32)
-        for column, i in enumerate(chosen):
-            codes = np.frombuffer(lines[i].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-            if len(codes) < length:
-                runs = codes[:1]
-                for c in codes[1:]:
-                    runs = runs * _B + c
-            else:
-                n = len(codes) - length + 1
-                runs = codes[:n]
-                for k in range(1, length):
-                    runs = runs * _B + codes[k:k + n]
-            hashes = (_mix(runs) >> np.uint64(32)).astype(np.uint32)
-            cells[:len(hashes), column] = hashes
-            cells[len(hashes):, column] = hashes[0]
+        rows_at = np.minimum(np.arange(int(sorted_heights[end - 1]))[:, None], heights[chosen] - 1)
+        cells = hashes[rows_at + starts[chosen]]
         least = np.empty((bands * rows, len(chosen)), np.uint64)
-        product = np.empty_like(cells)
-        for k, factor in enumerate(factors):
-            np.multiply(cells, factor, out=product)
-            least[k] = product.min(axis=0)
+        for k, factor in enumerate(factors):  # a product of odd factors permutes the hashes
+            cells *= factor
+            least[k] = cells.min(axis=0)
         keys = np.repeat(mark[:, None], len(chosen), axis=1)
         for r in range(rows):
             keys = _mix(keys * _B + least[r::rows])
@@ -121,7 +128,7 @@ def _list_bands(length: int, bands: int, rows: int):
     def run(batches):
         seen: set[int] = set()  # lines this task has signed: at most those of its split
         for batch in batches:
-            for part in slices(batch, 256):
+            for part in slices(batch, 512):
                 new: dict[int, str] = {}
                 for text in texts_of(part):
                     for line in lines_of(text):
@@ -153,38 +160,76 @@ def _collisions(batches):
         key, line, told = keys[-1:], lines[-1:], last
 
 
-def _jaccard_links(length: int, similarity: float):
-    def emit(rows, same_block):
-        sets = UnionFind()
-        bags = [shingles(text, length) for _, _, text in rows]
-        left = [n for n, r in enumerate(rows) if same_block or not r[1]]
-        right = left if same_block else [n for n, r in enumerate(rows) if r[1]]
-        for x in left:
+class _Verifier:
+    """Exact Jaccard over the lines of a group; pairs that are joined or known to differ are skipped."""
+
+    def __init__(self, texts: list[str], length: int, similarity: float):
+        self.bags = [shingles(t, length) for t in texts]
+        self.similarity, self.sets, self.differ = similarity, UnionFind(), set()
+
+    def link(self, left: list[int], right: list[int] | None = None) -> None:
+        """Joins the similar pairs within ``left``, or between ``left`` and ``right``."""
+        find, bags, least = self.sets.find, self.bags, self.similarity
+        for n, x in enumerate(left):
             size = len(bags[x])
-            for y in right:
-                if same_block and y <= x:
-                    continue
+            for y in left[n + 1:] if right is None else right:
                 other = len(bags[y])
-                if min(size, other) < similarity * max(size, other) or sets.find(x) == sets.find(y):
+                if min(size, other) < least * max(size, other) or (x, y) in self.differ or find(x) == find(y):
                     continue
                 both = len(bags[x] & bags[y])
-                if both >= similarity * (size + other - both):
-                    sets.union(x, y)
-        found = [(rows[x][0], rows[r][0]) for x in range(len(rows)) if (r := sets.find(x)) != x]
+                if both >= least * (size + other - both):
+                    self.sets.union(x, y)
+                else:
+                    self.differ.add((x, y))
+
+    def edges(self, names: list[int]) -> pa.RecordBatch:
+        found = [(names[x], names[r]) for x in range(len(names)) if (r := self.sets.find(x)) != x]
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
+
+def _sorted_groups(batches, group: list[str], columns: list[str]):
+    """``(group, rows)`` of batches sorted by ``group``; one group is held at a time."""
+    last, rows = None, []
+    for batch in batches:
+        for part in slices(batch, 1024):
+            for *key, row in zip(*(part.column(c).to_pylist() for c in group), zip(*(part.column(c).to_pylist() for c in columns))):
+                if key != last:
+                    if len(rows) > 1:
+                        yield last, rows
+                    last, rows = key, []
+                rows.append(row)
+    if len(rows) > 1:
+        yield last, rows
+
+
+def _links_by_least(length: int, similarity: float):
+    """Buckets that share their least line are verified together, so that a pair that meets in
+    several of them is compared once."""
+
     def run(batches):
-        last, rows = None, []
-        for batch in batches:
-            for part in slices(batch, 1024):
-                for *group, line, side, text in zip(*(part.column(c).to_pylist() for c in ("key", "i", "j", "line", "side", "text"))):
-                    if group != last:
-                        if len(rows) > 1:
-                            yield emit(rows, last[1] == last[2])
-                        last, rows = group, []
-                    rows.append((line, side, text))
-        if len(rows) > 1:
-            yield emit(rows, last[1] == last[2])
+        for _, rows in _sorted_groups(batches, ["least"], ["line", "keys", "text"]):
+            verifier, buckets = _Verifier([r[2] for r in rows], length, similarity), {}
+            for n, (_, keys, _) in enumerate(rows):
+                for key in keys:
+                    buckets.setdefault(key, []).append(n)
+            for members in buckets.values():
+                verifier.link(members)
+            yield verifier.edges([r[0] for r in rows])
+
+    return run
+
+
+def _links_by_block(length: int, similarity: float):
+    """One pair of blocks of a large bucket at a time."""
+
+    def run(batches):
+        for (_, i, j), rows in _sorted_groups(batches, ["key", "i", "j"], ["line", "side", "text"]):
+            verifier = _Verifier([r[2] for r in rows], length, similarity)
+            if i == j:
+                verifier.link(list(range(len(rows))))
+            else:
+                verifier.link([n for n, r in enumerate(rows) if not r[1]], [n for n, r in enumerate(rows) if r[1]])
+            yield verifier.edges([r[0] for r in rows])
 
     return run
 
@@ -220,21 +265,25 @@ def similar_lines(docs: DataFrame, scratch: Scratch, length: int = SHINGLE, band
     met = scratch.stage(signed.repartition(n, "key").sortWithinPartitions("key", "line")
                         .mapInArrow(_collisions, "key long, line long"))
     sets = met.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("line")).alias("x"),
-                                  F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"))
-    once = (sets.groupBy("size", "x", "y").agg(F.min("key").alias("key"))
-            .select("key", F.expr(f"int((size - 1) div {int(block_lines)}) + 1").alias("blocks")))
+                                  F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"), F.min("line").alias("least"))
+    once = (sets.groupBy("size", "x", "y", "least").agg(F.min("key").alias("key"))
+            .select("key", "least", F.expr(f"int((size - 1) div {int(block_lines)}) + 1").alias("blocks")))
     buckets = scratch.stage(met.join(once, "key"))
     where = (places.join(buckets.select("line").distinct(), "line", "left_semi").groupBy("line")
              .agg(F.min(F.struct("a", "b")).alias("p")).groupBy("p.a", "p.b").agg(F.collect_set("line").alias("wanted")))
     texts = scratch.stage(docs.join(where, ["a", "b"]).select("text", "wanted").mapInArrow(_fetch, _TEXTS)
                           .dropDuplicates(["line"]))
-    dealt = (buckets.join(texts, "line")
+    small = (buckets.where("blocks = 1").groupBy("least", "line").agg(F.collect_set("key").alias("keys")).join(texts, "line")
+             .select("least", "line", "keys", "text").repartition(n, "least").sortWithinPartitions("least", "line")
+             .mapInArrow(_links_by_least(length, similarity), "u long, v long"))
+    large = (buckets.where("blocks > 1").join(texts, "line")
              .withColumn("own", F.pmod(F.xxhash64("line", F.lit(2)), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     (F.col("own") > F.col("other")).alias("side"), "line", "text"))
-    edges = scratch.stage(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "line")
-                          .mapInArrow(_jaccard_links(length, similarity), "u long, v long"))
+                     (F.col("own") > F.col("other")).alias("side"), "line", "text")
+             .repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "line")
+             .mapInArrow(_links_by_block(length, similarity), "u long, v long"))
+    edges = scratch.stage(small.unionByName(large))
     return places, connected_components(edges, scratch)
 
 
