@@ -6,10 +6,13 @@ session of the DataFrame they are given).
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -41,8 +44,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) is a folder of our own set; on a cluster
-    the setting points at shared storage and is used as is.
+    Only when the setting is absent and the master is ``local`` is a folder of our own set; on a
+    cluster the setting points at shared storage and is used as is, and its absence is an error.
     """
     def context_dir():
         try:
@@ -61,6 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not context_dir():
             set_context_dir(current)
         return current
+    master = spark.conf.get("spark.master", "") or ""
+    if not fallback and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share (master is {master!r})")
     path = fallback or tempfile.mkdtemp(prefix="keelson-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set(CHECKPOINT_CONF, path)
     set_context_dir(path)
@@ -87,13 +93,34 @@ def small_side(df: DataFrame, rows_bound: int) -> DataFrame:
     ``repartition`` shuffles only the small result, where ``coalesce`` would also squeeze the
     stage that computes it (a final aggregation over every task's partial rows) into few tasks.
     """
-    import uuid
-
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/keelson-side-{uuid.uuid4().hex}"
     parts = max(1, -(-int(rows_bound) // 50_000))
-    try:
-        df.repartition(parts).write.mode("overwrite").parquet(path)
-    except Exception:  # e.g. a void (all-null, untyped) column Parquet cannot store
+    if _has_void(df.schema):  # an untyped all-null column, which Parquet cannot store
         return cut_lineage(df.repartition(parts), eager=True)
-    return df.sparkSession.read.parquet(path)
+    remove_at_exit(df.sparkSession, path)
+    df.repartition(parts).write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _has_void(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_void(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_void(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _has_void(dtype.keyType) or _has_void(dtype.valueType)
+    return isinstance(dtype, T.NullType)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder when the driver's interpreter ends, if the session still lives."""
+    atexit.register(_remove, spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session has ended, or gives no access to its JVM
+        pass
