@@ -13,9 +13,10 @@ order is cut into balanced range buckets instead:
 Only the row index needs the counting pass; the other operators learn what they need about
 buckets from their small side tables.
 
-Equal keys cannot be split across buckets, so callers should give a total order (add
-tie-break columns); a hot key then spreads over many buckets. ``sliding``, ``with_row_index``,
-``with_next`` and ``gap_fill`` share this layout; the skew-safe as-of join uses it too.
+``sliding``, ``with_row_index`` and ``with_next`` append a hash of all columns to the order, so that
+rows with equal keys have one order in every job and a hot key spreads over many buckets
+(``tie_break=False`` leaves it out for an order that is total already); only rows equal in every
+column stay together. ``gap_fill`` and the as-of join share this layout.
 """
 
 from __future__ import annotations
@@ -42,15 +43,18 @@ BUCKET = "_kl_bucket"
 LOCAL_RN = "_kl_lrn"
 GLOBAL_RN = "_kl_rn"
 
-# Key tuples sampled to place bucket bounds (the driver sorts about twice this many).
+# Parameters, each with a session conf that overrides it. Key tuples sampled to place bucket bounds
+# (the driver sorts about twice this many): more give evener buckets.
 MAX_SAMPLE = 500_000
+MAX_SAMPLE_CONF = "keelson.maxSample"
 # Unless the caller fixes the bucket count, buckets hold about this many rows (session conf
 # ``keelson.rowsPerBucket`` overrides), and never fewer buckets than shuffle partitions.
 ROWS_PER_BUCKET = 2_000_000
 ROWS_PER_BUCKET_CONF = "keelson.rowsPerBucket"
-# The automatic bucket count stops here (bounds are literals in the plan); at 100 TB that is
-# still about 10 million rows per bucket, which the sort and window operators spill.
+# The automatic bucket count stops here, since bounds are literals in the plan; beyond it buckets
+# hold more rows, which the sort and window operators spill.
 MAX_AUTO_BUCKETS = 100_000
+MAX_AUTO_BUCKETS_CONF = "keelson.maxBuckets"
 
 
 def _cols(cols) -> list[Column]:
@@ -88,8 +92,6 @@ class OrderLayout:
     types: list[T.DataType]
     key_exprs: list[Column]
     counts: list[int] = field(default_factory=list)
-    flagged: list[int] = field(default_factory=list)
-    flag_counts: dict = field(default_factory=dict)
 
     @property
     def num_buckets(self) -> int:
@@ -103,10 +105,6 @@ class OrderLayout:
             acc += c
         return out
 
-    @property
-    def ends(self) -> list[int]:
-        return [o + c for o, c in zip(self.offsets, self.counts)]
-
     def _image_plan(self) -> tuple[int, tuple, bytes]:
         """The key position ``m`` the numeric image is taken from (the first one where bounds
         differ), the bounds' common values before it, and for a string key the bytes all bounds
@@ -341,75 +339,31 @@ def _order_key(row: tuple) -> tuple:
     return tuple(out)
 
 
-def _weighted_sample(kdf: DataFrame, target: int, seed: int) -> list[tuple[tuple, float]]:
-    """One pass: every input partition keeps a uniform bottom-k sample of its key tuples and
-    reports how many rows it saw; each kept row weighs ``rows seen / rows kept``. The result is
-    bounded by about twice ``target`` rows whatever the data size (the sketch Spark's own
-    range partitioner uses)."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark import TaskContext
-
-    try:
-        parts = max(1, kdf.rdd.getNumPartitions())
-    except Exception:  # sessions without RDD access (Spark Connect): assume the shuffle width
-        parts = shuffle_partitions(kdf.sparkSession)
-    k = max(1, -(-2 * target // parts))
-    fields = list(kdf.schema.fields)
-    out_schema = T.StructType(fields + [T.StructField("_kl_w", T.DoubleType(), False)])
-
-    def sketch(batches):
-        ctx = TaskContext.get()
-        rng = np.random.default_rng([seed, ctx.partitionId() if ctx else 0])
-        kept, kept_u, seen = None, None, 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            seen += batch.num_rows
-            u = rng.random(batch.num_rows)
-            tbl = pa.Table.from_batches([batch])
-            if kept is not None:
-                tbl = pa.concat_tables([kept, tbl])
-                u = np.concatenate([kept_u, u])
-            if tbl.num_rows > k:
-                idx = np.argpartition(u, k - 1)[:k]
-                tbl, u = tbl.take(pa.array(idx)), u[idx]
-            kept, kept_u = tbl, u
-        if kept is None or kept.num_rows == 0:
-            return
-        w = pa.array(np.full(kept.num_rows, seen / kept.num_rows))
-        yield from kept.append_column("_kl_w", w).to_batches()
-
-    rows = kdf.mapInArrow(sketch, out_schema).collect()
-    return [(tuple(r[:-1]), float(r[-1])) for r in rows]
-
-
-def _weighted_bounds(sample: list[tuple[tuple, float]], n: int) -> list[tuple]:
-    """Up to ``n-1`` distinct bound tuples splitting the weighted sample into equal shares."""
-    if not sample:
-        return []
-    sample = sorted(sample, key=lambda r: _order_key(r[0]))
-    total = sum(w for _, w in sample)
-    step = total / n
+def _sample(kdf: DataFrame, rows: int, target: int, seed: int) -> list[tuple]:
+    """A Bernoulli sample of about twice ``target`` of ``rows`` key tuples, or all if they are no
+    more, drawn without Python on the executors."""
+    picked = kdf if rows <= 2 * target else kdf.sample(fraction=min(1.0, 2 * target / rows), seed=seed)
+    return [tuple(r) for r in picked.collect()]
+
+
+def _even_bounds(sample: list[tuple], n: int) -> list[tuple]:
+    """Up to ``n-1`` distinct bound tuples splitting the sample into equal shares."""
+    sample = sorted(sample, key=_order_key)
     bounds: list[tuple] = []
-    acc, target = 0.0, step
-    for key, w in sample:
-        acc += w
-        if acc >= target and len(bounds) < n - 1:
-            if not bounds or _order_key(bounds[-1]) < _order_key(key):
-                bounds.append(key)
-            while target <= acc:
-                target += step
+    for i in range(1, n):
+        at = -(-i * len(sample) // n)
+        if at < len(sample) and (not bounds or _order_key(bounds[-1]) < _order_key(sample[at])):
+            bounds.append(sample[at])
     return bounds
 
 
 def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
-                sample_per_bucket: int = 50, seed: int = 7, flag: Column | None = None,
-                flags: dict | None = None, count: bool = True) -> OrderLayout:
-    """Sample the keys, fix bucket bounds, then (unless ``count=False``) count rows per bucket.
+                sample_per_bucket: int = 50, seed: int = 7, count: bool = True) -> OrderLayout:
+    """Count and sample the keys, fix bucket bounds, then (unless ``count=False``) count rows per bucket.
 
-    Two small jobs: a weighted sample of about ``num_buckets * sample_per_bucket`` key tuples,
-    and one count per bucket. Both results are bounded by the bucket count, not the data.
+    Small jobs over the key columns: a row count, a sample of about ``num_buckets *
+    sample_per_bucket`` key tuples, and one count per bucket. Their results are bounded by the
+    bucket count, not the data.
     """
     keys = _cols(keys)
     spark = df.sparkSession
@@ -423,44 +377,26 @@ def plan_layout(df: DataFrame, keys, num_buckets: int | None = None,
     bounds: list[tuple] = []
     if n > 1 or num_buckets is None:
         kdf = typed.select(*[c.alias(f"k{i}") for i, c in enumerate(comp)])
-        # bounded like Spark's own range partitioner: at most MAX_SAMPLE key tuples in total
-        sample = _weighted_sample(kdf, min(n * sample_per_bucket, MAX_SAMPLE), seed)
-        if num_buckets is None:
-            rows = sum(w for _, w in sample)
+        rows = kdf.count()  # a plain Parquet scan answers this from its footers
+        if num_buckets is None:  # at least one bucket per shuffle partition, more for more rows
             per_bucket = int(spark.conf.get(ROWS_PER_BUCKET_CONF, str(ROWS_PER_BUCKET)))
-            n = max(n, min(MAX_AUTO_BUCKETS, -(-int(rows) // max(1, per_bucket))))
+            most = int(spark.conf.get(MAX_AUTO_BUCKETS_CONF, str(MAX_AUTO_BUCKETS)))
+            n = max(n, min(most, -(-rows // max(1, per_bucket))))
         if n > 1:
-            bounds = _weighted_bounds(sample, n)
+            most = int(spark.conf.get(MAX_SAMPLE_CONF, str(MAX_SAMPLE)))
+            bounds = _even_bounds(_sample(kdf, rows, min(n * sample_per_bucket, most), seed), n)
     layout = OrderLayout(bounds=bounds, types=types, key_exprs=key_exprs)
     if count:
-        count_buckets(df, layout, flag, flags)
+        count_buckets(df, layout)
     return layout
 
 
-def count_buckets(df: DataFrame, layout: OrderLayout, flag: Column | None = None,
-                  flags: dict | None = None) -> OrderLayout:
-    """One pass: rows per bucket (and rows matching each flag), one small number per bucket."""
-    flag_col = F.lit(False) if flag is None else flag
-    named = dict(flags or {})
-    staged = df.withColumn("_kl_flag", flag_col)
-    for i, (_, col) in enumerate(named.items()):
-        staged = staged.withColumn(f"_kl_flag{i}", col)
-    counted = (layout.add_bucket(staged)
-               .groupBy(BUCKET)
-               .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_kl_flag")).alias("f"),
-                    *[F.count_if(F.col(f"_kl_flag{i}")).alias(f"f{i}") for i in range(len(named))])
-               .collect())
+def count_buckets(df: DataFrame, layout: OrderLayout) -> OrderLayout:
+    """One pass: rows per bucket, one small number per bucket."""
     counts = [0] * layout.num_buckets
-    flagged = [0] * layout.num_buckets
-    per_flag = {name: [0] * layout.num_buckets for name in named}
-    for r in counted:
+    for r in layout.add_bucket(df).groupBy(BUCKET).count().collect():
         counts[r[0]] = r[1]
-        flagged[r[0]] = r[2]
-        for i, name in enumerate(named):
-            per_flag[name][r[0]] = r[3 + i]
-    layout.flag_counts = per_flag
     layout.counts = counts
-    layout.flagged = flagged
     return layout
 
 
@@ -480,10 +416,25 @@ def rank_rows(df: DataFrame, keys, layout: OrderLayout | None = None,
     return ranked, layout
 
 
+def _hashable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_hashable(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _hashable(dtype.elementType)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def _total_order(df: DataFrame, keys: list[Column], tie_break: bool) -> list[Column]:
+    """The keys and, last, a hash of all columns that can be hashed: rows with equal keys then have
+    the same order in every job."""
+    names = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    return [*keys, F.xxhash64(*names)] if tie_break and names else keys
+
+
 def with_row_index(df: DataFrame, order, name: str = "row_index", num_buckets: int | None = None,
-                   layout: OrderLayout | None = None) -> DataFrame:
+                   layout: OrderLayout | None = None, tie_break: bool = True) -> DataFrame:
     """1-based row number in a global order, without a single-partition window."""
-    ranked, _ = rank_rows(df, order, layout, num_buckets)
+    ranked, _ = rank_rows(df, _total_order(df, _cols(order), tie_break), layout, num_buckets)
     return ranked.withColumn(name, F.col(GLOBAL_RN)).drop(BUCKET, LOCAL_RN, GLOBAL_RN)
 
 
@@ -558,8 +509,6 @@ def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], pa
         bound_rows = spark.range(1).select(
             F.posexplode(F.from_json(F.lit(text), T.ArrayType(key_type), {"allowNonNumericNumbers": "true"}))
             .alias("_kl_i", "_kl_b")).select((F.col("_kl_i") + 1).cast("int").alias("_kl_fb"), "_kl_b")
-        if len(text) <= 64 * 1024 * 1024:
-            bound_rows = F.broadcast(bound_rows)  # size known on the driver: the bounds' text
         probe = bucketed.select(_key_struct(layout.key_exprs).alias("_kl_key"), payload.alias("_kl_first"))
         found = probe.join(bound_rows, F.col("_kl_key").eqNullSafe(F.col("_kl_b")))
         # ties on the full key are interchangeable; keep one row per bucket, chosen by content
@@ -625,7 +574,7 @@ def _heads_follow(bucketed: DataFrame, layout: OrderLayout, keys: list[Column],
 
 
 def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window",
-            keep_columns: bool = False, num_buckets: int | None = None) -> DataFrame:
+            keep_columns: bool = False, num_buckets: int | None = None, tie_break: bool = True) -> DataFrame:
     """For every row, the array of it and the next ``n-1`` rows in order (whole-row structs).
 
     One output row per input row; the last ``n-1`` arrays are shorter. With ``partition_by`` the
@@ -638,6 +587,7 @@ def sliding(df: DataFrame, n: int, order, partition_by=None, name: str = "window
     keys = parts + _cols(order)
     if not keys:
         raise ValueError("sliding needs at least one order column")
+    keys = _total_order(df, keys, tie_break)
     src_cols = list(df.columns)
     layout = plan_layout(df, keys, num_buckets, count=False)  # no global row numbers needed
     bucketed = layout.add_bucket(df)
@@ -678,14 +628,14 @@ def _all_eq(conds: list[Column]) -> Column:
 
 
 def with_next(df: DataFrame, order, next_cols=None, name: str = "next", partition_by=None,
-              num_buckets: int | None = None) -> DataFrame:
+              num_buckets: int | None = None, tie_break: bool = True) -> DataFrame:
     """Attach the next row in order as a struct (null for the last row of a partition).
 
     This is the reference's self join ``current.rowNum = next.rowNum - 1`` without a join:
     ``lead`` inside a bucket, and the first row of the following bucket at bucket ends.
     """
     part_names = _names(partition_by, df)
-    keys = _cols(part_names) + _cols(order)
+    keys = _total_order(df, _cols(part_names) + _cols(order), tie_break)
     src_cols = list(df.columns)
     carry = list(next_cols) if next_cols else list(src_cols)
     carry += [p for p in part_names if p not in carry]
@@ -711,10 +661,10 @@ def gap_fill(df: DataFrame, input_col: str, output_col: str, max_gap: int,
     offsets ``0 .. d-1``. ``max_gap`` bounds the growth per row.
     """
     check_gap_fill_schema(df.schema, input_col, output_col)
-    order = [F.col(input_col)] + (_cols(tiebreak) if tiebreak is not None else
-                                  [F.xxhash64(*[F.col(c) for c in df.columns])])
+    order = [F.col(input_col)] + (_cols(tiebreak) if tiebreak is not None else [])
     nxt = with_next(df, order, next_cols=[input_col], name="_kl_next", num_buckets=num_buckets)
-    d = F.col(f"_kl_next.{input_col}").cast("bigint") - F.col(input_col).cast("bigint")
+    # null past the bigint range: such a gap is too far, like a missing next key
+    d = F.try_subtract(F.col(f"_kl_next.{input_col}").cast("bigint"), F.col(input_col).cast("bigint"))
     offsets = F.when(d.isNull() | (d > F.lit(max_gap)) | (d <= 0), F.array(F.lit(0).cast("bigint"))) \
         .otherwise(F.sequence(F.lit(0).cast("bigint"), d - 1))
     return nxt.select(*[F.col(c) for c in df.columns], F.explode(offsets).alias(output_col))

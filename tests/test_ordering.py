@@ -206,7 +206,7 @@ def test_hot_key_second_level_search(spark, lead):
     if lead:
         df = df.withColumn("c", F.lit("x"))
     keys = (["c"] if lead else []) + ["p", "t", "id"]
-    layout = O.plan_layout(df, keys, num_buckets=12)
+    layout = O.plan_layout(df, keys, num_buckets=16)
     m, _, _ = layout._image_plan()
     images = [O._image_value(b[m], layout.types[m]) for b in layout.bounds]
     groups = []
@@ -274,3 +274,42 @@ def test_randomized_partitioned_sliding(spark, seed, n):
     for i, (rid, p, _) in enumerate(ordered):
         same = [r[0] for r in ordered[i:] if r[1] == p][:n]
         assert got[rid] == same
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_sliding_by_one_tied_column_is_one_chain(spark, n):
+    """The order column alone ties everywhere: still each row follows at most one row."""
+    rows = [(i, (i * 7919) % 200) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id int, k int").repartition(7)
+    wins = [[x["id"] for x in r["window"]] for r in sliding(df, n, ["k"], num_buckets=16).collect()]
+    assert len(wins) == 20_000 and len({w[0] for w in wins}) == 20_000
+    follows = [w[1] for w in wins if len(w) > 1]
+    assert len(follows) == len(set(follows)) == 19_999
+    chain = {w[0]: w[1] for w in wins if len(w) > 1}
+    assert all(chain.get(w[1]) == w[2] for w in wins if len(w) > 2)
+
+
+def test_with_next_by_one_tied_column_is_one_chain(spark):
+    df = spark.createDataFrame([(i, i % 11) for i in range(3_000)], "id int, k int").repartition(5)
+    nxt = [r["next"]["id"] for r in with_next(df, ["k"], num_buckets=9).collect() if r["next"] is not None]
+    assert len(nxt) == len(set(nxt)) == 2_999
+
+
+def test_gap_fill_on_keys_at_both_ends_of_the_range(spark):
+    lo, hi = -(2 ** 63), 2 ** 63 - 1
+    df = spark.createDataFrame([(lo,), (0,), (2,), (hi,)], "k long")
+    got = sorted((r.k, r.off) for r in gap_fill(df, "k", "off", 300).collect())
+    assert got == [(lo, 0), (0, 0), (0, 1), (2, 0), (hi, 0)]
+
+
+def test_order_of_planning_jobs_uses_no_python(spark):
+    """Sampling and counting run on the JVM too: no Python node in any plan the layout runs."""
+    plans = []
+    df = spark.range(5_000).select("id", (F.col("id") % 13).alias("k"))
+    frame, collect = type(df), type(df).collect
+    try:
+        frame.collect = lambda self: (plans.append(self._jdf.queryExecution().toString()), collect(self))[1]
+        sliding(df, 2, ["k"], num_buckets=6).collect()
+    finally:
+        frame.collect = collect
+    assert len(plans) >= 2 and not any(w in p for p in plans for w in ("MapInArrow", "MapInPandas", "EvalPython"))
