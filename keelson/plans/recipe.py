@@ -53,8 +53,9 @@ class Recipe:
     @cached_property
     def trained_model(self):
         """L4 over the labeled table, refit on all rows with the best parameter set."""
-        cv = ParallelCrossValidator(self.pipeline, self.evaluator, self.param_maps, self.num_folds,
-                                    self.seed, self.parallelism, self.fold_keys)
+        cv = ParallelCrossValidator(estimator=self.pipeline, evaluator=self.evaluator, estimatorParamMaps=self.param_maps,
+                                    numFolds=self.num_folds, seed=self.seed, parallelism=self.parallelism,
+                                    foldKeys=self.fold_keys)
         return cv.fit(self.labeled)
 
     @cached_property

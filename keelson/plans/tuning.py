@@ -13,17 +13,20 @@ import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark import StorageLevel, inheritable_thread_target, keyword_only
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.evaluation import Evaluator
-
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder  # noqa: F401  (L3)
+from pyspark.ml.param.shared import Param, Params, TypeConverters
+from pyspark.ml.tuning import (CrossValidator, CrossValidatorModel, CrossValidatorReader,  # noqa: F401  (L3)
+                               CrossValidatorWriter, ParamGridBuilder, _ValidatorSharedReadWrite)
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The seeds used by the reference's recipe and scripts.
 RECIPE_SEED = 4
 SCRIPT_SEED = 12345
+_FOLD = "_kl_fold"
 
 
 def _key_cols(df: DataFrame, keys) -> list[Column]:
@@ -73,11 +76,6 @@ def modulus_split(df: DataFrame, key: str, weights: Sequence[int], multiplier: i
     return parts
 
 
-def random_split(df: DataFrame, weights: Sequence[float], seed: int | None = None) -> list[DataFrame]:
-    """L7 as the reference wrote it (``randomSplit``); depends on the input's partitioning."""
-    return df.randomSplit(list(weights), seed)
-
-
 def _pool(parallelism: int) -> ThreadPoolExecutor:
     return ThreadPoolExecutor(max_workers=max(1, int(parallelism)))
 
@@ -92,12 +90,13 @@ def fit_many(estimator: Estimator, df: DataFrame, param_maps: Sequence[dict],
 
 
 def _first_touched_stage(pipeline: Pipeline, param_maps: Sequence[dict]) -> int:
+    """The first stage a parameter set may touch. A parameter of anything but a stage itself, such
+    as a stage of a nested pipeline, may act anywhere: then no stage is shared."""
     stages = pipeline.getStages()
     touched = {p.parent for pm in param_maps for p in pm}
-    for i, s in enumerate(stages):
-        if s.uid in touched:
-            return i
-    return len(stages)
+    if touched - {s.uid for s in stages}:
+        return 0
+    return next((i for i, s in enumerate(stages) if s.uid in touched), len(stages))
 
 
 def choose_best(metrics: Sequence[float], larger_is_better: bool) -> int:
@@ -113,84 +112,116 @@ def choose_best(metrics: Sequence[float], larger_is_better: bool) -> int:
     return best
 
 
-class ParallelCrossValidator:
+class _Reader(CrossValidatorReader):
+    """Reads a validator written in Python form back as its own class."""
+
+    def load(self, path: str) -> CrossValidator:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        spark_form = {**metadata, "class": "pyspark.ml.tuning.CrossValidator"}
+        _, estimator, evaluator, maps = _ValidatorSharedReadWrite.load(path, self.sparkSession, spark_form)
+        out = self.cls(estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator)._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(out, metadata, skipParams=["estimatorParamMaps"])
+        return out
+
+
+class ParallelCrossValidator(CrossValidator):
     """L4: k-fold cross-validation with folds and parameter sets fitted concurrently.
 
-    Metric = mean over folds; best = min or max by the evaluator's direction, first on ties;
-    refit on all rows. With a ``Pipeline`` estimator the stages in front of the first stage any
-    parameter set touches are fitted once per fold, not once per (fold, parameter set).
+    An estimator like Spark's ``CrossValidator``: same params, copies, schema checks and persistence,
+    usable as a pipeline stage. Folds are hashes of ``foldKeys`` (all columns by default) unless
+    ``foldCol`` names them. Metric = mean over folds; best = min or max by the evaluator's direction,
+    first on ties; refit on all rows. With a ``Pipeline`` estimator the stages in front of the first
+    stage any parameter set touches are fitted once per fold, and their output is cached for the
+    fold's fits. At most ``parallelism`` fits run at once, over all folds and parameter sets;
     ``parallelism=1`` gives the serial validator (L5).
     """
 
-    def __init__(self, estimator: Estimator, evaluator: Evaluator, param_maps: Sequence[dict],
-                 num_folds: int = 3, seed: int = RECIPE_SEED, parallelism: int = 4, fold_keys=None):
-        if num_folds < 2:
-            raise ValueError("num_folds must be >= 2")
-        self.estimator = estimator
-        self.evaluator = evaluator
-        self.param_maps = list(param_maps) or [{}]
-        self.num_folds = num_folds
-        self.seed = seed
-        self.parallelism = parallelism
-        self.fold_keys = fold_keys
+    foldKeys = Param(Params._dummy(), "foldKeys", "columns whose hash gives the fold (empty: all columns)",
+                     typeConverter=TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, estimator: Estimator | None = None, estimatorParamMaps: Sequence[dict] | None = None,
+                 evaluator: Evaluator | None = None, numFolds: int = 3, seed: int | None = RECIPE_SEED, parallelism: int = 4,
+                 collectSubModels: bool = False, foldCol: str = "", foldKeys: Sequence[str] | None = None):
+        kwargs = {k: v for k, v in self._input_kwargs.items() if v is not None}
+        super().__init__()
+        self._setDefault(parallelism=4, seed=RECIPE_SEED, foldKeys=[])
+        if "estimatorParamMaps" in kwargs:
+            kwargs["estimatorParamMaps"] = list(kwargs["estimatorParamMaps"]) or [{}]
+        self._set(**kwargs)
+        if self.getNumFolds() < 2:
+            raise ValueError("numFolds must be >= 2")
+
+    def write(self):
+        return CrossValidatorWriter(self)  # the Python form, which keeps foldKeys
+
+    @classmethod
+    def read(cls):
+        return _Reader(cls)
+
+    def getFoldKeys(self) -> list[str]:
+        return self.getOrDefault(self.foldKeys)
+
+    def _folded(self, df: DataFrame) -> DataFrame:
+        k = self.getNumFolds()
+        if self.getFoldCol():
+            out = df.withColumn(_FOLD, F.col(self.getFoldCol()).cast("int"))
+        else:
+            out = with_folds(df, k, self.getFoldKeys() or None, self.getOrDefault(self.seed), _FOLD)
+        return out.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fold_metrics(self, df: DataFrame) -> list[list[float]]:
         """metrics[fold][param_set]"""
-        folded = with_folds(df, self.num_folds, self.fold_keys, self.seed, "_kl_fold") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        folded = self._folded(df)
         try:
             return self._fold_metrics(folded)
         finally:
             folded.unpersist()
 
     def _fold_metrics(self, folded: DataFrame) -> list[list[float]]:
-        k = self.num_folds
-        sizes = {r[0]: r[1] for r in folded.groupBy("_kl_fold").count().collect()}
+        k, est, maps, evaluator = self.getNumFolds(), self.getEstimator(), self.getEstimatorParamMaps(), self.getEvaluator()
+        sizes = {r[0]: r[1] for r in folded.groupBy(_FOLD).count().collect()}
         empty = [i for i in range(k) if not sizes.get(i)]
         if empty:
             raise ValueError(f"folds {empty} are empty; use fewer folds or more rows")
-        est = self.estimator
         wrap = inheritable_thread_target(folded.sparkSession)
-        cut = _first_touched_stage(est, self.param_maps) if isinstance(est, Pipeline) else 0
-
-        def run_fold(i: int) -> list[float]:
-            train = folded.where(F.col("_kl_fold") != i).drop("_kl_fold")
-            valid = folded.where(F.col("_kl_fold") == i).drop("_kl_fold")
-            prefix = None
-            if isinstance(est, Pipeline) and cut > 0:
-                prefix = Pipeline(stages=est.getStages()[:cut]).fit(train)
-                train_in = prefix.transform(train)
-                suffix = Pipeline(stages=est.getStages()[cut:])
-            else:
-                train_in, suffix = train, est
-
-            def run_param(j: int) -> float:
-                model = suffix.fit(train_in, self.param_maps[j])
-                if prefix is not None:
-                    model = PipelineModel(stages=prefix.stages + model.stages)
-                return float(self.evaluator.evaluate(model.transform(valid)))
-
-            with _pool(self.parallelism) as pool:
-                futs = [pool.submit(wrap(lambda j=j: run_param(j))) for j in range(len(self.param_maps))]
-                return [f.result() for f in futs]
-
-        with _pool(min(self.parallelism, k)) as pool:
-            futs = [pool.submit(wrap(lambda i=i: run_fold(i))) for i in range(k)]
-            return [f.result() for f in futs]
-
-    def fit(self, df: DataFrame) -> CrossValidatorModel:
+        cut = _first_touched_stage(est, maps) if isinstance(est, Pipeline) else 0
+        cached: list[DataFrame] = []
+
+        def prepare(i: int):
+            train, valid = (folded.where(c).drop(_FOLD) for c in (F.col(_FOLD) != i, F.col(_FOLD) == i))
+            if not cut:
+                return train, valid, est
+            prefix = Pipeline(stages=est.getStages()[:cut]).fit(train)
+            train, valid = (prefix.transform(d).persist(StorageLevel.MEMORY_AND_DISK) for d in (train, valid))
+            cached.extend((train, valid))
+            return train, valid, Pipeline(stages=est.getStages()[cut:])
+
+        def score(fold, j: int) -> float:
+            train, valid, rest = fold
+            return float(evaluator.evaluate(rest.fit(train, maps[j]).transform(valid)))
+
+        try:
+            with _pool(self.getParallelism()) as pool:  # the one pool that bounds all fits
+                folds = list(pool.map(wrap(prepare), range(k)))
+                futures = [[pool.submit(wrap(lambda f=f, j=j: score(f, j))) for j in range(len(maps))] for f in folds]
+                return [[x.result() for x in row] for row in futures]
+        finally:
+            for d in cached:
+                d.unpersist()
+
+    def _fit(self, df: DataFrame) -> CrossValidatorModel:
         # one cached copy serves every fold and the final refit on all rows
-        folded = with_folds(df, self.num_folds, self.fold_keys, self.seed, "_kl_fold") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
+        folded = self._folded(df)
         try:
             per_fold = self._fold_metrics(folded)
-            n = len(self.param_maps)
-            avg = [sum(per_fold[i][j] for i in range(self.num_folds)) / self.num_folds for j in range(n)]
-            best = choose_best(avg, self.evaluator.isLargerBetter())
-            best_model = self.estimator.fit(folded.drop("_kl_fold"), self.param_maps[best])
+            k, maps = self.getNumFolds(), self.getEstimatorParamMaps()
+            avg = [sum(row[j] for row in per_fold) / k for j in range(len(maps))]
+            best = choose_best(avg, self.getEvaluator().isLargerBetter())
+            best_model = self.getEstimator().fit(folded.drop(_FOLD), maps[best])
         finally:
             folded.unpersist()
-        model = CrossValidatorModel(best_model, avgMetrics=avg)
+        model = self._copyValues(CrossValidatorModel(best_model, avgMetrics=avg))
         model.bestIndex = best
         return model
 

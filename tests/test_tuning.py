@@ -55,12 +55,12 @@ def test_parallel_cv_and_fit_many(spark):
     pipe, lr = _pipe()
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 10.0]).build()
     ev = BinaryClassificationEvaluator()
-    model = ParallelCrossValidator(pipe, ev, grid, num_folds=3, fold_keys=["id"]).fit(df)
+    model = ParallelCrossValidator(estimator=pipe, evaluator=ev, estimatorParamMaps=grid, numFolds=3, foldKeys=["id"]).fit(df)
     assert len(model.avgMetrics) == 2 and not any(math.isnan(m) for m in model.avgMetrics)
     assert model.bestIndex == max(range(2), key=lambda i: model.avgMetrics[i])
     assert len(fit_many(pipe, df, grid, parallelism=2)) == 2
     with pytest.raises(ValueError):
-        ParallelCrossValidator(pipe, ev, grid, num_folds=3).fit(df.limit(2))
+        ParallelCrossValidator(estimator=pipe, evaluator=ev, estimatorParamMaps=grid, numFolds=3).fit(df.limit(2))
 
 
 def test_recipe_round_trip(spark, tmp_path):
@@ -114,7 +114,7 @@ def test_cv_mean_equals_independent_fold_metrics(spark):
     pipe = Pipeline(stages=[VectorAssembler(inputCols=["x1", "x2"], outputCol="features"), lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 5.0]).build()
     ev = RegressionEvaluator(metricName="rmse")
-    model = ParallelCrossValidator(pipe, ev, grid, num_folds=3, fold_keys=["id"], parallelism=3).fit(df)
+    model = ParallelCrossValidator(estimator=pipe, evaluator=ev, estimatorParamMaps=grid, numFolds=3, foldKeys=["id"], parallelism=3).fit(df)
     folded = with_folds(df, 3, keys=["id"], name="f")
     for j, pm in enumerate(grid):
         per_fold = []
@@ -123,3 +123,76 @@ def test_cv_mean_equals_independent_fold_metrics(spark):
             per_fold.append(ev.evaluate(m.transform(folded.where(F.col("f") == i).drop("f"))))
         assert model.avgMetrics[j] == pytest.approx(sum(per_fold) / 3, rel=1e-9)
     assert model.bestIndex == 0  # no regularisation fits this exact linear label better
+
+
+def _weighted_lr(nested):
+    from pyspark.ml.classification import LogisticRegression
+
+    lr = LogisticRegression(maxIter=5)
+    assembler = VectorAssembler(inputCols=["x"], outputCol="features")
+    return lr, Pipeline(stages=[assembler, Pipeline(stages=[lr])] if nested else [assembler, lr])
+
+
+def test_grid_on_a_nested_pipeline_counts(spark):
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 3)) for i in range(200)], "id int, x double, label double")
+    scores = []
+    for nested in (False, True):
+        lr, pipe = _weighted_lr(nested)
+        grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 5.0]).build()
+        cv = ParallelCrossValidator(estimator=pipe, evaluator=MulticlassClassificationEvaluator(metricName="logLoss"),
+                                    estimatorParamMaps=grid, numFolds=3, foldKeys=["id"])
+        scores.append(cv.fit(df).avgMetrics)
+    assert scores[0] == pytest.approx(scores[1]) and scores[0][0] != pytest.approx(scores[0][1])
+
+
+def test_cross_validator_is_an_estimator(spark, tmp_path):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    lr, pipe = _weighted_lr(False)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.5]).build()
+    cv = ParallelCrossValidator(estimator=pipe, evaluator=BinaryClassificationEvaluator(), estimatorParamMaps=grid, numFolds=2,
+                                foldKeys=["id"], parallelism=2)
+    other = cv.copy({cv.numFolds: 4})
+    assert isinstance(other, ParallelCrossValidator) and other.getNumFolds() == 4 and cv.getNumFolds() == 2
+    cv.write().overwrite().save(str(tmp_path / "cv"))
+    back = ParallelCrossValidator.load(str(tmp_path / "cv"))
+    assert (back.getNumFolds(), back.getFoldKeys(), back.getParallelism(), len(back.getEstimatorParamMaps())) == (2, ["id"], 2, 2)
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 10 > 3)) for i in range(120)], "id int, x double, label double")
+    as_stage = Pipeline(stages=[cv]).fit(df)
+    assert as_stage.stages[0].avgMetrics == pytest.approx(back.fit(df).avgMetrics)
+    assert "prediction" in as_stage.transform(df).columns
+
+
+def test_no_more_fits_at_once_than_asked(spark):
+    import threading
+    import time
+
+    from pyspark.ml import Estimator
+    from pyspark.ml.evaluation import Evaluator
+    from pyspark.ml.feature import SQLTransformer
+    from pyspark.ml.param import Param, Params
+
+    lock, now, most = threading.Lock(), [0], [0]
+
+    class Slow(Estimator):
+        knob = Param(Params._dummy(), "knob", "unused")
+
+        def _fit(self, dataset):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.2)
+            with lock:
+                now[0] -= 1
+            return SQLTransformer(statement="SELECT * FROM __THIS__")
+
+    class Zero(Evaluator):
+        def _evaluate(self, dataset):
+            return 0.0
+
+    slow = Slow()
+    grid = [{slow.knob: i} for i in range(4)]
+    ParallelCrossValidator(estimator=slow, evaluator=Zero(), estimatorParamMaps=grid, numFolds=3, parallelism=3).fit(spark.range(60))
+    assert 1 < most[0] <= 3
