@@ -19,20 +19,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Feature names are collected to the driver; beyond this many the featurizer refuses.
-MAX_FEATURE_NAMES = 100_000
-
 
 def feature_struct(features: Column, names: Sequence[str]) -> Column:
     """Struct with one nullable double per name: the value of the first element whose name
-    matches, null when none does."""
-    def named(n: str):
-        # one-argument lambda: a two-argument one would be read as (element, index)
-        return lambda f: f["name"] == F.lit(n)
+    matches, null when none does. The array is walked once, into a map of first values."""
+    named = F.filter(features, lambda f: f["name"].isNotNull())
+    keys = F.transform(named, lambda f: f["name"])
+    first = F.map_from_entries(F.transform(
+        F.array_distinct(keys), lambda k: F.struct(k, F.element_at(named, F.array_position(keys, k).cast("int"))["value"].cast("double"))))
+    return F.struct(*[F.element_at(first, F.lit(n)).alias(n) for n in names])
+
 
-    return F.struct(*[
-        F.get(F.filter(features, named(n)), 0)["value"].cast("double").alias(n) for n in names
-    ])
+def features_long(df: DataFrame, key_cols: Sequence[str], features_col: str) -> DataFrame:
+    """Row form of the array: one row per key and name with the first value, for any number of
+    names; nothing is collected."""
+    keys = [F.col(c) for c in key_cols]
+    return (df.select(*keys, F.posexplode(features_col).alias("_pos", "_f")).where("_f.name is not null")
+            .groupBy(*key_cols, F.col("_f.name").alias("name"))
+            .agg(F.min_by(F.col("_f.value").cast("double"), F.col("_pos")).alias("value")))
 
 
 def distinct_feature_names(df: DataFrame, features_col: str) -> DataFrame:
@@ -41,9 +45,10 @@ def distinct_feature_names(df: DataFrame, features_col: str) -> DataFrame:
             .where(F.col("name").isNotNull()).distinct().orderBy("name"))
 
 
-def collect_names(names_df: DataFrame, limit: int = MAX_FEATURE_NAMES) -> list[str]:
-    rows = names_df.limit(limit + 1).collect()
-    if len(rows) > limit:
+def collect_names(names_df: DataFrame, limit: int | None = None) -> list[str]:
+    """The names, collected since they become columns; with ``limit`` given, more is an error."""
+    rows = (names_df if limit is None else names_df.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} distinct feature names")
     return [r[0] for r in rows]
 
@@ -89,13 +94,19 @@ class Featurizer(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, Defaul
 class FeaturizerEstimator(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
                           DefaultParamsWritable):
     """learn the feature names from the data (sorted, so vector order is stable) and
-    return a configured ``Featurizer``."""
+    return a configured ``Featurizer``. Names become columns, so they are collected; ``maxNames``
+    (0, the default: no bound) makes more than that many an error. For names that are no columns
+    use ``features_long``; for known names make a ``Featurizer`` directly."""
+
+    maxNames = Param(Params._dummy(), "maxNames", "most feature names to accept (0: any number)",
+                     typeConverter=TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None, maxNames: int = 0):
         super().__init__()
+        self._setDefault(maxNames=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> Featurizer:
-        names = collect_names(distinct_feature_names(dataset, self.getInputCol()))
+        names = collect_names(distinct_feature_names(dataset, self.getInputCol()), self.getOrDefault(self.maxNames) or None)
         return Featurizer(inputCol=self.getInputCol(), outputCol=self.getOutputCol(), features=names)

@@ -58,6 +58,17 @@ def test_feature_name_cap(spark):
     df = spark.createDataFrame([([(f"f{i}", 1.0) for i in range(20)],)],
                                "features array<struct<name:string, value:double>>")
     names = distinct_feature_names(df, "features")
-    assert len(collect_names(names, limit=20)) == 20
+    assert len(collect_names(names)) == len(collect_names(names, limit=20)) == 20
     with pytest.raises(ValueError):
-        collect_names(names, limit=19)
+        FeaturizerEstimator(inputCol="features", outputCol="fs", maxNames=19).fit(df)
+    assert len(FeaturizerEstimator(inputCol="features", outputCol="fs").fit(df).getFeatures()) == 20
+
+
+def test_features_long_keeps_the_first_value(spark):
+    from keelson.operators.featurize import features_long
+
+    df = spark.createDataFrame([(1, [("hp", 1.0), (None, 5.0), ("hp", 9.0)]), (2, [("mana", None), ("mana", 3.0)]), (3, None)],
+                               "id int, features array<struct<name:string, value:double>>")
+    assert sorted(map(tuple, features_long(df, ["id"], "features").collect())) == [(1, "hp", 1.0), (2, "mana", None)]
+    model = FeaturizerEstimator(inputCol="features", outputCol="fs").fit(df)
+    assert [tuple(r.fs) for r in model.transform(df).orderBy("id").collect()] == [(1.0, None), (None, None), (None, None)]
