@@ -17,21 +17,26 @@ Grammar (one entry per line, tabs as indentation)::
 
 ``actionEvents`` rows become ``(timestamp, action{spellId}, null)``; ``damageEvents`` rows become
 ``(timestamp, null, damage{spellId, amount})``. A damage time repeated within one spell is one
-table key in the dump's language, so the last line wins. Only the table named ``root`` is read.
+table key in the dump's language, so the last line wins. Only the table named ``root`` is read;
+other globals, tables or plain values, may stand before and after it.
 
 Plan: files are read line by line with the splittable text reader and every line is classified
-with regular expressions; the table, section and spell a line belongs to are the last headers
-before it in the file, carried forward over range buckets of ``(file, split, row)`` (see
-``ordering.fill_forward``), so neither a file nor a section is ever gathered in one task.
+with regular expressions. The classified lines are staged once in the shared checkpoint folder, so
+every later pass sees the same splits whatever executors come and go. A split of a file is bounded
+by the reader and makes a natural bucket: one shuffle by (file, split) gives the headers in force
+and the nesting depth within the split, and one row per split carries both over to the next splits.
+Only a compressed file that cannot be split is one bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.operators.ordering import fill_forward
+from keelson.session import ensure_checkpoint_dir, remove_at_exit
 
 # The dump's global table name and its two sections.
 DEFAULT_ROOT = "WTFTestAddonData"
@@ -52,7 +57,8 @@ _SECTION_OPEN = r'^\s*\["([^"]*)"\]\s*=\s*\{\s*$'
 _KEY_OPEN = rf"^\s*\[({_NUM})\]\s*=\s*\{{\s*$"
 _KEY_VALUE = rf"^\s*\[({_NUM})\]\s*=\s*({_NUM})\s*,?\s*(?:--.*)?$"
 _LIST_ITEM = rf"^\s*({_NUM})\s*,?\s*(?:--.*)?$"
-_CLOSE = r"^\s*\}\s*,?\s*$"
+_OPEN = r"\{\s*(?:--.*)?$"
+_CLOSE = r"^\s*\}\s*,?\s*(?:--.*)?$"
 _BLANK = r"^\s*(?:--.*)?$"
 
 
@@ -63,17 +69,8 @@ def _whole(text: Column) -> Column:
     return F.when(as_long.isNotNull(), as_long).when(d.isNotNull() & (d == F.floor(d)), d.try_cast("bigint"))
 
 
-def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT,
-                     num_buckets: int | None = None) -> DataFrame:
-    """Every line of every file with its position, kind, and the section and spell it sits in.
-
-    Lines are read with the splittable text reader, so a large file is spread over many tasks.
-    A line's position in its file is ``(split start, row id)``: the row id grows along the rows
-    of a split. The table, section and spell headers in force at each line are the last ones
-    before it in that order (``fill_forward``), computed without gathering a file in one task.
-    """
-    if not path:
-        raise ValueError("Path is required")
+def _classified(spark: SparkSession, path) -> DataFrame:
+    """Every line by position and kind, staged as Parquet."""
     paths = [path] if isinstance(path, str) else list(path)
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
@@ -84,39 +81,71 @@ def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT,
     def ext(pattern: str, group: int = 1) -> Column:
         return F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, group))
 
-    pos = F.struct("block", "row")
     kinds = lines.select(
-        "file", "block", "row", "line",
-        ext(_ROOT_OPEN).alias("root_open"),
-        ext(_SECTION_OPEN).alias("section_open"),
-        ext(_KEY_OPEN).alias("key_open"),
-        ext(_KEY_VALUE, 1).alias("kv_key"), ext(_KEY_VALUE, 2).alias("kv_value"),
-        ext(_LIST_ITEM).alias("item"),
-        F.col("line").rlike(_CLOSE).alias("is_close"),
-        F.col("line").rlike(_BLANK).alias("is_blank"),
-    ).select(
-        "*",
-        # a new table resets the section, a new section resets the spell
-        F.when(F.col("root_open").isNotNull(), F.struct(pos.alias("pos"), F.col("root_open").alias("v")))
-        .alias("_root"),
-        F.when(F.col("section_open").isNotNull() | F.col("root_open").isNotNull(),
-               F.struct(pos.alias("pos"), F.col("section_open").alias("v"))).alias("_sec"),
-        F.when(F.col("key_open").isNotNull() | F.col("section_open").isNotNull() | F.col("root_open").isNotNull(),
-               F.struct(pos.alias("pos"), F.col("key_open").alias("v"))).alias("_key"),
-    )
-    ctx = fill_forward(kinds, ["_root", "_sec", "_key"], ["block", "row"], partition_by="file",
-                       num_buckets=num_buckets)
-    return ctx.select(
+        "file", "block", "row",
+        ext(_ROOT_OPEN).alias("root_open"), ext(_SECTION_OPEN).alias("section_open"), ext(_KEY_OPEN).alias("key_open"),
+        ext(_KEY_VALUE, 1).alias("kv_key"), ext(_KEY_VALUE, 2).alias("kv_value"), ext(_LIST_ITEM).alias("item"),
+        F.col("line").rlike(_CLOSE).alias("is_close"), F.col("line").rlike(_BLANK).alias("is_blank"),
+        F.col("line").rlike(_OPEN).cast("int").alias("opens"), "line")
+    kinds = kinds.withColumn("step", F.col("opens") - F.col("is_close").cast("int")).drop("opens")
+    staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-dump-lines-{uuid.uuid4().hex}"
+    remove_at_exit(spark, staged)
+    kinds.write.option("compression", "zstd").parquet(staged)
+    return spark.read.schema(kinds.schema).parquet(staged)
+
+
+def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT) -> DataFrame:
+    """The lines inside the table ``root`` of every file, with their kind, section and spell.
+
+    A line's position in its file is ``(split start, row id)``: the row id grows along the rows of
+    a split. A header is in force from its line until the nesting depth falls below its own:
+    ``depth`` is the number of tables open before the line, counted from the last global table.
+    """
+    if not path:
+        raise ValueError("Path is required")
+    kinds = _classified(spark, path)
+    pos = F.struct("block", "row")
+    opens_root = F.col("root_open").isNotNull()
+    opens_section = F.col("section_open").isNotNull()
+    # a new table resets the section, a new section resets the spell
+    heads = {"_root": (opens_root, "root_open"), "_sec": (opens_section | opens_root, "section_open"),
+             "_key": (F.col("key_open").isNotNull() | opens_section | opens_root, "key_open")}
+    upto = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = F.sum("step").over(upto)
+    within = kinds.withColumn("_at", steps - F.col("step"))  # depth before the line, from the split's start
+    own = {n: F.when(c, F.struct(pos.alias("pos"), F.col(v).alias("v"), F.col("_at").alias("at"))) for n, (c, v) in heads.items()}
+    within = within.withColumns({n: F.last(c, ignorenulls=True).over(upto) for n, c in own.items()})
+
+    # one row per split: its sum of steps and last headers; over a file's splits, what is in force at their start
+    ends = kinds.select("file", "block", "row", "step", *[
+        F.when(c, F.struct(pos.alias("pos"), F.col(v).alias("v"))).alias(n) for n, (c, v) in heads.items()])
+    ends = ends.groupBy("file", "block").agg(F.sum("step").alias("_sum"), *[F.max(n).alias(n) for n in heads])
+    # the depth at a split's last root header is the sum of the steps before it
+    roots = (kinds.select("file", "block", "row", "step").join(
+        ends.where("_root is not null").select("file", "block", F.col("_root.pos.row").alias("_rrow")), ["file", "block"])
+        .where("row < _rrow").groupBy("file", "block").agg(F.sum("step").alias("_rat")))
+    ends = ends.join(roots, ["file", "block"], "left")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum("_sum").over(before), F.lit(0))
+    side = ends.withColumn("_base", base).withColumn(
+        "_rfrom", F.when(F.col("_root").isNotNull(), F.struct((F.col("_base") + F.coalesce("_rat", F.lit(0))).alias("at"))))
+    side = side.select("file", "block", "_base", F.last("_rfrom", ignorenulls=True).over(before)["at"].alias("_r0"),
+                       *[F.last(n, ignorenulls=True).over(before)["v"].alias(f"{n}0") for n in heads])
+
+    out = within.join(side, ["file", "block"])
+    from_root = F.when(F.col("_root").isNotNull(), F.col("_base") + F.col("_root.at")).otherwise(F.col("_r0"))
+    value = {n: F.when(F.col(n).isNotNull(), F.col(f"{n}.v")).otherwise(F.col(f"{n}0")) for n in heads}
+    out = out.withColumn("depth", F.col("_base") + F.col("_at") - from_root)
+    return out.select(
         "file", "block", "row", "line", "root_open", "section_open", "key_open", "kv_key", "kv_value", "item",
-        "is_close", "is_blank",
-        F.col("_root_ff.v").alias("root"),
-        F.col("_sec_ff.v").alias("section"),
-        F.col("_key_ff.v").alias("spell"),
-    ).where(F.col("root") == F.lit(root))
+        "is_close", "is_blank", "depth", value["_root"].alias("root"),
+        F.when((F.col("depth") >= 2) | opens_section, value["_sec"]).alias("section"),
+        F.when((F.col("depth") >= 3) | F.col("key_open").isNotNull(), value["_key"]).alias("spell"),
+    ).where(F.coalesce((F.col("root") == F.lit(root)) & ((F.col("depth") > 0) | opens_root), F.lit(False)))
 
 
 def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors: str = "raise",
-                    unknown_sections: str = "ignore", num_buckets: int | None = None) -> DataFrame:
+                    unknown_sections: str = "ignore") -> DataFrame:
     """Scan dump files into ``EVENT_DUMP_SCHEMA`` rows (order unspecified).
 
     ``errors``: ``"raise"`` fails on a line outside the grammar or a number that is not whole
@@ -127,7 +156,7 @@ def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors:
         raise ValueError("errors must be 'raise', 'drop' or 'column'")
     if unknown_sections not in ("ignore", "raise"):
         raise ValueError("unknown_sections must be 'ignore' or 'raise'")
-    ctx = event_dump_lines(spark, path, root, num_buckets)
+    ctx = event_dump_lines(spark, path, root)
     sec = F.col("section")
     in_action = sec == ACTION_SECTION
     in_damage = sec == DAMAGE_SECTION

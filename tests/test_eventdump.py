@@ -141,6 +141,48 @@ def test_one_file_over_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
         assert spark.read.text(path).rdd.getNumPartitions() >= 10
-        assert _rows(read_event_dump(spark, path, num_buckets=9)) == want
+        assert _rows(read_event_dump(spark, path)) == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_splits_that_move_between_building_and_running(spark, tmp_path):
+    path, want = _generated_dump(tmp_path)
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    old = {n: spark.conf.get(n, None) for n in names}
+    try:
+        spark.conf.set(names[1], "64")
+        for built, run in (("4", "13"), ("16", "2")):
+            spark.conf.set(names[0], built)
+            df = read_event_dump(spark, path)
+            spark.conf.set(names[0], run)
+            spark.conf.set(names[2], "5000")
+            assert _rows(df) == want
+    finally:
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("split", [64, 200, 1 << 20])
+def test_other_globals_around_the_table(spark, tmp_path, split):
+    text = "\n".join([
+        "Before = 5", "Name = \"x { y\"", "Other = {", "\t[1] = {", "\t\t{", "\t\t\t7, -- [1]", "\t\t}, -- [1]", "\t},", "}",
+        "WTFTestAddonData = {", '\t["actionEvents"] = {', "\t\t[42] = {", "\t\t\t1476615543972, -- [1]", "\t\t},", "\t},",
+        '\t["damageEvents"] = {', "\t\t[43] = {", "\t\t\t[1476615543973] = 9,", "\t\t},", "\t},", "}",
+        "OtherVar = 5", "Flag = true", "Third = {", '\t["actionEvents"] = {', "\t\t[1] = {", "\t\t\t3,", "\t\t},", "\t},", "}", "Last = nil"])
+    path = tmp_path / "globals.lua"
+    path.write_text(text + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        assert _rows(read_event_dump(spark, str(path))) == sorted(
+            [(1476615543972, 42, None, None), (1476615543973, None, 43, 9)], key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_value_after_its_section_closed_is_an_error(spark, tmp_path):
+    path = tmp_path / "stray.lua"
+    path.write_text('WTFTestAddonData = {\n\t["actionEvents"] = {\n\t\t[42] = {\n\t\t},\n\t},\n\t5,\n}\n')
+    with pytest.raises(Exception, match="cannot read a line"):
+        read_event_dump(spark, str(path)).collect()
