@@ -231,3 +231,30 @@ SELECT DISTINCT event_type AS name FROM events UNION SELECT 'props_k'
 """)
 def a5_distinct_feature_names(spark, sf):
     return distinct_feature_names(_feature_arrays(spark, sf), "features")
+
+
+@query("f6_chi_square_selector", """
+WITH f AS (
+  SELECT l_returnflag AS y, 'l_linestatus' AS name, l_linestatus AS x FROM lineitem UNION ALL
+  SELECT l_returnflag, 'line', CAST(l_linenumber AS VARCHAR) FROM lineitem UNION ALL
+  SELECT l_returnflag, 'part', CAST(l_partkey % 5 AS VARCHAR) FROM lineitem),
+o AS (SELECT name, x, y, CAST(count(*) AS DOUBLE) AS o FROM f GROUP BY ALL),
+e AS (SELECT name, o, sum(o) OVER (PARTITION BY name, x) * sum(o) OVER (PARTITION BY name, y) / sum(o) OVER (PARTITION BY name) AS e,
+             count(*) OVER (PARTITION BY name) AS cells FROM o),
+s AS (SELECT name, sum(o * o / e) - sum(o) AS statistic FROM e GROUP BY name)
+SELECT name FROM s ORDER BY statistic DESC LIMIT 1
+""")
+def f6_chi_square_selector(spark, sf):
+    """Chi-square selection over categorical columns: the one that depends most on the label."""
+    from pyspark.ml.feature import UnivariateFeatureSelector
+
+    li = table(spark, sf, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string").alias("line"),
+        (F.col("l_partkey") % 5).cast("string").alias("part"))
+    names = ["l_linestatus", "line", "part"]
+    li = StringIndexer(inputCols=["l_returnflag", *names], outputCols=["label", *[f"{n}_i" for n in names]]).fit(li).transform(li)
+    vec = VectorAssembler(inputCols=[f"{n}_i" for n in names], outputCol="features").transform(li)
+    selector = UnivariateFeatureSelector(featuresCol="features", labelCol="label", outputCol="selected", selectionMode="numTopFeatures")
+    model = selector.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(1).fit(vec)
+    # the chosen positions are a driver-side property of the fitted stage
+    return spark.createDataFrame([(names[i],) for i in model.selectedFeatures], "name string")

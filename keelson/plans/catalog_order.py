@@ -163,3 +163,39 @@ def w3_gap_fill(spark, sf):
     """Gap fill over customer keys of all orders, maxGap 10 (order key breaks ties)."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return gap_fill(orders, "o_custkey", "gap_offset", 10, tiebreak="o_orderkey")
+
+
+def _chain(spark, sf, n):
+    """Windows over a key that ties everywhere: how many rows there are, follow and end a chain."""
+    ev = table(spark, sf, "events").select("event_id", "user_id")
+    w = sliding(ev, n, ["user_id"])
+    at = [F.get("window", i)["event_id"] for i in range(n)]
+    return w.select(*[c.alias(f"e{i}") for i, c in enumerate(at)]).agg(
+        *[F.count_distinct(f"e{i}").alias(f"distinct_at_{i}") for i in range(n)],
+        F.count_if(F.col("e1").isNull()).alias("ends"))
+
+
+@query("w1_sliding_tied_2", """
+SELECT count(*) AS distinct_at_0, count(*) - 1 AS distinct_at_1, 1::BIGINT AS ends FROM events
+""")
+def w1_sliding_tied_2(spark, sf):
+    """Order by user alone: each row still follows at most one row, and one follows none."""
+    return _chain(spark, sf, 2)
+
+
+@query("w1_sliding_tied_3", """
+SELECT count(*) AS distinct_at_0, count(*) - 1 AS distinct_at_1, count(*) - 2 AS distinct_at_2, 1::BIGINT AS ends FROM events
+""")
+def w1_sliding_tied_3(spark, sf):
+    return _chain(spark, sf, 3)
+
+
+@query("w2_row_index_tied", """
+SELECT user_id, count(*) AS n, CAST(sum(rank) AS BIGINT) AS index_sum
+FROM (SELECT user_id, row_number() OVER (ORDER BY user_id) AS rank FROM events) GROUP BY user_id
+""")
+def w2_row_index_tied(spark, sf):
+    """Row numbers over a tied key: each number once, the numbers of a user consecutive."""
+    ev = table(spark, sf, "events").select("event_id", "user_id")
+    return (with_row_index(ev, ["user_id"], name="i").groupBy("user_id")
+            .agg(F.count_distinct("i").alias("n"), F.sum("i").alias("index_sum")))

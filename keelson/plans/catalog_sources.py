@@ -11,16 +11,18 @@ from pyspark.sql import types as T
 from keelson.functions.scalar import epoch_ms
 
 from keelson.plans.registry import query
-from keelson.session import ensure_checkpoint_dir
+from keelson.session import ensure_checkpoint_dir, remove_at_exit
 from keelson.sources.eventdump import ACTION_SECTION, DAMAGE_SECTION, DEFAULT_ROOT, read_event_dump
-from keelson.sources.tables import table
+from keelson.sources.sinks import write_csv, write_table
+from keelson.sources.tables import csv, parquet, table
 
 
-def render_dumps(events, path: str, user_groups: int = 16, hour_groups: int = 4) -> str:
+def render_dumps(events, path: str, rows_per_file: int = 20_000, hour_groups: int = 4) -> str:
     """Write dump files from events: clicks as action lists, views as damage entries (amount =
     value in hundredths), one spell table per user. A file holds the users of one hash group and
     the hours of one hour group, so a busy user is spread over several files and tasks, while all
-    rows of one (user, ms) key stay in one file."""
+    rows of one (user, ms) key stay in one file. The number of groups grows with the table."""
+    user_groups = max(4, -(-events.count() // (rows_per_file * hour_groups)))
     ev = events.select("event_id", "user_id", "event_type", "value",
                        epoch_ms(F.col("ts"), T.TimestampNTZType()).alias("ms"))
     ev = ev.withColumns({
@@ -67,6 +69,12 @@ def render_dumps(events, path: str, user_groups: int = 16, hour_groups: int = 4)
     return path
 
 
+def _folder(spark, label: str) -> str:
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-{label}-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
+
+
 @query("s1_event_dump_scan", """
 SELECT 'action' AS kind, user_id AS spell_id, epoch_us(ts) // 1000 AS ts_ms, CAST(NULL AS BIGINT) AS amount
 FROM events WHERE event_type = 'click'
@@ -76,11 +84,44 @@ FROM events WHERE event_type = 'view' GROUP BY user_id, epoch_us(ts) // 1000
 """)
 def s1_event_dump_scan(spark, sf):
     """Render every user's clicks and views as dump files, then scan all files back."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = render_dumps(table(spark, sf, "events"), f"{base}/keelson-dumps-{uuid.uuid4().hex}")
+    path = render_dumps(table(spark, sf, "events"), _folder(spark, "dumps"))
     df = read_event_dump(spark, f"{path}/*/*/*.txt")
     return df.select(
         F.when(F.col("action").isNotNull(), F.lit("action")).otherwise(F.lit("damage")).alias("kind"),
         F.coalesce(F.col("action.spellId"), F.col("damage.spellId")).alias("spell_id"),
         F.unix_millis("timestamp").alias("ts_ms"),
         F.col("damage.amount").alias("amount"))
+
+
+_CSV_SQL = """
+SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice * 2 AS doubled
+FROM orders
+"""
+_CSV_EXPRS = ["o_orderkey", "CASE WHEN o_custkey % 7 = 0 THEN 'NA' ELSE CAST(o_custkey AS STRING) END AS o_custkey",
+              "o_orderstatus", "o_totalprice * 2 AS doubled"]
+
+
+@query("s2_s5_s6_csv_round_trip", _CSV_SQL)
+def s2_s5_s6_csv_round_trip(spark, sf):
+    """Header CSV written after select expressions and read with a schema; NA is null."""
+    path = write_csv(table(spark, sf, "orders"), _folder(spark, "csv"), _CSV_EXPRS)
+    return csv(spark, path, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, doubled double")
+
+
+@query("s2a_csv_inferred", _CSV_SQL)
+def s2a_csv_inferred(spark, sf):
+    """The same file with inferred types (widened to the tables' own for the comparison)."""
+    path = write_csv(table(spark, sf, "orders"), _folder(spark, "csv"), _CSV_EXPRS)
+    df = csv(spark, path, infer=True)
+    return df.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), F.col("o_custkey").cast("bigint").alias("o_custkey"),
+                     "o_orderstatus", "doubled")
+
+
+@query("s4_s6_table_round_trip", "SELECT vec_id, CAST(label AS BIGINT) AS label, len(embedding) AS n FROM embeddings")
+def s4_s6_table_round_trip(spark, sf):
+    """Vector columns become arrays on the way out; the file format stands in for a database."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = table(spark, sf, "embeddings").withColumn("embedding", array_to_vector("embedding"))
+    back = parquet(spark, write_table(df, _folder(spark, "table")))
+    return back.select("vec_id", F.col("label").cast("bigint").alias("label"), F.size("embedding").cast("bigint").alias("n"))

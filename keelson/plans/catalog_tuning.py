@@ -24,11 +24,12 @@ NUMERIC = ["n_chars", "n_words", "lang_idx", "source_idx"]
 
 
 def _docs(spark, sf):
-    """Labeled and unlabeled documents with a few whole-text features."""
+    """Labeled and unlabeled documents with a few whole-text features. Sizes are binned by powers of
+    two, since the chi-square selector takes categorical features."""
     docs = table(spark, sf, "documents").select(
         "doc_id", "lang", "source",
-        F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(F.col("text"), r"\s+")).cast("double").alias("n_words"))
+        F.floor(F.log2(F.col("n_chars") + 1)).cast("double").alias("n_chars"),
+        F.floor(F.log2(F.size(F.split(F.col("text"), r"\s+")) + F.lit(1))).cast("double").alias("n_words"))
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id"), docs.join(labels, "doc_id", "left_anti")
 
@@ -43,10 +44,10 @@ def _assembled(df):
     return Pipeline(stages=stages).fit(df).transform(df)
 
 
-def _classifier_stages(labeled, num_trees=5):
+def _classifier_stages(labeled):
     """The credit script's seven-stage chain on document features."""
     label_indexer = StringIndexer(inputCol="quality", outputCol="indexedLabel", handleInvalid="keep").fit(labeled)
-    rf = RandomForestClassifier(seed=SCRIPT_SEED, numTrees=num_trees, featuresCol="selectedFeatures",
+    rf = RandomForestClassifier(seed=SCRIPT_SEED, featuresCol="selectedFeatures",
                                 labelCol="indexedLabel", predictionCol="prediction")
     stages = [
         _text_indexer(),
@@ -55,7 +56,7 @@ def _classifier_stages(labeled, num_trees=5):
         label_indexer,
         UnivariateFeatureSelector(featuresCol="indexedFeatures", labelCol="indexedLabel",
                                   outputCol="selectedFeatures", selectionMode="numTopFeatures")
-        .setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(3),
+        .setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(3),
         rf,
         IndexToString(inputCol="prediction", outputCol="predictedLabel", labels=label_indexer.labels),
         VectorElement(inputCol="probability", outputCol="prob", index=1),
@@ -67,7 +68,7 @@ def _classifier_stages(labeled, num_trees=5):
 def m1_random_forest_classifier(spark, sf):
     labeled, _ = _docs(spark, sf)
     data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
-    model = RandomForestClassifier(seed=SCRIPT_SEED, numTrees=5).fit(data)
+    model = RandomForestClassifier(seed=SCRIPT_SEED).fit(data)
     return model.transform(data).select("doc_id", "prediction")
 
 
@@ -75,7 +76,7 @@ def m1_random_forest_classifier(spark, sf):
 def m2_random_forest_regressor(spark, sf):
     labeled, _ = _docs(spark, sf)
     data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
-    model = RandomForestRegressor(seed=SCRIPT_SEED, numTrees=5, maxBins=100).fit(data)
+    model = RandomForestRegressor(seed=SCRIPT_SEED, maxBins=100).fit(data)
     return model.transform(data).select("doc_id", "prediction")
 
 
@@ -83,7 +84,7 @@ def m2_random_forest_regressor(spark, sf):
 def m3_decision_tree_regressor(spark, sf):
     labeled, _ = _docs(spark, sf)
     data = _assembled(labeled).withColumn("label", F.col("quality").cast("double"))
-    model = DecisionTreeRegressor(maxDepth=4).fit(data)
+    model = DecisionTreeRegressor().fit(data)
     return model.transform(data).select("doc_id", "prediction")
 
 
@@ -100,6 +101,60 @@ def m4_logistic_regression(spark, sf):
                        F.lit(rmse).alias("rmse")).orderBy("abs_err", "doc_id")
 
 
+def _by_language(spark, sf, label):
+    """Documents with one categorical feature, the indexed language, and a label made of it."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", label.alias("label"))
+    docs = StringIndexer(inputCol="lang", outputCol="lang_idx").fit(docs).transform(docs)
+    return VectorAssembler(inputCols=["lang_idx"], outputCol="features").transform(docs)
+
+
+_IS_GERMAN = F.expr("CASE WHEN lang = 'de' THEN 1.0D ELSE 0.0D END")
+_LEVEL = F.expr("CASE lang WHEN 'de' THEN 3.5D WHEN 'en' THEN -1.25D WHEN 'fr' THEN 8.0D ELSE 0.5D END")
+
+
+@query("m1_forest_learns_a_rule", "SELECT doc_id, CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM documents")
+def m1_forest_learns_a_rule(spark, sf):
+    """A forest on a label that the feature determines predicts it exactly."""
+    data = _by_language(spark, sf, _IS_GERMAN)
+    return RandomForestClassifier(seed=SCRIPT_SEED).fit(data).transform(data).select("doc_id", "prediction")
+
+
+@query("m2_forest_regresses_a_rule", """
+SELECT doc_id, round(CASE lang WHEN 'de' THEN 3.5 WHEN 'en' THEN -1.25 WHEN 'fr' THEN 8.0 ELSE 0.5 END::DOUBLE, 6) AS prediction
+FROM documents
+""")
+def m2_forest_regresses_a_rule(spark, sf):
+    data = _by_language(spark, sf, _LEVEL)
+    out = RandomForestRegressor(seed=SCRIPT_SEED, maxBins=100).fit(data).transform(data)
+    return out.select("doc_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("m3_tree_predicts_group_means", """
+SELECT doc_id, round(avg(n_chars::DOUBLE) OVER (PARTITION BY lang), 6) AS prediction FROM documents
+""")
+def m3_tree_predicts_group_means(spark, sf):
+    """A regression tree of default depth on one categorical feature predicts each group's mean."""
+    data = _by_language(spark, sf, F.col("n_chars").cast("double"))
+    out = DecisionTreeRegressor().fit(data).transform(data)
+    return out.select("doc_id", F.round("prediction", 6).alias("prediction"))
+
+
+@query("m4_logistic_log_odds", """
+WITH p AS (SELECT lang = 'de' AS x, avg((n_chars > 1500)::INTEGER::DOUBLE) AS p FROM documents GROUP BY 1)
+SELECT round(ln(a.p / (1 - a.p)), 3) AS intercept, round(ln(b.p / (1 - b.p)) - ln(a.p / (1 - a.p)), 3) AS coefficient
+FROM p a, p b WHERE NOT a.x AND b.x
+""")
+def m4_logistic_log_odds(spark, sf):
+    """Logistic regression on one binary feature: its parameters are the groups' log odds."""
+    docs = table(spark, sf, "documents").select(
+        _IS_GERMAN.alias("x"), (F.col("n_chars") > 1500).cast("double").alias("label"))
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(docs)
+    model = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-9, standardization=False).fit(data)
+    # the parameters of a fitted model are a driver-side property
+    return spark.createDataFrame([(round(model.intercept, 3), round(float(model.coefficients[0]), 3))],
+                                 "intercept double, coefficient double")
+
+
 @query("l1_stages_fit_transform")
 def l1_stages_fit_transform(spark, sf):
     labeled, _ = _docs(spark, sf)
@@ -109,7 +164,7 @@ def l1_stages_fit_transform(spark, sf):
 
 
 def _grid(rf):
-    return ParamGridBuilder().addGrid(rf.maxDepth, [3, 5]).build()
+    return ParamGridBuilder().addGrid(rf.impurity, ["gini", "entropy"]).build()
 
 
 @query("l2_fit_many")
@@ -130,9 +185,9 @@ def l4_parallel_cv(spark, sf):
     """Three folds x two parameter sets, concurrent; mean log loss per set, best marked."""
     labeled, _ = _docs(spark, sf)
     stages, rf = _classifier_stages(labeled)
-    cv = ParallelCrossValidator(Pipeline(stages=stages), LogLossEvaluator(labelCol="indexedLabel",
-                                                                          probabilityCol="prob"),
-                                _grid(rf), num_folds=3, parallelism=6, fold_keys=["doc_id"])
+    cv = ParallelCrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=_grid(rf),
+                                evaluator=LogLossEvaluator(labelCol="indexedLabel", probabilityCol="prob"),
+                                numFolds=3, parallelism=6, foldKeys=["doc_id"])
     model = cv.fit(labeled)
     rows = [(i, float(m), i == model.bestIndex) for i, m in enumerate(model.avgMetrics)]
     return spark.createDataFrame(rows, "param_index int, avg_log_loss double, is_best boolean")
@@ -181,6 +236,14 @@ def l7_hash_split(spark, sf):
     return a.withColumn("part", F.lit(0)).unionByName(b.withColumn("part", F.lit(1)))
 
 
+@query("l7_hash_split_parts", "SELECT doc_id, 1::BIGINT AS parts FROM documents")
+def l7_hash_split_parts(spark, sf):
+    """Every row is in exactly one part of a hash split."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    a, b, c = hash_split(docs, [0.5, 0.3, 0.2], keys="doc_id")
+    return a.unionByName(b).unionByName(c).groupBy("doc_id").agg(F.count("*").alias("parts"))
+
+
 @query("flow_event_state_model")
 def flow_event_state_model(spark, sf):
     """The event-state training flow end to end: actions joined to their latest earlier state
