@@ -7,7 +7,8 @@ def test_registry_shape():
     qs, sqls = E.queries(), E.oracle_sql()
     assert len(qs) >= 60
     assert set(sqls) <= set(qs)
-    assert not any(k.startswith("op") for k in qs)
+    # the corpus queries come with their package only
+    assert ("pipeline" in qs) == any(k.startswith("op") for k in qs) == (E.llm_catalog is not None)
 
 
 def test_entry_smoke(spark):
