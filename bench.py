@@ -29,6 +29,7 @@ HEADLINE = [
     "f7_token_counts",
     "f9_f10_featurize_rows",
     "l4_parallel_cv",
+    "s1_event_dump_scan",
 ]
 
 

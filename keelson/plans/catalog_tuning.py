@@ -218,6 +218,41 @@ def l6_recipe(spark, sf):
     return r.unlabeled_predictions
 
 
+# The text recipe's grid.
+TEXT_GRID = {"numTrees": [15, 30, 45], "featureSubsetStrategy": ["onethird", "sqrt", "log2"], "maxDepth": [3, 6, 9]}
+
+
+@query("l6_text_recipe")
+def l6_text_recipe(spark, sf):
+    """The text recipe end to end: tokenized and hashed text columns (F8a), indexers fitted on
+    labeled and unlabeled rows together (F1b), assembler (F4), forest regressor with 100 bins (M2),
+    the full three-parameter grid over three folds (L4), and CSV after select expressions (S6),
+    read back."""
+    from keelson.plans.catalog_sources import _folder
+    from keelson.plans.stages import text_stages
+    from keelson.sources.tables import csv
+
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source", F.col("n_chars").cast("double").alias("n_chars"),
+        F.concat_ws(" ", "lang", "source").alias("tags"), "text")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
+    labeled, unlabeled = docs.join(labels, "doc_id"), docs.join(labels, "doc_id", "left_anti")
+    indexer = StringIndexer(inputCols=["lang", "source"], outputCols=["idx_lang", "idx_source"],
+                            handleInvalid="keep").fit(labeled.drop("quality").unionByName(unlabeled))
+    rf = RandomForestRegressor(seed=SCRIPT_SEED, featuresCol="selectedFeatures", labelCol="quality", predictionCol="prediction", maxBins=100)
+    stages = [*text_stages(["text", "tags"]), indexer,
+              VectorAssembler(inputCols=["n_chars", "idx_lang", "idx_source", "tf_text", "tf_tags"], outputCol="selectedFeatures"), rf]
+    grid = ParamGridBuilder()
+    for name, values in TEXT_GRID.items():
+        grid = grid.addGrid(getattr(rf, name), values)
+    recipe = Recipe(labeled=labeled, unlabeled=unlabeled, label_col="quality", prediction_col="prediction",
+                    evaluator=RegressionEvaluator(labelCol="quality", metricName="rmse"), name="docs_rfr", param_maps=grid.build(),
+                    stages=stages, num_folds=3, parallelism=8, fold_keys=["doc_id"])
+    path = recipe.write_csv(prefix=_folder(spark, "recipe"), select_exprs=["doc_id", "quality as quality_yhat"])
+    recipe.release()
+    return csv(spark, path, "doc_id bigint, quality_yhat double")
+
+
 @query("l7_modulus_split", """
 SELECT doc_id, lang FROM documents WHERE (doc_id * 37 + 11) % 10 < 8
 """)
