@@ -57,13 +57,24 @@ def j1_asof_bucketed(spark, sf):
     return _pairs_out(pairs)
 
 
-@query("j1_asof_second", _ASOF_SQL.format(bucket="c.ms // 1000 = v.ms // 1000"))
+@query("j1_asof_second", """
+WITH e AS (SELECT event_id, event_type, user_id % 3 AS grp, event_id * 70 AS ms FROM events),
+j AS (
+  SELECT c.event_id AS click_id, v.event_id AS view_id, c.ms - v.ms AS lag_ms,
+         row_number() OVER (PARTITION BY c.event_id ORDER BY v.ms DESC) AS rk
+  FROM e c JOIN e v ON c.event_type = 'click' AND v.event_type = 'view' AND c.grp = v.grp AND c.ms // 1000 = v.ms // 1000 AND v.ms < c.ms)
+SELECT click_id, view_id, lag_ms FROM j WHERE rk = 1
+""")
 def j1_asof_second(spark, sf):
-    """The reference's own setting: one-second buckets (few or no matches on sparse data)."""
-    clicks, views = _clicks_views(spark, sf)
-    pairs = asof_join(clicks, views, "ts", "ts", by="user_id", bucket_ms=1000,
+    """The reference's own setting, one-second buckets, on epoch milliseconds 70 ms apart (the
+    table's own times are too sparse for a match within a second)."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("grp"),
+                                           (F.col("event_id") * 70).alias("ms"))
+    clicks, views = (ev.where(F.col("event_type") == t).drop("event_type") for t in ("click", "view"))
+    pairs = asof_join(clicks, views, "ms", "ms", by="grp", bucket_ms=1000,
                       action_tiebreak="event_id", state_tiebreak="event_id")
-    return _pairs_out(pairs)
+    return pairs.select(F.col("actionEvent.event_id").alias("click_id"), F.col("gameState.event_id").alias("view_id"),
+                        (F.col("actionEvent.ms") - F.col("gameState.ms")).alias("lag_ms"))
 
 
 @query("j1_asof_unbucketed_left", """
