@@ -66,6 +66,22 @@ def shingles(line: str, length: int = SHINGLE) -> set[str]:
     return {line[i:i + length] for i in range(max(1, len(line) - length + 1))}
 
 
+def shingle_hashes(lines: list[str], length: int = SHINGLE) -> list[set[int]]:
+    """The distinct shingles of each line as 64-bit hashes, computed over all lines at once."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    runs = codes[:max(0, len(codes) - length + 1)].copy()
+    for k in range(1, length):
+        runs = runs * _B + codes[k:k + len(runs)]
+    hashes, out, at = _mix(runs), [], 0
+    for line in lines:
+        if len(line) < length:  # a short line is its own one shingle
+            out.append({line_id(line)})
+        else:
+            out.append(set(hashes[at:at + len(line) - length + 1].tolist()))
+        at += len(line)
+    return out
+
+
 def band_keys(lines: list[str], length: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One row of band hashes per (non-empty) line; the band's number is part of the hash."""
     rng = np.random.default_rng(_SEED)
@@ -161,10 +177,10 @@ def _collisions(batches):
 
 
 class _Verifier:
-    """Exact Jaccard over the lines of a group; pairs that are joined or known to differ are skipped."""
+    """Exact Jaccard (of shingles as 64-bit hashes) over the lines of a group; pairs that are joined or known to differ are skipped."""
 
     def __init__(self, texts: list[str], length: int, similarity: float):
-        self.bags = [shingles(t, length) for t in texts]
+        self.bags = shingle_hashes(texts, length)
         self.similarity, self.sets, self.differ = similarity, UnionFind(), set()
 
     def link(self, left: list[int], right: list[int] | None = None) -> None:

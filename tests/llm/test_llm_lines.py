@@ -72,6 +72,15 @@ def test_rows_equal_in_id_and_text_keep_a_line_once(make_docs):
     assert sorted(r.text for r in out) == ["", "one line\n\nother"]
 
 
+def test_hashed_shingles_count_like_shingles():
+    texts = [prose(3, 60), "ab", "", "𝄞é𝄞é𝄞é𝄞", "aaaaaaaaaa", prose(3, 59)]
+    bags = lines.shingle_hashes(texts)
+    plain_bags = [lines.shingles(t) for t in texts]
+    for x, a in zip(bags, plain_bags):
+        assert len(x) == len(a)
+        assert [len(x & y) for y in bags] == [len(a & b) for b in plain_bags]
+
+
 def test_empty_table(make_docs):
     assert lines.dedup_lines(make_docs([])).collect() == []
 
