@@ -22,6 +22,9 @@ ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy":
 # fixed values: patterns that Java's and RE2's engines read alike
 HIDDEN = (r"(?is)<!--.*?-->|<script(?:[ \t\n\f\r/][^>]*)?>.*?</script[ \t\n\f\r]*>|<style(?:[ \t\n\f\r/][^>]*)?>.*?</style[ \t\n\f\r]*>"
           r"|<head(?:[ \t\n\f\r][^>]*)?>.*?</head[ \t\n\f\r]*>")
+# the same as HIDDEN with the first character in front, where the engine can skip to it
+_HIDDEN = (r"(?is)<(?:!--.*?-->|script(?:[ \t\n\f\r/][^>]*)?>.*?</script[ \t\n\f\r]*>|style(?:[ \t\n\f\r/][^>]*)?>.*?</style[ \t\n\f\r]*>"
+           r"|head(?:[ \t\n\f\r][^>]*)?>.*?</head[ \t\n\f\r]*>)")
 BREAKS = (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|nav|footer|header|main|aside|pre|blockquote|hr|form"
           r"|body|html)(?:[ \t\n\f\r/][^>]*)?>")
 TAGS = r"<[/!?A-Za-z][^>]*>"
@@ -39,24 +42,40 @@ def _character(reference: Column) -> Column:
     return F.decode(F.unhex(bits), "UTF-32")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """Resolves the named references of ``ENTITIES``, numeric ones, and ``&amp;`` last."""
-    out = text
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(NUMBER), F.lit(0)))
-    numbers = F.filter(numbers, lambda n: ~F.lower(n).isin("&#38;", "&#x26;"))
-    out = F.when(F.contains(out, F.lit("&#")), F.aggregate(numbers, out, lambda t, n: F.replace(t, n, _character(n)))).otherwise(out)
-    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(out, "&(?:amp|#38|#[xX]26);", "&")).otherwise(text)
+    values = F.create_map(*[F.lit(x) for name, value in ENTITIES.items() for x in (f"&{name};", value)])
+
+    def numbers(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0)))
+        found = F.filter(found, lambda n: ~F.lower(n).isin("&#38;", "&#x26;"))
+        return F.when(F.contains(t, F.lit("&#")), F.aggregate(found, t, lambda x, n: F.replace(x, n, _character(n)))).otherwise(t)
+
+    def references(t: Column) -> Column:
+        # one pass finds the names that occur; only those are replaced
+        names = F.array_distinct(F.regexp_extract_all(t, F.lit(f"&(?:{'|'.join(ENTITIES)});"), F.lit(0)))
+        named = F.aggregate(names, t, lambda x, n: F.replace(x, n, F.element_at(values, n)))
+        return F.when(F.contains(t, F.lit("&")), F.regexp_replace(_let(named, numbers), "&(?:amp|#38|#[xX]26);", "&")).otherwise(t)
+
+    return _let(text, references)
 
 
 def _tidy(text: Column) -> Column:
     """One space for blanks, one line feed for blanks with a line end, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r" ?[\n\r][ \n\r]*", "\n"), F.lit(" \n"))
+    blank = lambda c: (c == " ") | (c == "\n")
+    tidy = F.regexp_replace(F.regexp_replace(text, r"[ \t\f\x0B]+", " "), r" ?[\n\r][ \n\r]*", "\n")
+    # one blank is left at either end at most
+    head = _let(tidy, lambda t: F.when(blank(F.left(t, F.lit(1))), F.substr(t, F.lit(2))).otherwise(t))
+    return _let(head, lambda t: F.when(blank(F.right(t, F.lit(1))), F.left(t, F.char_length(t) - 1)).otherwise(t))
 
 
 def plain_text(html: Column) -> Column:
-    text = F.regexp_replace(html, HIDDEN, " ")
+    text = F.regexp_replace(html, _HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAGS, "")
     return _tidy(unescape(text))
 
