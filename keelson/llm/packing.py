@@ -31,7 +31,7 @@ VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 1, 2048
 OPEN_WINDOWS, FAN_IN = 64, 64
 #: Chunks between white space whose ids a worker remembers, and the longest of them.
 CACHE_ENTRIES, CACHE_BYTES = 600_000, 48
-_BLOCK_CHARS, _SLICE_ROWS, _FLUSH_TOKENS = 1 << 20, 256, 1 << 20
+_BLOCK_BYTES, _SLICE_ROWS, _FLUSH_TOKENS = 1 << 20, 256, 1 << 20
 _ID = np.dtype("<u4")
 
 
@@ -66,23 +66,44 @@ class Tokens:
         self.known.update((c, ids) for c, ids in found.items() if len(c) <= CACHE_BYTES)
         return found
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of the whole text."""
-        raw, out = text.encode("utf-8"), []
+    def _blocks(self, text: str):
+        """Lists of chunks. Letters A-Z are lowered first, as the vocabulary does, so that fewer
+        chunks differ, unless the text may spell a special token."""
+        raw = text.encode("utf-8")
+        raw = raw if b"<|" in raw else raw.lower()
         start = 0
         while start < len(raw):
-            end = min(len(raw), start + _BLOCK_CHARS)
+            end = min(len(raw), start + _BLOCK_BYTES)
             while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
                 end += 1
-            chunks = raw[start:end].split()
-            known = self.known
-            ids = [known.get(c) for c in chunks]
-            if None in ids:
-                found = self._learn({c for c, x in zip(chunks, ids) if x is None})
-                ids = [found[c] if x is None else x for c, x in zip(chunks, ids)]
-            out.append(b"".join(ids))
+            yield raw[start:end].split()
             start = end
-        return b"".join(out)
+
+    def _ids(self, blocks: list[list[bytes]]) -> list[bytes]:
+        """Ids of each list of chunks; unknown chunks of all lists are encoded in one call."""
+        known = self.known
+        found = [[known.get(c) for c in chunks] for chunks in blocks]
+        unknown = {c for chunks, ids in zip(blocks, found) if None in ids for c, x in zip(chunks, ids) if x is None}
+        new = self._learn(unknown) if unknown else {}
+        return [b"".join(ids if None not in ids else [new[c] if x is None else x for c, x in zip(chunks, ids)])
+                for chunks, ids in zip(blocks, found)]
+
+    def encode_all(self, texts: list[str]):
+        """Little-endian unsigned 32-bit ids of each whole text, in order."""
+        waiting: list[list[bytes]] = []
+        held = 0
+        for text in texts:
+            if len(text) >= _BLOCK_BYTES:  # a long text goes by itself, block by block
+                yield from self._ids(waiting)
+                waiting, held = [], 0
+                yield b"".join(self._ids([chunks])[0] for chunks in self._blocks(text))
+                continue
+            waiting.append([c for chunks in self._blocks(text) for c in chunks])
+            held += len(text)
+            if held >= _BLOCK_BYTES:
+                yield from self._ids(waiting)
+                waiting, held = [], 0
+        yield from self._ids(waiting)
 
 
 class Packer:
@@ -205,8 +226,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
         tokens = Tokens.of(vocabulary)
         end = np.array([end_id], _ID).tobytes()
         for part in slices(batch, _SLICE_ROWS):
-            for name, t in zip(part.column("doc_id").to_pylist(), texts_of(part)):
-                ids = np.frombuffer(tokens.encode(t) + end, _ID)
+            for name, raw in zip(part.column("doc_id").to_pylist(), tokens.encode_all(texts_of(part))):
+                ids = np.frombuffer(raw + end, _ID)
                 yield (name, len(ids)), 0, ids
 
     def read_pieces(batch):
