@@ -103,13 +103,13 @@ def m4_logistic_regression(spark, sf):
 
 def _by_language(spark, sf, label):
     """Documents with one categorical feature, the indexed language, and a label made of it."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", label.alias("label"))
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.expr(label).alias("label"))
     docs = StringIndexer(inputCol="lang", outputCol="lang_idx").fit(docs).transform(docs)
     return VectorAssembler(inputCols=["lang_idx"], outputCol="features").transform(docs)
 
 
-_IS_GERMAN = F.expr("CASE WHEN lang = 'de' THEN 1.0D ELSE 0.0D END")
-_LEVEL = F.expr("CASE lang WHEN 'de' THEN 3.5D WHEN 'en' THEN -1.25D WHEN 'fr' THEN 8.0D ELSE 0.5D END")
+_IS_GERMAN = "CASE WHEN lang = 'de' THEN 1.0D ELSE 0.0D END"
+_LEVEL = "CASE lang WHEN 'de' THEN 3.5D WHEN 'en' THEN -1.25D WHEN 'fr' THEN 8.0D ELSE 0.5D END"
 
 
 @query("m1_forest_learns_a_rule", "SELECT doc_id, CASE WHEN lang = 'de' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction FROM documents")
@@ -134,7 +134,7 @@ SELECT doc_id, round(avg(n_chars::DOUBLE) OVER (PARTITION BY lang), 6) AS predic
 """)
 def m3_tree_predicts_group_means(spark, sf):
     """A regression tree of default depth on one categorical feature predicts each group's mean."""
-    data = _by_language(spark, sf, F.col("n_chars").cast("double"))
+    data = _by_language(spark, sf, "CAST(n_chars AS DOUBLE)")
     out = DecisionTreeRegressor().fit(data).transform(data)
     return out.select("doc_id", F.round("prediction", 6).alias("prediction"))
 
@@ -147,7 +147,7 @@ FROM p a, p b WHERE NOT a.x AND b.x
 def m4_logistic_log_odds(spark, sf):
     """Logistic regression on one binary feature: its parameters are the groups' log odds."""
     docs = table(spark, sf, "documents").select(
-        _IS_GERMAN.alias("x"), (F.col("n_chars") > 1500).cast("double").alias("label"))
+        F.expr(_IS_GERMAN).alias("x"), (F.col("n_chars") > 1500).cast("double").alias("label"))
     data = VectorAssembler(inputCols=["x"], outputCol="features").transform(docs)
     model = LogisticRegression(regParam=0.0, maxIter=100, tol=1e-9, standardization=False).fit(data)
     # the parameters of a fitted model are a driver-side property
