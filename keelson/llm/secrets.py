@@ -4,8 +4,10 @@ Every text is scanned as it is (base spans). Then a worklist unwraps it: lines w
 (``%41``), lines with Unicode escapes (``\\u0041``, ``\\U00000041``, ``\\x41``, ``\\u{41}``, ``%u0041``), runs of base64 (plain
 or URL-safe alphabet) that decode to printable UTF-8, and base64 of gzip, zlib, bzip2, xz or
 Zstandard data. Each new layer is scanned with the same patterns and unwrapped in turn. A layer
-seen before ends its branch (cycle detection), so the list runs dry: escapes and base64 only
-shrink, and what decompression adds is bounded per document by ``MAX_EXPANDED``.
+seen before, with its text from the same places, ends its branch, as does one that repeats a layer
+it came from (cycle detection); the same text from other places is a layer of its own. So the list
+runs dry: escapes and base64 only shrink, and what decompression adds is bounded per document by
+``MAX_EXPANDED``.
 
 Each layer carries, per character, the span of the original text it came from; spans found in a
 layer are mapped back through it. Work is per document, in place, without a shuffle.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -66,6 +69,12 @@ class Layer:
     def cut(self, a: int, b: int) -> Layer:
         return Layer(self.text[a:b], self.start[a:b], self.stop[a:b])
 
+    def key(self, raw: bytes) -> bytes:
+        """Equal for layers with the same text from the same places."""
+        h = hashlib.blake2b(raw, digest_size=16)
+        h.update(b"\xff" + np.ascontiguousarray(self.start).tobytes() + np.ascontiguousarray(self.stop).tobytes())
+        return h.digest()
+
 
 def scan(text: str, raw: bytes | None = None) -> list[tuple[int, int, int]]:
     """``(start, kind number, stop)`` of the secrets of one layer, in order."""
@@ -223,18 +232,23 @@ def find(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list]:
     base = scan(text, raw)
     if "%" not in text and "\\" not in text and b"1" * 16 not in raw.translate(_B64_TABLE):
         return base, base
-    spans, seen, budget = set(base), {text}, [max_expanded]
+    spans, seen, known, budget = set(base), set(), {}, [max_expanded]
     place = np.arange(len(text))
-    work = [(Layer(text, place, place + 1), raw)]
+    work = [(Layer(text, place, place + 1), raw, frozenset([text]))]
     while work:
-        layer, raw = work.pop()
+        layer, raw, above = work.pop()
         for child in _children(layer, raw, budget):
-            if child.text in seen:
+            if child.text in above:
                 continue
-            seen.add(child.text)
             below = child.text.encode("utf-8", "surrogatepass")
-            spans.update((int(child.start[a]), kind, int(child.stop[b - 1])) for a, kind, b in scan(child.text, below))
-            work.append((child, below))
+            key = child.key(below)
+            if key in seen:
+                continue
+            seen.add(key)
+            if child.text not in known:  # a repeat is only mapped to its own places
+                known[child.text] = scan(child.text, below)
+            spans.update((int(child.start[a]), kind, int(child.stop[b - 1])) for a, kind, b in known[child.text])
+            work.append((child, below, above | {child.text}))
     return base, sorted(spans)
 
 

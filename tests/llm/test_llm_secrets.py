@@ -60,6 +60,17 @@ def test_exact_spans_of_escapes_and_base64():
     assert kind == 0 and start == a * 8 // 6 and stop == ((inner.index(" yy")) * 8 - 1) // 6 + 1
 
 
+@pytest.mark.parametrize("name", LAYERS)
+def test_repeats_are_each_found(name):
+    hidden = LAYERS[name]("xx token=abcdefgh yy and padding")
+    text = f"one {hidden} end\ntwo {hidden} end\nthree {hidden} end\n"
+    once = secrets.find(f"one {hidden} end\n")[1]
+    assert once
+    spans, width = secrets.find(text)[1], len(f"one {hidden} end\n")
+    for at in (0, width, 2 * width + 2):  # "three" is two longer than "one"
+        assert {(a + at, k, b + at) for a, k, b in once} <= set(spans)
+
+
 def test_base_rules():
     scan = secrets.scan
     assert scan("PassWord = 'abcdef'") == [(0, 0, 18)]
