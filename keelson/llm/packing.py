@@ -67,16 +67,23 @@ class Tokens:
         return found
 
     def _blocks(self, text: str):
-        """Lists of chunks. Letters A-Z are lowered first, as the vocabulary does, so that fewer
-        chunks differ, unless the text may spell a special token."""
+        """Lists of chunks. Chunks of ASCII alone are lowered first, as the vocabulary does, so that
+        fewer differ, unless the text may spell a special token. Other chunks stay as they are: the
+        vocabulary composes characters before it lowers them, and that order matters."""
         raw = text.encode("utf-8")
-        raw = raw if b"<|" in raw else raw.lower()
+        keep = b"<|" in raw
         start = 0
         while start < len(raw):
             end = min(len(raw), start + _BLOCK_BYTES)
             while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
                 end += 1
-            yield raw[start:end].split()
+            block = raw[start:end]
+            if keep:
+                yield block.split()
+            elif block.isascii():
+                yield block.lower().split()
+            else:
+                yield [c.lower() if c.isascii() else c for c in block.split()]
             start = end
 
     def _ids(self, blocks: list[list[bytes]]) -> list[bytes]:

@@ -44,6 +44,14 @@ def test_odd_rows(make_docs, odd_rows, tokenizer):
     check(odd_rows + [(20, "<|endoftext|>x <|ENDOFTEXT|> Σας ΣΑΣ x\x1cy"), (21, "Å é it's We'LL 123")], pieces, tokenizer)
 
 
+def test_capitals_that_compose_only_in_lower_case(make_docs, tokenizer):
+    texts = ["H\u0331amza", "J\u030cx", "T\u0308a", "W\u030a", "Y\u030a", "Plain H\u0331 J\u030C WORDS, Ünïcode ŠJ\u030cA"]
+    rows = list(enumerate(texts, 1))
+    tokens = packing.Tokens.of(packing.VOCABULARY)
+    assert [np.frombuffer(i, "<u4").tolist() for i in tokens.encode_all(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    check(rows, packing.pack(make_docs(rows)).collect(), tokenizer)
+
+
 def test_many_partitions_merge_level_by_level(make_docs, tokenizer):
     rows = [(i, "alpha beta gamma " * (i * 37 % 300)) for i in range(120)]
     lengths = check(rows, packing.pack(make_docs(rows, 9), fan_in=2, open_windows=3).collect(), tokenizer)
