@@ -6,8 +6,13 @@ or URL-safe alphabet) that decode to printable UTF-8, and base64 of gzip, zlib,
 Zstandard data. Each new layer is scanned with the same patterns and unwrapped in turn. A layer
 seen before, with its text from the same places, ends its branch, as does one that repeats a layer
 it came from (cycle detection); the same text from other places is a layer of its own. So the list
-runs dry: escapes and base64 only shrink, and what decompression adds is bounded per document by
-``MAX_EXPANDED``.
+runs dry: escapes and base64 only shrink.
+
+What a compressed run holds is decompressed piece by piece and scanned in windows that overlap, so a
+layer of any size is scanned whole in bounded memory; all of it came from the one run, so that only
+the kinds found in it count. A window grows while a compressed run inside it goes on past its end.
+Only a bomb is cut: a document that gives more than ``MAX_EXPANDED`` bytes, or streams more than
+``MAX_DEPTH`` deep, has ``cut`` set in its row.
 
 Each layer carries, per character, the span of the original text it came from; spans found in a
 layer are mapped back through it. Work is per document, in place, without a shuffle.
@@ -22,6 +27,7 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +38,10 @@ from pyspark.sql import types as T
 
 from keelson.llm.common import slices, texts_of
 
-#: Characters that decompression may add per document.
-MAX_EXPANDED = 16 << 20
+#: Bytes that decompression may give per document, and compressed runs inside one another, beyond which it is a bomb.
+MAX_EXPANDED, MAX_DEPTH = 16 << 30, 40
+#: Bytes of a decompressed layer that one window adds, bytes that it shares with the one before, bytes of a piece.
+_ADDED, _SHARED, _PIECE = 4 << 20, 4 << 20, 1 << 16
 
 # fixed values: the kinds in listed order, their patterns and least lengths
 KINDS = ("assign", "access", "hex")
@@ -60,19 +68,32 @@ _B64_TABLE = _table("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 
 @dataclass
 class Layer:
-    """A decoded text; character i came from ``start[i]:stop[i]`` of the original."""
+    """A decoded text; character i came from ``start[i]:stop[i]`` of the original.
+
+    ``goes_on`` marks a text that ends where a window ends, so that more of it may follow."""
 
     text: str
     start: np.ndarray
     stop: np.ndarray
+    goes_on: bool = False
+
+    @classmethod
+    def flat(cls, text: str, start: int, stop: int, goes_on: bool = False) -> Layer:
+        """A text that came from one place as a whole."""
+        return cls(text, *(np.broadcast_to(np.int64(x), len(text)) for x in (start, stop)), goes_on)
+
+    @property
+    def is_flat(self) -> bool:
+        return self.start.strides == (0,)
 
     def cut(self, a: int, b: int) -> Layer:
-        return Layer(self.text[a:b], self.start[a:b], self.stop[a:b])
+        return Layer(self.text[a:b], self.start[a:b], self.stop[a:b], self.goes_on and b == len(self.text))
 
     def key(self, raw: bytes) -> bytes:
         """Equal for layers with the same text from the same places."""
         h = hashlib.blake2b(raw, digest_size=16)
-        h.update(b"\xff" + np.ascontiguousarray(self.start).tobytes() + np.ascontiguousarray(self.stop).tobytes())
+        few = 1 if self.is_flat else len(self.start)
+        h.update(b"\xff" + self.start[:few].tobytes() + self.stop[:few].tobytes())
         return h.digest()
 
 
@@ -115,7 +136,9 @@ def _spliced(layer: Layer, pattern: re.Pattern, decode) -> Layer:
     texts.append(layer.text[at:])
     starts.append(layer.start[at:])
     stops.append(layer.stop[at:])
-    return Layer("".join(texts), np.concatenate(starts), np.concatenate(stops))
+    if layer.is_flat:
+        return Layer.flat("".join(texts), layer.start[0], layer.stop[0], layer.goes_on)
+    return Layer("".join(texts), np.concatenate(starts), np.concatenate(stops), layer.goes_on)
 
 
 def _characters(raw: bytes) -> list[tuple[str, int, int]]:
@@ -156,29 +179,133 @@ def _pairs(layer: Layer) -> Layer:
     return _spliced(layer, re.compile("[\ud800-\udbff][\udc00-\udfff]|[\ud800-\udfff]"), join)
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None:
-    """What compressed bytes hold (at most ``limit``), None if they are not known to be compressed."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, limit)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, limit)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, limit)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, limit)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                return reader.read(limit)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    except Exception as bad:
-        if type(bad).__module__.startswith("zstandard"):
-            return None
-        raise
-    return None
+def _format(head: bytes) -> str | None:
+    """How bytes that begin like this are compressed, None if not in a known way."""
+    if head[:2] == b"\x1f\x8b":
+        return "zlib"
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib"
+    return {b"BZh": "bz2", b"\xfd7z": "xz", b"\x28\xb5\x2f": "zstd"}.get(head[:3])
+
+
+class _Source:
+    """What a reader takes from ``head`` and then ``pieces``."""
+
+    def __init__(self, head: bytes, pieces: Iterator[bytes]):
+        self.head, self.pieces = head, pieces
+
+    def read(self, size: int = -1) -> bytes:
+        data = self.head or next(self.pieces, b"")
+        self.head = data[size:] if size >= 0 else b""
+        return data[:size] if size >= 0 else data
+
+
+class _Search:
+    """Layers below one document: what is left of its bounds, and what its compressed runs held."""
+
+    def __init__(self, max_expanded: int):
+        self.left, self.depth, self.cut = max_expanded, 0, False
+        self.streams: dict[bytes, tuple[frozenset[int], bool]] = {}
+
+    def _inflated(self, pieces: Iterator[bytes], short: list[bool]) -> Iterator[bytes]:
+        """What compressed bytes hold, in pieces; ``short`` is set if they end too early."""
+        for out in self._unpacked(pieces, short):
+            if self.left <= 0:
+                self.cut = True
+                return
+            self.left -= len(out)
+            yield out
+
+    def _unpacked(self, pieces: Iterator[bytes], short: list[bool]) -> Iterator[bytes]:
+        data = next(pieces, b"")
+        form = _format(data)
+        try:
+            if form == "zstd":
+                import zstandard
+
+                short[0] = True  # its reader does not tell
+                with zstandard.ZstdDecompressor().stream_reader(_Source(data, pieces)) as reader:
+                    while out := reader.read(_PIECE):
+                        yield out
+            elif form:
+                unpack = {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[form]()
+                while not unpack.eof:
+                    out = unpack.decompress(data, _PIECE)
+                    data = unpack.unconsumed_tail if form == "zlib" else b""
+                    if out:
+                        yield out
+                    if not unpack.eof and (not data and len(out) < _PIECE if form == "zlib" else unpack.needs_input):
+                        data = next(pieces, b"")
+                        if not data:
+                            short[0] = True
+                            return
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+            return
+        except Exception as bad:
+            if not type(bad).__module__.startswith("zstandard"):
+                raise
+
+    def stream(self, raw: bytes) -> tuple[frozenset[int], bool]:
+        """Kind numbers of the secrets anywhere in a compressed run, and whether it ends too early."""
+        key = hashlib.blake2b(raw, digest_size=16).digest()
+        if key in self.streams:
+            return self.streams[key]
+        if self.depth >= MAX_DEPTH:
+            self.cut = True
+            return frozenset(), False
+        self.streams[key] = frozenset(), False  # a run inside itself adds nothing
+        self.depth += 1
+        short = [False]
+        pieces = self._inflated((raw[i:i + _PIECE] for i in range(0, len(raw), _PIECE)), short)
+        kinds: set[int] = set()
+        window, more = b"", True
+        while more and len(kinds) < len(KINDS):
+            parts, added = [window], 0
+            while added < max(_ADDED, len(window) if len(window) > _SHARED else 0):
+                piece = next(pieces, None)
+                if piece is None:
+                    more = False
+                    break
+                parts.append(piece)
+                added += len(piece)
+            window = b"".join(parts)
+            layer = Layer.flat(window.decode("latin-1"), 0, 1, more)
+            kinds.update(kind for _, kind, _ in scan(layer.text, window))
+            below: set[tuple[int, int, int]] = set()
+            goes_on = self.walk(layer, window, below)
+            kinds.update(kind for _, kind, _ in below)
+            if more and not goes_on and len(window) > _SHARED:
+                at = len(window) - _SHARED
+                line = window.find(b"\n", at, at + _SHARED // 2)
+                window = window[line + 1 if line >= 0 else at:]
+        self.depth -= 1
+        self.streams[key] = frozenset(kinds), short[0]
+        return self.streams[key]
+
+    def walk(self, layer: Layer, raw: bytes, spans: set[tuple[int, int, int]]) -> bool:
+        """Adds the spans of all layers below one; true if a compressed run may go on after its end."""
+        seen, known, goes_on = set(), {}, False
+        work = [(layer, raw, frozenset([layer.text]))]
+        while work:
+            layer, raw, above = work.pop()
+            for child in _children(layer, raw):
+                if isinstance(child, Run):
+                    kinds, short = self.stream(child.raw)
+                    spans.update((child.start, kind, child.stop) for kind in kinds)
+                    goes_on |= short and child.goes_on
+                    continue
+                if child.text in above:
+                    continue
+                below = child.text.encode("utf-8", "surrogatepass")
+                key = child.key(below)
+                if key in seen:
+                    continue
+                seen.add(key)
+                if child.text not in known:  # a repeat is only mapped to its own places
+                    known[child.text] = scan(child.text, below)
+                spans.update((int(child.start[a]), kind, int(child.stop[b - 1])) for a, kind, b in known[child.text])
+                work.append((child, below, above | {child.text}))
+        return goes_on
 
 
 def _printable(raw: bytes) -> str | None:
@@ -189,7 +316,17 @@ def _printable(raw: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r\v\f" for c in text) else None
 
 
-def _base64(layer: Layer, budget: list[int]):
+@dataclass
+class Run:
+    """Compressed bytes, which came from ``start:stop`` of the original."""
+
+    raw: bytes
+    start: int
+    stop: int
+    goes_on: bool
+
+
+def _base64(layer: Layer):
     for m in _BASE64.finditer(layer.text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
@@ -203,18 +340,12 @@ def _base64(layer: Layer, budget: list[int]):
         if text is not None:
             byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
             first, last = byte[:-1] * 8 // 6, (byte[1:] * 8 - 1) // 6
-            yield Layer(text, part.start[first], part.stop[last])
-            continue
-        if budget[0] <= 0:
-            continue
-        unpacked = _inflate(raw, budget[0])
-        text = _printable(unpacked) if unpacked else None
-        if text is not None:
-            budget[0] -= len(text)
-            yield Layer(text, np.full(len(text), part.start[0]), np.full(len(text), part.stop[-1]))
+            yield Layer(text, part.start[first], part.stop[last], part.goes_on)
+        elif _format(raw):
+            yield Run(raw, int(part.start[0]), int(part.stop[-1]), part.goes_on)
 
 
-def _children(layer: Layer, raw: bytes, budget: list[int]):
+def _children(layer: Layer, raw: bytes):
     text = layer.text
     if "%" in text:
         for a, b in _lines_with(text, _URL):
@@ -223,33 +354,23 @@ def _children(layer: Layer, raw: bytes, budget: list[int]):
         for a, b in _lines_with(text, _UNICODE):
             yield _pairs(_spliced(layer.cut(a, b), _UNICODE, _unicode))
     if b"1" * 16 in raw.translate(_B64_TABLE):
-        yield from _base64(layer, budget)
+        yield from _base64(layer)
 
 
-def find(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list]:
-    """``(base, all)`` spans of a text as sorted ``(start, kind number, stop)``."""
+def search(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list, bool]:
+    """``(base, all)`` spans of a text as sorted ``(start, kind number, stop)``, and whether a bomb was cut."""
     raw = text.encode("utf-8", "surrogatepass")
     base = scan(text, raw)
     if "%" not in text and "\\" not in text and b"1" * 16 not in raw.translate(_B64_TABLE):
-        return base, base
-    spans, seen, known, budget = set(base), set(), {}, [max_expanded]
-    place = np.arange(len(text))
-    work = [(Layer(text, place, place + 1), raw, frozenset([text]))]
-    while work:
-        layer, raw, above = work.pop()
-        for child in _children(layer, raw, budget):
-            if child.text in above:
-                continue
-            below = child.text.encode("utf-8", "surrogatepass")
-            key = child.key(below)
-            if key in seen:
-                continue
-            seen.add(key)
-            if child.text not in known:  # a repeat is only mapped to its own places
-                known[child.text] = scan(child.text, below)
-            spans.update((int(child.start[a]), kind, int(child.stop[b - 1])) for a, kind, b in known[child.text])
-            work.append((child, below, above | {child.text}))
-    return base, sorted(spans)
+        return base, base, False
+    spans, place, layers = set(base), np.arange(len(text)), _Search(max_expanded)
+    layers.walk(Layer(text, place, place + 1), raw, spans)
+    return base, sorted(spans), layers.cut
+
+
+def find(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list]:
+    """``(base, all)`` spans of a text as sorted ``(start, kind number, stop)``."""
+    return search(text, max_expanded)[:2]
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
@@ -257,15 +378,16 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_expanded: int = MAX_EXPANDED) -> DataFrame:
-    """``(doc_id, base, spans)``, one row per row of ``docs``.
+    """``(doc_id, base, spans, cut)``, one row per row of ``docs``.
 
-    Both are arrays of ``(kind, start, stop)`` by start, kind as listed and stop, in code points of the
+    ``base`` and ``spans`` are arrays of ``(kind, start, stop)`` by start, kind as listed and stop, in code points of the
     whole text with exclusive ends: ``base`` from the text as it is, ``spans`` with those found in its
-    decoded layers. Null texts read as empty and have none. Null and repeated ids and repeated rows
+    decoded layers. ``cut`` is true if a bomb's layers were not scanned to their end. Null texts read as empty and have none. Null and repeated ids and repeated rows
     keep one row each; further columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = T.StructType([rows.schema["doc_id"], T.StructField("base", _SPAN), T.StructField("spans", _SPAN)])
+    out = T.StructType([rows.schema["doc_id"], T.StructField("base", _SPAN), T.StructField("spans", _SPAN),
+                        T.StructField("cut", T.BooleanType())])
 
     def named(spans):
         return [{"kind": KINDS[k], "start": a, "stop": b} for a, k, b in spans]
@@ -275,9 +397,10 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ma
     def run(batches):
         for batch in batches:
             for part in slices(batch, 256):
-                found = [find(t, max_expanded) for t in texts_of(part)]
+                found = [search(t, max_expanded) for t in texts_of(part)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array([named(f[i]) for f in found], kind) for i in (0, 1))],
-                    names=["doc_id", "base", "spans"])
+                    [part.column("doc_id"), *(pa.array([named(f[i]) for f in found], kind) for i in (0, 1)),
+                     pa.array([f[2] for f in found], pa.bool_())],
+                    names=["doc_id", "base", "spans", "cut"])
 
     return rows.mapInArrow(run, out)

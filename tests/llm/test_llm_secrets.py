@@ -5,6 +5,7 @@ import lzma
 import urllib.parse
 import zlib
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -92,6 +93,30 @@ def test_cycles_and_bombs_end():
     assert secrets.find(("\\ud83d" * 3 + "\\u{110000}" + "\\udc00%u0041") * 20)[1] == []
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lambda s: lzma.compress(s, preset=0), zstandard.compress],
+                         ids=["gzip", "zlib", "bz2", "xz", "zstd"])
+def test_secrets_behind_long_layers(pack):
+    long = "é plain words, none of them odd\n" * 560_000  # more than 16 Mi
+    hidden = b64(pack((long + SECRET + "\nend é").encode()))
+    assert secrets.find("x " + hidden + " y")[1] == [(2, 0, 2 + len(hidden))]
+    after = b64(pack(("é" + KEY).encode()))  # a later run of the same document
+    assert (len(hidden) + 1, 1, len(hidden) + 1 + len(after)) in secrets.find(hidden + " " + after)[1]
+
+
+def test_compressed_run_over_many_windows():
+    junk = np.random.default_rng(1).bytes(9_000_000)
+    inner = gzip.compress(junk + b"\n" + KEY.encode() + b"\n")
+    hidden = b64(gzip.compress(b"z " * 3_000_000 + base64.b64encode(inner) + b"\n" + b"z " * 6_000_000))
+    assert secrets.find(hidden)[1] == [(0, 1, len(hidden))]
+
+
+def test_cut_bombs_are_marked(make_docs):
+    bomb = b64(gzip.compress(b"z" * 5_000_000))
+    assert secrets.search(bomb, 1 << 16)[2] and not secrets.search(bomb)[2]
+    rows = {r.doc_id: r.cut for r in secrets.find_secrets(make_docs([(1, bomb), (2, SECRET)]), max_expanded=1 << 16).collect()}
+    assert rows == {1: True, 2: False}
+
+
 def test_rows(make_docs, odd_rows):
     rows = odd_rows + [(30, SECRET), (31, quote(SECRET))]
     found = secrets.find_secrets(make_docs(rows)).collect()
