@@ -2,8 +2,9 @@
 
 Every text is scanned as it is (base spans). Then a worklist unwraps it: lines with URL escapes
 (``%41``), lines with Unicode escapes (``\\u0041``, ``\\U00000041``, ``\\x41``, ``\\u{41}``, ``%u0041``), runs of base64 (plain
-or URL-safe alphabet) that decode to printable UTF-8, and base64 of gzip, zlib, bzip2, xz or
-Zstandard data. Each new layer is scanned with the same patterns and unwrapped in turn. A layer
+or URL-safe alphabet), and in base64 gzip, zlib, bzip2, xz or Zstandard data, all members of it and
+compressed again or not. Decoded bytes are read one character a byte: the patterns and encodings are
+ASCII, so bytes that are no text are noise which hides nothing. Each new layer is scanned with the same patterns and unwrapped in turn. A layer
 seen before, with its text from the same places, ends its branch, as does one that repeats a layer
 it came from (cycle detection); the same text from other places is a layer of its own. So the list
 runs dry: escapes and base64 only shrink.
@@ -41,7 +42,7 @@ from keelson.llm.common import slices, texts_of
 #: Bytes that decompression may give per document, and compressed runs inside one another, beyond which it is a bomb.
 MAX_EXPANDED, MAX_DEPTH = 16 << 30, 40
 #: Bytes of a decompressed layer that one window adds, bytes that it shares with the one before, bytes of a piece.
-_ADDED, _SHARED, _PIECE = 4 << 20, 4 << 20, 1 << 16
+_ADDED, _SHARED, _PIECE, _LITTLE = 4 << 20, 4 << 20, 1 << 16, 1 << 8
 
 # fixed values: the kinds in listed order, their patterns and least lengths
 KINDS = ("assign", "access", "hex")
@@ -185,19 +186,25 @@ def _format(head: bytes) -> str | None:
         return "zlib"
     if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
         return "zlib"
+    if head[1:4] == b"\x2a\x4d\x18" and head[0] >> 4 == 5:
+        return "zstd"  # a frame to skip
     return {b"BZh": "bz2", b"\xfd7z": "xz", b"\x28\xb5\x2f": "zstd"}.get(head[:3])
 
 
-class _Source:
-    """What a reader takes from ``head`` and then ``pieces``."""
+@dataclass
+class _Ends:
+    """How compressed bytes end: too early, or with bytes that are not compressed data."""
+
+    short: bool = False
+    odd: bool = False
 
-    def __init__(self, head: bytes, pieces: Iterator[bytes]):
-        self.head, self.pieces = head, pieces
 
-    def read(self, size: int = -1) -> bytes:
-        data = self.head or next(self.pieces, b"")
-        self.head = data[size:] if size >= 0 else b""
-        return data[:size] if size >= 0 else data
+def _unpacker(form: str):
+    if form == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[form]()
 
 
 class _Search:
@@ -205,60 +212,82 @@ class _Search:
 
     def __init__(self, max_expanded: int):
         self.left, self.depth, self.cut = max_expanded, 0, False
-        self.streams: dict[bytes, tuple[frozenset[int], bool]] = {}
+        self.streams: dict[bytes, tuple[frozenset[int], _Ends]] = {}
+
+    def _inflated(self, raw: bytes, levels: int, ends: _Ends) -> Iterator[bytes]:
+        """What compressed bytes hold, unwrapped so many times, in pieces."""
+        pieces = (raw[i:i + _PIECE] for i in range(0, len(raw), _PIECE))
+        for level in range(levels):
+            pieces = self._counted(self._unpacked(pieces, ends if level == 0 else _Ends()))
+        return pieces
 
-    def _inflated(self, pieces: Iterator[bytes], short: list[bool]) -> Iterator[bytes]:
-        """What compressed bytes hold, in pieces; ``short`` is set if they end too early."""
-        for out in self._unpacked(pieces, short):
+    def _counted(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
+        for out in pieces:
             if self.left <= 0:
                 self.cut = True
                 return
             self.left -= len(out)
             yield out
 
-    def _unpacked(self, pieces: Iterator[bytes], short: list[bool]) -> Iterator[bytes]:
-        data = next(pieces, b"")
-        form = _format(data)
+    def _unpacked(self, pieces: Iterator[bytes], ends: _Ends) -> Iterator[bytes]:
+        """What the members of compressed data hold, up to bytes that are not compressed."""
+        data = b""
         try:
-            if form == "zstd":
-                import zstandard
-
-                short[0] = True  # its reader does not tell
-                with zstandard.ZstdDecompressor().stream_reader(_Source(data, pieces)) as reader:
-                    while out := reader.read(_PIECE):
-                        yield out
-            elif form:
-                unpack = {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[form]()
+            while True:
+                while len(data) < 6 and (piece := next(pieces, b"")):
+                    data = (data + piece).lstrip(b"\0")
+                form = _format(data)
+                if not form:
+                    ends.odd |= bool(data)
+                    return
+                unpack = _unpacker(form)
                 while not unpack.eof:
-                    out = unpack.decompress(data, _PIECE)
-                    data = unpack.unconsumed_tail if form == "zlib" else b""
+                    if form == "zstd":  # has no bound on what it returns, so it gets little at once
+                        out, data = unpack.decompress(data[:_LITTLE]), data[_LITTLE:]
+                        wants = not data
+                    else:
+                        out = unpack.decompress(data, _PIECE)
+                        data = unpack.unconsumed_tail if form == "zlib" else b""
+                        wants = not data and len(out) < _PIECE if form == "zlib" else unpack.needs_input
                     if out:
                         yield out
-                    if not unpack.eof and (not data and len(out) < _PIECE if form == "zlib" else unpack.needs_input):
+                    if wants and not unpack.eof:
                         data = next(pieces, b"")
                         if not data:
-                            short[0] = True
+                            ends.short = True
                             return
+                data = (unpack.unused_data + data if form == "zstd" else unpack.unused_data).lstrip(b"\0")
         except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-            return
+            ends.odd = True
         except Exception as bad:
+            ends.odd = True
             if not type(bad).__module__.startswith("zstandard"):
                 raise
 
-    def stream(self, raw: bytes) -> tuple[frozenset[int], bool]:
-        """Kind numbers of the secrets anywhere in a compressed run, and whether it ends too early."""
+    def stream(self, raw: bytes) -> tuple[frozenset[int], _Ends]:
+        """Kind numbers of the secrets anywhere in a compressed run, and how it ends."""
         key = hashlib.blake2b(raw, digest_size=16).digest()
         if key in self.streams:
             return self.streams[key]
+        ends, kinds = _Ends(), set()
         if self.depth >= MAX_DEPTH:
             self.cut = True
-            return frozenset(), False
-        self.streams[key] = frozenset(), False  # a run inside itself adds nothing
+            return frozenset(), ends
+        self.streams[key] = frozenset(), ends  # a run inside itself adds nothing
         self.depth += 1
-        short = [False]
-        pieces = self._inflated((raw[i:i + _PIECE] for i in range(0, len(raw), _PIECE)), short)
-        kinds: set[int] = set()
-        window, more = b"", True
+        for levels in range(1, MAX_DEPTH + 1):
+            head = self._windows(self._inflated(raw, levels, ends), kinds)
+            if not _format(head) or len(kinds) == len(KINDS):
+                break
+        else:
+            self.cut = True
+        self.depth -= 1
+        self.streams[key] = frozenset(kinds), ends
+        return self.streams[key]
+
+    def _windows(self, pieces: Iterator[bytes], kinds: set[int]) -> bytes:
+        """Adds the kind numbers of a layer given in pieces; its first bytes."""
+        window, more, head = b"", True, b""
         while more and len(kinds) < len(KINDS):
             parts, added = [window], 0
             while added < max(_ADDED, len(window) if len(window) > _SHARED else 0):
@@ -269,6 +298,7 @@ class _Search:
                 parts.append(piece)
                 added += len(piece)
             window = b"".join(parts)
+            head = head or window[:8]
             layer = Layer.flat(window.decode("latin-1"), 0, 1, more)
             kinds.update(kind for _, kind, _ in scan(layer.text, window))
             below: set[tuple[int, int, int]] = set()
@@ -278,9 +308,7 @@ class _Search:
                 at = len(window) - _SHARED
                 line = window.find(b"\n", at, at + _SHARED // 2)
                 window = window[line + 1 if line >= 0 else at:]
-        self.depth -= 1
-        self.streams[key] = frozenset(kinds), short[0]
-        return self.streams[key]
+        return head
 
     def walk(self, layer: Layer, raw: bytes, spans: set[tuple[int, int, int]]) -> bool:
         """Adds the spans of all layers below one; true if a compressed run may go on after its end."""
@@ -290,10 +318,12 @@ class _Search:
             layer, raw, above = work.pop()
             for child in _children(layer, raw):
                 if isinstance(child, Run):
-                    kinds, short = self.stream(child.raw)
+                    kinds, ends = self.stream(child.raw)
                     spans.update((child.start, kind, child.stop) for kind in kinds)
-                    goes_on |= short and child.goes_on
-                    continue
+                    goes_on |= ends.short and child.goes_on
+                    if child.plain is None or not (ends.short or ends.odd):
+                        continue
+                    child = child.plain
                 if child.text in above:
                     continue
                 below = child.text.encode("utf-8", "surrogatepass")
@@ -308,22 +338,32 @@ class _Search:
         return goes_on
 
 
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r\v\f" for c in text) else None
+def _may_hold(raw: bytes) -> bool:
+    """False for bytes without any secret or further encoding."""
+    low = raw.lower()
+    return (b"%" in raw or b"\\" in raw or b"AKIA" in raw or any(w.encode() in low for w in _WORDS)
+            or b"1" * 16 in raw.translate(_B64_TABLE) or b"1" * MIN_HEX in raw.translate(_HEX_TABLE))
 
 
 @dataclass
 class Run:
-    """Compressed bytes, which came from ``start:stop`` of the original."""
+    """Compressed bytes, which came from ``start:stop`` of the original; ``plain`` is them as a layer,
+    which counts if they turn out not to be compressed to their end."""
 
     raw: bytes
     start: int
     stop: int
     goes_on: bool
+    plain: Layer | None
+
+
+def _bytes_layer(raw: bytes, part: Layer) -> Layer:
+    """Bytes as a layer of one character each; byte i came from bits 8i to 8i + 8 of base64 characters."""
+    text = raw.decode("latin-1")
+    if part.is_flat:
+        return Layer.flat(text, part.start[0], part.stop[0], part.goes_on)
+    byte = np.arange(len(raw))
+    return Layer(text, part.start[byte * 8 // 6], part.stop[(byte * 8 + 7) // 6], part.goes_on)
 
 
 def _base64(layer: Layer):
@@ -336,13 +376,11 @@ def _base64(layer: Layer):
         except (binascii.Error, ValueError):
             continue
         part = layer.cut(m.start(), m.end())
-        text = _printable(raw)
-        if text is not None:
-            byte = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-            first, last = byte[:-1] * 8 // 6, (byte[1:] * 8 - 1) // 6
-            yield Layer(text, part.start[first], part.stop[last], part.goes_on)
-        elif _format(raw):
-            yield Run(raw, int(part.start[0]), int(part.stop[-1]), part.goes_on)
+        plain = _bytes_layer(raw, part) if _may_hold(raw) else None
+        if _format(raw):
+            yield Run(raw, int(part.start[0]), int(part.stop[-1]), part.goes_on, plain)
+        elif plain:
+            yield plain
 
 
 def _children(layer: Layer, raw: bytes):

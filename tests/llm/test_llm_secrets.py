@@ -110,6 +110,46 @@ def test_compressed_run_over_many_windows():
     assert secrets.find(hidden)[1] == [(0, 1, len(hidden))]
 
 
+PACKERS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
+
+
+@pytest.mark.parametrize("outer", PACKERS)
+@pytest.mark.parametrize("inner", PACKERS)
+def test_compressed_again(inner, outer):
+    hidden = b64(outer(inner(outer(SECRET.encode()))))
+    assert secrets.find("a " + hidden)[1] == [(2, 0, 2 + len(hidden))]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_all_members(pack):
+    hidden = b64(pack(b"first") + pack(b"second " + KEY.encode()) + pack(b"third " + SECRET.encode()))
+    assert secrets.find(hidden)[1] == [(0, 0, len(hidden)), (0, 1, len(hidden))]
+
+
+@pytest.mark.parametrize("text", ["x^y BZh ", "BZh9 is ", "x\x9cz "])
+def test_text_that_looks_compressed(text):
+    plain = text.encode("latin-1") + KEY.encode()
+    at = len(plain) - len(KEY)
+    assert secrets.find(b64(plain))[1] == [(at * 8 // 6, 1, (len(plain) * 8 - 1) // 6 + 1)]
+    packed = b64(gzip.compress(plain))
+    assert secrets.find(packed)[1] == [(0, 1, len(packed))]
+    tail = secrets.find(b64(gzip.compress(b"packed") + b" then " + KEY.encode()))[1]
+    assert [k for _, k, _ in tail] == [1]
+
+
+@pytest.mark.parametrize("odd", ["\xa0", "\u3000", "\u200b", "\xad", "\ufeff", "\0", "\x1b", b"\xff\xfe"])
+def test_odd_characters_hide_nothing(odd):
+    odd = odd if isinstance(odd, bytes) else odd.encode()
+    plain = odd + b"x " + KEY.encode() + b" y" + odd
+    hidden = b64(plain)
+    at = len(odd) + 2
+    assert secrets.find(hidden)[1] == [(at * 8 // 6, 1, ((at + len(KEY)) * 8 - 1) // 6 + 1)]
+    packed = b64(gzip.compress(plain))
+    assert secrets.find(packed)[1] == [(0, 1, len(packed))]
+    twice = b64(odd + quote(KEY).encode())
+    assert [k for _, k, _ in secrets.find(twice)[1]] == [1]
+
+
 def test_cut_bombs_are_marked(make_docs):
     bomb = b64(gzip.compress(b"z" * 5_000_000))
     assert secrets.search(bomb, 1 << 16)[2] and not secrets.search(bomb)[2]
