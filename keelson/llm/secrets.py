@@ -2,7 +2,8 @@
 
 Every text is scanned as it is (base spans). Then a worklist unwraps it: lines with URL escapes
 (``%41``), lines with Unicode escapes (``\\u0041``, ``\\U00000041``, ``\\x41``, ``\\u{41}``, ``%u0041``), runs of base64 (plain
-or URL-safe alphabet), and in base64 gzip, zlib, bzip2, xz or Zstandard data, all members of it and
+or URL-safe alphabet, also runs joined across line ends; from each of the first four characters, as
+other characters may stand before the encoded ones), and in base64 gzip, zlib, bzip2, xz or Zstandard data, all members of it and
 compressed again or not. Decoded bytes are read one character a byte: the patterns and encodings are
 ASCII, so bytes that are no text are noise which hides nothing. Each new layer is scanned with the same patterns and unwrapped in turn. A layer
 seen before, with its text from the same places, ends its branch, as does one that repeats a layer
@@ -22,7 +23,6 @@ layer are mapped back through it. Work is per document, in place, without a shuf
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -56,6 +56,11 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# line ends, also as written in strings, with blanks around; each further line is a run as a whole
+_END = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*+"
+_LINE_END = re.compile(_END)
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_END}[A-Za-z0-9+/_-]++(?==|[ \t]*+(?:[\r\n\\\"'<>,;)\]}}]|\Z)))++={{0,2}}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18", re.S)
 
 
 def _table(chars: str) -> bytes:
@@ -207,6 +212,48 @@ def _unpacker(form: str):
     return {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[form]()
 
 
+def _unpacked(pieces: Iterator[bytes], ends: _Ends) -> Iterator[bytes]:
+    """What the members of compressed data hold, up to bytes that are not compressed."""
+    data = b""
+    try:
+        while True:
+            while len(data) < 6 and (piece := next(pieces, b"")):
+                data = (data + piece).lstrip(b"\0")
+            form = _format(data)
+            if not form:
+                ends.odd |= bool(data)
+                return
+            unpack = _unpacker(form)
+            while not unpack.eof:
+                if form == "zstd":  # has no bound on what it returns, so it gets little at once
+                    out, data = unpack.decompress(data[:_LITTLE]), data[_LITTLE:]
+                    wants = not data
+                else:
+                    out = unpack.decompress(data, _PIECE)
+                    data = unpack.unconsumed_tail if form == "zlib" else b""
+                    wants = not data and len(out) < _PIECE if form == "zlib" else unpack.needs_input
+                if out:
+                    yield out
+                if wants and not unpack.eof:
+                    data = next(pieces, b"")
+                    if not data:
+                        ends.short = True
+                        return
+            data = (unpack.unused_data + data if form == "zstd" else unpack.unused_data).lstrip(b"\0")
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
+        ends.odd = True
+    except Exception as bad:
+        ends.odd = True
+        if not type(bad).__module__.startswith("zstandard"):
+            raise
+
+
+def _may_begin(raw: bytes) -> bool:
+    """False if these are no first bytes of compressed data."""
+    ends = _Ends()
+    return any(True for _ in _unpacked(iter([raw]), ends)) or not ends.odd
+
+
 class _Search:
     """Layers below one document: what is left of its bounds, and what its compressed runs held."""
 
@@ -218,7 +265,7 @@ class _Search:
         """What compressed bytes hold, unwrapped so many times, in pieces."""
         pieces = (raw[i:i + _PIECE] for i in range(0, len(raw), _PIECE))
         for level in range(levels):
-            pieces = self._counted(self._unpacked(pieces, ends if level == 0 else _Ends()))
+            pieces = self._counted(_unpacked(pieces, ends if level == 0 else _Ends()))
         return pieces
 
     def _counted(self, pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -229,41 +276,6 @@ class _Search:
             self.left -= len(out)
             yield out
 
-    def _unpacked(self, pieces: Iterator[bytes], ends: _Ends) -> Iterator[bytes]:
-        """What the members of compressed data hold, up to bytes that are not compressed."""
-        data = b""
-        try:
-            while True:
-                while len(data) < 6 and (piece := next(pieces, b"")):
-                    data = (data + piece).lstrip(b"\0")
-                form = _format(data)
-                if not form:
-                    ends.odd |= bool(data)
-                    return
-                unpack = _unpacker(form)
-                while not unpack.eof:
-                    if form == "zstd":  # has no bound on what it returns, so it gets little at once
-                        out, data = unpack.decompress(data[:_LITTLE]), data[_LITTLE:]
-                        wants = not data
-                    else:
-                        out = unpack.decompress(data, _PIECE)
-                        data = unpack.unconsumed_tail if form == "zlib" else b""
-                        wants = not data and len(out) < _PIECE if form == "zlib" else unpack.needs_input
-                    if out:
-                        yield out
-                    if wants and not unpack.eof:
-                        data = next(pieces, b"")
-                        if not data:
-                            ends.short = True
-                            return
-                data = (unpack.unused_data + data if form == "zstd" else unpack.unused_data).lstrip(b"\0")
-        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-            ends.odd = True
-        except Exception as bad:
-            ends.odd = True
-            if not type(bad).__module__.startswith("zstandard"):
-                raise
-
     def stream(self, raw: bytes) -> tuple[frozenset[int], _Ends]:
         """Kind numbers of the secrets anywhere in a compressed run, and how it ends."""
         key = hashlib.blake2b(raw, digest_size=16).digest()
@@ -276,7 +288,11 @@ class _Search:
         self.streams[key] = frozenset(), ends  # a run inside itself adds nothing
         self.depth += 1
         for levels in range(1, MAX_DEPTH + 1):
-            head = self._windows(self._inflated(raw, levels, ends), kinds)
+            pieces = self._inflated(raw, levels, ends)
+            head = self._windows(pieces, kinds)
+            if levels == 1:
+                for _ in pieces:  # how the run ends is known at its end only
+                    pass
             if not _format(head) or len(kinds) == len(KINDS):
                 break
         else:
@@ -321,9 +337,8 @@ class _Search:
                     kinds, ends = self.stream(child.raw)
                     spans.update((child.start, kind, child.stop) for kind in kinds)
                     goes_on |= ends.short and child.goes_on
-                    if child.plain is None or not (ends.short or ends.odd):
-                        continue
-                    child = child.plain
+                    child.clean = not ends.short and not ends.odd
+                    continue
                 if child.text in above:
                     continue
                 below = child.text.encode("utf-8", "surrogatepass")
@@ -347,40 +362,66 @@ def _may_hold(raw: bytes) -> bool:
 
 @dataclass
 class Run:
-    """Compressed bytes, which came from ``start:stop`` of the original; ``plain`` is them as a layer,
-    which counts if they turn out not to be compressed to their end."""
+    """Compressed bytes, which came from ``start:stop`` of the original; who unpacks them sets ``clean``
+    if they are compressed data to their end."""
 
     raw: bytes
     start: int
     stop: int
     goes_on: bool
-    plain: Layer | None
-
-
-def _bytes_layer(raw: bytes, part: Layer) -> Layer:
+    clean: bool = False
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray, int, int]]:
+    """Runs of base64 characters, their places in the text, and where the run with its padding begins and ends."""
+    for m in _BASE64.finditer(text):
+        body = m[0].rstrip("=")
+        yield body, np.arange(m.start(), m.start() + len(body)), m.start(), m.end()
+    for m in _WRAPPED.finditer(text):
+        parts, at = [], m.start()
+        for end in _LINE_END.finditer(text, m.start(), m.end()):
+            parts.append((at, end.start()))
+            at = end.end()
+        parts.append((at, m.end() - len(m[0]) + len(m[0].rstrip("="))))
+        body = "".join([text[a:b] for a, b in parts])
+        if len(body) >= 16:
+            yield body, np.concatenate([np.arange(a, b) for a, b in parts]), m.start(), m.end()
+
+
+def _bytes_layer(raw: bytes, layer: Layer, places: np.ndarray, goes_on: bool) -> Layer:
     """Bytes as a layer of one character each; byte i came from bits 8i to 8i + 8 of base64 characters."""
     text = raw.decode("latin-1")
-    if part.is_flat:
-        return Layer.flat(text, part.start[0], part.stop[0], part.goes_on)
+    if layer.is_flat:
+        return Layer.flat(text, layer.start[0], layer.stop[0], goes_on)
     byte = np.arange(len(raw))
-    return Layer(text, part.start[byte * 8 // 6], part.stop[(byte * 8 + 7) // 6], part.goes_on)
+    return Layer(text, layer.start[places[byte * 8 // 6]], layer.stop[places[(byte * 8 + 7) // 6]], goes_on)
 
 
 def _base64(layer: Layer):
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        part = layer.cut(m.start(), m.end())
-        plain = _bytes_layer(raw, part) if _may_hold(raw) else None
-        if _format(raw):
-            yield Run(raw, int(part.start[0]), int(part.stop[-1]), part.goes_on, plain)
-        elif plain:
-            yield plain
+    for body, places, start, stop in _runs(layer.text):
+        goes_on = layer.goes_on and stop == len(layer.text)
+        body = body.replace("-", "+").replace("_", "/")
+        shifted, begins = [], []
+        for shift in range(4):
+            part = body[shift:len(body) - ((len(body) - shift) % 4 == 1)]  # one character alone holds no byte
+            raw = base64.b64decode(part + "=" * (-len(part) % 4), validate=True)
+            shifted.append(raw)
+            begins += [(shift + m.start() // 3 * 4, shift, m.start()) for m in _MAGIC.finditer(raw) if m.start() % 3 == 0]
+        if _format(shifted[0]):
+            begins.append((0, 0, 0))
+        end = len(body)
+        for at, shift, byte in sorted(set(begins)):
+            if at and not _may_begin(shifted[shift][byte:byte + _PIECE]):
+                continue
+            run = Run(shifted[shift][byte:], int(layer.start[places[at] if at else start]), int(layer.stop[stop - 1]), goes_on)
+            yield run
+            if run.clean:  # the rest is inside it
+                end = at
+                break
+        for shift, raw in enumerate(shifted):
+            raw = raw[:max(0, end - shift) * 6 // 8] if end < len(body) else raw
+            if _may_hold(raw):
+                yield _bytes_layer(raw, layer, places[shift:], goes_on and end == len(body))
 
 
 def _children(layer: Layer, raw: bytes):

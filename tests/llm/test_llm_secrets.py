@@ -110,6 +110,39 @@ def test_compressed_run_over_many_windows():
     assert secrets.find(hidden)[1] == [(0, 1, len(hidden))]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+@pytest.mark.parametrize("width", [64, 76, 30, 17])
+def test_wrapped_base64(end, width):
+    plain = "é" * 20 + "é filler password=" + "abcd" * 30 + " é" + "more filler é " * 9
+    run = b64(plain)
+    lines = [run[i:i + width] for i in range(0, len(run), width)]
+    text = "before: " + end.join(lines) + "\nafter it"
+    place = [i for n, line in enumerate(lines) for i in range(8 + n * (width + len(end)), 8 + n * (width + len(end)) + len(line))]
+    raw, secret = plain.encode(), b"password=" + b"abcd" * 30
+    a = raw.index(secret)
+    want = (place[a * 8 // 6], 0, place[((a + len(secret)) * 8 - 1) // 6] + 1)
+    assert want in secrets.find(text)[1]
+    packed = b64(gzip.compress(np.random.default_rng(2).bytes(400) + KEY.encode()))
+    text = "before " + end.join(packed[i:i + width] for i in range(0, len(packed), width))
+    assert (7, 1, len(text)) in secrets.find(text)[1]
+
+
+@pytest.mark.parametrize("front", ["https://host/", "name_", "/", "-", "a-b_c/", "abc/d/", "KEY-----\n"])
+@pytest.mark.parametrize("tail", ["", "/x", "_end", "-", " z"])
+def test_glued_base64(front, tail):
+    hidden = b64("filler and " + KEY + " then")
+    at = len(front) + 11 * 8 // 6
+    assert (at, 1, len(front) + ((11 + len(KEY)) * 8 - 1) // 6 + 1) in secrets.find(front + hidden.rstrip("=") + tail)[1]
+    packed = b64(gzip.compress(KEY.encode() + b" " * 9)).rstrip("=")
+    assert len(front) in {a for a, k, _ in secrets.find(front + packed + tail)[1] if k == 1}
+
+
+def test_one_character_too_many():
+    hidden = b64("x" * 13 + KEY + "yyy")
+    assert len(hidden) % 4 == 0 and "=" not in hidden
+    assert [k for _, k, _ in secrets.find(hidden + "A")[1]] == [1]
+
+
 PACKERS = [gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress]
 
 
