@@ -67,9 +67,10 @@ class Tokens:
         return found
 
     def _blocks(self, text: str):
-        """Lists of chunks. Chunks of ASCII alone are lowered first, as the vocabulary does, so that
-        fewer differ, unless the text may spell a special token. Other chunks stay as they are: the
-        vocabulary composes characters before it lowers them, and that order matters."""
+        """Lists of chunks. Letters A-Z are lowered first, as the vocabulary does, so that fewer
+        chunks differ, unless the text may spell a special token. The vocabulary composes characters
+        before it lowers them: where marks that compose with A-Z or a-z occur (U+0300 to U+037F,
+        whose first bytes are CC and CD), only chunks of ASCII alone are lowered here."""
         raw = text.encode("utf-8")
         keep = b"<|" in raw
         start = 0
@@ -80,7 +81,7 @@ class Tokens:
             block = raw[start:end]
             if keep:
                 yield block.split()
-            elif block.isascii():
+            elif b"\xcc" not in block and b"\xcd" not in block:
                 yield block.lower().split()
             else:
                 yield [c.lower() if c.isascii() else c for c in block.split()]
