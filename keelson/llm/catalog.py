@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import curriculum, embeddings, lines, order_minhash, packing, quality, secrets, simhash, substring, warc
+from keelson.llm import curriculum, embeddings, fim, lines, order_minhash, packing, quality, rules, secrets, simhash, substring, warc
+from keelson.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -109,3 +110,44 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_warc_derivatives", warc.derive_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, n, CAST('0x' || x[1:8] AS UBIGINT) AS h1, CAST('0x' || x[9:16] AS UBIGINT) AS h2,
+         CAST('0x' || x[17:24] AS UBIGINT) AS h3, CAST('0x' || x[25:32] AS UBIGINT) AS h4 FROM d),
+f AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, t, n, form, a, b, substring(t, 1, CAST(a AS BIGINT)) AS x,
+         substring(t, CAST(a AS BIGINT) + 1, CAST(b AS BIGINT) - CAST(a AS BIGINT)) AS y, substring(t, CAST(b AS BIGINT) + 1) AS z FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(b AS BIGINT) - CAST(a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y
+              ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+@query("op11_fill_in_middle", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars",
+                      F.sha2("fim.output", 256).alias("output_sha256"),
+                      F.sha2(fim.restore(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    measured = Scratch(spark, "op13").stage(measured.select("doc_id", "stats"))
+    labelled = rules.label_rows(measured, _table(spark, sf_dir, "labels"), "quality")
+    learned = rules.learn(labelled.where(~quality.held_out(F.col("doc_id"))))
+    return (rules.judge(measured, learned)
+            .select("doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines",
+                    "stats.n_repeat_words", "stats.base_failed", "kept"))
