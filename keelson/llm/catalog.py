@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import curriculum, embeddings, fim, lines, order_minhash, packing, quality, rules, secrets, simhash, substring, warc
+from keelson.llm import curriculum, embeddings, fim, lines, order_minhash, packing, quality, rules, search, secrets, simhash, substring, warc
 from keelson.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(fim.restore(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
 
 
+OP12_SQL = r"""
+WITH tokens AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS r, text FROM documents
+  UNION ALL
+  SELECT 'i', item_id, row_number() OVER (), text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+w AS (
+  SELECT kind, id, r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM tokens WHERE text IS NOT NULL),
+tot AS (
+  SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM w WHERE kind = 'd' AND len(terms) > 0),
+tf AS (
+  SELECT kind, id, r, len, t, count(*) AS tf FROM (SELECT kind, id, r, len(terms) AS len, unnest(terms) AS t FROM w) GROUP BY ALL),
+df AS (
+  SELECT t, count(*) AS df FROM tf WHERE kind = 'd' GROUP BY t),
+s AS (
+  SELECT i.id AS item_id, i.r, d.id AS doc_id, d.r AS dr,
+         CAST(sum(i.tf * CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT)
+                  * ((1000000000 * d.tf) // (1000 * d.tf + 12 * (100 - 25 + (25 * d.len * n) // l)))) AS BIGINT) AS score
+  FROM tf i JOIN tf d ON i.kind = 'i' AND d.kind = 'd' AND i.t = d.t JOIN df ON df.t = i.t CROSS JOIN tot
+  GROUP BY ALL),
+k AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, r ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+
+@query("op12_dual_tree_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_quality_rules")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = rules.measure(_table(spark, sf_dir, "documents").select("doc_id", "text"))
