@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,16 +13,19 @@ from keelson.functions.scalar import epoch_ms
 
 from keelson.plans.registry import query
 from keelson.session import ensure_checkpoint_dir, remove_at_exit
+from keelson.sources.dumpformat import FORMAT, register_event_dump
 from keelson.sources.eventdump import ACTION_SECTION, DAMAGE_SECTION, DEFAULT_ROOT, read_event_dump
 from keelson.sources.sinks import write_csv, write_table
 from keelson.sources.tables import csv, parquet, table
 
 
-def render_dumps(events, path: str, rows_per_file: int = 20_000, hour_groups: int = 4) -> str:
+def render_dumps(events, path: str, rows_per_file: int = 20_000, hour_groups: int = 4, lines_joined: int = 1, amount: str = "hundredths") -> str:
     """Write dump files from events: clicks as action lists, views as damage entries (amount =
     value in hundredths), one spell table per user. A file holds the users of one hash group and
     the hours of one hour group, so a busy user is spread over several files and tasks, while all
-    rows of one (user, ms) key stay in one file. The number of groups grows with the table."""
+    rows of one (user, ms) key stay in one file. The number of groups grows with the table.
+    ``lines_joined`` entries of a list stand on one line with the openings and ends around them;
+    ``amount="value"`` writes amounts as they are, in units with a fraction."""
     user_groups = max(4, -(-events.count() // (rows_per_file * hour_groups)))
     ev = events.select("event_id", "user_id", "event_type", "value",
                        epoch_ms(F.col("ts"), T.TimestampNTZType()).alias("ms"))
@@ -34,6 +38,9 @@ def render_dumps(events, path: str, rows_per_file: int = 20_000, hour_groups: in
     u = F.col("user_id").cast("string")
     zero = F.lit(0).cast("bigint")
 
+    hundredths = F.round(F.col("value") * 100).cast("bigint")
+    written = (hundredths if amount == "hundredths" else hundredths.cast("decimal(18,2)") / 100).cast("string")
+
     def per_file(sec: int, major: int, text: str):
         return files.select("fu", "fh", F.lit(sec).alias("sec"), F.lit(major).alias("major"),
                             zero.alias("user"), F.lit(0).alias("part"), zero.alias("ms"), zero.alias("eid"),
@@ -57,13 +64,19 @@ def render_dumps(events, path: str, rows_per_file: int = 20_000, hour_groups: in
              .unionByName(per_file(1, 2, "\t},"))
              .unionByName(per_file(2, 0, f'\t["{DAMAGE_SECTION}"] = {{'))
              .unionByName(per_spell(2, 0, F.concat(F.lit("\t\t["), u, F.lit("] = {"))))
-             .unionByName(entries("view", 2, F.format_string("\t\t\t[%d] = %d,", F.col("ms"),
-                                                             F.round(F.col("value") * 100).cast("bigint"))))
+             .unionByName(entries("view", 2, F.format_string("\t\t\t[%d] = %s,", F.col("ms"), written)))
              .unionByName(per_spell(2, 2, F.lit("\t\t},")))
              .unionByName(per_file(2, 2, "\t},"))
              .unionByName(per_file(3, 0, "}")))
+    order = ["sec", "major", "user", "part", "ms", "eid"]
+    if lines_joined > 1:  # without comments, which would take the rest of a line
+        place = F.row_number().over(Window.partitionBy("fu", "fh").orderBy(*order))
+        lines = (lines.withColumn("line", F.floor(place / lines_joined)).groupBy("fu", "fh", "line")
+                 .agg(F.sort_array(F.collect_list(F.struct(*order, F.regexp_replace("value", " --.*", "").alias("value")))).alias("all"))
+                 .select("fu", "fh", F.col("line").alias("sec"), *[F.lit(0).alias(c) for c in order[1:]],
+                         F.array_join(F.transform("all", lambda x: x["value"]), " ").alias("value")))
     (lines.repartition("fu", "fh")
-     .sortWithinPartitions("fu", "fh", "sec", "major", "user", "part", "ms", "eid")
+     .sortWithinPartitions("fu", "fh", *order)
      .select("fu", "fh", "value")
      .write.mode("overwrite").partitionBy("fu", "fh").text(path))
     return path
@@ -75,17 +88,16 @@ def _folder(spark, label: str) -> str:
     return path
 
 
-@query("s1_event_dump_scan", """
+_DUMP_SQL = """
 SELECT 'action' AS kind, user_id AS spell_id, epoch_us(ts) // 1000 AS ts_ms, CAST(NULL AS BIGINT) AS amount
 FROM events WHERE event_type = 'click'
 UNION ALL
 SELECT 'damage', user_id, epoch_us(ts) // 1000, arg_max(CAST(round(value * 100) AS BIGINT), event_id)
 FROM events WHERE event_type = 'view' GROUP BY user_id, epoch_us(ts) // 1000
-""")
-def s1_event_dump_scan(spark, sf):
-    """Render every user's clicks and views as dump files, then scan all files back."""
-    path = render_dumps(table(spark, sf, "events"), _folder(spark, "dumps"))
-    df = read_event_dump(spark, f"{path}/*/*/*.txt")
+"""
+
+
+def _flat(df):
     return df.select(
         F.when(F.col("action").isNotNull(), F.lit("action")).otherwise(F.lit("damage")).alias("kind"),
         F.coalesce(F.col("action.spellId"), F.col("damage.spellId")).alias("spell_id"),
@@ -93,6 +105,44 @@ def s1_event_dump_scan(spark, sf):
         F.col("damage.amount").alias("amount"))
 
 
+@query("s1_event_dump_scan", _DUMP_SQL)
+def s1_event_dump_scan(spark, sf):
+    """Render every user's clicks and views as dump files, then scan all files back."""
+    path = render_dumps(table(spark, sf, "events"), _folder(spark, "dumps"))
+    return _flat(read_event_dump(spark, f"{path}/*/*/*.txt"))
+
+
+@query("s1_format_in_sql", _DUMP_SQL)
+def s1_format_in_sql(spark, sf):
+    """The same dumps by the registered format, as a SQL view over ``USING``."""
+    path = render_dumps(table(spark, sf, "events"), _folder(spark, "dumps"))
+    register_event_dump(spark)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW keelson_dump_rows USING {FORMAT} OPTIONS (path '{path}')")
+    return spark.sql("""SELECT IF(action IS NOT NULL, 'action', 'damage') AS kind, coalesce(action.spellId, damage.spellId) AS spell_id,
+                               unix_millis(timestamp) AS ts_ms, damage.amount AS amount FROM keelson_dump_rows""")
+
+
+@query("s1_free_layout", _DUMP_SQL)
+def s1_free_layout(spark, sf):
+    """The same dumps with eight lines joined to one: several entries, openings and ends on a line."""
+    path = render_dumps(table(spark, sf, "events"), _folder(spark, "dumps"), lines_joined=8)
+    return _flat(read_event_dump(spark, f"{path}/*/*/*.txt"))
+
+
+@query("s1b_mixed_amounts", """
+WITH v AS (
+  SELECT user_id, epoch_us(ts) // 1000 AS ms, arg_max(CAST(round(value * 100) AS BIGINT), event_id) AS c
+  FROM events WHERE event_type = 'view' GROUP BY user_id, epoch_us(ts) // 1000)
+SELECT user_id AS spell_id, ms AS ts_ms, CASE WHEN c % 100 = 0 THEN 'BIGINT' ELSE 'DOUBLE' END AS type, c / 100 AS amount FROM v
+""")
+def s1b_mixed_amounts(spark, sf):
+    """Amounts with a fraction, as variants: a whole number is a bigint, another a double."""
+    path = render_dumps(table(spark, sf, "events"), _folder(spark, "dumps"), amount="value")
+    df = read_event_dump(spark, f"{path}/*/*/*.txt", numbers="variant").where("damage is not null")
+    return df.select(F.col("damage.spellId").alias("spell_id"), F.unix_millis("timestamp").alias("ts_ms"),
+                     F.expr("schema_of_variant(damage.amount)").alias("type"), F.expr("cast(damage.amount as double)").alias("amount"))
+
+
 _CSV_SQL = """
 SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN o_custkey END AS o_custkey, o_orderstatus, o_totalprice * 2 AS doubled
 FROM orders

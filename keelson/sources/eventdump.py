@@ -1,6 +1,6 @@
 """Scan of a game addon's saved-variables dump into event rows.
 
-Grammar (one entry per line, tabs as indentation)::
+A dump assigns nested tables to globals, in any layout (tabs and one entry per line are usual)::
 
     <root> = {
         ["actionEvents"] = {
@@ -16,16 +16,24 @@ Grammar (one entry per line, tabs as indentation)::
     }
 
 ``actionEvents`` rows become ``(timestamp, action{spellId}, null)``; ``damageEvents`` rows become
-``(timestamp, null, damage{spellId, amount})``. A damage time repeated within one spell is one
-table key in the dump's language, so the last line wins. Only the table named ``root`` is read;
-other globals, tables or plain values, may stand before and after it.
-
-Plan: files are read line by line with the splittable text reader and every line is classified
-with regular expressions. The classified lines are staged once in the shared checkpoint folder, so
-every later pass sees the same splits whatever executors come and go. A split of a file is bounded
-by the reader and makes a natural bucket: one shuffle by (file, split) gives the headers in force
-and the nesting depth within the split, and one row per split carries both over to the next splits.
-Only a compressed file that cannot be split is one bucket.
+``(timestamp, null, damage{spellId, amount})``. A damage time repeated within one spell, and an action with
+a repeated explicit key, are one table key in the dump's language, so the last one wins; an entry set to ``nil`` is
+none. Only the table named ``root`` is read; other globals, tables or plain values, may stand before
+and after it.
+
+Plan. Files are read with the splittable text reader; lines are cut into tokens (:mod:`dumplex`) and
+staged once in the shared checkpoint folder, so every later pass sees the same splits whatever
+executors come and go. What a split needs from the splits before it is carried over by small side
+tables with one row per split:
+
+1. the lexical state it begins in (inside a string or a comment), where some line could leave one open:
+   each split's turning lines are folded into a map from state to state, the maps of a file one after another;
+2. how many tables are open, by a running sum of brackets, and the last few tokens, as a key and
+   its value may stand in different splits;
+3. the keys of the tables that are open.
+
+One shuffle by (file, split) resolves all three inside a split. A split is bounded by the reader; only
+a compressed file that cannot be split, or a line of its own size, is larger.
 """
 
 from __future__ import annotations
@@ -36,7 +44,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.session import ensure_checkpoint_dir, remove_at_exit
+from keelson.session import ensure_checkpoint_dir, remove_at_exit, small_side
+from keelson.sources import dumplex as lex
 
 # The dump's global table name and its two sections.
 DEFAULT_ROOT = "WTFTestAddonData"
@@ -50,16 +59,14 @@ EVENT_DUMP_SCHEMA = T.StructType([
     T.StructField("damage", T.StructType([T.StructField("spellId", T.LongType(), False),
                                           T.StructField("amount", T.LongType(), False)]), True),
 ])
+#: With ``numbers="variant"``: amounts that are whole are bigint inside, others double.
+EVENT_DUMP_VARIANT_SCHEMA = T.StructType([
+    *EVENT_DUMP_SCHEMA.fields[:2],
+    T.StructField("damage", T.StructType([T.StructField("spellId", T.LongType(), False),
+                                          T.StructField("amount", T.VariantType(), True)]), True),
+])
 
-_NUM = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
-_ROOT_OPEN = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*\{\s*$"
-_SECTION_OPEN = r'^\s*\["([^"]*)"\]\s*=\s*\{\s*$'
-_KEY_OPEN = rf"^\s*\[({_NUM})\]\s*=\s*\{{\s*$"
-_KEY_VALUE = rf"^\s*\[({_NUM})\]\s*=\s*({_NUM})\s*,?\s*(?:--.*)?$"
-_LIST_ITEM = rf"^\s*({_NUM})\s*,?\s*(?:--.*)?$"
-_OPEN = r"\{\s*(?:--.*)?$"
-_CLOSE = r"^\s*\}\s*,?\s*(?:--.*)?$"
-_BLANK = r"^\s*(?:--.*)?$"
+_SPLIT = ["file", "block"]
 
 
 def _whole(text: Column) -> Column:
@@ -69,145 +76,287 @@ def _whole(text: Column) -> Column:
     return F.when(as_long.isNotNull(), as_long).when(d.isNotNull() & (d == F.floor(d)), d.try_cast("bigint"))
 
 
-def _classified(spark: SparkSession, path) -> DataFrame:
-    """Every line by position and kind, staged as Parquet."""
+def _number(text: Column) -> Column:
+    """A number as a variant that holds a bigint if it is whole, else a double; null if it is none."""
+    whole = _whole(text)
+    return F.when(whole.isNotNull(), whole.cast("variant")).otherwise(text.try_cast("double").cast("variant"))
+
+
+def _stage(df: DataFrame, label: str) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-dump-{label}-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(lex.TOKEN), F.lit(0))
+
+
+def _tokens(raw: Column) -> Column:
+    """Without comments; texts that stay open are an empty string."""
+    shown = F.filter(raw, lambda t: ~t.startswith("--"))
+    return F.transform(shown, lambda t: F.when(t.rlike(lex.OPAQUE), F.lit('""')).otherwise(t))
+
+
+def _rest(line: Column, state: str) -> Column:
+    """What follows the end of the text or comment that the line begins in; null if it does not end here."""
+    if state in lex.UNTIL_QUOTE:
+        until = lex.UNTIL_QUOTE[state]
+        return F.when(line.rlike(until), F.regexp_replace(line, until, ""))
+    at = F.instr(line, state) if state else None
+    return line if at is None else F.when(at > 0, F.substring(line, at + len(state), F.length(line)))
+
+
+def _state_after(line: Column, state: str) -> Column:
+    """The number of the state in which the line after ``line`` begins, if that begins in ``state``; 0 is none of ours."""
+    rest = _rest(line, state)
+    head = f"(?s)^{lex.OPEN_LONG[4:]}"
+
+    def after(last: Column) -> Column:
+        closer = F.concat(F.lit("]"), F.regexp_extract(last, head, 1), F.lit("]"))
+        opened = F.when(last.rlike(head), F.when(F.call_function("instr", last, closer) == 0, F.array_position(_STATES(), closer)))
+        for quote in lex.UNTIL_QUOTE:
+            opened = opened.when(last.startswith(quote) & last.endswith("\\") & last.rlike(lex.OPAQUE), F.array_position(_STATES(), F.lit(quote)))
+        return F.coalesce(opened, F.lit(1).cast("long"))
+
+    last = F.coalesce(F.call_function("try_element_at", _raw_tokens(rest), F.lit(-1)), F.lit(""))
+    kept = F.lit(lex.STATES.index(state) + 1)
+    if state in lex.UNTIL_QUOTE:
+        kept = F.when(line.endswith("\\"), kept).otherwise(F.lit(1))
+    return F.when(rest.isNull(), kept).otherwise(F.get(F.transform(F.array(last), after), F.lit(0))).cast("int")
+
+
+def _STATES() -> Column:
+    return F.array(*[F.lit(s) for s in lex.STATES])
+
+
+def _past(state: Column) -> Column:
+    """The state after one or more lines that do not turn: a quoted text ends with its line."""
+    return F.when(state.isin([lex.STATES.index(q) + 1 for q in lex.UNTIL_QUOTE]), F.lit(1)).otherwise(state)
+
+
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """Every line by position with its tokens, staged. ``row`` grows by one from line to line of a split."""
     paths = [path] if isinstance(path, str) else list(path)
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-        F.col("value").alias("line"))
-
-    def ext(pattern: str, group: int = 1) -> Column:
-        return F.when(F.col("line").rlike(pattern), F.regexp_extract("line", pattern, group))
-
-    kinds = lines.select(
-        "file", "block", "row",
-        ext(_ROOT_OPEN).alias("root_open"), ext(_SECTION_OPEN).alias("section_open"), ext(_KEY_OPEN).alias("key_open"),
-        ext(_KEY_VALUE, 1).alias("kv_key"), ext(_KEY_VALUE, 2).alias("kv_value"), ext(_LIST_ITEM).alias("item"),
-        F.col("line").rlike(_CLOSE).alias("is_close"), F.col("line").rlike(_BLANK).alias("is_blank"),
-        F.col("line").rlike(_OPEN).cast("int").alias("opens"), "line")
-    kinds = kinds.withColumn("step", F.col("opens") - F.col("is_close").cast("int")).drop("opens")
-    staged = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-dump-lines-{uuid.uuid4().hex}"
-    remove_at_exit(spark, staged)
-    kinds.write.option("compression", "zstd").parquet(staged)
-    return spark.read.schema(kinds.schema).parquet(staged)
-
-
-def event_dump_lines(spark: SparkSession, path, root: str = DEFAULT_ROOT) -> DataFrame:
-    """The lines inside the table ``root`` of every file, with their kind, section and spell.
-
-    A line's position in its file is ``(split start, row id)``: the row id grows along the rows of
-    a split. A header is in force from its line until the nesting depth falls below its own:
-    ``depth`` is the number of tables open before the line, counted from the last global table.
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    read = _stage(lines.select("*", _tokens(_raw_tokens(F.col("line"))).alias("tokens"), F.col("line").rlike(lex.TURNS).alias("turns")), "lines")
+    return read if read.where("turns").isEmpty() else _with_states(read)
+
+
+def _with_states(read: DataFrame) -> DataFrame:
+    """The same lines with the tokens that remain under the state in which each line really begins.
+
+    A turning line maps every state to the one after it. The turning lines of a split compose to a map
+    of the split, the maps of a file's splits, one after another, give the state each begins in, and
+    a second walk gives that of each line. Only numbers of states are gathered, a few per turning line.
+    """
+    to = F.array(*[_state_after(F.col("line"), s) for s in lex.STATES])
+    turning = read.where("turns").select(*_SPLIT, "row", to.alias("to"))
+    splits = (read.groupBy(*_SPLIT).agg(F.min("row").alias("first"), F.max("row").alias("last"))
+              .join(turning.groupBy(*_SPLIT).agg(F.sort_array(F.collect_list(F.struct("row", "to"))).alias("turning")), _SPLIT, "left")
+              .withColumn("turning", F.coalesce("turning", F.array().cast("array<struct<row:bigint,to:array<int>>>"))))
+    splits = small_side(splits, 100_000)
+    through = lambda to, state: F.when(state == 0, state).otherwise(F.get(to, state - 1))
+
+    def walk(state: Column) -> Column:
+        """``(state, at, seen)`` after the turning lines of a split that begins in ``state``."""
+        start = F.struct(state.alias("state"), F.col("first").alias("at"), F.array().cast("array<struct<row:bigint,state:int,after:int>>").alias("seen"))
+
+        def step(acc, x):
+            begins = F.when(x["row"] > acc["at"], _past(acc["state"])).otherwise(acc["state"])
+            seen = F.struct(x["row"].alias("row"), begins.alias("state"), through(x["to"], begins).alias("after"))
+            return F.struct(through(x["to"], begins).alias("state"), (x["row"] + 1).alias("at"), F.concat(acc["seen"], F.array(seen)).alias("seen"))
+
+        return F.aggregate("turning", start, step)
+
+    ended = lambda acc: F.when(acc["at"] <= F.col("last"), _past(acc["state"])).otherwise(acc["state"])
+    maps = splits.select(*_SPLIT, F.transform(F.array(*[F.lit(n + 1) for n in range(len(lex.STATES))]), lambda n: ended(walk(n))).alias("to"))
+
+    def follow(acc, x):
+        begins = F.struct(x["block"].alias("block"), acc["state"].alias("state"))
+        return F.struct(through(x["to"], acc["state"]).alias("state"), F.concat(acc["begins"], F.array(begins)).alias("begins"))
+
+    none = F.struct(F.lit(1).alias("state"), F.array().cast("array<struct<block:bigint,state:int>>").alias("begins"))
+    chains = maps.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "to"))).alias("maps"))
+    begins = small_side(chains.select("file", F.inline(F.aggregate("maps", none, follow)["begins"])), 100_000)
+
+    walked = splits.join(begins, _SPLIT)
+    seen = walked.select(*_SPLIT, F.inline(walk(F.col("state"))["seen"]))
+    marked = (read.join(seen, [*_SPLIT, "row"], "left")
+              .join(walked.select(*_SPLIT, "first", F.col("state").alias("begin")), _SPLIT))
+    before = Window.partitionBy(*_SPLIT).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("prior", F.last(F.when(F.col("state").isNotNull(), F.struct("row", "after")), ignorenulls=True).over(before))
+    state = (F.when(F.col("state").isNotNull(), F.col("state"))
+             .when(F.col("prior").isNotNull(), F.when(F.col("prior.row") + 1 == F.col("row"), F.col("prior.after")).otherwise(_past(F.col("prior.after"))))
+             .when(F.col("row") == F.col("first"), F.col("begin")).otherwise(_past(F.col("begin"))))
+    marked = marked.select(*_SPLIT, "row", "line", "tokens", "turns", state.alias("state"))
+    tokens = F.when(F.col("state") == 1, F.col("tokens"))
+    for n, s in enumerate(lex.STATES[1:], 2):
+        rest = _rest(F.col("line"), s)
+        tokens = tokens.when(F.col("state") == n, F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(_tokens(_raw_tokens(rest))))
+    tokens = tokens.otherwise(F.raise_error(F.concat(F.lit("event dump: long bracket of too high a level before a line of "), "file")).cast("array<string>"))
+    return _stage(marked.select(*_SPLIT, "row", "line", tokens.alias("tokens"), "turns"), "states")
+
+
+#: Tokens before a value that its key may take: ``[ key ] =``, and the separator before them.
+_LOOK_BACK = 6
+
+
+def event_dump_entries(spark: SparkSession, path, root: str = DEFAULT_ROOT) -> DataFrame:
+    """What stands inside the table ``root`` of every file: opened tables, entries and faults.
+
+    One row each, at ``(file, block, row, i)``: ``kind`` (``open``, ``entry`` or ``fault``), ``key`` and ``value``
+    as written (null key: by position), ``depth`` (tables open around it), ``section`` and ``spell``
+    (keys of the second and third of these), and the line.
     """
     if not path:
         raise ValueError("Path is required")
-    kinds = _classified(spark, path)
-    pos = F.struct("block", "row")
-    opens_root = F.col("root_open").isNotNull()
-    opens_section = F.col("section_open").isNotNull()
-    # a new table resets the section, a new section resets the spell
-    heads = {"_root": (opens_root, "root_open"), "_sec": (opens_section | opens_root, "section_open"),
-             "_key": (F.col("key_open").isNotNull() | opens_section | opens_root, "key_open")}
-    upto = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = F.sum("step").over(upto)
-    within = kinds.withColumn("_at", steps - F.col("step"))  # depth before the line, from the split's start
-    own = {n: F.when(c, F.struct(pos.alias("pos"), F.col(v).alias("v"), F.col("_at").alias("at"))) for n, (c, v) in heads.items()}
-    within = within.withColumns({n: F.last(c, ignorenulls=True).over(upto) for n, c in own.items()})
-
-    # one row per split: its sum of steps and last headers; over a file's splits, what is in force at their start
-    ends = kinds.select("file", "block", "row", "step", *[
-        F.when(c, F.struct(pos.alias("pos"), F.col(v).alias("v"))).alias(n) for n, (c, v) in heads.items()])
-    ends = ends.groupBy("file", "block").agg(F.sum("step").alias("_sum"), *[F.max(n).alias(n) for n in heads])
-    # the depth at a split's last root header is the sum of the steps before it
-    roots = (kinds.select("file", "block", "row", "step").join(
-        ends.where("_root is not null").select("file", "block", F.col("_root.pos.row").alias("_rrow")), ["file", "block"])
-        .where("row < _rrow").groupBy("file", "block").agg(F.sum("step").alias("_rat")))
-    ends = ends.join(roots, ["file", "block"], "left")
+    lines = _lines(spark, path)
+    opens = lambda t: t.endswith("{") & ~t.startswith('"') & ~t.startswith("'")
+    steps = F.size(F.filter("tokens", opens)) - F.size(F.filter("tokens", lambda t: t == "}"))
+    sums = lines.groupBy(*_SPLIT).agg(F.sum(steps).alias("sum"))
+    # the last tokens of each split, from its last lines that have any
+    backward = Window.partitionBy(*_SPLIT).orderBy(F.col("row").desc())
+    ends = (lines.where(F.size("tokens") > 0).withColumn("n", F.row_number().over(backward)).where(F.col("n") <= _LOOK_BACK)
+            .groupBy(*_SPLIT).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("row", "tokens"))), lambda x: x["tokens"])).alias("tail")))
+    tail = F.slice("tail", F.greatest(F.size("tail") - (_LOOK_BACK - 1), F.lit(1)), _LOOK_BACK)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = F.coalesce(F.sum("_sum").over(before), F.lit(0))
-    side = ends.withColumn("_base", base).withColumn(
-        "_rfrom", F.when(F.col("_root").isNotNull(), F.struct((F.col("_base") + F.coalesce("_rat", F.lit(0))).alias("at"))))
-    side = side.select("file", "block", "_base", F.last("_rfrom", ignorenulls=True).over(before)["at"].alias("_r0"),
-                       *[F.last(n, ignorenulls=True).over(before)["v"].alias(f"{n}0") for n in heads])
-
-    out = within.join(side, ["file", "block"])
-    from_root = F.when(F.col("_root").isNotNull(), F.col("_base") + F.col("_root.at")).otherwise(F.col("_r0"))
-    value = {n: F.when(F.col(n).isNotNull(), F.col(f"{n}.v")).otherwise(F.col(f"{n}0")) for n in heads}
-    out = out.withColumn("depth", F.col("_base") + F.col("_at") - from_root)
-    return out.select(
-        "file", "block", "row", "line", "root_open", "section_open", "key_open", "kv_key", "kv_value", "item",
-        "is_close", "is_blank", "depth", value["_root"].alias("root"),
-        F.when((F.col("depth") >= 2) | opens_section, value["_sec"]).alias("section"),
-        F.when((F.col("depth") >= 3) | F.col("key_open").isNotNull(), value["_key"]).alias("spell"),
-    ).where(F.coalesce((F.col("root") == F.lit(root)) & ((F.col("depth") > 0) | opens_root), F.lit(False)))
+    near = Window.partitionBy("file").orderBy("block").rowsBetween(-_LOOK_BACK, 0)
+    # of the splits that have tokens, each with the last tokens up to its end
+    tails = ends.withColumn("tail", tail).withColumn("upto", F.flatten(F.collect_list("tail").over(near)))
+    tails = tails.select(*_SPLIT, F.slice("upto", F.greatest(F.size("upto") - (_LOOK_BACK - 1), F.lit(1)), _LOOK_BACK).alias("upto"))
+    side = sums.join(tails, _SPLIT, "left").select(
+        *_SPLIT, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"),
+        F.coalesce(F.last("upto", ignorenulls=True).over(before), F.array().cast("array<string>")).alias("held"))
+    side = small_side(side, 100_000)
+
+    shown = lines.select(*_SPLIT, "row", "line", F.posexplode("tokens").alias("i", "t"))
+    shown = shown.unionByName(side.select(*_SPLIT, F.lit(-1).cast("bigint").alias("row"), F.lit(None).cast("string").alias("line"),
+                                          F.posexplode("held").alias("i", "t")))
+    order = Window.partitionBy(*_SPLIT).orderBy("row", "i")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t, p = F.col("t"), [F.col("t"), *[F.col(f"p{k}") for k in range(1, _LOOK_BACK)]]
+    own = F.col("row") >= 0
+    step = F.when(~own, 0).when(opens(t), 1).when(t == "}", -1).otherwise(0)
+    shown = (shown.withColumns({f"p{k}": F.lag("t", k).over(order) for k in range(1, _LOOK_BACK)})
+             .withColumn("at", F.sum(step).over(upto) - step)
+             .join(side.select(*_SPLIT, "base"), _SPLIT).withColumn("depth", (F.col("base") + F.col("at")).cast("int")))
+
+    def is_name(x: Column) -> Column:
+        return x.rlike(f"^{lex.NAME}\\Z")
+
+    def key_before(eq: int) -> Column:
+        """The key whose ``=`` stands ``eq`` tokens back."""
+        bracketed = (p[eq + 1] == "]") & (p[eq + 3] == "[")
+        return F.when(p[eq] == "=", F.when(bracketed, p[eq + 2]).when(is_name(p[eq + 1]) & ~F.coalesce(p[eq + 2] == ".", F.lit(False)), p[eq + 1]))
+
+    def one_of(x: Column, *ends: str) -> Column:
+        """True if ``x`` ends in one of these and is no text."""
+        return ~x.rlike("^[\"']") & F.substring(x, -1, 1).isin(*ends)
+
+    scalar = lambda x: x.rlike(f"(?s)^(?:{lex.NUMBER}|{lex.NAME}|{lex.STRING})\\Z")
+    is_entry, is_item = t.rlike(f"^{lex.ENTRY[4:]}\\Z"), t.rlike(f"^{lex.ITEM}\\Z")
+    is_open, ends_value = opens(t), t.isin(",", ";", "}")
+    after_value = ends_value & F.coalesce(scalar(p[1]), F.lit(False))
+    starts = F.coalesce(one_of(p[1], "{", ",", ";"), F.lit(True))
+    has_key = F.coalesce(p[1] == "=", F.lit(False))
+    fault = (F.when(is_entry | (is_open & (t != "{")), ~starts)
+             .when(is_item | is_open, ~starts & ~has_key)
+             .when(t == "}", F.coalesce(p[1].isin("=", "[", "]"), F.lit(False)))
+             .when(ends_value, ~(after_value | F.coalesce(p[1] == "}", F.lit(False))))
+             .when(t == "=", ~F.coalesce((p[1] == "]") | is_name(p[1]), F.lit(False)))
+             .when(t == "[", ~starts).when(t == "]", ~F.coalesce(p[2] == "[", F.lit(False)))
+             .when(scalar(t), ~starts & ~has_key & ~F.coalesce(p[1] == "[", F.lit(False)))
+             .otherwise(True))
+    kind = F.when(fault, "fault").when(is_open, "open").when(is_entry | is_item | after_value, "entry")
+    key = (F.when(is_entry, F.regexp_extract(t, lex.ENTRY, 1)).when(is_open & (t != "{"), F.regexp_extract(t, lex.OPEN_KEYED, 1))
+           .when(is_open | is_item, key_before(1)).when(after_value, key_before(2)))
+    value = F.when(is_entry, F.regexp_extract(t, lex.ENTRY, 2)).when(is_item, F.regexp_extract(t, lex.ITEM, 1)).when(after_value, p[1])
+    plain = lambda k: F.when(k.rlike("^[\"']"), F.expr("substring(key, 2, length(key) - 2)")).otherwise(k)
+    found = shown.withColumns({"kind": kind, "key": key, "value": value}).withColumn("key", plain(F.col("key")))
+    heads = {f"h{d}": F.last(F.when(own & (F.col("kind") == "open") & (F.col("depth") == d), F.struct("key")), ignorenulls=True).over(upto)
+             for d in range(3)}
+    found = _stage(found.withColumns(heads).where(own & F.col("kind").isNotNull())
+                   .select(*_SPLIT, "row", "i", "kind", "key", "value", "depth", *heads, "line"), "entries")
+
+    # the keys in force where a split begins
+    at = F.struct("row", "i", "key")
+    ends = found.where((F.col("kind") == "open") & (F.col("depth") < 3)).groupBy(*_SPLIT).agg(
+        *[F.max(F.when(F.col("depth") == d, at)).alias(f"c{d}") for d in range(3)])
+    ends = side.select(*_SPLIT).join(ends, _SPLIT, "left").select(
+        *_SPLIT, *[F.last(f"c{d}", ignorenulls=True).over(before)["key"].alias(f"c{d}") for d in range(3)])
+    out = found.join(small_side(ends, 100_000), _SPLIT)
+    in_force = [F.when(F.col("depth") > d, F.when(F.col(f"h{d}").isNotNull(), F.col(f"h{d}.key")).otherwise(F.col(f"c{d}"))) for d in range(3)]
+    # an opened table heads what follows, not itself: at its own depth the column is its key no more
+    return out.select(*_SPLIT, "row", "i", "kind", "key", "value", "depth", in_force[1].alias("section"), in_force[2].alias("spell"),
+                      in_force[0].alias("root"), "line").where(F.coalesce(F.col("root") == F.lit(root), F.lit(False)) & (F.col("depth") > 0)).drop("root")
 
 
 def read_event_dump(spark: SparkSession, path, root: str = DEFAULT_ROOT, errors: str = "raise",
-                    unknown_sections: str = "ignore") -> DataFrame:
+                    unknown_sections: str = "ignore", numbers: str = "long") -> DataFrame:
     """Scan dump files into ``EVENT_DUMP_SCHEMA`` rows (order unspecified).
 
-    ``errors``: ``"raise"`` fails on a line outside the grammar or a number that is not whole
-    (as the reference does), ``"drop"`` skips such lines, ``"column"`` keeps them with the raw
+    ``errors``: ``"raise"`` fails on an entry outside the grammar or a number that is not whole
+    (as the reference does), ``"drop"`` skips such entries, ``"column"`` keeps them with the raw
     line in an extra ``_error`` column. ``unknown_sections``: ``"ignore"`` or ``"raise"``.
+    ``numbers="variant"`` admits any number as an amount, as a variant (``EVENT_DUMP_VARIANT_SCHEMA``).
     """
     if errors not in ("raise", "drop", "column"):
         raise ValueError("errors must be 'raise', 'drop' or 'column'")
     if unknown_sections not in ("ignore", "raise"):
         raise ValueError("unknown_sections must be 'ignore' or 'raise'")
-    ctx = event_dump_lines(spark, path, root)
-    sec = F.col("section")
-    in_action = sec == ACTION_SECTION
-    in_damage = sec == DAMAGE_SECTION
+    if numbers not in ("long", "variant"):
+        raise ValueError("numbers must be 'long' or 'variant'")
+    schema = EVENT_DUMP_SCHEMA if numbers == "long" else EVENT_DUMP_VARIANT_SCHEMA
+    ctx = event_dump_entries(spark, path, root)
+    sec, entry = F.col("section"), F.col("kind") == "entry"
     spell = _whole(F.col("spell"))
-    is_header = (F.col("root_open").isNotNull() | F.col("section_open").isNotNull()
-                 | F.col("key_open").isNotNull() | F.col("is_close") | F.col("is_blank"))
     known = sec.isNull() | sec.isin(ACTION_SECTION, DAMAGE_SECTION)
-
-    action_ms, dmg_ms, amount = _whole(F.col("item")), _whole(F.col("kv_key")), _whole(F.col("kv_value"))
-    good_action = in_action & F.col("item").isNotNull() & action_ms.isNotNull() & spell.isNotNull()
-    good_damage = (in_damage & F.col("kv_key").isNotNull() & dmg_ms.isNotNull() & amount.isNotNull()
-                   & spell.isNotNull())
-    bad = ~is_header & known & ~good_action & ~good_damage
+    is_amount = _whole(F.col("value")) if numbers == "long" else F.col("value").try_cast("double")
+    none = F.coalesce(F.col("value") == "nil", F.lit(False))
+    inside = entry & (F.col("depth") == 3) & spell.isNotNull()
+    good_action = inside & (sec == ACTION_SECTION) & _whole(F.col("value")).isNotNull()
+    good_damage = inside & (sec == DAMAGE_SECTION) & _whole(F.col("key")).isNotNull() & is_amount.isNotNull()
+    bad = known & F.when(entry, ~(good_action | good_damage | none)).when(F.col("kind") == "open", F.col("depth") > 2).otherwise(True)
     if unknown_sections == "raise":
-        bad = bad | (~known & F.col("section_open").isNotNull())
+        strange = (F.col("kind") == "open") & (F.col("depth") == 1) & ~F.coalesce(F.col("key").isin(ACTION_SECTION, DAMAGE_SECTION), F.lit(False))
+        bad = bad | strange
 
     # only well-formed rows are emitted, where these are never null: coalesce with a literal
     # types them as non-null, as the fixed schema says
     rows = ctx.select(
-        "file", "block", "row", "line", bad.alias("_bad"),
-        F.when(good_action, F.lit("a")).when(good_damage, F.lit("d")).alias("_kind"),
-        F.coalesce(spell, F.lit(0).cast("bigint")).alias("_spell"),
-        F.coalesce(action_ms, dmg_ms).alias("_ms"),
-        F.coalesce(amount, F.lit(0).cast("bigint")).alias("_amount"),
-    )
+        "file", F.struct("block", "row", "i").alias("_at"), "line", F.coalesce(bad, F.lit(True)).alias("_bad"),
+        F.when(good_action | (inside & none & (sec == ACTION_SECTION)), F.lit("a"))
+        .when(good_damage | (inside & none & (sec == DAMAGE_SECTION)), F.lit("d")).alias("_kind"),
+        F.coalesce(spell, F.lit(0).cast("bigint")).alias("_spell"), "key", "value",
+        F.when(sec == ACTION_SECTION, _whole(F.col("value"))).otherwise(_whole(F.col("key"))).alias("_ms"))
     if errors == "raise":
         rows = rows.withColumn("_kind", F.when(
             F.col("_bad"), F.raise_error(F.concat(F.lit("event dump: cannot read a line of "),
                                                   F.col("file"), F.lit(": "), F.col("line")))
             .cast("string")).otherwise(F.col("_kind")))
 
-    actions = rows.where(F.col("_kind") == "a").select(
-        F.timestamp_millis("_ms").alias("timestamp"),
-        F.struct(F.col("_spell").alias("spellId")).alias("action"),
-        F.lit(None).cast(EVENT_DUMP_SCHEMA["damage"].dataType).alias("damage"))
-    # one table key per (file, spell, time): the last line wins
-    damage = (rows.where(F.col("_kind") == "d")
-              .groupBy("file", "_spell", "_ms")
-              .agg(F.coalesce(F.max_by("_amount", F.struct("block", "row")), F.lit(0).cast("bigint"))
-                   .alias("_amount"))
-              .select(F.timestamp_millis("_ms").alias("timestamp"),
-                      F.lit(None).cast(EVENT_DUMP_SCHEMA["action"].dataType).alias("action"),
-                      F.struct(F.col("_spell").alias("spellId"), F.col("_amount").alias("amount")).alias("damage")))
-    out = actions.unionByName(damage)
-    nn_action = EVENT_DUMP_SCHEMA["action"].dataType
-    nn_damage = EVENT_DUMP_SCHEMA["damage"].dataType
+    action_type, damage_type = schema["action"].dataType, schema["damage"].dataType
+    action, damage = rows.where((F.col("_kind") == "a") & ~F.col("_bad")), rows.where((F.col("_kind") == "d") & ~F.col("_bad"))
+    # one table key per (file, spell, key): the last one wins; an action without a key is its own
+    keyed = (action.where("key is not null").groupBy("file", "_spell", "key").agg(F.max_by(F.struct("_ms"), "_at").alias("last"))
+             .select("_spell", F.col("last._ms").alias("_ms")))
+    actions = (action.where("key is null").select("_spell", "_ms").unionByName(keyed).where("_ms is not null")
+               .select(F.timestamp_millis("_ms").alias("timestamp"), F.struct(F.col("_spell").alias("spellId")).alias("action"),
+                       F.lit(None).cast(damage_type).alias("damage")))
+    amount = F.coalesce(_whole(F.col("last.value")), F.lit(0).cast("bigint")) if numbers == "long" else _number(F.col("last.value"))
+    damages = (damage.groupBy("file", "_spell", "_ms").agg(F.max_by(F.struct("value"), "_at").alias("last"))
+               .where("last.value <> 'nil'")
+               .select(F.timestamp_millis("_ms").alias("timestamp"), F.lit(None).cast(action_type).alias("action"),
+                       F.struct(F.col("_spell").alias("spellId"), amount.alias("amount")).alias("damage")))
+    out = actions.unionByName(damages)
     if errors == "column":
         errs = rows.where("_bad").select(
-            F.lit(None).cast("timestamp").alias("timestamp"),
-            F.lit(None).cast(nn_action).alias("action"),
-            F.lit(None).cast(nn_damage).alias("damage"),
-            F.col("line").alias("_error"))
+            F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast(action_type).alias("action"),
+            F.lit(None).cast(damage_type).alias("damage"), F.col("line").alias("_error"))
         out = out.withColumn("_error", F.lit(None).cast("string")).unionByName(errs)
     return out
