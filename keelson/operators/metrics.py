@@ -90,9 +90,20 @@ class LogLossEvaluator(Evaluator, HasLabelCol, HasProbabilityCol, DefaultParamsR
 
     def _evaluate(self, dataset: DataFrame) -> float:
         row = log_loss_frame(dataset, self.getLabelCol(), self.getProbabilityCol()).first()
-        if row["n_null"]:
-            raise ValueError(f"{row['n_null']} rows have a null label or probability")
-        return float(row["log_loss"]) if row["n"] else math.nan
+        return self.metric([row["log_loss"] * row["n"] if row["n"] and not row["n_null"] else None, row["n_null"], row["n"]])
+
+    def columns(self) -> list[str]:
+        return [self.getLabelCol(), self.getProbabilityCol()]
+
+    def aggregates(self, label: Column, probability: Column) -> list[Column]:
+        """What :meth:`metric` needs, so that one aggregation can serve many models."""
+        return [F.sum(log_loss_terms(label, probability)), F.count_if(label.isNull() | probability.isNull()), F.count(F.lit(1))]
+
+    def metric(self, values) -> float:
+        total, nulls, n = values
+        if nulls:
+            raise ValueError(f"{nulls} rows have a null label or probability")
+        return float(total) / n if n else math.nan
 
     def isLargerBetter(self) -> bool:
         return False
@@ -115,5 +126,14 @@ class ShareCorrectEvaluator(Evaluator, HasLabelCol, DefaultParamsReadable, Defau
                                   self.getOrDefault(self.predictionCol)).first()
         return float(row["share_correct"]) if row["n"] else math.nan
 
+    def columns(self) -> list[str]:
+        return [self.getLabelCol(), self.getOrDefault(self.predictionCol)]
+
+    def aggregates(self, label: Column, prediction: Column) -> list[Column]:
+        return [F.avg(F.coalesce((label == prediction).cast("double"), F.lit(0.0)))]
+
+    def metric(self, values) -> float:
+        return float(values[0]) if values[0] is not None else math.nan
+
     def isLargerBetter(self) -> bool:
         return True

@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import functions as F
 
+from keelson.operators.featurize import SparseFeaturizerEstimator, sparse_features
 from keelson.operators.featurize import (FeaturizerEstimator, collect_names, distinct_feature_names,
                                          pivot_features)
 from keelson.plans.registry import query
@@ -226,6 +227,30 @@ def f9_f10_featurize_arrays(spark, sf):
     return model.transform(arrays).select("event_id", *[F.col(f"fs.{n}").alias(n) for n in model.getFeatures()])
 
 
+@query("f9_f10_sparse_rows", """
+WITH f AS (
+  SELECT event_id, 0 AS pos, 'user ' || user_id AS name, value FROM events UNION ALL
+  SELECT event_id, 1, 'event ' || event_id, value + 1 FROM events WHERE event_id % 3 = 0 UNION ALL
+  SELECT event_id, 2, event_type, CASE WHEN event_id % 5 > 0 THEN value + 2 END FROM events UNION ALL
+  SELECT event_id, 3, 'user ' || user_id, -1 FROM events),
+n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS index FROM (SELECT DISTINCT name FROM f)),
+g AS (SELECT event_id, name, value FROM f QUALIFY row_number() OVER (PARTITION BY event_id, name ORDER BY pos) = 1)
+SELECT event_id, CAST(index AS INTEGER) AS index, value FROM g JOIN n USING (name) WHERE value IS NOT NULL
+""")
+def f9_f10_sparse_rows(spark, sf):
+    """Names in the thousands, learned as a table; each row's sparse vector as (row, index, value)."""
+    ev = table(spark, sf, "events")
+    name = lambda text, value: F.struct(text.alias("name"), value.cast("double").alias("value"))
+    user = F.concat(F.lit("user "), "user_id")
+    feats = F.array(name(user, F.col("value")),
+                    name(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("event "), "event_id")), F.col("value") + 1),
+                    name(F.col("event_type"), F.when(F.col("event_id") % 5 > 0, F.col("value") + 2)), name(user, F.lit(-1)))
+    arrays = ev.select("event_id", feats.alias("features"))
+    model = SparseFeaturizerEstimator(inputCol="features", outputCol="v", keyCols=["event_id"]).fit(arrays)
+    found = sparse_features(arrays, ["event_id"], "features", model.names(spark))
+    return found.select("event_id", F.inline(F.arrays_zip("indices", "values"))).select("event_id", F.col("indices").alias("index"), F.col("values").alias("value"))
+
+
 @query("a5_distinct_feature_names", """
 SELECT DISTINCT event_type AS name FROM events UNION SELECT 'props_k'
 """)

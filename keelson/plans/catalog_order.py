@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keelson.functions.scalar import epoch_ms
 from keelson.operators.asof import asof_join
+from keelson.operators.cogroup import cogroup
 from keelson.operators.ordering import gap_fill, sliding, with_next, with_row_index
 from keelson.operators.project import pack_pair
 from keelson.plans.registry import query
@@ -210,3 +214,44 @@ def w2_row_index_tied(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "user_id")
     return (with_row_index(ev, ["user_id"], name="i").groupBy("user_id")
             .agg(F.count_distinct("i").alias("n"), F.sum("i").alias("index_sum")))
+
+
+@query("j2_cogroup", """
+SELECT c.event_id, count(v.event_id) AS n_earlier, max(v.value) AS most
+FROM events c LEFT JOIN events v ON v.event_type = 'view' AND v.user_id = c.user_id AND v.ts < c.ts
+WHERE c.event_type = 'click' GROUP BY c.event_id
+""")
+def j2_cogroup(spark, sf):
+    """Clicks cogrouped with views by user: for each click the user's earlier views and their highest
+    value. Users with many clicks are dealt in slices of 500."""
+    ev = table(spark, sf, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    clicks = ev.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    views = ev.where("event_type = 'view'").select("user_id", "ts", "value")
+    return cogroup(clicks, views, "user_id", _earlier_views, "event_id long, n_earlier long, most double", left_slice_rows=500)
+
+
+def _earlier_views(clicks: pa.Table, views: pa.Table) -> pa.Table:
+    views = views.sort_by("ts")
+    times, values = views["ts"].to_numpy(), views["value"].to_numpy()
+    n = np.searchsorted(times, clicks["ts"].to_numpy(), side="left")
+    most = np.maximum.accumulate(values) if len(values) else np.empty(0)
+    return pa.table({"event_id": clicks["event_id"], "n_earlier": pa.array(n.astype(np.int64)),
+                     "most": pa.array([float(most[i - 1]) if i else None for i in n], pa.float64())})
+
+
+@query("j2_cogroup_totals", """
+SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n_clicks, count(*) FILTER (WHERE event_type = 'view') AS n_views,
+       max(value) FILTER (WHERE event_type = 'click') AS top_click, max(value) FILTER (WHERE event_type = 'view') AS top_view
+FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id
+""")
+def j2_cogroup_totals(spark, sf):
+    """One row per user of either side from both sides' rows."""
+    ev = table(spark, sf, "events").select("user_id", "value", "event_type")
+    a, b = (ev.where(F.col("event_type") == kind).select("user_id", "value") for kind in ("click", "view"))
+
+    def totals(key, x, y):
+        most = lambda t: pa.array([pc.max(t["value"]).as_py()], pa.float64())
+        return pa.table({"user_id": pa.array([key[0].as_py()], pa.int64()), "n_clicks": [x.num_rows], "n_views": [y.num_rows],
+                         "top_click": most(x), "top_view": most(y)})
+
+    return cogroup(a, b, "user_id", totals, "user_id long, n_clicks long, n_views long, top_click double, top_view double")

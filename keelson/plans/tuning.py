@@ -23,6 +23,10 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.plans.grid import fit_tries, models_of
+from keelson.plans.journal import Journal, fingerprint
+from keelson.plans.scoring import score_trie
+
 # The seeds used by the reference's recipe and scripts.
 RECIPE_SEED = 4
 SCRIPT_SEED = 12345
@@ -82,21 +86,12 @@ def _pool(parallelism: int) -> ThreadPoolExecutor:
 
 def fit_many(estimator: Estimator, df: DataFrame, param_maps: Sequence[dict],
              parallelism: int = 4) -> list:
-    """L2: fit one estimator for many parameter sets at once (bounded driver threads)."""
+    """L2: fit one estimator for many parameter sets at once (bounded driver threads); stages that sets
+    share with their parameters, from the first stage on, are fitted once (see :mod:`keelson.plans.grid`)."""
+    param_maps = list(param_maps)
     with _pool(parallelism) as pool:
-        wrap = inheritable_thread_target(df.sparkSession)
-        futures = [pool.submit(wrap(lambda pm=pm: estimator.fit(df, pm))) for pm in param_maps]
-        return [f.result() for f in futures]
-
-
-def _first_touched_stage(pipeline: Pipeline, param_maps: Sequence[dict]) -> int:
-    """The first stage a parameter set may touch. A parameter of anything but a stage itself, such
-    as a stage of a nested pipeline, may act anywhere: then no stage is shared."""
-    stages = pipeline.getStages()
-    touched = {p.parent for pm in param_maps for p in pm}
-    if touched - {s.uid for s in stages}:
-        return 0
-    return next((i for i, s in enumerate(stages) if s.uid in touched), len(stages))
+        trie = fit_tries(estimator, [df], [param_maps], pool)[0]
+    return models_of(estimator, trie, len(param_maps))
 
 
 def choose_best(metrics: Sequence[float], larger_is_better: bool) -> int:
@@ -130,22 +125,27 @@ class ParallelCrossValidator(CrossValidator):
     An estimator like Spark's ``CrossValidator``: same params, copies, schema checks and persistence,
     usable as a pipeline stage. Folds are hashes of ``foldKeys`` (all columns by default) unless
     ``foldCol`` names them. Metric = mean over folds; best = min or max by the evaluator's direction,
-    first on ties; refit on all rows. With a ``Pipeline`` estimator the stages in front of the first
-    stage any parameter set touches are fitted once per fold, and their output is cached for the
-    fold's fits. At most ``parallelism`` fits run at once, over all folds and parameter sets;
-    ``parallelism=1`` gives the serial validator (L5).
+    first on ties; refit on all rows. Stages that parameter sets share are fitted once per fold, and
+    all models of a fold are scored in one scan of its validation rows. At most ``parallelism`` fits run at
+    once, over all folds and parameter sets; ``parallelism=1`` gives the serial validator (L5).
+
+    With ``journal``, a folder all drivers share, the metrics of each finished fold are kept there, and a
+    run on the same data, stages and grid takes them from it instead of fitting again.
     """
 
+    journal = Param(Params._dummy(), "journal", "shared folder for finished metrics (empty: none)", typeConverter=TypeConverters.toString)
+
     foldKeys = Param(Params._dummy(), "foldKeys", "columns whose hash gives the fold (empty: all columns)",
                      typeConverter=TypeConverters.toListString)
 
     @keyword_only
     def __init__(self, *, estimator: Estimator | None = None, estimatorParamMaps: Sequence[dict] | None = None,
                  evaluator: Evaluator | None = None, numFolds: int = 3, seed: int | None = RECIPE_SEED, parallelism: int = 4,
-                 collectSubModels: bool = False, foldCol: str = "", foldKeys: Sequence[str] | None = None):
+                 collectSubModels: bool = False, foldCol: str = "", foldKeys: Sequence[str] | None = None,
+                 journal: str = ""):
         kwargs = {k: v for k, v in self._input_kwargs.items() if v is not None}
         super().__init__()
-        self._setDefault(parallelism=4, seed=RECIPE_SEED, foldKeys=[])
+        self._setDefault(parallelism=4, seed=RECIPE_SEED, foldKeys=[], journal="")
         if "estimatorParamMaps" in kwargs:
             kwargs["estimatorParamMaps"] = list(kwargs["estimatorParamMaps"]) or [{}]
         self._set(**kwargs)
@@ -162,6 +162,9 @@ class ParallelCrossValidator(CrossValidator):
     def getFoldKeys(self) -> list[str]:
         return self.getOrDefault(self.foldKeys)
 
+    def getJournal(self) -> str:
+        return self.getOrDefault(self.journal)
+
     def _folded(self, df: DataFrame) -> DataFrame:
         k = self.getNumFolds()
         if self.getFoldCol():
@@ -184,31 +187,29 @@ class ParallelCrossValidator(CrossValidator):
         empty = [i for i in range(k) if not sizes.get(i)]
         if empty:
             raise ValueError(f"folds {empty} are empty; use fewer folds or more rows")
-        wrap = inheritable_thread_target(folded.sparkSession)
-        cut = _first_touched_stage(est, maps) if isinstance(est, Pipeline) else 0
-        cached: list[DataFrame] = []
-
-        def prepare(i: int):
-            train, valid = (folded.where(c).drop(_FOLD) for c in (F.col(_FOLD) != i, F.col(_FOLD) == i))
-            if not cut:
-                return train, valid, est
-            prefix = Pipeline(stages=est.getStages()[:cut]).fit(train)
-            train, valid = (prefix.transform(d).persist(StorageLevel.MEMORY_AND_DISK) for d in (train, valid))
-            cached.extend((train, valid))
-            return train, valid, Pipeline(stages=est.getStages()[cut:])
-
-        def score(fold, j: int) -> float:
-            train, valid, rest = fold
-            return float(evaluator.evaluate(rest.fit(train, maps[j]).transform(valid)))
-
-        try:
+        journal = Journal(folded.sparkSession, self.getJournal(), fingerprint(est, maps, evaluator, folded)) if self.getJournal() else None
+        found = journal.read() if journal else {}
+        lacking = {i: [j for j in range(len(maps)) if (i, j) not in found] for i in range(k)}
+        todo = [i for i in range(k) if lacking[i]]
+        # a journal is as fine as what ends together: fold after fold with one, all at once without
+        for folds in ([[i] for i in todo] if journal else [todo] if todo else []):
+            parts = [[folded.where(c).drop(_FOLD) for c in (F.col(_FOLD) != i, F.col(_FOLD) == i)] for i in folds]
+            sets = [[maps[j] for j in lacking[i]] for i in folds]
             with _pool(self.getParallelism()) as pool:  # the one pool that bounds all fits
-                folds = list(pool.map(wrap(prepare), range(k)))
-                futures = [[pool.submit(wrap(lambda f=f, j=j: score(f, j))) for j in range(len(maps))] for f in folds]
-                return [[x.result() for x in row] for row in futures]
-        finally:
-            for d in cached:
-                d.unpersist()
+                tries = fit_tries(est, [train for train, _ in parts], sets, pool)
+
+                def score(x):
+                    trie, (_, valid), own = x
+                    return score_trie(trie, valid, evaluator, len(own), models_of(est, trie, len(own)))
+
+                wrap = inheritable_thread_target(folded.sparkSession)
+                scores = list(pool.map(wrap(score), zip(tries, parts, sets)))
+            for i, row in zip(folds, scores):
+                for j, metric in zip(lacking[i], row):
+                    found[i, j] = metric
+                    if journal:
+                        journal.write(i, j, metric)
+        return [[found[i, j] for j in range(len(maps))] for i in range(k)]
 
     def _fit(self, df: DataFrame) -> CrossValidatorModel:
         # one cached copy serves every fold and the final refit on all rows

@@ -113,6 +113,13 @@ def _has_void(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NullType)
 
 
+def side_path(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared checkpoint folder, removed when the driver's interpreter ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/keelson-{label}-{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder when the driver's interpreter ends, if the session still lives."""
     atexit.register(_remove, spark, path)

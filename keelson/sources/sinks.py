@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keelson.operators.project import db_compatible
 
@@ -34,23 +37,76 @@ def write_csv(df: DataFrame, path: str, select_exprs: Sequence[str] | None = Non
               single_file: bool = False, mode: str = "errorifexists") -> str:
     """CSV with a header, after optional SQL select expressions (``None`` = all columns).
 
-    ``single_file=True`` sends every row to one writing task (``repartition(1)``: the work before
-    it stays parallel, which ``coalesce(1)`` would not keep); use it for small results only.
+    ``single_file=True`` makes the folder hold one file: all tasks write headerless parts in their
+    order, and after the commit the parts are joined on the file system, behind one header line.
     Vector columns are written as arrays turned to text.
     """
     out = db_compatible(df.selectExpr(*select_exprs) if select_exprs else df)
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     out = out.select(*[F.to_json(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name)
                        for f in out.schema.fields])
-    if single_file:
-        out = out.repartition(1)
-    out.write.mode(mode).option("header", header).csv(path)
+    if not single_file:
+        out.write.mode(mode).option("header", header).csv(path)
+        return path
+    spark = df.sparkSession
+    target = _hadoop_path(spark, path)
+    exists = target[1].exists(target[0])
+    if exists and mode in ("error", "errorifexists"):
+        raise FileExistsError(f"path {path} already exists")
+    if exists and mode == "ignore":
+        return path
+    if mode not in ("error", "errorifexists", "ignore", "overwrite"):
+        raise ValueError(f"a single file cannot be written with mode {mode!r}")
+    parts = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    try:
+        out.write.option("header", False).csv(parts)
+        if exists:
+            target[1].delete(target[0], True)
+        _join_parts(spark, parts, path, out if header else None)
+    finally:
+        folder, fs = _hadoop_path(spark, parts)
+        fs.delete(folder, True)
     return path
 
 
+def _hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, in the session's JVM."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _join_parts(spark: SparkSession, parts: str, path: str, headed: DataFrame | None) -> None:
+    """One file ``part-00000.csv`` in ``path`` from the header of ``headed`` and the parts by name.
+
+    Bytes are copied by the JVM in small buffers; the folder gets its ``_SUCCESS`` file last.
+    """
+    folder, fs = _hadoop_path(spark, parts)
+    target, _ = _hadoop_path(spark, path)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    held = jvm.org.apache.hadoop.fs.Path(target, "_joining")
+    out = fs.create(held, True)
+    try:
+        if headed is not None:
+            out.write(bytearray(_csv_line(headed.columns).encode()))
+        for name in names:
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(folder, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.rename(held, jvm.org.apache.hadoop.fs.Path(target, "part-00000.csv"))
+    fs.create(jvm.org.apache.hadoop.fs.Path(target, "_SUCCESS"), True).close()
+
+
+def _csv_line(names: Sequence[str]) -> str:
+    """A header line as Spark writes it: quoted where a name holds a separator, a quote or a line end."""
+    quoted = ['"' + n.replace("\\", "\\\\").replace('"', '\\"') + '"' if any(c in n for c in ',"\n\r') else n for n in names]
+    return ",".join(quoted) + "\n"
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append",
                properties: Mapping[str, str] | None = None) -> None:
     """Append or overwrite a database table after making vector columns arrays.
