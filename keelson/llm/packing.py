@@ -15,10 +15,13 @@ but for its leftovers, and nothing is shuffled but those.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +33,24 @@ VOCABULARY, END_ID, WINDOW = "word_bpe_49k.json", 1, 2048
 #: Open windows of a partition, and leftover partitions that are packed together at each level.
 OPEN_WINDOWS, FAN_IN = 64, 64
 #: Chunks between white space whose ids a worker remembers, and the longest of them.
-CACHE_ENTRIES, CACHE_BYTES = 600_000, 48
-_BLOCK_BYTES, _SLICE_ROWS, _FLUSH_TOKENS = 1 << 20, 256, 1 << 20
+CACHE_ENTRIES, CACHE_BYTES = 1_000_000, 48
+_BLOCK_BYTES, _GROUP_BYTES, _SLICE_ROWS, _FLUSH_TOKENS, _JOINED = 1 << 20, 4 << 20, 1024, 1 << 20, 500
 _ID = np.dtype("<u4")
 
 
+#: Marks that compose with A-Z or a-z.
+_MARKS = re.compile("[\u0300-\u037f]")
+_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")  # fixed value: the vocabulary's pattern over ASCII
+
+
+def _words(chunk: bytes) -> int:
+    """How many words the vocabulary sees in a chunk; 0 where that is not plain."""
+    if chunk.isascii():
+        return 0 if b"<|" in chunk else 1 if chunk.isalpha() else len(_WORDS.findall(chunk.lower()))
+    text = chunk.decode()
+    return int(text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha())
+
+
 class Tokens:
     """Ids of whole texts. The vocabulary's pattern never crosses white space and drops it, so a
     text's ids are those of its chunks between ASCII white space, which are remembered."""
@@ -47,6 +63,13 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        # which ids end a word, where the vocabulary marks them
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, vocabulary: str) -> Tokens:
@@ -57,15 +80,37 @@ class Tokens:
             cls._shared[vocabulary] = cls(path)
         return cls._shared[vocabulary]
 
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        new = list(chunks)
-        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        found = {c: np.array(e.ids, _ID).tobytes() for c, e in zip(new, encoded)}
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of unknown chunks. Those whose number of words is known go many to a text, line by line:
+        the last token of every word is marked as such in the vocabulary, so that counting words tells
+        where a chunk ends. If the count is off, and for all other chunks, each goes by itself."""
+        found: dict[bytes, bytes] = {}
+        if self.ends is not None:
+            single = [c for c in chunks if c.isalpha()]  # ASCII letters alone are one word
+            self._joined(single, None, found)
+            mixed = [(c, n) for c in chunks if not c.isalpha() and (n := _words(c))]
+            self._joined([c for c, _ in mixed], np.array([n for _, n in mixed], np.int64), found)
+        rest = [c for c in chunks if c not in found]
+        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False)
+        found.update((c, np.array(e.ids, _ID).tobytes()) for c, e in zip(rest, encoded))
         if len(self.known) + len(found) > CACHE_ENTRIES:
             self.known.clear()
-        self.known.update((c, ids) for c, ids in found.items() if len(c) <= CACHE_BYTES)
+        self.known.update(found if max(map(len, found), default=0) <= CACHE_BYTES else
+                          {c: ids for c, ids in found.items() if len(c) <= CACHE_BYTES})
         return found
 
+    def _joined(self, chunks: list[bytes], words: np.ndarray | None, found: dict[bytes, bytes]) -> None:
+        """Adds the ids of chunks of so many words each (of one, if not given)."""
+        for at in range(0, len(chunks), _JOINED):
+            part = chunks[at:at + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(part).decode()], add_special_tokens=False)[0].ids, _ID)
+            last = np.arange(len(part)) if words is None else np.cumsum(words[at:at + _JOINED]) - 1
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != last[-1] + 1 or ends[-1] != len(ids):
+                continue
+            raw, stops = ids.tobytes(), (ends[last] * _ID.itemsize).tolist()
+            found.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+
     def _blocks(self, text: str):
         """Lists of chunks. Letters A-Z are lowered first, as the vocabulary does, so that fewer
         chunks differ, unless the text may spell a special token. The vocabulary composes characters
@@ -87,31 +132,57 @@ class Tokens:
                 yield [c.lower() if c.isascii() else c for c in block.split()]
             start = end
 
-    def _ids(self, blocks: list[list[bytes]]) -> list[bytes]:
-        """Ids of each list of chunks; unknown chunks of all lists are encoded in one call."""
-        known = self.known
-        found = [[known.get(c) for c in chunks] for chunks in blocks]
-        unknown = {c for chunks, ids in zip(blocks, found) if None in ids for c, x in zip(chunks, ids) if x is None}
-        new = self._learn(unknown) if unknown else {}
-        return [b"".join(ids if None not in ids else [new[c] if x is None else x for c, x in zip(chunks, ids)])
-                for chunks, ids in zip(blocks, found)]
+    def _found(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk; unknown ones are encoded in one call."""
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            new = self._learn(list({c for c, x in zip(chunks, ids) if x is None}))
+            ids = [new[c] if x is None else x for c, x in zip(chunks, ids)]
+        return ids
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be lowered as a whole: Arrow cuts them into chunks and numbers the
+        distinct ones, these are looked up once, and one gather writes the ids of all texts."""
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        flat = cut.flatten().dictionary_encode()
+        distinct = self._found(flat.dictionary.cast(pa.large_binary()).to_pylist())
+        pool = np.frombuffer(b"".join(distinct), _ID)
+        size = np.array([len(x) for x in distinct], np.int64) // _ID.itemsize
+        begin = np.cumsum(size) - size
+        codes = flat.indices.to_numpy(zero_copy_only=False)
+        n = size[codes]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = pool[np.repeat(begin[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = upto[np.asarray(cut.offsets) - cut.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of some texts of bounded size."""
+        plain = [i for i, t in enumerate(texts) if "<|" not in t and not _MARKS.search(t)]
+        out = [b""] * len(texts)
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
+                out[i] = ids
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = b"".join(self._found([c for chunks in self._blocks(texts[i]) for c in chunks]))
+        return out
 
     def encode_all(self, texts: list[str]):
         """Little-endian unsigned 32-bit ids of each whole text, in order."""
-        waiting: list[list[bytes]] = []
+        waiting: list[str] = []
         held = 0
         for text in texts:
             if len(text) >= _BLOCK_BYTES:  # a long text goes by itself, block by block
-                yield from self._ids(waiting)
+                yield from self._group(waiting)
                 waiting, held = [], 0
-                yield b"".join(self._ids([chunks])[0] for chunks in self._blocks(text))
+                yield b"".join(x for chunks in self._blocks(text) for x in self._found(chunks))
                 continue
-            waiting.append([c for chunks in self._blocks(text) for c in chunks])
+            waiting.append(text)
             held += len(text)
-            if held >= _BLOCK_BYTES:
-                yield from self._ids(waiting)
+            if held >= _GROUP_BYTES:
+                yield from self._group(waiting)
                 waiting, held = [], 0
-        yield from self._ids(waiting)
+        yield from self._group(waiting)
 
 
 class Packer:
