@@ -104,7 +104,7 @@ def _joined(spans: str):
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in secrets.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), "cut")
 
 
 @query("op8_warc_derivatives", warc.derive_sql())

@@ -2,9 +2,9 @@
 
 Every text is scanned as it is (base spans). Then a worklist unwraps it: lines with URL escapes
 (``%41``), lines with Unicode escapes (``\\u0041``, ``\\U00000041``, ``\\x41``, ``\\u{41}``, ``%u0041``), runs of base64 (plain
-or URL-safe alphabet, also runs joined across line ends; from each of the first four characters, as
-other characters may stand before the encoded ones), and in base64 gzip, zlib, bzip2, xz or Zstandard data, all members of it and
-compressed again or not. Decoded bytes are read one character a byte: the patterns and encodings are
+or URL-safe alphabet, also runs joined across line ends however short the lines; from each of the first four characters, as
+other characters may stand before the encoded ones), and in the bytes behind base64 or escapes gzip, zlib, bzip2, xz or
+Zstandard data, all members of it and compressed again or not. Decoded bytes are read one character a byte: the patterns and encodings are
 ASCII, so bytes that are no text are noise which hides nothing. Each new layer is scanned with the same patterns and unwrapped in turn. A layer
 seen before, with its text from the same places, ends its branch, as does one that repeats a layer
 it came from (cycle detection); the same text from other places is a layer of its own. So the list
@@ -54,15 +54,24 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % MIN_HEX)
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_HIGH_URL = re.compile("%[0189A-Fa-f][0-9A-Fa-f]")  # bytes that text seldom has
 _UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|%u([0-9A-Fa-f]{4})")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 # line ends, also as written in strings, with blanks around; each further line is a run as a whole
 _END = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*+"
 _LINE_END = re.compile(_END)
 _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_END}[A-Za-z0-9+/_-]++(?==|[ \t]*+(?:[\r\n\\\"'<>,;)\]}}]|\Z)))++={{0,2}}")
+_BYTES = re.compile("[\0-\xff]{8,}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18", re.S)
 
 
+def _may_wrap(text: str) -> bool:
+    """True if 16 base64 characters or more stand on lines of their own, however short these are."""
+    if "\n" not in text and "\r" not in text and "\\n" not in text:
+        return False
+    return any(len(_LINE_END.sub("", m[0])) >= 16 for m in _WRAPPED.finditer(text))
+
+
 def _table(chars: str) -> bytes:
     marked = set(chars.encode())
     return bytes(49 if c in marked else 48 for c in range(256))
@@ -168,6 +177,11 @@ def _url(m: re.Match):
     return [(c, 3 * a, 3 * b) for c, a, b in _characters(bytes.fromhex(m[0].replace("%", "")))]
 
 
+def _url_bytes(m: re.Match):
+    """One character a byte."""
+    return [(chr(b), 3 * i, 3 * i + 3) for i, b in enumerate(bytes.fromhex(m[0].replace("%", "")))]
+
+
 def _unicode(m: re.Match):
     code = int(next(g for g in m.groups() if g), 16)
     return [(chr(code) if code < 0x110000 else "�", 0, m.end() - m.start())]
@@ -248,6 +262,20 @@ def _unpacked(pieces: Iterator[bytes], ends: _Ends) -> Iterator[bytes]:
             raise
 
 
+def _compressed(layer: Layer) -> Iterator[Run]:
+    """Compressed data in a layer of one character a byte. Characters that are no bytes end it."""
+    for part in _BYTES.finditer(layer.text):
+        raw, at = part[0].encode("latin-1"), 0
+        for m in _MAGIC.finditer(raw):
+            if m.start() < at or not _may_begin(raw[m.start():m.start() + _PIECE]):
+                continue
+            run = Run(raw[m.start():], int(layer.start[part.start() + m.start()]), int(layer.stop[part.end() - 1]),
+                      layer.goes_on and part.end() == len(layer.text))
+            yield run
+            if run.clean:  # the rest is inside it
+                at = len(raw)
+
+
 def _may_begin(raw: bytes) -> bool:
     """False if these are no first bytes of compressed data."""
     ends = _Ends()
@@ -357,7 +385,8 @@ def _may_hold(raw: bytes) -> bool:
     """False for bytes without any secret or further encoding."""
     low = raw.lower()
     return (b"%" in raw or b"\\" in raw or b"AKIA" in raw or any(w.encode() in low for w in _WORDS)
-            or b"1" * 16 in raw.translate(_B64_TABLE) or b"1" * MIN_HEX in raw.translate(_HEX_TABLE))
+            or b"1" * 16 in raw.translate(_B64_TABLE) or b"1" * MIN_HEX in raw.translate(_HEX_TABLE)
+            or _may_wrap(raw.decode("latin-1")))
 
 
 @dataclass
@@ -424,15 +453,30 @@ def _base64(layer: Layer):
                 yield _bytes_layer(raw, layer, places[shift:], goes_on and end == len(body))
 
 
+def _to_last(line: Layer, pattern: re.Pattern) -> Layer:
+    """A line up to its last escape and the characters that need none behind it."""
+    end = max(m.end() for m in pattern.finditer(line.text))
+    while end < len(line.text) and (line.text[end].isalnum() or line.text[end] in "_.~-"):
+        end += 1
+    return line.cut(0, end)
+
+
 def _children(layer: Layer, raw: bytes):
+    """What a layer holds one step further in: texts behind escapes and base64, and compressed data behind
+    either. Escapes may stand for bytes that are no text, so that compressed data is looked for in their bytes."""
     text = layer.text
     if "%" in text:
         for a, b in _lines_with(text, _URL):
-            yield _spliced(layer.cut(a, b), _URL, _url)
+            line = layer.cut(a, b)
+            yield _spliced(line, _URL, _url)
+            if _HIGH_URL.search(text, a, b):
+                yield from _compressed(_spliced(_to_last(line, _URL), _URL, _url_bytes))
     if "\\" in text or "%u" in text:
         for a, b in _lines_with(text, _UNICODE):
-            yield _pairs(_spliced(layer.cut(a, b), _UNICODE, _unicode))
-    if b"1" * 16 in raw.translate(_B64_TABLE):
+            line = layer.cut(a, b)
+            yield _pairs(_spliced(line, _UNICODE, _unicode))
+            yield from _compressed(_spliced(_to_last(line, _UNICODE), _UNICODE, _unicode))
+    if b"1" * 16 in raw.translate(_B64_TABLE) or _may_wrap(text):
         yield from _base64(layer)
 
 
@@ -440,7 +484,7 @@ def search(text: str, max_expanded: int = MAX_EXPANDED) -> tuple[list, list, boo
     """``(base, all)`` spans of a text as sorted ``(start, kind number, stop)``, and whether a bomb was cut."""
     raw = text.encode("utf-8", "surrogatepass")
     base = scan(text, raw)
-    if "%" not in text and "\\" not in text and b"1" * 16 not in raw.translate(_B64_TABLE):
+    if "%" not in text and "\\" not in text and b"1" * 16 not in raw.translate(_B64_TABLE) and not _may_wrap(text):
         return base, base, False
     spans, place, layers = set(base), np.arange(len(text)), _Search(max_expanded)
     layers.walk(Layer(text, place, place + 1), raw, spans)

@@ -2,6 +2,8 @@ import base64
 import bz2
 import gzip
 import lzma
+import random
+import re
 import urllib.parse
 import zlib
 
@@ -198,3 +200,68 @@ def test_rows(make_docs, odd_rows):
     assert [tuple(s) for s in by_id[30].base] == [("assign", 0, len(SECRET) - 1)]
     assert by_id[31].base == [] and len(by_id[31].spans) == 1
     assert by_id[1].spans == [] and secrets.find_secrets(make_docs([])).collect() == []
+
+
+def _url_all(raw: bytes) -> str:
+    return "".join(f"%{b:02X}" for b in raw)
+
+
+_WRAPS = {
+    "url": lambda raw: _url_all(raw).encode(),
+    "u": lambda raw: "".join(f"\\u{b:04x}" for b in raw).encode(),
+    "x": lambda raw: "".join(f"\\x{b:02x}" for b in raw).encode(),
+    "base64": base64.b64encode,
+    "gzip": lambda raw: gzip.compress(raw, mtime=0),
+}
+_SAID = b"say password=hunter22secret now"
+
+
+@pytest.mark.parametrize("outer", ["url", "u", "x", "base64"])
+@pytest.mark.parametrize("inner", list(_WRAPS))
+def test_every_ordered_pair_of_layers(outer, inner):
+    hidden = _WRAPS[outer](_WRAPS[inner](_SAID)).decode()
+    text = f"before {hidden} after"
+    assert any(k == 0 and 7 <= a < b <= 7 + len(hidden) for a, k, b in secrets.find(text)[1])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_nestings_against_a_plain_worklist(seed):
+    """An independent worklist that undoes whole-string encodings must agree on whether the secret shows."""
+    rng = random.Random(seed)
+    raw = _SAID if seed % 4 else b"nothing to see in here at all"
+    for _ in range(rng.randrange(1, 5)):
+        raw = _WRAPS[rng.choice(list(_WRAPS))](raw)
+    if raw[:2] == b"\x1f\x8b":  # a text holds no bare bytes
+        raw = base64.b64encode(raw)
+
+    def undone(data):
+        yield from ([gzip.decompress(data)] if data[:3] == b"\x1f\x8b\x08" else [])
+        for pattern, to in ((rb"(?:%[0-9A-F]{2})+", lambda d: bytes.fromhex(d.replace(b"%", b"").decode())),
+                            (rb"(?:\\u00[0-9a-f]{2})+", lambda d: bytes.fromhex(d.replace(b"\\u00", b"").decode())),
+                            (rb"(?:\\x[0-9a-f]{2})+", lambda d: bytes.fromhex(d.replace(b"\\x", b"").decode()))):
+            if re.fullmatch(pattern, data):
+                yield to(data)
+        if re.fullmatch(rb"[A-Za-z0-9+/]{16,}={0,2}", data) and len(data) % 4 == 0:
+            yield base64.b64decode(data)
+
+    work, shows = [raw], False
+    while work:
+        data = work.pop()
+        shows |= b"password=hunter22secret" in data
+        work += list(undone(data))
+    assert bool(secrets.find(raw.decode())[1]) == shows == bool(seed % 4)
+
+
+@pytest.mark.parametrize("width", [4, 5, 8, 12, 15])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+def test_base64_wrapped_narrowly(width, end):
+    for raw in (_SAID, gzip.compress(_SAID, mtime=0)):
+        body = base64.b64encode(raw).decode()
+        text = "key:" + end + end.join(body[i:i + width] for i in range(0, len(body), width)) + end + "ok. done"
+        assert any(k == 0 for _, k, _ in secrets.find(text)[1]), text
+
+
+def test_query_shows_cut_rows(spark):
+    from keelson.llm import catalog
+
+    assert catalog.QUERIES["op9_secret_scan"](spark, "/root/testdata/sf0.001").columns[-1] == "cut"
