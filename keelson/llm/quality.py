@@ -170,11 +170,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text",
         sample_rows: int = SAMPLE_ROWS) -> Machine:
-    """A machine fitted on at most ``sample_rows`` labelled documents outside the held-out fold."""
+    """A machine fitted on at most ``sample_rows`` labelled documents outside the held-out fold.
+
+    Labels other than 0 and 1, null ids and labelled ids without a document are not used. An id that
+    repeats in ``docs`` counts once for each of its labels, with the text whose hash is least (null
+    texts read as empty), so that at most ``sample_rows`` rows reach the driver. Ties go by id, and reruns agree.
+    Without labelled rows the machine scores everything alike. Further columns are not read.
+    """
     known = (labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y"))
              .where(F.col("__y").isin(0, 1)).where(~held_out(F.col("__id"))))
     known = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(int(sample_rows))  # bounds what is broadcast
     picked = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
+    picked = picked.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("least"))
+    picked = picked.select("__id", "__y", F.col("least.__text").alias("__text"))
 
     def run(batches):
         for batch in batches:
@@ -220,7 +228,11 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
+    """The rows of ``docs``, all columns whatever their names, whose score reaches ``threshold``.
+
+    Null texts read as empty, and empty texts have the score of their statistics. Rows with null or
+    repeated ids and repeated rows are judged one by one, equal texts alike. An empty table stays empty.
+    """
 
     def run(batches):
         for batch in batches:

@@ -52,3 +52,15 @@ def test_empty_tables_and_one_label(make_docs, spark):
     assert {round(r.score, 6) for r in quality.score(docs, quality.fit(docs, none)).collect()} == {0.5}
     ones = spark.createDataFrame([(i, 1) for i in range(6)], "doc_id long, quality int")
     assert all(r.predicted == 1 for r in quality.score(docs, quality.fit(docs, ones)).collect())
+
+
+def test_a_repeated_labelled_id_is_one_row(make_docs, spark, odd_rows):
+    rows = [(i, t) for i, (_, t, *_) in enumerate(odd_rows)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(rows))] + [(None, 1), (3, 7)], "doc_id long, quality int")
+    docs = make_docs(rows)
+    hot = docs.unionByName(docs.where("doc_id = 7").limit(1).select(
+        "doc_id", *[c for c in docs.columns if c != "doc_id"]).crossJoin(spark.range(100_000).drop("id")).withColumn("text", F.lit("zz, the same other text")))
+    machine = quality.fit(hot, labels)
+    assert quality.score(docs, machine).count() == len(rows)
+    again = quality.fit(hot.repartition(11), labels)
+    assert again.w0 == machine.w0
