@@ -183,20 +183,52 @@ class _Verifier:
         self.bags = shingle_hashes(texts, length)
         self.similarity, self.sets, self.differ = similarity, UnionFind(), set()
 
+    def _similar(self, x: int, y: int) -> bool:
+        a, b = self.bags[x], self.bags[y]
+        size, other = len(a), len(b)
+        if min(size, other) < self.similarity * max(size, other) or (x, y) in self.differ:
+            return False
+        both = len(a & b)
+        if both >= self.similarity * (size + other - both):
+            return True
+        self.differ.add((x, y))
+        return False
+
+    def _clusters(self, members: list[int]) -> list[list[int]]:
+        """Members by the set they are in, so that lines already joined are one entry."""
+        found: dict[int, list[int]] = {}
+        for x in members:
+            found.setdefault(self.sets.find(x), []).append(x)
+        return list(found.values())
+
     def link(self, left: list[int], right: list[int] | None = None) -> None:
-        """Joins the similar pairs within ``left``, or between ``left`` and ``right``."""
-        find, bags, least = self.sets.find, self.bags, self.similarity
-        for n, x in enumerate(left):
-            size = len(bags[x])
-            for y in left[n + 1:] if right is None else right:
-                other = len(bags[y])
-                if min(size, other) < least * max(size, other) or (x, y) in self.differ or find(x) == find(y):
-                    continue
-                both = len(bags[x] & bags[y])
-                if both >= least * (size + other - both):
-                    self.sets.union(x, y)
+        """Joins the similar pairs within ``left``, or between ``left`` and ``right``.
+
+        Clusters of joined lines are compared until one pair is similar; then they are one cluster.
+        Pairs inside a cluster are never looked at.
+        """
+        if right is None:
+            done: list[list[int]] = []
+            for cluster in self._clusters(left):
+                apart = []
+                for other in done:
+                    if any(self._similar(*((x, y) if x < y else (y, x))) for x in cluster for y in other):
+                        self.sets.union(cluster[0], other[0])
+                        cluster = cluster + other
+                    else:
+                        apart.append(other)
+                done = [*apart, cluster]
+            return
+        others = self._clusters(right)
+        for x in left:
+            joined, apart = [], []
+            for other in others:
+                if self.sets.find(x) == self.sets.find(other[0]) or any(self._similar(*((x, y) if x < y else (y, x))) for y in other):
+                    self.sets.union(x, other[0])
+                    joined += other
                 else:
-                    self.differ.add((x, y))
+                    apart.append(other)
+            others = [*apart, joined] if joined else apart
 
     def edges(self, names: list[int]) -> pa.RecordBatch:
         found = [(names[x], names[r]) for x in range(len(names)) if (r := self.sets.find(x)) != x]
