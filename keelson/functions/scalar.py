@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,3 +135,26 @@ def vector_element(v, index: int) -> Column:
     from pyspark.ml.functions import vector_to_array
 
     return F.get(vector_to_array(_c(v)), index)
+
+
+def can_hash(dtype: T.DataType) -> bool:
+    """Spark hashes no maps, nor anything that holds one, and no variants."""
+    if isinstance(dtype, T.StructType):
+        return all(can_hash(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return can_hash(dtype.elementType)
+    return not isinstance(dtype, (T.MapType, T.VariantType))
+
+
+def hashable(column: Column, dtype: T.DataType) -> list[Column]:
+    """The parts of a column that a hash can read: itself, or the fields of a struct that can be hashed."""
+    if can_hash(dtype):
+        return [column]
+    if isinstance(dtype, T.StructType):
+        return [c for f in dtype.fields for c in hashable(column.getField(f.name), f.dataType)]
+    return []
+
+
+def hashable_columns(df: DataFrame) -> list[Column]:
+    """Everything in a row that a hash can read, so that a row hash works on tables with map columns too."""
+    return [c for f in df.schema.fields for c in hashable(F.col(f"`{f.name}`"), f.dataType)]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.scalar import epoch_ms, ms_bucket
+from keelson.functions.scalar import epoch_ms, hashable_columns, ms_bucket
 from keelson.operators.ordering import BUCKET, _lit_array, _sources, plan_layout
 from keelson.session import small_side
 
@@ -31,7 +31,7 @@ def _ms_of(df: DataFrame, ts) -> Column:
 
 def _tie_of(df: DataFrame, tiebreak) -> Column:
     if tiebreak is None:
-        return F.xxhash64(*[F.col(c) for c in df.columns])
+        return F.xxhash64(*hashable_columns(df), F.lit(0))
     if isinstance(tiebreak, str):
         return F.col(tiebreak)
     return tiebreak

@@ -14,22 +14,14 @@ from collections.abc import Callable, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_L, _R = "_kl_left_slice", "_kl_right_slice"
 
+from keelson.functions.scalar import hashable_columns
 
-def _hashable(dtype: T.DataType) -> bool:
-    """Maps have no hash in Spark, nor has anything that holds one, and variants neither."""
-    if isinstance(dtype, T.StructType):
-        return all(_hashable(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, T.ArrayType):
-        return _hashable(dtype.elementType)
-    return not isinstance(dtype, (T.MapType, T.VariantType))
+_L, _R = "_kl_left_slice", "_kl_right_slice"
 
 
 def _row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)], F.lit(7))
+    return F.xxhash64(*hashable_columns(df), F.lit(7))
 
 
 def _hot(df: DataFrame, on: Sequence[str], rows: int, name: str) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keelson.functions.scalar import hashable, hashable_columns
 from keelson.functions.scalar import ntz_epoch_micros
 from keelson.session import shuffle_partitions, small_side
 
@@ -416,18 +417,10 @@ def rank_rows(df: DataFrame, keys, layout: OrderLayout | None = None,
     return ranked, layout
 
 
-def _hashable(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.StructType):
-        return all(_hashable(f.dataType) for f in dtype.fields)
-    if isinstance(dtype, T.ArrayType):
-        return _hashable(dtype.elementType)
-    return not isinstance(dtype, (T.MapType, T.VariantType))
-
-
 def _total_order(df: DataFrame, keys: list[Column], tie_break: bool) -> list[Column]:
     """The keys and, last, a hash of all columns that can be hashed: rows with equal keys then have
     the same order in every job."""
-    names = [F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)]
+    names = hashable_columns(df)
     return [*keys, F.xxhash64(*names)] if tie_break and names else keys
 
 
@@ -513,7 +506,7 @@ def _first_rows(bucketed: DataFrame, layout: OrderLayout, keys: list[Column], pa
         found = probe.join(bound_rows, F.col("_kl_key").eqNullSafe(F.col("_kl_b")))
         # ties on the full key are interchangeable; keep one row per bucket, chosen by content
         first = small_side(found.groupBy("_kl_fb").agg(
-            F.min_by("_kl_first", F.xxhash64("_kl_first")).alias("_kl_first")), layout.num_buckets)
+            F.min_by("_kl_first", F.xxhash64(*hashable(F.col("_kl_first"), probe.schema["_kl_first"].dataType))).alias("_kl_first")), layout.num_buckets)
         if first.count() == len(layout.bounds):
             # every bucket after the first holds its bound's row, so it is non-empty
             return first.select((F.col("_kl_fb") - 1).alias(BUCKET), F.col("_kl_first").alias("_kl_follow"))

@@ -15,8 +15,8 @@ from pyspark.ml import Estimator
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from keelson.functions.scalar import hashable_columns
 from keelson.plans.grid import flat_stages
 
 
@@ -30,9 +30,7 @@ def _params(stage) -> dict:
 def fingerprint(estimator: Estimator, param_maps, evaluator: Evaluator, folded: DataFrame) -> str:
     stages = flat_stages(estimator)
     at = {s.uid: i for i, s in enumerate(stages)}
-    hashed = [F.col(f"`{f.name}`") for f in folded.schema.fields
-              if not isinstance(f.dataType, (T.MapType, T.VariantType)) and "map<" not in f.dataType.simpleString()]
-    data = folded.agg(F.count("*"), F.sum(F.xxhash64(*hashed).cast("decimal(38,0)"))).first()
+    data = folded.agg(F.count("*"), F.sum(F.xxhash64(*hashable_columns(folded), F.lit(0)).cast("decimal(38,0)"))).first()
     parts = [[[type(s).__name__, _params(s)] for s in stages],
              [sorted([at.get(p.parent, -1), p.name, repr(v)] for p, v in m.items()) for m in param_maps],
              [type(evaluator).__name__, _params(evaluator)], folded.schema.simpleString(), data[0], str(data[1])]

@@ -23,6 +23,7 @@ from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.functions.scalar import hashable_columns
 from keelson.plans.grid import fit_tries, models_of
 from keelson.plans.journal import Journal, fingerprint
 from keelson.plans.scoring import score_trie
@@ -35,7 +36,7 @@ _FOLD = "_kl_fold"
 
 def _key_cols(df: DataFrame, keys) -> list[Column]:
     if keys is None:
-        keys = df.columns
+        return hashable_columns(df)
     if isinstance(keys, (str, Column)):
         keys = [keys]
     return [F.col(k) if isinstance(k, str) else k for k in keys]
