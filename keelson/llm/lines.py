@@ -32,6 +32,8 @@ from keelson.llm.components import UnionFind, connected_components
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 6, 0.8
 #: Lines of a block of a large bucket.
 BLOCK_LINES = 512
+#: Characters of lines that are shingled at once.
+_VERIFIED_CHARS = 1 << 18
 _BLANKS, _SEED, _CELLS = " \t\n\v\f\r", 42, 1 << 17
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B32 = np.uint32(0x9E3779B1)
@@ -179,9 +181,8 @@ def _collisions(batches):
 class _Verifier:
     """Exact Jaccard (of shingles as 64-bit hashes) over the lines of a group; pairs that are joined or known to differ are skipped."""
 
-    def __init__(self, texts: list[str], length: int, similarity: float):
-        self.bags = shingle_hashes(texts, length)
-        self.similarity, self.sets, self.differ = similarity, UnionFind(), set()
+    def __init__(self, bags: list[set[int]], similarity: float):
+        self.bags, self.similarity, self.sets, self.differ = bags, similarity, UnionFind(), set()
 
     def _similar(self, x: int, y: int) -> bool:
         a, b = self.bags[x], self.bags[y]
@@ -230,9 +231,8 @@ class _Verifier:
                     apart.append(other)
             others = [*apart, joined] if joined else apart
 
-    def edges(self, names: list[int]) -> pa.RecordBatch:
-        found = [(names[x], names[r]) for x in range(len(names)) if (r := self.sets.find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+    def edges(self, names: list[int]) -> list[tuple[int, int]]:
+        return [(names[x], names[r]) for x in range(len(names)) if (r := self.sets.find(x)) != x]
 
 
 def _sorted_groups(batches, group: list[str], columns: list[str]):
@@ -250,19 +250,42 @@ def _sorted_groups(batches, group: list[str], columns: list[str]):
         yield last, rows
 
 
+def _verified(groups, length: int, similarity: float, link):
+    """Edges of groups ``(key, rows)``, the text last in a row; many small groups are shingled and leave together."""
+    def edges(held):
+        bags, at, found = shingle_hashes([r[-1] for _, rows in held for r in rows], length), 0, []
+        for key, rows in held:
+            verifier = _Verifier(bags[at:at + len(rows)], similarity)
+            link(verifier, key, rows)
+            found += verifier.edges([r[0] for r in rows])
+            at += len(rows)
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    held, size = [], 0
+    for key, rows in groups:
+        held.append((key, rows))
+        size += sum(len(r[-1]) for r in rows)
+        if size >= _VERIFIED_CHARS:
+            yield edges(held)
+            held, size = [], 0
+    if held:
+        yield edges(held)
+
+
 def _links_by_least(length: int, similarity: float):
     """Buckets that share their least line are verified together, so that a pair that meets in
     several of them is compared once."""
 
+    def link(verifier, _, rows):
+        buckets: dict[int, list[int]] = {}
+        for n, (_, keys, _) in enumerate(rows):
+            for key in keys:
+                buckets.setdefault(key, []).append(n)
+        for members in set(map(tuple, buckets.values())):
+            verifier.link(list(members))
+
     def run(batches):
-        for _, rows in _sorted_groups(batches, ["least"], ["line", "keys", "text"]):
-            verifier, buckets = _Verifier([r[2] for r in rows], length, similarity), {}
-            for n, (_, keys, _) in enumerate(rows):
-                for key in keys:
-                    buckets.setdefault(key, []).append(n)
-            for members in buckets.values():
-                verifier.link(members)
-            yield verifier.edges([r[0] for r in rows])
+        yield from _verified(_sorted_groups(batches, ["least"], ["line", "keys", "text"]), length, similarity, link)
 
     return run
 
@@ -270,14 +293,16 @@ def _links_by_least(length: int, similarity: float):
 def _links_by_block(length: int, similarity: float):
     """One pair of blocks of a large bucket at a time."""
 
+    def link(verifier, key, rows):
+        _, i, j = key
+        if i == j:
+            verifier.link(list(range(len(rows))))
+        else:
+            verifier.link(*([n for n, r in enumerate(rows) if bool(r[1]) == right] for right in (False, True)))
+
     def run(batches):
-        for (_, i, j), rows in _sorted_groups(batches, ["key", "i", "j"], ["line", "side", "text"]):
-            verifier = _Verifier([r[2] for r in rows], length, similarity)
-            if i == j:
-                verifier.link(list(range(len(rows))))
-            else:
-                verifier.link([n for n, r in enumerate(rows) if not r[1]], [n for n, r in enumerate(rows) if r[1]])
-            yield verifier.edges([r[0] for r in rows])
+        groups = _sorted_groups(batches, ["key", "i", "j"], ["line", "side", "text"])
+        yield from _verified(groups, length, similarity, link)
 
     return run
 
