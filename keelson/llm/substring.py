@@ -10,11 +10,11 @@ internal node, at least 50 words deep, of the corpus's suffix tree. The tree is
    one document starts no repeat and its suffixes are left out.
 2. The remaining anchors' contexts (the words of all windows they stand for) are dealt out by
    prefix. Equal contexts of a batch of documents travel once, with their places.
-3. A task reads whole prefix groups in order, several small ones at a time, and builds their
-   subtree: the leaves (windows) sorted by their path, and for neighbours whether the common
-   prefix, compared word by word, reaches 50. Runs of such neighbours are the deep nodes; a leaf
-   goes if its node also has a leaf of a smaller document. Neighbouring leaves of a document make
-   one maximal repeat, reported as a span of words.
+3. A task reads whole prefix groups in order, several small ones at a time, and builds the deep
+   part of their subtree: leaves (windows) whose path has a hash of its own have no deep node; the others
+   are sorted by the words of their paths, by prefix doubling, and runs of neighbours whose common
+   prefix reaches 50 are the leaves of one internal node. A leaf goes if its node also has a leaf of a
+   smaller document. Neighbouring leaves of a document make one maximal repeat, reported as a span of words.
 4. Prefixes are of variable length: one that more than ``GROUP_DOCS`` documents share would not fit
    memory, so it is lengthened to the whole window. Each such leaf is then its own group, its
    least document comes from a pre-aggregated shuffle, and is joined back, so one passage in a
@@ -182,11 +182,26 @@ def _list_leaves(window: int, prefix: int):
     return run
 
 
+def path_ranks(codes: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The rank of the ``window`` words from each of the places ``at``, in the order of their words; equal words, equal rank.
+
+    Ranks of runs of 1, 2, 4, ... words come from those of half the length (prefix doubling), and two
+    overlapping runs make the window, so the order is that of the paths in a suffix tree and no hash decides.
+    """
+    ranks, size = codes, 1
+    top = int(codes.max()) + 1 if len(codes) else 1
+    while 2 * size <= window:  # places too near the end give ranks that no window reads
+        ahead = np.r_[ranks[size:], np.zeros(min(size, len(ranks)), np.int64)]
+        _, ranks = np.unique(ranks * top + ahead, return_inverse=True)
+        top, size = int(ranks.max()) + 1 if len(ranks) else 1, 2 * size
+    return np.unique(ranks[at] * top + ranks[at + window - size], return_inverse=True)[1]
+
+
 def deep_nodes(contexts: list[list[bytes]], leaves: list[int], docs: list[int], window: int) -> list[np.ndarray]:
     """Per context, the least document of each leaf's node at depth ``window``.
 
-    Leaves are sorted by the hash of their path; neighbours with equal hashes are compared word by
-    word, and belong to one node exactly if their first ``window`` words are the same.
+    A leaf whose path has a hash of its own shares no node of that depth. The other leaves are sorted by
+    the words of their paths; neighbours whose common prefix reaches ``window`` are below one deep node.
     """
     codes: dict[bytes, int] = {}
     flat = np.array([codes.setdefault(w, len(codes)) for c in contexts for w in c], np.int64)
@@ -198,15 +213,21 @@ def deep_nodes(contexts: list[list[bytes]], leaves: list[int], docs: list[int],
     paths = _runs_hash(_mix(flat.astype(np.uint64) + np.uint64(1)), window, _B)[at]
     order = np.argsort(paths, kind="stable")
     near = paths[order][1:] == paths[order][:-1]
-    for i in range(0, len(near), 1 << 14):  # exact: the common prefix of sorted neighbours, on the words
-        pair = np.flatnonzero(near[i:i + (1 << 14)]) + i
-        reach = np.arange(window)
-        near[pair] = (flat[at[order[pair]][:, None] + reach] == flat[at[order[pair + 1]][:, None] + reach]).all(axis=1)
-    node = np.r_[0, np.cumsum(~near)] if len(order) else np.zeros(0, np.int64)
-    least = np.full(node[-1] + 1 if len(node) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, owner[order])
-    out = np.empty(len(order), np.int64)
-    out[order] = least[node]
+    shared = order[np.r_[near, False] | np.r_[False, near]] if len(order) else order
+    out = owner.copy()
+    if len(shared):
+        mine = np.repeat(np.arange(len(counts)), counts)
+        held = np.unique(mine[shared])  # contexts with such a leaf, laid end to end
+        words = np.concatenate([flat[starts[i]:starts[i] + sizes[i]] for i in held])
+        begin = np.cumsum(sizes[held]) - sizes[held]
+        place = begin[np.searchsorted(held, mine[shared])] + at[shared] - starts[mine[shared]]
+        ranks = path_ranks(words, place, window)
+        sorted_ = np.argsort(ranks, kind="stable")
+        deep = ranks[sorted_][1:] == ranks[sorted_][:-1]  # the common prefix of neighbours reaches the window
+        node = np.r_[0, np.cumsum(~deep)]
+        least = np.full(node[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, owner[shared[sorted_]])
+        out[shared[sorted_]] = least[node]
     return np.split(out, np.cumsum(counts)[:-1])
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from llm_corpus import prose
 
 from keelson.llm import substring
@@ -60,3 +61,23 @@ def test_empty_table(make_docs):
 def test_other_windows(make_docs):
     rows = planted()
     assert got(substring.remove_repeats(make_docs(rows), window=13, prefix=4)) == plain(rows, 13)
+
+
+def test_ranks_follow_the_words_and_hashes_decide_nothing(monkeypatch):
+    rng = random.Random(9)
+    codes = np.array([rng.randrange(3) for _ in range(400)], np.int64)
+    for window in (1, 2, 3, 5, 8, 13, 50):
+        at = np.arange(len(codes) - window + 1)
+        paths = [tuple(codes[i:i + window]) for i in at]
+        order = {p: n for n, p in enumerate(sorted(set(paths)))}
+        assert substring.path_ranks(codes, at, window).tolist() == [order[p] for p in paths]
+    contexts = [[b"%d" % rng.randrange(2) for _ in range(rng.randrange(5, 30))] for _ in range(40)]
+    leaves, docs = [len(c) - 4 for c in contexts], [rng.randrange(20) for _ in contexts]
+    least = {}
+    for c, k, d in zip(contexts, leaves, docs):
+        for i in range(k):
+            least[tuple(c[i:i + 5])] = min(least.get(tuple(c[i:i + 5]), d), d)
+    want = [[least[tuple(c[i:i + 5])] for i in range(k)] for c, k in zip(contexts, leaves)]
+    assert [x.tolist() for x in substring.deep_nodes(contexts, leaves, docs, 5)] == want
+    monkeypatch.setattr(substring, "_runs_hash", lambda h, length, base: np.zeros(len(h) - length + 1, np.uint64))  # all collide
+    assert [x.tolist() for x in substring.deep_nodes(contexts, leaves, docs, 5)] == want
