@@ -7,11 +7,13 @@ row per source).
 Positions: each source has a weight schedule over training time 0 to 1, piecewise linear. Its
 integral is the source's cumulative demand; a document whose place in its source's word stream is
 ``c`` gets the time at which demand reaches ``c``, the integral's inverse. Sorting by that time gives
-the training order, in which the mixture follows the schedules.
+the training order, in which the mixture follows the schedules. Every occurrence is laid out so: a
+document's second pass has a time of its own, and its offset is the words of the stream before it.
 
 A source's stream orders documents by a hash of their id. Its running word count comes from two
 steps, so that a hot source is no hot key: words per (source, hash range), summed over ranges, and
-a window within one range, which holds about ``ROWS_PER_RANGE`` rows at any size of the corpus.
+a window within one range, which holds about ``ROWS_PER_RANGE`` rows at any size of the corpus. Offsets
+come alike, from sums over the ranges of the sort by time.
 """
 
 from __future__ import annotations
@@ -71,12 +73,13 @@ def _hash(doc_id: Column) -> Column:
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
          share: float = SHARE, limit: int = LIMIT, schedules=SCHEDULES) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, position``.
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, position, uses``.
 
-    ``size`` counts words, ``target`` is the source's, ``taken`` the words the mix takes of the
-    document: 0, whole passes, or what its source's target still needs of it. ``position`` is the
-    training time of its first occurrence (null if nothing is taken). Columns ``a, b, before, passes``
-    (row key, words of its source before it, whole-number target) serve :func:`mix`.
+    ``size`` counts words, ``target`` is the source's. ``uses`` lists the row's occurrences in the training
+    stream: ``pass``, its training time ``at``, the words ``need`` it gives (all, or what its source's target
+    still needs) and its ``offset``, the words of the stream before it (null if nothing is taken).
+    ``taken`` adds up the words of ``uses``, ``position`` is the time of the first. Columns ``rank, before,
+    whole, a, b`` (source's rank, words of its source before the row, whole-number target, row key) serve :func:`mix`.
 
     Null texts and texts without words have size 0 and are never taken; a null source is one more
     source and ranks last; null and repeated ids are ordered by their text's hash; repeated rows
@@ -104,13 +107,33 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
            .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
            .withColumn("before", F.col("ahead") + F.col("upto") - F.col("size"))
            .withColumn("whole", F.floor("target")))
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), F.col("whole") - F.col("source_size") * n - F.col("before")))
-                 for n in range(int(limit))), F.lit(0))
-    out = out.withColumn("taken", taken)
-    at = _schedule_sql("(CAST(before AS DOUBLE) / target)", "rank", schedules)
-    return out.select("doc_id", "size", "source_size", "target", "taken",
-                      F.when(F.col("taken") > 0, F.expr(at)).alias("position"),
-                      "rank", "before", "whole", "a", "b")
+    out = scratch.stage(out.select("doc_id", "size", "source_size", "target", "rank", "before", "whole", "a", "b"))
+    need = "least(size, whole - source_size * pass - before)"
+    used = (out.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max(0, int(limit) - 1)))))
+            .withColumn("need", F.expr(need)).where("need > 0"))
+    # rows with words differ in (rank, before); the others are never taken
+    uses = F.array_sort(F.collect_list(F.struct("pass", "at", "need", "offset"))).alias("uses")
+    taken = _in_training_order(used, schedules, scratch).groupBy(*out.columns).agg(uses)
+    left = out.where("size = 0 or whole <= before").withColumn("uses", F.lit(None).cast(taken.schema["uses"].dataType))
+    words = F.aggregate("uses", F.lit(0).cast("long"), lambda n, use: n + use["need"])
+    return (taken.unionByName(left)
+            .select("doc_id", "size", "source_size", "target", F.coalesce(words, F.lit(0)).alias("taken"),
+                    F.col("uses")[0]["at"].alias("position"), "uses", "rank", "before", "whole", "a", "b"))
+
+
+def _in_training_order(used: DataFrame, schedules, scratch: Scratch) -> DataFrame:
+    """``used``, a row per occurrence, sorted by training time: with its time ``at`` and ``offset``, the words before it."""
+    order = ["at", "rank", "before", "pass"]
+    at = _schedule_sql("(CAST(source_size * pass + before AS DOUBLE) / target)", "rank", schedules)
+    # staged, so that a range is read as it was dealt
+    stream = scratch.stage(used.withColumn("at", F.expr(at)).repartitionByRange(shuffle_partitions(used.sparkSession), *order)
+                           .withColumn("range", F.spark_partition_id()))
+    along = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (stream.groupBy("range").agg(F.sum("need").alias("words"))
+              .select("range", F.coalesce(F.sum("words").over(along), F.lit(0)).alias("start")))
+    upto = F.sum("need").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return (stream.withColumn("upto", upto).join(F.broadcast(starts), "range")
+            .withColumn("offset", F.col("start") + F.col("upto") - F.col("need")).drop("range", "start", "upto"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
@@ -124,12 +147,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     scratch = Scratch(docs.sparkSession, "mix-out")
     planned = plan(docs, doc_id, text, source, weights, share, limit, schedules).where("taken > 0")
-    at = _schedule_sql("(CAST(source_size * pass + before AS DOUBLE) / target)", "rank", schedules)
-    need = "least(size, whole - source_size * pass - before)"
-    times = (planned.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(int(limit) - 1))))
-             .withColumn("need", F.expr(need)).where("need > 0")
-             .select("a", "b", F.expr(at).alias("at"), "rank", "before", F.when(F.col("need") < F.col("size"), F.col("need")).alias("cut"))
-             .groupBy("a", "b", "before").agg(F.collect_list(F.struct("at", "rank", "before", "cut")).alias("uses")))
+    cut = F.transform("uses", lambda use: F.struct(use["offset"].alias("offset"), F.when(use["need"] < F.col("size"), use["need"]).alias("cut")))
+    times = planned.select("a", "b", "before", cut.alias("uses"))
     # rows equal in id and text are numbered, so that each meets its own place in the stream
     same = Window.partitionBy("a", "b")
     times = scratch.stage(times.withColumn("n", F.row_number().over(same.orderBy("before"))).drop("before"))
@@ -139,9 +158,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     words = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("use.cut").cast("int")), "")
     found = found.select(F.when(F.col("use.cut").isNull(), F.col("row")).otherwise(F.col("row").withField(text, cut)).alias("row"),
-                         "use.at", "use.rank", "use.before")
-    order = ["at", "rank", "before"]
-    return (found.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+                         "use.offset")
+    return (found.repartitionByRange(shuffle_partitions(docs.sparkSession), "offset").sortWithinPartitions("offset")
             .select("row.*"))
 
 

@@ -82,3 +82,18 @@ def test_a_group_of_equal_rows_meets_as_many_places(spark, make_docs):
     out = curriculum.mix(docs)
     equal = out.where("doc_id = 1").groupBy("text").count().collect()
     assert sum(r["count"] * len(r.text.split()) for r in equal) == sum(r.taken for r in curriculum.plan(docs).where("doc_id = 1").select("taken").collect())
+
+
+def test_every_occurrence_has_its_time_and_offset_in_the_stream(make_docs):
+    """The plan lays out repeats too: sorted by time their offsets are gapless, and the stream of texts follows them."""
+    docs = make_docs(ROWS)
+    planned = curriculum.plan(docs).collect()
+    uses = sorted(((u.at, r.rank, r.before, u["pass"]), u.offset, u.need, r) for r in planned for u in r.uses or [])
+    at = 0
+    for _, offset, need, _ in uses:
+        assert offset == at and need > 0
+        at += need
+    assert at == sum(r.taken for r in planned) and any(u["pass"] == 1 for r in planned for u in r.uses or [])
+    assert all(r.taken == sum(u.need for u in r.uses or []) and r.position == (r.uses[0].at if r.uses else None) for r in planned)
+    stream = curriculum.mix(docs).collect()
+    assert [(r.doc_id, words(r.text)) for r in stream] == [(r.doc_id, need) for _, _, need, r in uses]
