@@ -32,9 +32,12 @@ from keelson.llm.components import UnionFind, connected_components
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 6, 0.8
 #: Lines of a block of a large bucket.
 BLOCK_LINES = 512
+#: Band keys of a partition, which one task holds.
+MET_ROWS = 1 << 21
 #: Characters of lines that are shingled at once.
 _VERIFIED_CHARS = 1 << 18
 _BLANKS, _SEED, _CELLS = " \t\n\v\f\r", 42, 1 << 17
+_FULL = (1 << 64) - 1
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B32 = np.uint32(0x9E3779B1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -68,8 +71,8 @@ def shingles(line: str, length: int = SHINGLE) -> set[str]:
     return {line[i:i + length] for i in range(max(1, len(line) - length + 1))}
 
 
-def shingle_hashes(lines: list[str], length: int = SHINGLE) -> list[set[int]]:
-    """The distinct shingles of each line as 64-bit hashes, computed over all lines at once."""
+def shingle_arrays(lines: list[str], length: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each line as sorted 64-bit hashes, computed over all lines at once."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     runs = codes[:max(0, len(codes) - length + 1)].copy()
     for k in range(1, length):
@@ -77,13 +80,28 @@ def shingle_hashes(lines: list[str], length: int = SHINGLE) -> list[set[int]]:
     hashes, out, at = _mix(runs), [], 0
     for line in lines:
         if len(line) < length:  # a short line is its own one shingle
-            out.append({line_id(line)})
+            out.append(np.array([line_id(line) & _FULL], np.uint64))
         else:
-            out.append(set(hashes[at:at + len(line) - length + 1].tolist()))
+            own = np.sort(hashes[at:at + len(line) - length + 1])
+            new = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            out.append(own[new])
         at += len(line)
     return out
 
 
+def shingle_hashes(lines: list[str], length: int = SHINGLE) -> list[set[int]]:
+    """:func:`shingle_arrays` as sets."""
+    return [set(x.tolist()) for x in shingle_arrays(lines, length)]
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays of distinct values share."""
+    both = np.concatenate((a, b))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def band_keys(lines: list[str], length: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One row of band hashes per (non-empty) line; the band's number is part of the hash."""
     rng = np.random.default_rng(_SEED)
@@ -108,16 +126,16 @@ def band_keys(lines: list[str], length: int = SHINGLE, bands: int = BANDS, rows:
     out = np.empty((len(lines), bands), np.int64)
     mark = _mix(np.arange(1, bands + 1, dtype=np.uint64))
     at = 0
-    while at < len(order):  # a block of lines of about one length, one column per line
+    while at < len(order):  # a block of lines of about one length, one row per line
         limit = int(sorted_heights[at]) * 9 // 8 + 4
         end = min(int(np.searchsorted(sorted_heights, limit, side="right")), at + max(1, _CELLS // limit))
         chosen = order[at:end]
-        rows_at = np.minimum(np.arange(int(sorted_heights[end - 1]))[:, None], heights[chosen] - 1)
-        cells = hashes[rows_at + starts[chosen]]
+        cells_at = np.minimum(np.arange(int(sorted_heights[end - 1])), heights[chosen, None] - 1)
+        cells = hashes[cells_at + starts[chosen, None]]
         least = np.empty((bands * rows, len(chosen)), np.uint64)
         for k, factor in enumerate(factors):  # a product of odd factors permutes the hashes
             cells *= factor
-            least[k] = cells.min(axis=0)
+            least[k] = cells.min(axis=1)
         keys = np.repeat(mark[:, None], len(chosen), axis=1)
         for r in range(rows):
             keys = _mix(keys * _B + least[r::rows])
@@ -178,10 +196,27 @@ def _collisions(batches):
         key, line, told = keys[-1:], lines[-1:], last
 
 
+def _met(batches):
+    """:func:`_collisions` of all rows of a partition, in any order. Few keys are shared, so rows are
+    sorted by key alone and only those that share one by line."""
+    found = [(b.column("key").to_numpy(), b.column("line").to_numpy()) for b in batches]
+    if not found:
+        return
+    keys, lines = (np.concatenate(x) for x in zip(*found))
+    del found
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    chosen = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    keys, lines = keys[chosen], lines[chosen]
+    order = np.lexsort((lines, keys))
+    table = pa.Table.from_arrays([pa.array(keys[order]), pa.array(lines[order])], names=["key", "line"])
+    yield from _collisions(table.to_batches(max_chunksize=1 << 16))
+
+
 class _Verifier:
     """Exact Jaccard (of shingles as 64-bit hashes) over the lines of a group; pairs that are joined or known to differ are skipped."""
 
-    def __init__(self, bags: list[set[int]], similarity: float):
+    def __init__(self, bags: list[np.ndarray], similarity: float):
         self.bags, self.similarity, self.sets, self.differ = bags, similarity, UnionFind(), set()
 
     def _similar(self, x: int, y: int) -> bool:
@@ -189,7 +224,7 @@ class _Verifier:
         size, other = len(a), len(b)
         if min(size, other) < self.similarity * max(size, other) or (x, y) in self.differ:
             return False
-        both = len(a & b)
+        both = shared(a, b)
         if both >= self.similarity * (size + other - both):
             return True
         self.differ.add((x, y))
@@ -253,7 +288,7 @@ def _sorted_groups(batches, group: list[str], columns: list[str]):
 def _verified(groups, length: int, similarity: float, link):
     """Edges of groups ``(key, rows)``, the text last in a row; many small groups are shingled and leave together."""
     def edges(held):
-        bags, at, found = shingle_hashes([r[-1] for _, rows in held for r in rows], length), 0, []
+        bags, at, found = shingle_arrays([r[-1] for _, rows in held for r in rows], length), 0, []
         for key, rows in held:
             verifier = _Verifier(bags[at:at + len(rows)], similarity)
             link(verifier, key, rows)
@@ -335,8 +370,8 @@ def similar_lines(docs: DataFrame, scratch: Scratch, length: int = SHINGLE, band
                         docs.schema["doc_id"], T.StructField("at", T.IntegerType())])
     places = scratch.stage(docs.mapInArrow(_list_lines, out))
     signed = docs.select("text").mapInArrow(_list_bands(length, bands, rows), "key long, line long")
-    met = scratch.stage(signed.repartition(n, "key").sortWithinPartitions("key", "line")
-                        .mapInArrow(_collisions, "key long, line long"))
+    dealt = max(n, -(-places.count() * bands // MET_ROWS))
+    met = scratch.stage(signed.repartition(dealt, "key").mapInArrow(_met, "key long, line long"))
     sets = met.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("line")).alias("x"),
                                   F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"), F.min("line").alias("least"))
     once = (sets.groupBy("size", "x", "y", "least").agg(F.min("key").alias("key"))

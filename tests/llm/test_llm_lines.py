@@ -100,3 +100,31 @@ def test_collisions_over_batches():
                    for i in range(0, 300, size)]
         found = [(k, x) for b in lines._collisions(iter(batches)) for k, x in zip(*(c.to_pylist() for c in b.columns))]
         assert sorted(found) == want
+
+
+def test_unsorted_keys_of_a_partition_collide_alike():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = list(zip(rng.integers(-40, 40, 300).tolist(), rng.integers(0, 9, 300).tolist()))
+    rows += [(100, 5)] * 3 + [(101, 5)]  # one line alone, however often
+    members = {}
+    for k, x in rows:
+        members.setdefault(k, set()).add(x)
+    want = sorted((k, x) for k, s in members.items() if len(s) > 1 for x in s)
+    for size in (1, 7, 304):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + size]], pa.int64()) for c in (0, 1)], names=["key", "line"])
+                   for i in range(0, 304, size)]
+        assert [(k, x) for b in lines._met(iter(batches)) for k, x in zip(*(c.to_pylist() for c in b.columns))] == want
+    assert list(lines._met(iter([]))) == [] and sum(b.num_rows for b in lines._met(iter([b.slice(0, 0) for b in batches]))) == 0
+
+
+def test_sorted_shingles_and_keys_do_not_depend_on_the_lines_beside():
+    texts = [prose(3, 60), "ab", "𝄞é𝄞é𝄞é𝄞", "aaaaaaaaaa", prose(4, 59), prose(5, 200)]
+    bags = lines.shingle_arrays(texts)
+    for x, a in zip(bags, texts):
+        assert x.tolist() == sorted(lines.shingle_hashes([a])[0])
+        for y, b in zip(bags, texts):
+            assert lines.shared(x, y) == len(lines.shingles(a) & lines.shingles(b))
+    assert lines.band_keys(texts).tolist() == [lines.band_keys([t])[0].tolist() for t in texts]
