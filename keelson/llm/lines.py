@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import Scratch, row_key, shuffle_partitions, slices, texts_of, whole_rows
+from keelson.llm.common import Scratch, row_key, shuffle_partitions, slices, whole_rows
 from keelson.llm.components import UnionFind, connected_components
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 6, 0.8
@@ -34,10 +34,12 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 5, 16, 6, 0.8
 BLOCK_LINES = 512
 #: Band keys of a partition, which one task holds.
 MET_ROWS = 1 << 21
+#: Band keys that a signing task packs at once.
+PACKED_KEYS = 1 << 20
 #: Characters of lines that are shingled at once.
 _VERIFIED_CHARS = 1 << 18
-_BLANKS, _SEED, _CELLS = " \t\n\v\f\r", 42, 1 << 17
-_FULL = (1 << 64) - 1
+_BLANKS, _SEED, _CELLS, _RUNS = " \t\n\v\f\r", 42, 1 << 17, 1 << 15
+_BLANK_BYTES, _FULL = _BLANKS.encode(), (1 << 64) - 1
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B32 = np.uint32(0x9E3779B1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -67,6 +69,17 @@ def line_id(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _named(batch: pa.RecordBatch):
+    """Per text of a batch (null: empty) its non-blank lines as ``(place, line, hash)``: UTF-8 bytes, stripped, and :func:`line_id` unsigned."""
+    hashed = xxhash.xxh64_intdigest
+    for text in batch.column("text").cast(pa.binary()).to_pylist():
+        yield [(i, x, hashed(x, _SEED)) for i, line in enumerate((text or b"").split(b"\n")) if (x := line.strip(_BLANK_BYTES))]
+
+
+def _signed(hashes) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
 def shingles(line: str, length: int = SHINGLE) -> set[str]:
     return {line[i:i + length] for i in range(max(1, len(line) - length + 1))}
 
@@ -110,11 +123,13 @@ def band_keys(lines: list[str], length: int = SHINGLE, bands: int = BANDS, rows:
     starts = np.cumsum(sizes) - sizes
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     hashes = np.zeros(len(codes), np.uint32)  # of the run that starts at each character
-    runs = codes[:max(0, len(codes) - length + 1)].copy()
-    for k in range(1, length):
-        runs *= _B32
-        runs += codes[k:k + len(runs)]
-    hashes[:len(runs)] = _mix32(runs)
+    for start in range(0, len(codes) - length + 1, _RUNS):  # a part that stays in the processor's cache
+        end = min(start + _RUNS, len(codes) - length + 1)
+        runs = codes[start:end].copy()
+        for k in range(1, length):
+            runs *= _B32
+            runs += codes[start + k:end + k]
+        hashes[start:end] = _mix32(runs)
     for i in np.flatnonzero(sizes < length):  # a short line is one shingle
         whole = int(sizes[i])
         for c in codes[starts[i]:starts[i] + sizes[i]].tolist():
@@ -149,31 +164,60 @@ def _list_lines(batches):
         for part in slices(batch, 512):
             keys = [part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]
             names, numbers, sizes = [], [], []
-            for text in texts_of(part):
-                found = [(line_id(x), i) for i, line in enumerate(lines_of(text)) if (x := line.strip(_BLANKS))]
-                names += [x for x, _ in found]
-                numbers += [i for _, i in found]
+            for found in _named(part):
+                names += [h for _, _, h in found]
+                numbers += [i for i, _, _ in found]
                 sizes.append(len(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.int64()), *(pa.array(np.repeat(k, sizes)) for k in keys),
+                [pa.array(_signed(names)), *(pa.array(np.repeat(k, sizes)) for k in keys),
                  part.column("doc_id").take(pa.array(np.repeat(np.arange(part.num_rows), sizes))),
                  pa.array(numbers, pa.int32())], names=["line", "a", "b", "doc_id", "at"])
 
 
+def _packed(parts: int, batches):
+    """Rows ``(part, keys, lines)`` of batches of ``key`` and ``line``: what goes to the same part is one
+    row, as 64-bit numbers, so that the shuffle moves few long rows."""
+    def pack(held):
+        keys, lines = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "line"))
+        part = (keys.view(np.uint64) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+        order, counts = np.argsort(part, kind="stable"), np.bincount(part)
+        own = np.flatnonzero(counts)
+        ends = np.r_[0, np.cumsum(8 * counts[own])].astype(np.int32)
+        columns = [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(x[order])]) for x in (keys, lines)]
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *columns], names=["part", "keys", "lines"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACKED_KEYS:
+            yield pack(held)
+            held, size = [], 0
+    if size:
+        yield pack(held)
+
+
+def _unpacked(batches):
+    """The ``key`` and ``line`` of :func:`_packed` rows."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64)) for c in ("keys", "lines")],
+                                         names=["key", "line"])
+
+
 def _list_bands(length: int, bands: int, rows: int):
     def run(batches):
         seen: set[int] = set()  # lines this task has signed: at most those of its split
         for batch in batches:
             for part in slices(batch, 512):
-                new: dict[int, str] = {}
-                for text in texts_of(part):
-                    for line in lines_of(text):
-                        if (x := line.strip(_BLANKS)) and (h := line_id(x)) not in seen:
+                new: dict[int, bytes] = {}
+                for found in _named(part):
+                    for _, x, h in found:
+                        if h not in seen:
                             new[h] = x
                             seen.add(h)
-                keys = band_keys(list(new.values()), length, bands, rows)
+                keys = band_keys([x.decode() for x in new.values()], length, bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1)), pa.array(np.repeat(np.fromiter(new, np.int64, len(new)), bands))],
+                    [pa.array(keys.reshape(-1)), pa.array(np.repeat(_signed(list(new)), bands))],
                     names=["key", "line"])
 
     return run
@@ -348,13 +392,13 @@ _TEXTS = T.StructType([T.StructField("line", T.LongType()), T.StructField("text"
 def _fetch(batches):
     for batch in batches:
         for part in slices(batch, 512):
-            found: dict[int, str] = {}
-            for text, wanted in zip(texts_of(part), part.column("wanted").to_pylist()):
+            found: dict[int, bytes] = {}
+            for named, wanted in zip(_named(part), part.column("wanted").to_pylist()):
                 want = set(wanted)
-                for line in lines_of(text):
-                    if (x := line.strip(_BLANKS)) and (h := line_id(x)) in want:
+                for _, x, h in named:
+                    if (h - (1 << 64) if h >> 63 else h) in want:
                         found[h] = x
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(list(found))), pa.array(list(found.values()), pa.binary()).cast(pa.string())],
                                              names=["line", "text"])
 
 
@@ -369,9 +413,10 @@ def similar_lines(docs: DataFrame, scratch: Scratch, length: int = SHINGLE, band
     out = T.StructType([T.StructField("line", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
                         docs.schema["doc_id"], T.StructField("at", T.IntegerType())])
     places = scratch.stage(docs.mapInArrow(_list_lines, out))
-    signed = docs.select("text").mapInArrow(_list_bands(length, bands, rows), "key long, line long")
     dealt = max(n, -(-places.count() * bands // MET_ROWS))
-    met = scratch.stage(signed.repartition(dealt, "key").mapInArrow(_met, "key long, line long"))
+    sign = _list_bands(length, bands, rows)
+    signed = docs.select("text").mapInArrow(lambda batches: _packed(dealt, sign(batches)), "part int, keys binary, lines binary")
+    met = scratch.stage(signed.repartitionById(dealt, "part").mapInArrow(lambda batches: _met(_unpacked(batches)), "key long, line long"))
     sets = met.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("line")).alias("x"),
                                   F.bit_xor(F.xxhash64("line", F.lit(1))).alias("y"), F.min("line").alias("least"))
     once = (sets.groupBy("size", "x", "y", "least").agg(F.min("key").alias("key"))

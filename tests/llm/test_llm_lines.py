@@ -128,3 +128,60 @@ def test_sorted_shingles_and_keys_do_not_depend_on_the_lines_beside():
         for y, b in zip(bags, texts):
             assert lines.shared(x, y) == len(lines.shingles(a) & lines.shingles(b))
     assert lines.band_keys(texts).tolist() == [lines.band_keys([t])[0].tolist() for t in texts]
+
+
+def test_packed_keys_come_back_in_their_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = list(zip(rng.integers(-1 << 63, 1 << 63, 500).tolist(), rng.integers(-9, 9, 500).tolist()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i:i + 60]], pa.int64()) for c in (0, 1)], names=["key", "line"])
+               for i in range(0, 500, 60)]
+    monkeypatch.setattr(lines, "PACKED_KEYS", 150)
+    for parts in (1, 7, 1 << 17):
+        packed = list(lines._packed(parts, iter([*batches, batches[0].slice(0, 0)])))
+        assert len(packed) == 3 and all(b.num_rows <= min(parts, 180) for b in packed)
+        for b in packed:
+            for part, row in zip(b.column("part").to_pylist(), range(b.num_rows)):
+                own = next(lines._unpacked([b.slice(row, 1)])).column("key").to_pylist()
+                assert own and {k % (1 << 64) % parts for k in own} == {part}
+        assert sorted((k, x) for b in lines._unpacked(packed) for k, x in zip(*(c.to_pylist() for c in b.columns))) == sorted(rows)
+    assert list(lines._packed(3, iter([]))) == [] == list(lines._unpacked([]))
+
+
+def test_band_keys_cross_the_shuffle_packed(make_docs, tmp_path):
+    """A signing task hands over at most one row for each part, not one for each key."""
+    from keelson.llm.common import Scratch, row_key
+
+    docs = make_docs([(i, "\n".join(prose(10 * i + k, 12) for k in range(10))) for i in range(60)], parts=2)
+    key, staged = row_key(), []
+
+    class Seen(Scratch):
+        def stage(self, df):
+            staged.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().stage(df)
+
+    lines.similar_lines(docs.select("doc_id", "text", key["a"].alias("a"), key["b"].alias("b")), Seen(docs.sparkSession, "seen"))
+    met = next(p for p in staged if p.count("MapInArrow") == 2)
+    assert "keys#" in met and "lines#" in met and "part#" in met
+
+
+def test_lines_of_bytes_are_lines_of_text():
+    import pyarrow as pa
+
+    texts = [None, "", "a\n b \n\n\v\f\u00a0\u2003x\x85\n", "𝄞é\r\n\t\u2028—\n\x1c", "\n" + prose(3, 9)]
+    found = list(lines._named(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])))
+    for text, own in zip(texts, found, strict=True):
+        want = [(i, x.strip(BLANKS)) for i, x in enumerate((text or "").split("\n")) if x.strip(BLANKS)]
+        assert [(i, x.decode()) for i, x, _ in own] == want
+        assert lines._signed([h for _, _, h in own]).tolist() == [lines.line_id(x) for _, x in want]
+
+
+def test_band_keys_do_not_depend_on_the_parts_their_runs_are_hashed_in(monkeypatch):
+    texts = [prose(3, 60), "ab", "𝄞é𝄞é𝄞é𝄞", "aaaaaaaaaa", "abcde", prose(5, 200)]
+    want = lines.band_keys(texts).tolist()
+    for size in (1, 4, 5, 97):
+        monkeypatch.setattr(lines, "_RUNS", size)
+        assert lines.band_keys(texts).tolist() == want
+    assert lines.band_keys(["ab"]).tolist() == [want[1]]
