@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.scalar import hashable_columns
-from keelson.plans.grid import fit_tries, models_of
+from keelson.plans.grid import columns_used, fit_tries, flat_stages, leading_transformers, models_of, rebuilt
 from keelson.plans.journal import Journal, fingerprint
 from keelson.plans.scoring import score_trie
 
@@ -167,28 +167,45 @@ class ParallelCrossValidator(CrossValidator):
         return self.getOrDefault(self.journal)
 
     def _folded(self, df: DataFrame) -> DataFrame:
+        """The rows with their fold."""
         k = self.getNumFolds()
         if self.getFoldCol():
             out = df.withColumn(_FOLD, F.col(self.getFoldCol()).cast("int"))
         else:
             out = with_folds(df, k, self.getFoldKeys() or None, self.getOrDefault(self.seed), _FOLD)
-        return out.persist(StorageLevel.MEMORY_AND_DISK)
+        return out
+
+    def _prepared(self, folded: DataFrame) -> tuple[list, Estimator, DataFrame]:
+        """The leading stages that learn nothing and vary in nothing, the estimator of the others, and their
+        input: the leading stages run once for all folds and the refit, and only columns that are still
+        asked for are cached."""
+        est = self.getEstimator()
+        first = leading_transformers(est, self.getEstimatorParamMaps())
+        rest = Pipeline(stages=flat_stages(est)[len(first):]) if first else est
+        out = folded
+        for stage in first:
+            out = stage.transform(out)
+        used = columns_used([*flat_stages(rest), self.getEvaluator()], self.getEstimatorParamMaps())
+        if used is not None:
+            out = out.select(*[F.col(f"`{c}`") for c in out.columns if c.lower() in used or c == _FOLD])
+        return first, rest, out.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fold_metrics(self, df: DataFrame) -> list[list[float]]:
         """metrics[fold][param_set]"""
         folded = self._folded(df)
+        _, rest, prepared = self._prepared(folded)
         try:
-            return self._fold_metrics(folded)
+            return self._fold_metrics(folded, rest, prepared)
         finally:
-            folded.unpersist()
+            prepared.unpersist()
 
-    def _fold_metrics(self, folded: DataFrame) -> list[list[float]]:
-        k, est, maps, evaluator = self.getNumFolds(), self.getEstimator(), self.getEstimatorParamMaps(), self.getEvaluator()
+    def _fold_metrics(self, rows: DataFrame, est: Estimator, folded: DataFrame) -> list[list[float]]:
+        k, maps, evaluator = self.getNumFolds(), self.getEstimatorParamMaps(), self.getEvaluator()
         sizes = {r[0]: r[1] for r in folded.groupBy(_FOLD).count().collect()}
         empty = [i for i in range(k) if not sizes.get(i)]
         if empty:
             raise ValueError(f"folds {empty} are empty; use fewer folds or more rows")
-        journal = Journal(folded.sparkSession, self.getJournal(), fingerprint(est, maps, evaluator, folded)) if self.getJournal() else None
+        journal = Journal(folded.sparkSession, self.getJournal(), fingerprint(self.getEstimator(), maps, evaluator, rows)) if self.getJournal() else None
         found = journal.read() if journal else {}
         lacking = {i: [j for j in range(len(maps)) if (i, j) not in found] for i in range(k)}
         todo = [i for i in range(k) if lacking[i]]
@@ -215,14 +232,17 @@ class ParallelCrossValidator(CrossValidator):
     def _fit(self, df: DataFrame) -> CrossValidatorModel:
         # one cached copy serves every fold and the final refit on all rows
         folded = self._folded(df)
+        first, rest, prepared = self._prepared(folded)
         try:
-            per_fold = self._fold_metrics(folded)
+            per_fold = self._fold_metrics(folded, rest, prepared)
             k, maps = self.getNumFolds(), self.getEstimatorParamMaps()
             avg = [sum(row[j] for row in per_fold) / k for j in range(len(maps))]
             best = choose_best(avg, self.getEvaluator().isLargerBetter())
-            best_model = self.getEstimator().fit(folded.drop(_FOLD), maps[best])
+            best_model = rest.fit(prepared.drop(_FOLD), maps[best])
+            if first:
+                best_model = rebuilt(self.getEstimator(), iter([*first, *best_model.stages]))
         finally:
-            folded.unpersist()
+            prepared.unpersist()
         model = self._copyValues(CrossValidatorModel(best_model, avgMetrics=avg))
         model.bestIndex = best
         return model

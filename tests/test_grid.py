@@ -1,17 +1,18 @@
 """L2, L4, A1: shared prefixes, many models in one scan, the journal."""
 
 import pytest
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.param import Param, Params
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from keelson.operators.metrics import LogLossEvaluator, ShareCorrectEvaluator
 from keelson.plans.grid import fit_tries, flat_stages, models_of
+from keelson.plans.forests import bin_bounds, levels_in_one_pass
 from keelson.plans.scoring import score_trie
 from keelson.plans.stages import VectorElement
 from keelson.plans.tuning import ParallelCrossValidator, _pool, fit_many
@@ -114,3 +115,70 @@ def test_a_stopped_run_goes_on_from_its_journal(spark, rows, tmp_path):
     assert cv(str(tmp_path)).fold_metrics(rows) == want and not FITS
     cv(str(tmp_path)).fold_metrics(rows.where("id > 5"))
     assert len(FITS) == 3 * 2  # other data, other journal
+
+
+@pytest.fixture
+def forest_fits(monkeypatch):
+    """The depths of the forests that are fitted."""
+    depths, fit = [], RandomForestRegressor._fit
+
+    def counted(self, dataset):
+        depths.append(self.getMaxDepth())
+        return fit(self, dataset)
+
+    monkeypatch.setattr(RandomForestRegressor, "_fit", counted)
+    return depths
+
+
+def _vectors(spark):
+    cols = [F.pmod(F.hash("id", F.lit(i)), F.lit(2 if i else 40)).cast("double").alias(f"f{i}") for i in range(12)]
+    df = spark.range(600).select("id", *cols, (F.pmod(F.hash("id"), F.lit(3)) == 0).cast("double").alias("label"))
+    return VectorAssembler(inputCols=[f"f{i}" for i in range(12)], outputCol="features").transform(df).coalesce(2).cache()
+
+
+def test_forests_of_other_depths_are_one_fit(spark, forest_fits):
+    data, rf = _vectors(spark), RandomForestRegressor(seed=5, maxBins=20)
+    grid = (ParamGridBuilder().addGrid(rf.numTrees, [3, 4]).addGrid(rf.featureSubsetStrategy, ["onethird", "log2"])
+            .addGrid(rf.maxDepth, [4, 0, 7, 2]).build())
+    models = fit_many(Pipeline(stages=[rf]), data, grid, parallelism=3)
+    assert forest_fits == [7] * 4
+    for model, params in zip(models, grid):
+        own, got = rf.fit(data, params), model.stages[0]
+        assert got.toDebugString == own.toDebugString and got.getMaxDepth() == params[rf.maxDepth] and got.getNumTrees == params[rf.numTrees]
+        assert [r.prediction for r in got.transform(data).orderBy("id").collect()] == [r.prediction for r in own.transform(data).orderBy("id").collect()]
+
+
+def test_forests_whose_levels_take_several_passes_are_fitted_one_by_one(spark, forest_fits):
+    data, rf = _vectors(spark), RandomForestRegressor(seed=5, numTrees=40, maxBins=30, maxMemoryInMB=1)
+    bins = bin_bounds(data, rf)
+    assert bins == [30] + [2] * 11  # 40 values in at most 30 bins; binary features
+    assert levels_in_one_pass(rf, 3, bins) and not levels_in_one_pass(rf, 8, bins)
+    fit_many(Pipeline(stages=[rf]), data, [{rf.maxDepth: d} for d in (8, 9)])
+    assert sorted(forest_fits) == [8, 9]
+
+
+TEXTS = []
+
+
+class Doubled(Transformer):
+    """Learns nothing; counts its uses."""
+
+    def _transform(self, dataset):
+        TEXTS.append(dataset.columns)
+        return dataset.withColumn("twice", F.col("x") * 2)
+
+
+def test_leading_transformers_run_once_for_all_folds(spark, rows):
+    lr = LinearRegression(maxIter=3)
+    pipe = Pipeline(stages=[Pipeline(stages=[Doubled()]), VectorAssembler(inputCols=["twice"], outputCol="features"), lr])
+    cv = ParallelCrossValidator(estimator=pipe, evaluator=RegressionEvaluator(), estimatorParamMaps=[{lr.regParam: r} for r in (0.0, 0.5)],
+                                numFolds=3, foldKeys=["id"])
+    TEXTS.clear()
+    model = cv.fit(rows)
+    assert len(TEXTS) == 1
+    _, rest, prepared = cv._prepared(cv._folded(rows))
+    assert flat_stages(rest) == [lr] and set(prepared.columns) == {"label", "features", "_kl_fold"}
+    prepared.unpersist()
+    want = pipe.fit(rows, {lr.regParam: [0.0, 0.5][model.bestIndex]})
+    assert [type(s) for s in model.bestModel.stages] == [type(s) for s in want.stages]
+    assert [r.prediction for r in model.transform(rows).collect()] == pytest.approx([r.prediction for r in want.transform(rows).collect()])
